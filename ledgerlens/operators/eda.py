@@ -179,21 +179,23 @@ def order_histogram(df: DataFrame, bins: int = HISTOGRAM_BINS,
     mean and median of the kept values on every row."""
     rev = df.select("revenue").where(F.col("revenue").isNotNull())
     cap = exact_percentiles(rev, "revenue", [clip]).select(F.col("q0")).scalar()
-    kept = rev.where(F.col("revenue") <= cap)
+    kept = rev.select("revenue", cap.alias("cap")).where(F.col("revenue") <= F.col("cap"))
     st = kept.agg(F.struct(F.min("revenue").alias("lo"), F.max("revenue").alias("hi"),
-                           money_avg("revenue").alias("mean"))).scalar()
+                           money_avg("revenue").alias("mean"), F.max("cap").alias("cap"))).scalar()
     median = exact_percentiles(kept, "revenue", [0.5]).select(F.col("q0")).scalar()
-    lo, hi = st.getField("lo"), st.getField("hi")
-    counts = (kept.select(equal_width_bins(F.col("revenue"), lo, hi, bins).alias("bin"))
+    spine = (kept.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+             .select("bin", st.alias("st"), median.alias("median")))
+    lo, hi = F.col("st.lo"), F.col("st.hi")
+    counts = (kept.select("revenue", st.alias("st"))
+              .select(equal_width_bins(F.col("revenue"), lo, hi, bins).alias("bin"))
               .groupBy("bin").agg(F.count(F.lit(1)).alias("orders")))
-    spine = kept.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     lower, upper = bin_edges(lo, hi, F.col("bin"), bins)
     return (spine.join(counts, "bin", "left")
+            .where(lo.isNotNull())
             .select("bin", lower.alias("bin_lower"), upper.alias("bin_upper"),
                     F.coalesce("orders", F.lit(0)).cast("bigint").alias("orders"),
-                    cap.alias("clip_value"), st.getField("mean").alias("mean_value"),
-                    median.alias("median_value"))
-            .where(lo.isNotNull())
+                    F.col("st.cap").alias("clip_value"), F.col("st.mean").alias("mean_value"),
+                    F.col("median").alias("median_value"))
             .orderBy("bin"))
 
 

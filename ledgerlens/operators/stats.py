@@ -49,7 +49,8 @@ def interpolate(n: Column, p: float, v_lo: Column, v_hi: Column) -> Column:
 def exact_percentiles(df: DataFrame, col: str, probs: list[float], accuracy: int = 100000,
                       prefix: str = "q") -> DataFrame:
     """1-row DataFrame with columns ``{prefix}0..{prefix}k-1``: exact
-    linear-interpolation percentiles of ``col`` (nulls and NaN ignored).
+    linear-interpolation percentiles of ``col`` (nulls and NaN ignored; null
+    when there are no values).
 
     Pass 1 (one scan): count and ``approx_percentile`` at ``p -/+ 2/accuracy``;
     Spark's sketch has rank error <= n/accuracy, so the true values at ranks
@@ -57,7 +58,8 @@ def exact_percentiles(df: DataFrame, col: str, probs: list[float], accuracy: int
     rows below ``a`` are only counted; rows inside ``[a, b]`` (about
     ``4n/accuracy`` of them) are grouped by value and ranked exactly. If a
     bracket ever failed to contain its ranks the query raises instead of
-    returning a wrong value.
+    returning a wrong value. Each scalar subquery is referenced once, so the
+    plan stays linear in size.
     """
     x = df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
     d = 2.0 / accuracy
@@ -65,23 +67,22 @@ def exact_percentiles(df: DataFrame, col: str, probs: list[float], accuracy: int
     bounds = [max(p - d, 0.0) for p in probs] + [min(p + d, 1.0) for p in probs]
     s1 = x.agg(F.struct(F.count(F.lit(1)).alias("n"),
                         F.approx_percentile("x", bounds, accuracy).alias("ab"))).scalar()
-    n = s1.getField("n")
-    lo = [s1.getField("ab")[i] for i in range(k)]
-    hi = [s1.getField("ab")[k + i] for i in range(k)]
-    # pass 2: counts below each bracket, and the bracketed values
-    below = x.agg(F.struct(*[F.count_if(F.col("x") < lo[i]).alias(f"b{i}") for i in range(k)])).scalar()
-    idx = F.array(*[F.when((F.col("x") >= lo[i]) & (F.col("x") <= hi[i]), F.lit(i)) for i in range(k)])
-    inside = (x.select(F.explode(F.filter(idx, lambda e: e.isNotNull())).alias("pi"), "x")
-              .groupBy("pi", "x").agg(F.count(F.lit(1)).alias("c")))
+    xs = x.select("x", s1.alias("st"))
+    ab = F.col("st.ab")
+    below = xs.agg(F.array(*[F.count_if(F.col("x") < ab[i]) for i in range(k)]).alias("b")).scalar()
+    idx = F.array(*[F.when((F.col("x") >= ab[i]) & (F.col("x") <= ab[k + i]), F.lit(i)) for i in range(k)])
+    inside = (xs.select(F.explode(idx).alias("pi"), "x", F.col("st.n").alias("n"))
+              .where(F.col("pi").isNotNull())
+              .groupBy("pi", "x", "n").agg(F.count(F.lit(1)).alias("c"))
+              .select("*", below.alias("below")))
     w = Window.partitionBy("pi").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    b = F.element_at(F.array(*[below.getField(f"b{i}") for i in range(k)]), F.col("pi") + 1)
-    ranked = (inside.withColumn("end", b + F.sum("c").over(w) - 1)
+    ranked = (inside.withColumn("end", F.element_at("below", F.col("pi") + 1) + F.sum("c").over(w) - 1)
               .withColumn("start", F.col("end") - F.col("c") + 1))
-    # the values at ranks floor/ceil((n-1)p) for each probability
-    picks = []
-    for i in range(k):
-        r0 = F.floor((n - F.lit(1)).cast("double") * F.lit(float(probs[i])))
-        r1 = F.ceil((n - F.lit(1)).cast("double") * F.lit(float(probs[i])))
+    n = F.col("n")
+    picks = [F.max("n").alias("n")]
+    for i, p in enumerate(probs):
+        pos = (n - F.lit(1)).cast("double") * F.lit(float(p))
+        r0, r1 = F.floor(pos), F.ceil(pos)
         mine = F.col("pi") == i
         picks.append(F.max(F.when(mine & (F.col("start") <= r0) & (F.col("end") >= r0), F.col("x"))).alias(f"v0_{i}"))
         picks.append(F.max(F.when(mine & (F.col("start") <= r1) & (F.col("end") >= r1), F.col("x"))).alias(f"v1_{i}"))
@@ -89,9 +90,9 @@ def exact_percentiles(df: DataFrame, col: str, probs: list[float], accuracy: int
     out = []
     for i, p in enumerate(probs):
         v0, v1 = F.col(f"v0_{i}"), F.col(f"v1_{i}")
-        missing = (n > 0) & (v0.isNull() | v1.isNull())
+        missing = n.isNotNull() & (v0.isNull() | v1.isNull())
         val = F.when(missing, F.raise_error(F.lit(f"percentile bracket missed for p={p}"))
-                     .cast("double")).otherwise(interpolate(n, p, v0, v1))
+                     .cast("double")).otherwise(F.when(n.isNotNull(), interpolate(n, p, v0, v1)))
         out.append(val.alias(f"{prefix}{i}"))
     return found.select(*out)
 

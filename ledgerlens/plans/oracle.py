@@ -65,3 +65,156 @@ SELECT region, {msum('revenue')} AS revenue, {msum('profit')} AS profit,
        count(order_id) AS orders, count(DISTINCT customer_id) AS customers,
        {mavg('revenue')} AS avg_order_value
 FROM s WHERE region IS NOT NULL GROUP BY region""")
+
+
+def pct(src: str, col: str, p: float) -> str:
+    """Scalar subquery: linear-interpolation percentile by a full sort."""
+    return f"""(SELECT CASE WHEN pos IS NULL THEN NULL
+                     WHEN floor(pos) = ceil(pos) OR v0 = v1 THEN v0
+                     ELSE (ceil(pos) - pos) * v0 + (pos - floor(pos)) * v1 END
+   FROM (SELECT any_value(pos) AS pos,
+                max(CASE WHEN i = floor(pos) THEN x END) AS v0,
+                max(CASE WHEN i = ceil(pos) THEN x END) AS v1
+         FROM (SELECT cast({col} AS double) AS x, row_number() OVER (ORDER BY {col}) - 1 AS i,
+                      cast(count(*) OVER () - 1 AS double) * {float(p)!r} AS pos
+               FROM {src} WHERE {col} IS NOT NULL AND NOT isnan({col}))))"""
+
+
+def top1(key: str) -> str:
+    return (f"(SELECT {key} FROM s WHERE {key} IS NOT NULL GROUP BY {key} "
+            f"ORDER BY {msum('revenue')} DESC, {key} LIMIT 1)")
+
+
+FILTER_YEARS = [1996, 1998, 2000]
+FILTER_REGIONS = ["AMERICA", "ASIA", "EUROPE"]
+FILTER_CATEGORIES = ["Economy", "Large", "Promo"]
+
+
+def _in(values) -> str:
+    return ", ".join(repr(v) for v in values)
+
+
+FILTERED = (f"f AS (SELECT * FROM s WHERE year IN ({_in(FILTER_YEARS)}) "
+            f"AND region IN ({_in(FILTER_REGIONS)}) AND category IN ({_in(FILTER_CATEGORIES)}))")
+
+Q["summary_stats"] = with_sales(f"""
+SELECT {msum('revenue')} AS total_revenue, {msum('profit')} AS total_profit,
+       count(*) AS total_orders, count(DISTINCT customer_id) AS unique_customers,
+       {mavg('revenue')} AS avg_order_value, {ravg('profit_margin')} AS avg_profit_margin,
+       {top1('category')} AS top_category, {top1('region')} AS top_region
+FROM s""")
+
+Q["filter_sales"] = with_sales("SELECT * FROM f", FILTERED)
+
+Q["filter_options"] = with_sales("""
+SELECT DISTINCT 'year' AS option, cast(year AS varchar) AS value FROM s WHERE year IS NOT NULL
+UNION ALL SELECT DISTINCT 'region', region FROM s WHERE region IS NOT NULL
+UNION ALL SELECT DISTINCT 'category', category FROM s WHERE category IS NOT NULL""")
+
+Q["overview_cards"] = with_sales(f"""
+SELECT {msum('revenue')} AS total_revenue, {msum('profit')} AS total_profit,
+       {ravg('profit_margin')} AS avg_margin, count(*) AS orders,
+       {mavg('revenue')} AS avg_order_value, count(DISTINCT customer_id) AS customers
+FROM f""", FILTERED)
+
+Q["monthly_sales_trend"] = with_sales(f"""
+SELECT year_month, {msum('revenue')} AS revenue, {msum('profit')} AS profit, count(order_id) AS orders,
+       cast(year_month || '-01' AS date) AS year_month_dt
+FROM s WHERE year_month IS NOT NULL GROUP BY year_month""")
+
+Q["yoy_growth"] = with_sales(f"""
+SELECT year, total_revenue,
+       (total_revenue - lag(total_revenue) OVER (ORDER BY year)) / nullif(lag(total_revenue) OVER (ORDER BY year), 0) AS growth
+FROM (SELECT year, {msum('revenue')} AS total_revenue FROM s WHERE year IS NOT NULL GROUP BY year)""")
+
+PRODUCT_METRICS = f"""
+SELECT product, {msum('revenue')} AS revenue, {msum('profit')} AS profit,
+       count(order_id) AS orders, {ravg('profit_margin')} AS avg_margin
+FROM s WHERE product IS NOT NULL GROUP BY product"""
+
+Q["top_products"] = with_sales(PRODUCT_METRICS + " ORDER BY revenue DESC, product LIMIT 10")
+
+Q["bottom_products"] = with_sales(f"""
+SELECT product, {msum('revenue')} AS revenue, {msum('profit')} AS profit
+FROM s WHERE product IS NOT NULL GROUP BY product ORDER BY profit, product LIMIT 5""")
+
+Q["category_performance"] = with_sales(f"""
+SELECT *, {half_up('revenue / nullif(sum(revenue) OVER (), 0)', 4)} AS revenue_share
+FROM (SELECT category, {msum('revenue')} AS revenue, {msum('profit')} AS profit,
+             count(order_id) AS orders, {ravg('profit_margin')} AS avg_margin
+      FROM s WHERE category IS NOT NULL GROUP BY category)""")
+
+Q["city_performance"] = with_sales(f"""
+SELECT region, city, {msum('revenue')} AS revenue FROM s
+WHERE region IS NOT NULL AND city IS NOT NULL GROUP BY region, city
+ORDER BY revenue DESC, region, city LIMIT 10""")
+
+CUSTOMER_METRICS = f"""
+SELECT customer_id, {msum('revenue')} AS total_revenue, count(order_id) AS total_orders,
+       {mavg('revenue')} AS avg_order_value, {msum('profit')} AS total_profit
+FROM s WHERE customer_id IS NOT NULL GROUP BY customer_id"""
+
+Q["top_customers"] = with_sales(CUSTOMER_METRICS + " ORDER BY total_revenue DESC, customer_id LIMIT 10")
+
+Q["segment_analysis"] = with_sales(f"""
+SELECT *, {half_up('revenue / nullif(customers, 0)', 2)} AS revenue_per_customer
+FROM (SELECT segment, {msum('revenue')} AS revenue, count(order_id) AS orders,
+             count(DISTINCT customer_id) AS customers
+      FROM s WHERE segment IS NOT NULL GROUP BY segment)""")
+
+Q["monthly_avg_revenue"] = with_sales("""
+SELECT month, month_name, cast(sum(rev) AS double) / cast(count(*) AS double) AS avg_revenue
+FROM (SELECT year, month, month_name, sum(cast(revenue AS decimal(18,2))) AS rev
+      FROM s WHERE year IS NOT NULL AND month IS NOT NULL AND month_name IS NOT NULL
+      GROUP BY year, month, month_name)
+GROUP BY month, month_name""")
+
+REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+Q["heatmap_data"] = with_sales(
+    "SELECT month, month_name, "
+    + ", ".join(f"{msum(chr(39).join(['CASE WHEN region = ', r, ' THEN revenue END']))} AS \"{r}\""
+                for r in REGIONS)
+    + " FROM s WHERE month IS NOT NULL AND month_name IS NOT NULL AND region IS NOT NULL"
+      " GROUP BY month, month_name")
+
+TIER = """CASE WHEN discount > -0.01 AND discount <= 0.0 THEN {a}
+     WHEN discount > 0.0 AND discount <= 0.1 THEN {b}
+     WHEN discount > 0.1 AND discount <= 0.2 THEN {c}
+     WHEN discount > 0.2 AND discount <= 0.3 THEN {d} END"""
+TIER_LABEL = TIER.format(a="'No Discount'", b="'5–10%'", c="'11–20%'", d="'21–30%'")
+TIER_ORDER = TIER.format(a=1, b=2, c=3, d=4)
+
+Q["discount_impact"] = with_sales(f"""
+SELECT tier_order, discount_tier, {ravg('profit_margin')} AS avg_margin,
+       {mavg('revenue')} AS avg_revenue, count(order_id) AS orders
+FROM (SELECT *, {TIER_LABEL} AS discount_tier, {TIER_ORDER} AS tier_order FROM s)
+WHERE discount_tier IS NOT NULL GROUP BY tier_order, discount_tier""")
+
+Q["order_value_distribution"] = with_sales("SELECT revenue FROM s")
+
+HIST = f"""
+r AS (SELECT revenue FROM s WHERE revenue IS NOT NULL),
+cp AS (SELECT {pct('r', 'revenue', 0.99)} AS cap),
+k AS (SELECT revenue AS x FROM r WHERE revenue <= (SELECT cap FROM cp)),
+st AS (SELECT min(x) AS lo0, max(x) AS hi0, {mavg('x')} AS mean_value, {pct('k', 'x', 0.5)} AS median_value FROM k),
+st2 AS (SELECT *, CASE WHEN lo0 = hi0 THEN lo0 - 0.5 ELSE lo0 END AS lo,
+                  CASE WHEN lo0 = hi0 THEN hi0 + 0.5 ELSE hi0 END AS hi FROM st),
+st3 AS (SELECT *, (hi - lo) / 50.0 AS step, 50.0 / (hi - lo) AS norm FROM st2),
+b0 AS (SELECT x, least(floor((x - lo) * norm), 49) AS i0, lo, hi, step FROM k, st3),
+b1 AS (SELECT x, CASE WHEN x < (CASE WHEN i0 >= 50 THEN hi ELSE cast(i0 AS double) * step + lo END)
+                      THEN i0 - 1 ELSE i0 END AS i1, lo, hi, step FROM b0),
+b2 AS (SELECT CASE WHEN i1 <> 49 AND x >= (CASE WHEN i1 + 1 >= 50 THEN hi ELSE cast(i1 + 1 AS double) * step + lo END)
+                   THEN i1 + 1 ELSE i1 END AS bin FROM b1),
+cnt AS (SELECT cast(bin AS integer) AS bin, count(*) AS orders FROM b2 GROUP BY bin),
+spine AS (SELECT cast(range AS integer) AS bin FROM range(50))"""
+
+Q["order_histogram"] = with_sales("""
+SELECT spine.bin, cast(spine.bin AS double) * step + lo AS bin_lower,
+       CASE WHEN spine.bin + 1 >= 50 THEN hi ELSE cast(spine.bin + 1 AS double) * step + lo END AS bin_upper,
+       coalesce(orders, 0) AS orders, cap AS clip_value, mean_value, median_value
+FROM spine LEFT JOIN cnt ON spine.bin = cnt.bin, st3, cp WHERE lo0 IS NOT NULL""", HIST)
+
+Q["customer_concentration"] = with_sales(f"""
+SELECT {msum('total_revenue')} AS top_revenue, (SELECT {msum('revenue')} FROM s) AS total_revenue,
+       {msum('total_revenue')} / nullif((SELECT {msum('revenue')} FROM s), 0) AS top_share
+FROM ({CUSTOMER_METRICS} ORDER BY total_revenue DESC, customer_id LIMIT 10)""")

@@ -8,14 +8,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.operators import clean, eda
+from ledgerlens.plans.materialize import materialized
 from ledgerlens.sources.tables import sales_from_star
 
 
-def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed sales from the star schema, with the engineered features."""
+def build_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed sales from the star schema, with the engineered features (lazy)."""
     return clean.engineer_features(sales_from_star(spark, sf_dir))
 
 
+def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sales table, built once per session and read back from parquet."""
+    return materialized(spark, "sales", sf_dir, build_sales)
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -29,3 +35,47 @@ def register(name: str):
 @register("region_performance")
 def q_region_performance(spark, sf_dir):
     return eda.region_performance(sales(spark, sf_dir))
+
+
+FILTER_YEARS = [1996, 1998, 2000]
+FILTER_REGIONS = ["AMERICA", "ASIA", "EUROPE"]
+FILTER_CATEGORIES = ["Economy", "Large", "Promo"]
+
+
+def filtered(spark, sf_dir):
+    return clean.filter_sales(sales(spark, sf_dir), FILTER_YEARS, FILTER_REGIONS, FILTER_CATEGORIES)
+
+
+def _simple(name, fn):
+    register(name)(lambda spark, sf_dir: fn(sales(spark, sf_dir)))
+
+
+for _name, _fn in [
+    ("summary_stats", eda.summary_stats),
+    ("filter_options", clean.filter_options),
+    ("monthly_sales_trend", eda.monthly_sales_trend),
+    ("yoy_growth", eda.yoy_growth),
+    ("top_products", eda.top_products),
+    ("bottom_products", eda.bottom_products),
+    ("category_performance", eda.category_performance),
+    ("city_performance", eda.city_performance),
+    ("top_customers", eda.top_customers),
+    ("segment_analysis", eda.segment_analysis),
+    ("monthly_avg_revenue", eda.monthly_avg_revenue),
+    ("heatmap_data", eda.heatmap_data),
+    ("discount_impact", eda.discount_impact),
+    ("order_value_distribution", eda.order_value_distribution),
+    ("order_histogram", eda.order_histogram),
+    ("customer_concentration", eda.customer_concentration),
+]:
+    _simple(_name, _fn)
+
+
+@register("filter_sales")
+def q_filter_sales(spark, sf_dir):
+    return filtered(spark, sf_dir)
+
+
+@register("overview_cards")
+def q_overview_cards(spark, sf_dir):
+    return eda.overview_cards(filtered(spark, sf_dir))

@@ -10,7 +10,8 @@ from pyspark.sql import SparkSession
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
-                  app_name: str = "ledgerlens", extra: dict | None = None) -> SparkSession:
+                  app_name: str = "ledgerlens", extra: dict | None = None,
+                  driver_memory: str = "8g") -> SparkSession:
     """A session with the settings every operator assumes.
 
     UTC session time zone (dates are compared with an external oracle), ANSI on,
@@ -21,6 +22,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     b = (SparkSession.builder.master(master).appName(app_name)
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
+         .config("spark.driver.memory", driver_memory)
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.ansi.enabled", "true")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
