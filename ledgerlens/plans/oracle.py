@@ -218,3 +218,97 @@ Q["customer_concentration"] = with_sales(f"""
 SELECT {msum('total_revenue')} AS top_revenue, (SELECT {msum('revenue')} FROM s) AS total_revenue,
        {msum('total_revenue')} / nullif((SELECT {msum('revenue')} FROM s), 0) AS top_share
 FROM ({CUSTOMER_METRICS} ORDER BY total_revenue DESC, customer_id LIMIT 10)""")
+
+
+# --- RFM ------------------------------------------------------------------
+from ledgerlens.functions.constants import (  # noqa: E402
+    DEFAULT_SEGMENT, NO_ACTION, SEGMENT_ACTIONS, SEGMENT_RULES,
+)
+
+RFM0 = f"""
+rfm0 AS (
+  SELECT customer_id,
+         cast(datediff('day', max(date), (SELECT max(date) FROM s) + 1) AS integer) AS recency,
+         count(order_id) AS frequency, {msum('revenue')} AS monetary
+  FROM s WHERE customer_id IS NOT NULL GROUP BY customer_id)"""
+
+
+def _score(col: str, qs: list[str], reverse: bool) -> str:
+    above = " + ".join(f"(CASE WHEN {col} > {q} THEN 1 ELSE 0 END)" for q in qs)
+    return f"cast(4 - ({above}) AS integer)" if reverse else f"cast(1 + {above} AS integer)"
+
+
+QR = [pct("rfm0", "recency", p) for p in (0.25, 0.5, 0.75)]
+QM = [pct("rfm0", "monetary", p) for p in (0.25, 0.5, 0.75)]
+RFM1 = f"""
+rfm1 AS (
+  SELECT *, row_number() OVER (ORDER BY frequency, customer_id) AS f_rank, count(*) OVER () AS n FROM rfm0),
+rfm2 AS (
+  SELECT customer_id, recency, frequency, monetary,
+         {_score('recency', QR, True)} AS r_score,
+         cast(1 + (CASE WHEN cast(f_rank AS double) > 1.0 + cast(n - 1 AS double) * 0.25 THEN 1 ELSE 0 END)
+                + (CASE WHEN cast(f_rank AS double) > 1.0 + cast(n - 1 AS double) * 0.5 THEN 1 ELSE 0 END)
+                + (CASE WHEN cast(f_rank AS double) > 1.0 + cast(n - 1 AS double) * 0.75 THEN 1 ELSE 0 END) AS integer) AS f_score,
+         {_score('monetary', QM, False)} AS m_score
+  FROM rfm1),
+rfm3 AS (
+  SELECT *, cast(r_score AS varchar) || cast(f_score AS varchar) || cast(m_score AS varchar) AS rfm_score,
+         r_score + f_score + m_score AS rfm_total FROM rfm2)"""
+
+SEGMENT_CASE = "CASE " + " ".join(
+    f"WHEN r_score BETWEEN {r[0]} AND {r[1]} AND f_score BETWEEN {f[0]} AND {f[1]} "
+    f"AND m_score BETWEEN {m[0]} AND {m[1]} THEN '{name}'"
+    for name, r, f, m in SEGMENT_RULES) + f" ELSE '{DEFAULT_SEGMENT}' END"
+
+RFM4 = f"rfm AS (SELECT *, {SEGMENT_CASE} AS segment FROM rfm3)"
+
+
+def _sqlstr(v: str) -> str:
+    return "'" + v.replace("'", "''") + "'"
+
+
+ACTIONS = "acts(segment, action) AS (VALUES " + ", ".join(
+    f"({_sqlstr(k)}, {_sqlstr(v[1])})" for k, v in SEGMENT_ACTIONS.items()) + ")"
+
+Q["rfm_values"] = with_sales("SELECT * FROM rfm0", RFM0)
+Q["rfm_scores"] = with_sales("SELECT * FROM rfm3", RFM0, RFM1)
+Q["rfm_segments"] = with_sales("SELECT * FROM rfm", RFM0, RFM1, RFM4)
+Q["rank_first"] = with_sales("SELECT customer_id, frequency, f_rank FROM rfm1", RFM0, RFM1)
+Q["quantile_score"] = with_sales(f"""
+SELECT customer_id, monetary, {QM[0]} AS q1, {QM[1]} AS q2, {QM[2]} AS q3,
+       {_score('monetary', QM, False)} AS score FROM rfm0""", RFM0)
+
+Q["segment_summary"] = with_sales(f"""
+SELECT g.segment, customers,
+       cast({half_up('cast(sr AS double) / cast(customers AS double)', 0)} AS integer) AS avg_recency,
+       {half_up('cast(sf AS double) / cast(customers AS double)', 1)} AS avg_frequency,
+       {half_up('am', 2)} AS avg_monetary, total_revenue,
+       {half_up('cast(customers AS double) / cast(sum(customers) OVER () AS double) * 100.0', 1)} AS pct_customers,
+       coalesce(acts.action, '{NO_ACTION}') AS action
+FROM (SELECT segment, count(customer_id) AS customers, sum(recency) AS sr, sum(frequency) AS sf,
+             {mavg('monetary')} AS am, {msum('monetary')} AS total_revenue
+      FROM rfm GROUP BY segment) g LEFT JOIN acts ON g.segment = acts.segment""",
+                                  RFM0, RFM1, RFM4, ACTIONS)
+
+Q["rfm_grid"] = with_sales("SELECT r_score, " + ", ".join(
+    f"coalesce({mavg(f'CASE WHEN f_score = {f} THEN monetary END')}, 0.0) AS f_{f}" for f in range(1, 5))
+    + " FROM rfm GROUP BY r_score", RFM0, RFM1, RFM4)
+
+Q["rfm_scatter"] = with_sales("""
+SELECT customer_id, recency, frequency, monetary, segment,
+       (monetary - (SELECT min(monetary) FROM rfm)) / nullif((SELECT max(monetary) FROM rfm) - (SELECT min(monetary) FROM rfm), 0) * 200.0 + 10.0 AS bubble_size
+FROM rfm""", RFM0, RFM1, RFM4)
+
+Q["segment_compare"] = with_sales(f"""
+SELECT w.segment, coalesce(customers, 0) AS customers, avg_monetary
+FROM (VALUES ('Champions'), ('Lost')) w(segment)
+LEFT JOIN (SELECT segment, count(customer_id) AS customers, {mavg('monetary')} AS avg_monetary
+           FROM rfm GROUP BY segment) g ON w.segment = g.segment""", RFM0, RFM1, RFM4)
+
+Q["top_n"] = with_sales("""
+SELECT customer_id, count(order_id) AS orders FROM s GROUP BY customer_id
+ORDER BY orders DESC, customer_id LIMIT 15""")
+
+Q["share_of_total"] = with_sales(f"""
+SELECT *, {half_up('revenue / nullif(sum(revenue) OVER (), 0)', 6)} AS revenue_share
+FROM (SELECT segment, region, {msum('revenue')} AS revenue FROM s GROUP BY segment, region)""")

@@ -79,3 +79,73 @@ def q_filter_sales(spark, sf_dir):
 @register("overview_cards")
 def q_overview_cards(spark, sf_dir):
     return eda.overview_cards(filtered(spark, sf_dir))
+
+
+# --- RFM ------------------------------------------------------------------
+from ledgerlens.operators import rfm as _rfm  # noqa: E402
+from ledgerlens.operators.stats import top_n as _top_n, share_of_total as _share  # noqa: E402
+from pyspark.sql import functions as _F  # noqa: E402
+
+
+def rfm_table(spark, sf_dir):
+    """Segmented customers, written once per session (reused by four reports)."""
+    return materialized(spark, "rfm", sf_dir, lambda s, d: _rfm.compute_rfm(sales(s, d)))
+
+
+@register("rfm_values")
+def q_rfm_values(spark, sf_dir):
+    return _rfm.rfm_values(sales(spark, sf_dir))
+
+
+@register("rfm_scores")
+def q_rfm_scores(spark, sf_dir):
+    return _rfm.rfm_scores(_rfm.rfm_values(sales(spark, sf_dir)))
+
+
+@register("rfm_segments")
+def q_rfm_segments(spark, sf_dir):
+    return _rfm.compute_rfm(sales(spark, sf_dir))
+
+
+@register("segment_summary")
+def q_segment_summary(spark, sf_dir):
+    return _rfm.segment_summary(rfm_table(spark, sf_dir))
+
+
+@register("rfm_grid")
+def q_rfm_grid(spark, sf_dir):
+    return _rfm.rfm_grid(rfm_table(spark, sf_dir))
+
+
+@register("rfm_scatter")
+def q_rfm_scatter(spark, sf_dir):
+    return _rfm.rfm_scatter(rfm_table(spark, sf_dir))
+
+
+@register("segment_compare")
+def q_segment_compare(spark, sf_dir):
+    return _rfm.segment_compare(rfm_table(spark, sf_dir))
+
+
+@register("rank_first")
+def q_rank_first(spark, sf_dir):
+    return _rfm.rank_first(_rfm.rfm_values(sales(spark, sf_dir))).select("customer_id", "frequency", "f_rank")
+
+
+@register("quantile_score")
+def q_quantile_score(spark, sf_dir):
+    return _rfm.quantile_score(_rfm.rfm_values(sales(spark, sf_dir)), "monetary")
+
+
+@register("top_n")
+def q_top_n(spark, sf_dir):
+    g = (sales(spark, sf_dir).groupBy("customer_id")
+         .agg(_F.count("order_id").alias("orders")))
+    return _top_n(g, [_F.col("orders").desc(), _F.col("customer_id")], 15)
+
+
+@register("share_of_total")
+def q_share_of_total(spark, sf_dir):
+    from ledgerlens.functions.exprs import money_sum
+    g = sales(spark, sf_dir).groupBy("segment", "region").agg(money_sum("revenue").alias("revenue"))
+    return _share(g, "revenue", "revenue_share", 6)
