@@ -312,3 +312,130 @@ ORDER BY orders DESC, customer_id LIMIT 15""")
 Q["share_of_total"] = with_sales(f"""
 SELECT *, {half_up('revenue / nullif(sum(revenue) OVER (), 0)', 6)} AS revenue_share
 FROM (SELECT segment, region, {msum('revenue')} AS revenue FROM s GROUP BY segment, region)""")
+
+
+# --- forecast ---------------------------------------------------------------
+SERIES = """
+ms0 AS (SELECT cast(year_month || '-01' AS date) AS ds, sum(cast(revenue AS decimal(18,2))) AS rev
+        FROM s WHERE year_month IS NOT NULL GROUP BY year_month),
+spine AS (SELECT cast(unnest(generate_series((SELECT min(ds) FROM ms0), (SELECT max(ds) FROM ms0), INTERVAL 1 MONTH)) AS date) AS ds),
+ms AS (SELECT spine.ds, coalesce(cast(ms0.rev AS double), 0.0) AS y FROM spine LEFT JOIN ms0 ON spine.ds = ms0.ds)"""
+
+TREND = """
+tr AS (SELECT ds, y,
+              CASE WHEN count(y) OVER w >= 6
+                   THEN cast(sum(cast(y AS decimal(20,2))) OVER w AS double) / cast(count(y) OVER w AS double) END AS trend
+       FROM ms WINDOW w AS (ORDER BY ds ROWS BETWEEN 6 PRECEDING AND 5 FOLLOWING))"""
+
+DECOMP = f"""
+d0 AS (SELECT ds, y, trend, y / nullif(trend, 0) AS detrended, cast(month(ds) AS integer) AS month FROM tr),
+si0 AS (SELECT month, avg(detrended) AS sraw FROM d0 GROUP BY month),
+si AS (SELECT month, {half_up('sraw / nullif(avg(sraw) OVER (), 0)', 12)} AS seasonal_index FROM si0),
+dec AS (SELECT d0.ds, d0.y, d0.trend, d0.detrended, d0.month, si.seasonal_index AS seasonal,
+               d0.detrended / nullif(si.seasonal_index, 0) AS residual
+        FROM d0 LEFT JOIN si ON d0.month = si.month)"""
+
+FIT = f"""
+fit AS (SELECT {half_up('regr_slope(trend, x)', 6)} AS slope, {half_up('regr_intercept(trend, x)', 4)} AS intercept,
+               count(*) AS n_valid
+        FROM (SELECT trend, cast(row_number() OVER (ORDER BY ds) - 1 AS double) AS x FROM dec WHERE trend IS NOT NULL))"""
+
+FORECAST = f"""
+st AS (SELECT max(ds) AS last_ds, {half_up('stddev_samp(residual)', 12)} AS sd FROM dec),
+fut0 AS (SELECT h, cast(last_ds + to_months(h) AS date) AS ds, sd, slope, intercept, n_valid
+         FROM st, fit, (SELECT unnest(generate_series(1, 6)) AS h)),
+fut AS (SELECT fut0.ds,
+               greatest(slope * cast(n_valid + h - 1 AS double) + intercept, 0.0) AS trend,
+               CASE WHEN si.month IS NULL THEN 1.0 ELSE si.seasonal_index END AS seasonal, sd
+        FROM fut0 LEFT JOIN si ON cast(month(fut0.ds) AS integer) = si.month),
+fc AS (SELECT ds, y AS actual, trend, seasonal, trend * seasonal AS forecast,
+              cast(NULL AS double) AS ci_lower, cast(NULL AS double) AS ci_upper FROM dec
+       UNION ALL
+       SELECT ds, cast(NULL AS double), trend, seasonal, trend * seasonal,
+              greatest(trend * seasonal - trend * seasonal * sd, 0.0), trend * seasonal + trend * seasonal * sd
+       FROM fut)"""
+
+Q["monthly_series"] = with_sales("SELECT ds, y FROM ms", SERIES)
+Q["centered_moving_average"] = with_sales("SELECT ds, y, trend FROM tr", SERIES, TREND)
+Q["decompose"] = with_sales("SELECT * FROM dec", SERIES, TREND, DECOMP)
+Q["seasonal_index"] = with_sales("SELECT * FROM si", SERIES, TREND, DECOMP)
+Q["fit_trend"] = with_sales("SELECT * FROM fit", SERIES, TREND, DECOMP, FIT)
+Q["forecast"] = with_sales("SELECT * FROM fc", SERIES, TREND, DECOMP, FIT, FORECAST)
+Q["forecast_summary"] = with_sales(
+    "SELECT ds, strftime(ds, '%b %Y') AS month_label, forecast, ci_lower, ci_upper FROM fc WHERE actual IS NULL",
+    SERIES, TREND, DECOMP, FIT, FORECAST)
+
+
+# --- KPI --------------------------------------------------------------------
+from ledgerlens.functions.constants import KPI_CONFIG  # noqa: E402
+
+FIXTURE_TARGETS = {"monthly_revenue": 30_000_000.0, "avg_order_value": 45_000.0,
+                   "profit_margin": 0.40, "order_count": 700.0, "discount_rate": 0.10}
+
+KPIS = f"""
+rec AS (SELECT * FROM s WHERE date >= (SELECT max(date) FROM s) - INTERVAL 3 MONTH),
+kpis AS (
+  SELECT {msum('revenue')} / cast(greatest(count(DISTINCT year_month), 1) AS double) AS monthly_revenue,
+         {mavg('revenue')} AS avg_order_value,
+         {ravg('profit_margin')} AS profit_margin,
+         cast(count(*) AS double) / cast(greatest(count(DISTINCT year_month), 1) AS double) AS order_count,
+         {mavg('discount', 'decimal(20,8)')} AS discount_rate
+  FROM rec)"""
+
+CFG = "cfg(kpi_order, key, label, unit, target, warn_pct, crit_pct, higher_is_better) AS (VALUES " + ", ".join(
+    f"({i + 1}, '{k}', '{lab}', '{u}', cast({FIXTURE_TARGETS.get(k, t)!r} AS double), {w!r}, {c!r}, {str(h).lower()})"
+    for i, (k, lab, u, t, w, c, h) in enumerate(KPI_CONFIG)) + ")"
+
+
+def classify_sql(v: str, t: str, w: str, c: str, h: str) -> str:
+    ratio = f"(CASE WHEN {t} <> 0 THEN {v} / {t} ELSE 1.0 END)"
+    return (f"(CASE WHEN {v} IS NULL THEN 'RED' WHEN {h} THEN "
+            f"(CASE WHEN {ratio} >= {w} THEN 'GREEN' WHEN {ratio} >= {c} THEN 'YELLOW' ELSE 'RED' END) "
+            f"ELSE (CASE WHEN {ratio} <= {w} THEN 'GREEN' WHEN {ratio} <= {c} THEN 'YELLOW' ELSE 'RED' END) END)")
+
+
+ALERTS = f"""
+kv AS (UNPIVOT kpis ON monthly_revenue, avg_order_value, profit_margin, order_count, discount_rate
+       INTO NAME key VALUE value),
+alerts AS (
+  SELECT cfg.kpi_order, cfg.key, cfg.label, kv.value, cfg.target,
+         {classify_sql('kv.value', 'cfg.target', 'cfg.warn_pct', 'cfg.crit_pct', 'cfg.higher_is_better')} AS status,
+         CASE WHEN cfg.target <> 0 THEN (kv.value - cfg.target) / cfg.target * 100.0 END AS pct_vs_target,
+         CASE WHEN cfg.target <> 0 THEN kv.value / cfg.target ELSE 1.0 END AS ratio,
+         cfg.higher_is_better, cfg.unit
+  FROM cfg JOIN kv ON cfg.key = kv.key)"""
+
+Q["compute_kpis"] = with_sales("SELECT * FROM kpis", KPIS)
+Q["kpi_alerts"] = with_sales("SELECT * FROM alerts", KPIS, CFG, ALERTS)
+Q["classify_kpi"] = with_sales("SELECT key, value, target, ratio, status, pct_vs_target FROM alerts",
+                               KPIS, CFG, ALERTS)
+Q["kpi_alert_counts"] = with_sales("""
+SELECT count(*) FILTER (WHERE status = 'RED') AS red, count(*) FILTER (WHERE status = 'YELLOW') AS yellow,
+       count(*) FILTER (WHERE status = 'GREEN') AS green,
+       coalesce(string_agg(CASE WHEN status = 'RED' THEN label END, ', ' ORDER BY kpi_order), '') AS red_labels
+FROM alerts""", KPIS, CFG, ALERTS)
+
+PARTS = """
+parts AS (SELECT year_month, sum(cast(revenue AS decimal(18,2))) AS rev, count(revenue) AS rev_n, count(*) AS rows,
+                 sum(cast(profit_margin AS decimal(18,4))) AS pm, count(profit_margin) AS pm_n,
+                 sum(cast(discount AS decimal(20,8))) AS disc, count(discount) AS disc_n
+          FROM s WHERE year_month IS NOT NULL GROUP BY year_month),
+roll AS (SELECT year_month, count(*) OVER w AS months_in_window,
+                cast(sum(rev) OVER w AS double) AS revenue_w, sum(rev_n) OVER w AS rev_n_w, sum(rows) OVER w AS rows_w,
+                cast(sum(pm) OVER w AS double) AS pm_w, sum(pm_n) OVER w AS pm_n_w,
+                cast(sum(disc) OVER w AS double) AS disc_w, sum(disc_n) OVER w AS disc_n_w
+         FROM parts WINDOW w AS (ORDER BY year_month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))"""
+
+Q["rolling_kpi_window"] = with_sales("SELECT * FROM roll", PARTS)
+
+_HIST_COLS = ", ".join(
+    f"{classify_sql(k, repr(FIXTURE_TARGETS.get(k, t)), repr(w), repr(c), str(h).lower())} AS {k}_status"
+    for k, _, _, t, w, c, h in KPI_CONFIG)
+Q["kpi_history"] = with_sales(f"""
+SELECT *, {_HIST_COLS} FROM (
+  SELECT year_month, revenue_w / cast(months_in_window AS double) AS monthly_revenue,
+         revenue_w / nullif(cast(rev_n_w AS double), 0) AS avg_order_value,
+         pm_w / nullif(cast(pm_n_w AS double), 0) AS profit_margin,
+         cast(rows_w AS double) / cast(months_in_window AS double) AS order_count,
+         disc_w / nullif(cast(disc_n_w AS double), 0) AS discount_rate
+  FROM roll)""", PARTS)

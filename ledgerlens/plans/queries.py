@@ -149,3 +149,82 @@ def q_share_of_total(spark, sf_dir):
     from ledgerlens.functions.exprs import money_sum
     g = sales(spark, sf_dir).groupBy("segment", "region").agg(money_sum("revenue").alias("revenue"))
     return _share(g, "revenue", "revenue_share", 6)
+
+
+# --- forecast ---------------------------------------------------------------
+from ledgerlens.operators import forecast as _fc  # noqa: E402
+from ledgerlens.operators import kpi as _kpi  # noqa: E402
+from ledgerlens.operators.stats import centered_moving_average as _cma  # noqa: E402
+
+
+@register("monthly_series")
+def q_monthly_series(spark, sf_dir):
+    return _fc.monthly_series(sales(spark, sf_dir))
+
+
+@register("centered_moving_average")
+def q_centered_moving_average(spark, sf_dir):
+    return _cma(_fc.monthly_series(sales(spark, sf_dir)), "y", "ds", 12, 6, "trend")
+
+
+@register("decompose")
+def q_decompose(spark, sf_dir):
+    return _fc.decompose(_fc.monthly_series(sales(spark, sf_dir)))
+
+
+@register("seasonal_index")
+def q_seasonal_index(spark, sf_dir):
+    return _fc.seasonal_index(_fc.decompose(_fc.monthly_series(sales(spark, sf_dir))))
+
+
+@register("fit_trend")
+def q_fit_trend(spark, sf_dir):
+    return _fc.fit_trend(_fc.decompose(_fc.monthly_series(sales(spark, sf_dir))))
+
+
+@register("forecast")
+def q_forecast(spark, sf_dir):
+    return _fc.forecast(sales(spark, sf_dir), 6)
+
+
+@register("forecast_summary")
+def q_forecast_summary(spark, sf_dir):
+    return _fc.forecast_summary(_fc.forecast(sales(spark, sf_dir), 6))
+
+
+# --- KPI --------------------------------------------------------------------
+# Targets for the star-schema fixture (its revenue is far larger than the
+# reference's sample), chosen so that all three statuses occur.
+FIXTURE_TARGETS = {"monthly_revenue": 30_000_000.0, "avg_order_value": 45_000.0,
+                   "profit_margin": 0.40, "order_count": 700.0, "discount_rate": 0.10}
+
+
+@register("compute_kpis")
+def q_compute_kpis(spark, sf_dir):
+    return _kpi.compute_kpis(sales(spark, sf_dir), 3)
+
+
+@register("classify_kpi")
+def q_classify_kpi(spark, sf_dir):
+    return _kpi.kpi_alerts(sales(spark, sf_dir), 3, FIXTURE_TARGETS).select(
+        "key", "value", "target", "ratio", "status", "pct_vs_target")
+
+
+@register("kpi_alerts")
+def q_kpi_alerts(spark, sf_dir):
+    return _kpi.kpi_alerts(sales(spark, sf_dir), 3, FIXTURE_TARGETS)
+
+
+@register("kpi_alert_counts")
+def q_kpi_alert_counts(spark, sf_dir):
+    return _kpi.kpi_alert_counts(_kpi.kpi_alerts(sales(spark, sf_dir), 3, FIXTURE_TARGETS))
+
+
+@register("rolling_kpi_window")
+def q_rolling_kpi_window(spark, sf_dir):
+    return _kpi.rolling_kpi_window(_kpi.monthly_kpi_parts(sales(spark, sf_dir)), 3)
+
+
+@register("kpi_history")
+def q_kpi_history(spark, sf_dir):
+    return _kpi.kpi_history(sales(spark, sf_dir), FIXTURE_TARGETS)
