@@ -439,3 +439,140 @@ SELECT *, {_HIST_COLS} FROM (
          cast(rows_w AS double) / cast(months_in_window AS double) AS order_count,
          disc_w / nullif(cast(disc_n_w AS double), 0) AS discount_rate
   FROM roll)""", PARTS)
+
+
+# --- cleaning ---------------------------------------------------------------
+RAW = """
+rb AS (
+  SELECT l_orderkey*7 + l_linenumber*13 + l_partkey AS k,
+         l_orderkey, l_linenumber, l_partkey, l_suppkey, o_custkey, c_mktsegment, o_orderdate, p_name, p_type, r_name, n_name,
+         cast(l_quantity AS int) AS qty,
+         floor(l_extendedprice/l_quantity*100+0.5)/100 AS up,
+         floor(l_discount*100+0.5)*3/100 AS disc,
+         cast(0.1 AS double)+l_tax+p_size/cast(200 AS double) AS margin
+  FROM lineitem JOIN orders ON l_orderkey=o_orderkey JOIN customer ON o_custkey=c_custkey
+  JOIN nation ON c_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey JOIN part ON l_partkey=p_partkey),
+rc AS (SELECT *, floor(up*qty*(1-disc)*100+0.5)/100 AS rev FROM rb),
+rd AS (SELECT *, floor(rev*margin*100+0.5)/100 AS prof, 0 AS dup FROM rc),
+re AS (SELECT * FROM rd UNION ALL SELECT k,l_orderkey,l_linenumber,l_partkey,l_suppkey,o_custkey,c_mktsegment,o_orderdate,p_name,p_type,r_name,n_name,qty,up,disc,margin,rev,prof,1 FROM rd WHERE k%100=0),
+raw AS (
+  SELECT 'ORD-' || cast(l_orderkey AS varchar) || '-' || cast(l_linenumber AS varchar) || '-' || cast(l_partkey AS varchar) || '-' || cast(l_suppkey AS varchar) AS order_id,
+         'CUST-' || cast(o_custkey AS varchar) AS customer_id,
+         CASE WHEN k%50=3 THEN NULL ELSE c_mktsegment END AS segment,
+         CASE WHEN k%97=11 THEN 'not-a-date' ELSE cast(cast(o_orderdate AS date) AS varchar) END AS date,
+         p_name AS product,
+         CASE WHEN k%60=5 OR (dup=1 AND k%200=0) THEN lower(p_type) ELSE p_type END AS category,
+         r_name AS region,
+         CASE WHEN k%50=29 THEN NULL ELSE n_name END AS city,
+         CASE WHEN k%101=7 THEN '-1' WHEN k%103=9 THEN 'n/a' ELSE cast(qty AS varchar) END AS quantity,
+         cast(up AS varchar) AS unit_price,
+         CASE WHEN k%50=17 THEN NULL ELSE cast(disc AS varchar) END AS discount,
+         cast(rev AS varchar) AS revenue, cast(prof AS varchar) AS profit
+  FROM re)"""
+
+
+def _num(c: str) -> str:
+    return f"(CASE WHEN isnan(try_cast({c} AS double)) THEN NULL ELSE try_cast({c} AS double) END)"
+
+
+TYPED = f"""
+typed AS (
+  SELECT order_id, customer_id, segment, cast(try_strptime(date, '%Y-%m-%d') AS date) AS date,
+         product, category, region, city,
+         CASE WHEN {_num('quantity')} = floor({_num('quantity')}) AND abs({_num('quantity')}) < 1e18
+              THEN cast({_num('quantity')} AS bigint) END AS quantity,
+         {_num('unit_price')} AS unit_price, {_num('discount')} AS discount,
+         {_num('revenue')} AS revenue, {_num('profit')} AS profit
+  FROM raw)"""
+
+MODE = """
+seg_mode AS (SELECT segment AS mode FROM typed WHERE segment IS NOT NULL GROUP BY segment
+             ORDER BY count(*) DESC, segment LIMIT 1)"""
+
+MISSING = """
+filled AS (
+  SELECT order_id, customer_id, coalesce(segment, (SELECT mode FROM seg_mode)) AS segment, date, product, category,
+         region, coalesce(city, 'Unknown') AS city, quantity, unit_price, coalesce(discount, 0.0) AS discount,
+         revenue, profit
+  FROM typed),
+missing AS (SELECT * FROM filled WHERE revenue IS NOT NULL AND unit_price IS NOT NULL AND quantity IS NOT NULL
+            AND date IS NOT NULL)"""
+
+DEDUP = "dedup AS (SELECT DISTINCT * FROM missing)"
+
+TITLE = ("array_to_string(list_transform(string_split(lower(category), ' '), "
+         "lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ')")
+
+QUALITY = f"""
+quality AS (
+  SELECT order_id, customer_id, segment, date, product, {TITLE} AS category, region, city, quantity,
+         unit_price, discount, floor(unit_price * quantity * (1.0 - discount) * 100 + 0.5) / 100 AS revenue, profit
+  FROM dedup WHERE quantity > 0)"""
+
+
+def features(src: str, name: str) -> str:
+    return f"""
+{name} AS (
+  SELECT *, cast(year(date) AS integer) AS year, cast(month(date) AS integer) AS month,
+         strftime(date, '%b') AS month_name, cast(quarter(date) AS integer) AS quarter,
+         strftime(date, '%Y-%m') AS year_month,
+         floor(profit / nullif(revenue, 0) * 10000 + 0.5) / 10000 AS profit_margin
+  FROM {src})"""
+
+
+CLEAN = [RAW, TYPED, MODE, MISSING, DEDUP, QUALITY, features("quality", "cleaned")]
+
+
+def with_raw(body: str, *ctes: str) -> str:
+    return "WITH " + ",".join(ctes) + "\n" + body
+
+
+from ledgerlens.functions.constants import NULL_TOKENS  # noqa: E402
+
+_RAW_COLS = ["order_id", "customer_id", "segment", "date", "product", "category", "region", "city", "quantity",
+             "unit_price", "discount", "revenue", "profit"]
+
+
+def _tok(c: str) -> str:
+    return f"CASE WHEN {c} IN ({', '.join(_sqlstr(t) for t in NULL_TOKENS)}) THEN NULL ELSE {c} END"
+
+
+CSV_NAMES = {"revenue": "Revenue ", "profit": "Profit"}
+Q["load_sales"] = with_raw("SELECT " + ", ".join(
+    f'{_tok(c)} AS "{CSV_NAMES.get(c, c)}"' for c in _RAW_COLS) + " FROM raw", RAW)
+Q["standardize_columns"] = with_raw("SELECT " + ", ".join(f"{_tok(c)} AS {c}" for c in _RAW_COLS)
+                                    + " FROM raw", RAW)
+Q["fix_dtypes"] = with_raw("SELECT * FROM typed", RAW, TYPED)
+Q["mode_value"] = with_raw("SELECT * FROM seg_mode", RAW, TYPED, MODE)
+Q["handle_missing"] = with_raw("SELECT * FROM missing", RAW, TYPED, MODE, MISSING)
+Q["remove_duplicates"] = with_raw("SELECT * FROM dedup", RAW, TYPED, MODE, MISSING, DEDUP)
+Q["fix_quality_issues"] = with_raw("SELECT * FROM quality", RAW, TYPED, MODE, MISSING, DEDUP, QUALITY)
+Q["clean_sales"] = with_raw("SELECT * FROM cleaned", *CLEAN)
+Q["write_clean"] = Q["clean_sales"]
+Q["engineer_features"] = with_sales("""
+SELECT order_id, date, year, month, month_name, quarter, year_month, profit, revenue, profit_margin FROM s""")
+
+Q["cleaning_audit"] = with_raw("""
+SELECT 1 AS step_no, 'handle_missing' AS step, (SELECT count(*) FROM filled) AS rows_before,
+       (SELECT count(*) FROM missing) AS rows_after
+UNION ALL SELECT 2, 'remove_duplicates', (SELECT count(*) FROM missing), (SELECT count(*) FROM dedup)
+UNION ALL SELECT 3, 'fix_quality_issues', (SELECT count(*) FROM dedup), (SELECT count(*) FROM quality)""",
+                               RAW, TYPED, MODE, MISSING, DEDUP, QUALITY) \
+    .replace("\nSELECT 1 AS step_no", "\nSELECT *, rows_before - rows_after AS rows_dropped FROM (\nSELECT 1 AS step_no") + ")"
+
+_CLEAN_COLS = ["order_id", "customer_id", "segment", "date", "product", "category", "region", "city", "quantity",
+               "unit_price", "discount", "revenue", "profit", "year", "month", "month_name", "quarter",
+               "year_month", "profit_margin"]
+Q["data_quality_report"] = with_raw(
+    """
+SELECT * FROM (
+  SELECT 'rows' AS metric, cast(NULL AS varchar) AS column_name, cast(count(*) AS double) AS num_value,
+         cast(NULL AS varchar) AS str_value FROM cleaned
+  UNION ALL SELECT 'columns', NULL, """ + f"{float(len(_CLEAN_COLS))}" + """, NULL
+  UNION ALL SELECT 'date_min', 'date', NULL, cast(min(date) AS varchar) FROM cleaned
+  UNION ALL SELECT 'date_max', 'date', NULL, cast(max(date) AS varchar) FROM cleaned
+  UNION ALL SELECT 'duplicates', NULL, cast((SELECT count(*) FROM cleaned) - (SELECT count(*) FROM (SELECT DISTINCT * FROM cleaned)) AS double), NULL
+  UNION ALL SELECT 'revenue_min', 'revenue', min(revenue), NULL FROM cleaned
+  UNION ALL SELECT 'revenue_max', 'revenue', max(revenue), NULL FROM cleaned
+""" + "".join(f"  UNION ALL SELECT 'nulls', '{c}', cast(count(*) FILTER (WHERE {c} IS NULL) AS double), NULL FROM cleaned\n"
+              for c in _CLEAN_COLS) + ") WHERE metric <> 'nulls' OR num_value > 0", *CLEAN)

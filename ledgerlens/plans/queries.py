@@ -228,3 +228,97 @@ def q_rolling_kpi_window(spark, sf_dir):
 @register("kpi_history")
 def q_kpi_history(spark, sf_dir):
     return _kpi.kpi_history(sales(spark, sf_dir), FIXTURE_TARGETS)
+
+
+# --- cleaning (dirty raw_sales derived from the star schema) ------------------
+from ledgerlens.sources.files import read_sales_csv as _read_csv, write_clean as _write_clean  # noqa: E402
+from ledgerlens.sources.tables import raw_sales_from_star  # noqa: E402
+from ledgerlens.session import scratch_path as _scratch  # noqa: E402
+
+_CSV_WRITTEN: dict[tuple, str] = {}
+
+
+def raw_csv_path(spark, sf_dir):
+    """raw_sales written once per session as header CSV, with the messy
+    header names 'Revenue ' and 'Profit' of the original export."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CSV_WRITTEN:
+        path = _scratch(spark, "raw_sales_csv")
+        (raw_sales_from_star(spark, sf_dir)
+         .withColumnRenamed("revenue", "Revenue ").withColumnRenamed("profit", "Profit")
+         .write.option("header", True).option("ignoreLeadingWhiteSpace", False)
+         .option("ignoreTrailingWhiteSpace", False).mode("overwrite").csv(path))
+        _CSV_WRITTEN[key] = path
+    return _CSV_WRITTEN[key]
+
+
+def raw(spark, sf_dir):
+    return materialized(spark, "raw_sales", sf_dir, raw_sales_from_star)
+
+
+@register("load_sales")
+def q_load_sales(spark, sf_dir):
+    return _read_csv(spark, raw_csv_path(spark, sf_dir))
+
+
+@register("standardize_columns")
+def q_standardize_columns(spark, sf_dir):
+    return clean.standardize_columns(_read_csv(spark, raw_csv_path(spark, sf_dir)))
+
+
+@register("fix_dtypes")
+def q_fix_dtypes(spark, sf_dir):
+    return clean.fix_dtypes(clean.standardize_columns(raw(spark, sf_dir)))
+
+
+@register("mode_value")
+def q_mode_value(spark, sf_dir):
+    return clean.mode_value(clean.fix_dtypes(raw(spark, sf_dir)), "segment")
+
+
+@register("handle_missing")
+def q_handle_missing(spark, sf_dir):
+    return clean.handle_missing(clean.fix_dtypes(raw(spark, sf_dir)))
+
+
+@register("remove_duplicates")
+def q_remove_duplicates(spark, sf_dir):
+    return clean.remove_duplicates(clean.handle_missing(clean.fix_dtypes(raw(spark, sf_dir))))
+
+
+@register("fix_quality_issues")
+def q_fix_quality_issues(spark, sf_dir):
+    return clean.fix_quality_issues(
+        clean.remove_duplicates(clean.handle_missing(clean.fix_dtypes(raw(spark, sf_dir)))))
+
+
+@register("engineer_features")
+def q_engineer_features(spark, sf_dir):
+    return clean.engineer_features(sales_from_star(spark, sf_dir)).select(
+        "order_id", "date", "year", "month", "month_name", "quarter", "year_month", "profit", "revenue",
+        "profit_margin")
+
+
+def clean_table(spark, sf_dir):
+    return clean.clean_sales(raw(spark, sf_dir))
+
+
+@register("clean_sales")
+def q_clean_sales(spark, sf_dir):
+    return clean_table(spark, sf_dir)
+
+
+@register("data_quality_report")
+def q_data_quality_report(spark, sf_dir):
+    return clean.data_quality_report(clean_table(spark, sf_dir))
+
+
+@register("cleaning_audit")
+def q_cleaning_audit(spark, sf_dir):
+    return clean.cleaning_audit(raw(spark, sf_dir))
+
+
+@register("write_clean")
+def q_write_clean(spark, sf_dir):
+    path = _write_clean(clean_table(spark, sf_dir), _scratch(spark, "sales_clean"), "parquet", "year")
+    return spark.read.parquet(path)

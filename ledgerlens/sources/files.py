@@ -45,7 +45,8 @@ def write_clean(df: DataFrame, path: str, fmt: str = "parquet", partition_by: st
     if partition_by:
         w = w.partitionBy(partition_by)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        w.option("header", True).option("ignoreLeadingWhiteSpace", False) \
+            .option("ignoreTrailingWhiteSpace", False).csv(path)
     else:
         w.parquet(path)
     return path
