@@ -576,3 +576,46 @@ SELECT * FROM (
   UNION ALL SELECT 'revenue_max', 'revenue', max(revenue), NULL FROM cleaned
 """ + "".join(f"  UNION ALL SELECT 'nulls', '{c}', cast(count(*) FILTER (WHERE {c} IS NULL) AS double), NULL FROM cleaned\n"
               for c in _CLEAN_COLS) + ") WHERE metric <> 'nulls' OR num_value > 0", *CLEAN)
+
+
+# --- insights ---------------------------------------------------------------
+INSIGHTS = f"""
+mar AS ({Q['monthly_avg_revenue'].split(FEATURES, 1)[1].strip()}),
+reg AS (SELECT region, {msum('revenue')} AS revenue FROM s WHERE region IS NOT NULL GROUP BY region),
+cat AS (SELECT category, {msum('revenue')} AS revenue, {ravg('profit_margin')} AS avg_margin
+        FROM s WHERE category IS NOT NULL GROUP BY category),
+tp AS ({PRODUCT_METRICS} ORDER BY revenue DESC, product LIMIT 1),
+di AS (SELECT tier_order, {ravg('profit_margin')} AS avg_margin
+       FROM (SELECT *, {TIER_ORDER} AS tier_order FROM s) WHERE tier_order IS NOT NULL GROUP BY tier_order),
+cc AS (SELECT {msum('total_revenue')} AS top_revenue,
+              {msum('total_revenue')} / nullif((SELECT {msum('revenue')} FROM s), 0) AS top_share
+       FROM ({CUSTOMER_METRICS} ORDER BY total_revenue DESC, customer_id LIMIT 10)),
+yy AS (SELECT year, {msum('revenue')} AS total_revenue FROM s WHERE year IS NOT NULL GROUP BY year ORDER BY year DESC LIMIT 2),
+ins AS (
+  (SELECT 1 AS no, 'peak_month' AS name, month_name AS subject, cast(NULL AS varchar) AS subject2,
+          avg_revenue AS value, cast(NULL AS double) AS value2 FROM mar ORDER BY avg_revenue DESC, month LIMIT 1)
+  UNION ALL
+  (SELECT 2, 'region_performance', region,
+          (SELECT region FROM reg ORDER BY revenue, region DESC LIMIT 1), revenue,
+          (SELECT revenue FROM reg ORDER BY revenue, region DESC LIMIT 1) FROM reg ORDER BY revenue DESC, region LIMIT 1)
+  UNION ALL
+  (SELECT 3, 'best_margin_category', category, NULL, avg_margin, NULL FROM cat
+   ORDER BY avg_margin DESC NULLS LAST, revenue DESC, category LIMIT 1)
+  UNION ALL
+  (SELECT 4, 'top_product', product, NULL, revenue, cast(orders AS double) FROM tp)
+  UNION ALL
+  (SELECT 5, 'discount_impact', 'No Discount', '21–30%',
+          max(CASE WHEN tier_order = 1 THEN avg_margin END) - max(CASE WHEN tier_order = 4 THEN avg_margin END), NULL
+   FROM di HAVING count(*) FILTER (WHERE tier_order = 1) > 0 AND count(*) FILTER (WHERE tier_order = 4) > 0)
+  UNION ALL
+  (SELECT 6, 'customer_concentration', NULL, NULL, top_share, top_revenue FROM cc)
+  UNION ALL
+  (SELECT 7, 'yoy_growth', cast(min(year) AS varchar), cast(max(year) AS varchar),
+          (arg_max(total_revenue, year) - arg_min(total_revenue, year)) / nullif(arg_min(total_revenue, year), 0), NULL
+   FROM yy HAVING count(*) >= 2))"""
+
+Q["insights"] = with_sales("SELECT * FROM ins", INSIGHTS)
+Q["write_report"] = with_sales("""
+SELECT 'insights' AS table_name, count(*) AS rows FROM ins
+UNION ALL SELECT 'summary_stats', 1
+UNION ALL SELECT 'discount_impact', count(DISTINCT tier_order) FROM di""", INSIGHTS)

@@ -322,3 +322,32 @@ def q_cleaning_audit(spark, sf_dir):
 def q_write_clean(spark, sf_dir):
     path = _write_clean(clean_table(spark, sf_dir), _scratch(spark, "sales_clean"), "parquet", "year")
     return spark.read.parquet(path)
+
+
+# --- insights and the written report ---------------------------------------------
+from ledgerlens.operators import insights as _ins  # noqa: E402
+from ledgerlens.sources.files import write_report as _write_report  # noqa: E402
+
+
+@register("insights")
+def q_insights(spark, sf_dir):
+    return _ins.insights(sales(spark, sf_dir))
+
+
+@register("insight_text")
+def q_insight_text(spark, sf_dir):
+    return _ins.insight_text(_ins.insights(sales(spark, sf_dir)))
+
+
+@register("write_report")
+def q_write_report(spark, sf_dir):
+    """Write the report tables, read them back, report rows per table."""
+    s = sales(spark, sf_dir)
+    paths = _write_report({"insights": _ins.insights(s), "summary_stats": eda.summary_stats(s),
+                           "discount_impact": eda.discount_impact(s)}, _scratch(spark, "report"))
+    parts = [spark.read.parquet(p).agg(_F.count(_F.lit(1)).alias("rows")).select(
+        _F.lit(name).alias("table_name"), "rows") for name, p in paths.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
