@@ -62,6 +62,11 @@ def fit_trend(dec: DataFrame) -> DataFrame:
                  F.count(F.lit(1)).alias("n_valid"))
 
 
+def _clip0(c):
+    """max(c, 0) keeping null (``greatest`` alone would turn null into 0)."""
+    return F.when(c.isNotNull(), F.greatest(c, F.lit(0.0)))
+
+
 def forecast(df: DataFrame, periods: int = 6) -> DataFrame:
     """History and ``periods`` future months: ds, actual, trend, seasonal,
     forecast, ci_lower, ci_upper. Future trend is the fitted line clipped at 0;
@@ -81,13 +86,13 @@ def forecast(df: DataFrame, periods: int = 6) -> DataFrame:
            .select("sd", "f", "h", F.add_months("last_ds", F.col("h")).alias("ds"))
            .withColumn("month", F.month("ds")))
     fut = (fut.join(idx, "month", "left")
-           .withColumn("trend", F.greatest(F.col("f.slope") * (F.col("f.n_valid") + F.col("h") - 1).cast("double")
-                                           + F.col("f.intercept"), F.lit(0.0)))
+           .withColumn("trend", _clip0(F.col("f.slope") * (F.col("f.n_valid") + F.col("h") - 1).cast("double")
+                                       + F.col("f.intercept")))
            .withColumn("seasonal", F.when(F.col("_present").isNull(), F.lit(1.0))
                        .otherwise(F.col("seasonal_index")))
            .withColumn("forecast", F.col("trend") * F.col("seasonal")))
     fut = fut.select("ds", F.lit(None).cast("double").alias("actual"), "trend", "seasonal", "forecast",
-                     F.greatest(F.col("forecast") - F.col("forecast") * F.col("sd"), F.lit(0.0)).alias("ci_lower"),
+                     _clip0(F.col("forecast") - F.col("forecast") * F.col("sd")).alias("ci_lower"),
                      (F.col("forecast") + F.col("forecast") * F.col("sd")).alias("ci_upper"))
     return hist.unionByName(fut).orderBy("ds")
 

@@ -52,44 +52,57 @@ def exact_percentiles(df: DataFrame, col: str, probs: list[float], accuracy: int
     linear-interpolation percentiles of ``col`` (nulls and NaN ignored; null
     when there are no values).
 
-    Pass 1 (one scan): count and ``approx_percentile`` at ``p -/+ 2/accuracy``;
-    Spark's sketch has rank error <= n/accuracy, so the true values at ranks
-    floor and ceil of ``(n-1)p`` lie inside ``[a, b]``. Pass 2 (one scan):
-    rows below ``a`` are only counted; rows inside ``[a, b]`` (about
-    ``4n/accuracy`` of them) are grouped by value and ranked exactly. If a
-    bracket ever failed to contain its ranks the query raises instead of
-    returning a wrong value. Each scalar subquery is referenced once, so the
-    plan stays linear in size.
+    Pass 1 (one scan): count and ``approx_percentile`` at ``p -/+ 3/accuracy``
+    (rank error of Spark's sketch <= n/accuracy). Pass 2 (one scan): per
+    probability, the number of rows below the bracket ``[a, b]``, the nearest
+    value on each side outside it, and the bracketed values grouped by value
+    (about ``6n/accuracy`` rows). The wanted ranks floor/ceil((n-1)p) lie in
+    the bracket or on one of its two neighbours; their values are then picked
+    by exact cumulative counts. If that ever failed the query raises instead
+    of returning a wrong value. Each scalar subquery is referenced once, so
+    the plan stays linear in size.
     """
     x = df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
-    d = 2.0 / accuracy
+    d = 3.0 / accuracy
     k = len(probs)
     bounds = [max(p - d, 0.0) for p in probs] + [min(p + d, 1.0) for p in probs]
     s1 = x.agg(F.struct(F.count(F.lit(1)).alias("n"),
                         F.approx_percentile("x", bounds, accuracy).alias("ab"))).scalar()
     xs = x.select("x", s1.alias("st"))
-    ab = F.col("st.ab")
-    below = xs.agg(F.array(*[F.count_if(F.col("x") < ab[i]) for i in range(k)]).alias("b")).scalar()
-    idx = F.array(*[F.when((F.col("x") >= ab[i]) & (F.col("x") <= ab[k + i]), F.lit(i)) for i in range(k)])
+    ab, xc = F.col("st.ab"), F.col("x")
+    edges = xs.agg(F.array(*[F.struct(
+        F.count_if(xc < ab[i]).alias("below"),
+        F.count_if((xc >= ab[i]) & (xc <= ab[k + i])).alias("m"),
+        F.max(F.when(xc < ab[i], xc)).alias("lo_nb"),
+        F.min(F.when(xc > ab[k + i], xc)).alias("hi_nb")) for i in range(k)]).alias("e")).scalar()
+    idx = F.array(*[F.when((xc >= ab[i]) & (xc <= ab[k + i]), F.lit(i)) for i in range(k)])
     inside = (xs.select(F.explode(idx).alias("pi"), "x", F.col("st.n").alias("n"))
               .where(F.col("pi").isNotNull())
               .groupBy("pi", "x", "n").agg(F.count(F.lit(1)).alias("c"))
-              .select("*", below.alias("below")))
+              .select("*", edges.alias("e")))
     w = Window.partitionBy("pi").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (inside.withColumn("end", F.element_at("below", F.col("pi") + 1) + F.sum("c").over(w) - 1)
+    ranked = (inside.withColumn("end", F.element_at("e", F.col("pi") + 1)["below"] + F.sum("c").over(w) - 1)
               .withColumn("start", F.col("end") - F.col("c") + 1))
     n = F.col("n")
-    picks = [F.max("n").alias("n")]
+    picks = [F.max("n").alias("n"), F.first("e").alias("e")]
     for i, p in enumerate(probs):
         pos = (n - F.lit(1)).cast("double") * F.lit(float(p))
         r0, r1 = F.floor(pos), F.ceil(pos)
         mine = F.col("pi") == i
-        picks.append(F.max(F.when(mine & (F.col("start") <= r0) & (F.col("end") >= r0), F.col("x"))).alias(f"v0_{i}"))
-        picks.append(F.max(F.when(mine & (F.col("start") <= r1) & (F.col("end") >= r1), F.col("x"))).alias(f"v1_{i}"))
+        picks.append(F.max(F.when(mine & (F.col("start") <= r0) & (F.col("end") >= r0), xc)).alias(f"v0_{i}"))
+        picks.append(F.max(F.when(mine & (F.col("start") <= r1) & (F.col("end") >= r1), xc)).alias(f"v1_{i}"))
     found = ranked.agg(*picks)
     out = []
     for i, p in enumerate(probs):
-        v0, v1 = F.col(f"v0_{i}"), F.col(f"v1_{i}")
+        e = F.col("e")[i]
+        pos = (n - F.lit(1)).cast("double") * F.lit(float(p))
+
+        def value_at(r, inner):
+            return (F.when(inner.isNotNull(), inner)
+                    .when(r == e["below"] - 1, e["lo_nb"])
+                    .when(r == e["below"] + e["m"], e["hi_nb"]))
+        v0 = value_at(F.floor(pos), F.col(f"v0_{i}"))
+        v1 = value_at(F.ceil(pos), F.col(f"v1_{i}"))
         missing = n.isNotNull() & (v0.isNull() | v1.isNull())
         val = F.when(missing, F.raise_error(F.lit(f"percentile bracket missed for p={p}"))
                      .cast("double")).otherwise(F.when(n.isNotNull(), interpolate(n, p, v0, v1)))
