@@ -178,8 +178,9 @@ def order_histogram(df: DataFrame, bins: int = HISTOGRAM_BINS,
     bins over [min, max] of the kept values (all bins, zeros included), with the
     mean and median of the kept values on every row."""
     rev = df.select("revenue").where(F.col("revenue").isNotNull())
-    cap = exact_percentiles(rev, "revenue", [clip]).select(F.col("q0")).scalar()
-    kept = rev.select("revenue", cap.alias("cap")).where(F.col("revenue") <= F.col("cap"))
+    # the clip value is a 1-row table: joined by condition (broadcast, exactly one row)
+    cap = exact_percentiles(rev, "revenue", [clip]).select(F.col("q0").alias("cap"))
+    kept = rev.join(F.broadcast(cap), F.col("revenue") <= F.col("cap")).select("revenue", "cap")
     st = kept.agg(F.struct(F.min("revenue").alias("lo"), F.max("revenue").alias("hi"),
                            money_avg("revenue").alias("mean"), F.max("cap").alias("cap"))).scalar()
     median = exact_percentiles(kept, "revenue", [0.5]).select(F.col("q0")).scalar()

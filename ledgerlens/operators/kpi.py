@@ -113,7 +113,13 @@ def rolling_kpi_window(parts: DataFrame, months: int = 3) -> DataFrame:
 def kpi_history(df: DataFrame, targets: dict[str, float] | None = None, months: int = 3) -> DataFrame:
     """Per month present: the five KPIs over that month and the previous
     ``months - 1`` months present, row-weighted, plus one status column per KPI."""
-    r = rolling_kpi_window(monthly_kpi_parts(df), months)
+    return kpi_history_from_parts(monthly_kpi_parts(df), targets, months)
+
+
+def kpi_history_from_parts(parts: DataFrame, targets: dict[str, float] | None = None,
+                           months: int = 3) -> DataFrame:
+    """``kpi_history`` from a table of monthly parts (see ``monthly_kpi_parts``)."""
+    r = rolling_kpi_window(parts, months)
     n = F.col("months_in_window").cast("double")
     h = r.select(
         "year_month",
@@ -128,4 +134,4 @@ def kpi_history(df: DataFrame, targets: dict[str, float] | None = None, months:
 
 
 __all__ = ["KPI_KEYS", "compute_kpis", "classify", "kpi_alerts", "kpi_alert_counts", "kpi_display",
-           "monthly_kpi_parts", "rolling_kpi_window", "kpi_history", "kpi_config"]
+           "monthly_kpi_parts", "rolling_kpi_window", "kpi_history", "kpi_history_from_parts", "kpi_config"]

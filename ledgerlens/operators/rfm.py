@@ -21,7 +21,7 @@ from ledgerlens.functions.constants import (
 )
 from ledgerlens.functions.exprs import half_up, money_avg, money_sum, safe_div
 from ledgerlens.operators.stats import (
-    exact_percentiles, global_row_number, rank_quartile_score, score_by_edges,
+    exact_percentiles, exact_percentiles_multi, global_row_number, rank_quartile_score, score_by_edges,
 )
 
 QUARTILES = [0.25, 0.5, 0.75]
@@ -65,18 +65,19 @@ def quantile_score(rfm: DataFrame, col: str = "monetary", reverse: bool = False)
 def rfm_scores(rfm: DataFrame) -> DataFrame:
     """Adds r_score (4 = most recent), f_score (by frequency rank), m_score,
     rfm_score ('rfm' digits) and rfm_total."""
-    er, em = quartile_edges(rfm, "recency"), quartile_edges(rfm, "monetary")
+    q = exact_percentiles_multi(rfm, [("recency", p) for p in QUARTILES] + [("monetary", p) for p in QUARTILES])
+    edges = q.select(F.struct(*q.columns)).scalar()
     n = rfm.agg(F.count(F.lit(1))).scalar()
-    ranked = rank_first(rfm).select("*", er.alias("_er"), em.alias("_em"), n.alias("_n"))
-    r = score_by_edges(F.col("recency"), [F.col(f"_er.q{i}") for i in range(3)], reverse=True)
-    m = score_by_edges(F.col("monetary"), [F.col(f"_em.q{i}") for i in range(3)])
+    ranked = rank_first(rfm).select("*", edges.alias("_e"), n.alias("_n"))
+    r = score_by_edges(F.col("recency"), [F.col(f"_e.q{i}") for i in range(3)], reverse=True)
+    m = score_by_edges(F.col("monetary"), [F.col(f"_e.q{i}") for i in range(3, 6)])
     f = rank_quartile_score(F.col("f_rank"), F.col("_n"))
     out = (ranked.withColumn("r_score", r.cast("int")).withColumn("f_score", f.cast("int"))
            .withColumn("m_score", m.cast("int")))
     return (out.withColumn("rfm_score", F.concat(F.col("r_score").cast("string"), F.col("f_score").cast("string"),
                                                  F.col("m_score").cast("string")))
             .withColumn("rfm_total", F.col("r_score") + F.col("f_score") + F.col("m_score"))
-            .drop("_er", "_em", "_n", "f_rank"))
+            .drop("_e", "_n", "f_rank"))
 
 
 def segment_expr(r="r_score", f="f_score", m="m_score") -> F.Column:

@@ -49,53 +49,87 @@ def interpolate(n: Column, p: float, v_lo: Column, v_hi: Column) -> Column:
 def exact_percentiles(df: DataFrame, col: str, probs: list[float], accuracy: int = 100000,
                       prefix: str = "q") -> DataFrame:
     """1-row DataFrame with columns ``{prefix}0..{prefix}k-1``: exact
-    linear-interpolation percentiles of ``col`` (nulls and NaN ignored; null
-    when there are no values).
-
-    Pass 1 (one scan): count and ``approx_percentile`` at ``p -/+ 3/accuracy``
-    (rank error of Spark's sketch <= n/accuracy). Pass 2 (one scan): per
-    probability, the number of rows below the bracket ``[a, b]``, the nearest
-    value on each side outside it, and the bracketed values grouped by value
-    (about ``6n/accuracy`` rows). The wanted ranks floor/ceil((n-1)p) lie in
-    the bracket or on one of its two neighbours; their values are then picked
-    by exact cumulative counts. If that ever failed the query raises instead
-    of returning a wrong value. Each scalar subquery is referenced once, so
-    the plan stays linear in size.
+    linear-interpolation percentiles of ``col`` (see ``exact_percentiles_multi``)."""
+    return exact_percentiles_multi(df, [(col, p) for p in probs], accuracy, prefix)
+
+
+def exact_percentiles_multi(df: DataFrame, specs: list[tuple[str, float]], accuracy: int = 100000,
+                            prefix: str = "q") -> DataFrame:
+    """1-row DataFrame, one column ``{prefix}i`` per ``(column, probability)`` in
+    ``specs``: exact linear-interpolation percentiles (nulls and NaN ignored;
+    null when a column has no values). All specs share the same two scans.
+
+    Pass 1: per column, a count and one ``approx_percentile`` sketch queried at
+    ``p -/+ 3/accuracy`` (Spark's sketch has rank error <= n/accuracy).
+    Pass 2: per spec, the rows below the bracket ``[a, b]`` are only counted,
+    the nearest value on each side outside it is kept, and the bracketed
+    values (about ``6n/accuracy`` rows) are grouped by value. The wanted ranks
+    floor/ceil((n-1)p) lie in the bracket or on one of its two neighbours, and
+    their values are picked from exact cumulative counts (a window over the
+    small bracket table). Should a rank ever be missed the query raises rather
+    than return a wrong value. Each scalar subquery is referenced once, so the
+    plan stays linear in size.
     """
-    x = df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
+    cols = list(dict.fromkeys(c for c, _ in specs))
+    j_of = {c: j for j, c in enumerate(cols)}
+    x = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(f"x{j}")
+                    for j, c in enumerate(cols)])
+    any_value = F.lit(False)
+    for j in range(len(cols)):
+        any_value = any_value | F.col(f"x{j}").isNotNull()
+    x = x.where(any_value)
     d = 3.0 / accuracy
-    k = len(probs)
-    bounds = [max(p - d, 0.0) for p in probs] + [min(p + d, 1.0) for p in probs]
-    s1 = x.agg(F.struct(F.count(F.lit(1)).alias("n"),
-                        F.approx_percentile("x", bounds, accuracy).alias("ab"))).scalar()
-    xs = x.select("x", s1.alias("st"))
-    ab, xc = F.col("st.ab"), F.col("x")
+    per_col = {c: [i for i, (cc, _) in enumerate(specs) if cc == c] for c in cols}
+    sketches, pos_in = [], {}
+    for c in cols:
+        items = per_col[c]
+        bounds = [max(specs[i][1] - d, 0.0) for i in items] + [min(specs[i][1] + d, 1.0) for i in items]
+        for t, i in enumerate(items):
+            pos_in[i] = (t, len(items) + t)
+        sketches.append(F.approx_percentile(f"x{j_of[c]}", bounds, accuracy))
+    s1 = x.agg(F.struct(F.array(*[F.count(f"x{j}") for j in range(len(cols))]).alias("n"),
+                        F.array(*sketches).alias("ab"))).scalar()
+    xs = x.select("*", s1.alias("st"))
+
+    def col_of(i):
+        return F.col(f"x{j_of[specs[i][0]]}")
+
+    def a_of(i):
+        return F.col("st.ab")[j_of[specs[i][0]]][pos_in[i][0]]
+
+    def b_of(i):
+        return F.col("st.ab")[j_of[specs[i][0]]][pos_in[i][1]]
+
+    k = len(specs)
     edges = xs.agg(F.array(*[F.struct(
-        F.count_if(xc < ab[i]).alias("below"),
-        F.count_if((xc >= ab[i]) & (xc <= ab[k + i])).alias("m"),
-        F.max(F.when(xc < ab[i], xc)).alias("lo_nb"),
-        F.min(F.when(xc > ab[k + i], xc)).alias("hi_nb")) for i in range(k)]).alias("e")).scalar()
-    idx = F.array(*[F.when((xc >= ab[i]) & (xc <= ab[k + i]), F.lit(i)) for i in range(k)])
-    inside = (xs.select(F.explode(idx).alias("pi"), "x", F.col("st.n").alias("n"))
-              .where(F.col("pi").isNotNull())
+        F.count_if(col_of(i) < a_of(i)).alias("below"),
+        F.count_if((col_of(i) >= a_of(i)) & (col_of(i) <= b_of(i))).alias("m"),
+        F.max(F.when(col_of(i) < a_of(i), col_of(i))).alias("lo_nb"),
+        F.min(F.when(col_of(i) > b_of(i), col_of(i))).alias("hi_nb")) for i in range(k)]).alias("e")).scalar()
+    hits = F.array(*[F.when((col_of(i) >= a_of(i)) & (col_of(i) <= b_of(i)),
+                            F.struct(F.lit(i).alias("pi"), col_of(i).alias("x"),
+                                     F.col("st.n")[j_of[specs[i][0]]].alias("n")))
+                     for i in range(k)])
+    inside = (xs.select(F.explode(hits).alias("h")).where(F.col("h").isNotNull()).select("h.*")
               .groupBy("pi", "x", "n").agg(F.count(F.lit(1)).alias("c"))
               .select("*", edges.alias("e")))
     w = Window.partitionBy("pi").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     ranked = (inside.withColumn("end", F.element_at("e", F.col("pi") + 1)["below"] + F.sum("c").over(w) - 1)
               .withColumn("start", F.col("end") - F.col("c") + 1))
-    n = F.col("n")
-    picks = [F.max("n").alias("n"), F.first("e").alias("e")]
-    for i, p in enumerate(probs):
+    xc, n = F.col("x"), F.col("n")
+    picks = [F.first("e").alias("e")]
+    for i, (_, p) in enumerate(specs):
         pos = (n - F.lit(1)).cast("double") * F.lit(float(p))
         r0, r1 = F.floor(pos), F.ceil(pos)
         mine = F.col("pi") == i
+        picks.append(F.max(F.when(mine, n)).alias(f"n_{i}"))
         picks.append(F.max(F.when(mine & (F.col("start") <= r0) & (F.col("end") >= r0), xc)).alias(f"v0_{i}"))
         picks.append(F.max(F.when(mine & (F.col("start") <= r1) & (F.col("end") >= r1), xc)).alias(f"v1_{i}"))
     found = ranked.agg(*picks)
     out = []
-    for i, p in enumerate(probs):
-        e = F.col("e")[i]
-        pos = (n - F.lit(1)).cast("double") * F.lit(float(p))
+    for i, (_, p) in enumerate(specs):
+        e, ni = F.col("e")[i], F.col(f"n_{i}")
+        pos = (ni - F.lit(1)).cast("double") * F.lit(float(p))
 
         def value_at(r, inner):
             return (F.when(inner.isNotNull(), inner)
@@ -103,9 +137,9 @@ def exact_percentiles(df: DataFrame, col: str, probs: list[float], accuracy: int
                     .when(r == e["below"] + e["m"], e["hi_nb"]))
         v0 = value_at(F.floor(pos), F.col(f"v0_{i}"))
         v1 = value_at(F.ceil(pos), F.col(f"v1_{i}"))
-        missing = n.isNotNull() & (v0.isNull() | v1.isNull())
-        val = F.when(missing, F.raise_error(F.lit(f"percentile bracket missed for p={p}"))
-                     .cast("double")).otherwise(F.when(n.isNotNull(), interpolate(n, p, v0, v1)))
+        missing = ni.isNotNull() & (v0.isNull() | v1.isNull())
+        val = F.when(missing, F.raise_error(F.lit(f"percentile bracket missed for spec {i}"))
+                     .cast("double")).otherwise(F.when(ni.isNotNull(), interpolate(ni, p, v0, v1)))
         out.append(val.alias(f"{prefix}{i}"))
     return found.select(*out)
 

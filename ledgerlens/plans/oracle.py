@@ -619,3 +619,5 @@ Q["write_report"] = with_sales("""
 SELECT 'insights' AS table_name, count(*) AS rows FROM ins
 UNION ALL SELECT 'summary_stats', 1
 UNION ALL SELECT 'discount_impact', count(DISTINCT tier_order) FROM di""", INSIGHTS)
+
+Q["kpi_history_stream"] = Q["kpi_history"]

@@ -351,3 +351,18 @@ def q_write_report(spark, sf_dir):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+# --- streaming ------------------------------------------------------------------
+from ledgerlens.streaming import kpi_stream as _ks  # noqa: E402
+
+
+@register("kpi_history_stream")
+def q_kpi_history_stream(spark, sf_dir):
+    """KPI history from monthly parts maintained by a streaming aggregation over
+    the written sales files (one availableNow run)."""
+    s = sales(spark, sf_dir)
+    src = s.inputFiles()[0].rsplit("/", 1)[0]
+    parts_dir, ckpt = _scratch(spark, "kpi_parts"), _scratch(spark, "kpi_parts_ckpt")
+    _ks.update_monthly_parts(spark, src, s.schema, parts_dir, ckpt)
+    return _ks.kpi_history_from_parts(spark.read.parquet(parts_dir), FIXTURE_TARGETS)

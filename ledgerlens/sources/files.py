@@ -52,11 +52,22 @@ def write_clean(df: DataFrame, path: str, fmt: str = "parquet", partition_by: st
     return path
 
 
-def write_report(tables: dict[str, DataFrame], path: str) -> dict[str, str]:
-    """Write each report table (insights, summary, discount impact...) as parquet."""
-    out = {}
-    for name, df in tables.items():
+def write_report(tables: dict[str, DataFrame], path: str, parallel: int = 4) -> dict[str, str]:
+    """Write each report table (insights, summary, discount impact...) as parquet.
+
+    Report tables are small aggregates (one file each). Their jobs are
+    submitted from ``parallel`` threads at once: Spark runs concurrent jobs of
+    one application side by side, so short jobs do not leave executors idle.
+    Tables with one row per customer or order are not coalesced.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    def one(item):
+        name, df = item
         p = f"{path}/{name}"
-        df.coalesce(1).write.mode("overwrite").parquet(p)
-        out[name] = p
-    return out
+        w = df if name in ("rfm", "rfm_scatter", "order_value_distribution") else df.coalesce(1)
+        w.write.mode("overwrite").parquet(p)
+        return name, p
+
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        return dict(pool.map(one, tables.items()))
