@@ -46,31 +46,47 @@ def interpolate(n: Column, p: float, v_lo: Column, v_hi: Column) -> Column:
             .otherwise((higher - pos) * v_lo + (pos - lower) * v_hi))
 
 
-def exact_percentiles(df: DataFrame, col: str, probs: list[float], accuracy: int = 100000,
-                      prefix: str = "q") -> DataFrame:
+# Inputs up to this many rows use Spark's exact ``percentile`` aggregate: its
+# buffer holds one counter per distinct value, so the row count bounds it.
+SMALL_PERCENTILE_ROWS = 1_000_000
+
+
+def exact_percentiles(df: DataFrame, col: str, probs: list[float], accuracy: int = 10000,
+                      prefix: str = "q", small_rows: int | None = SMALL_PERCENTILE_ROWS) -> DataFrame:
     """1-row DataFrame with columns ``{prefix}0..{prefix}k-1``: exact
     linear-interpolation percentiles of ``col`` (see ``exact_percentiles_multi``)."""
-    return exact_percentiles_multi(df, [(col, p) for p in probs], accuracy, prefix)
+    return exact_percentiles_multi(df, [(col, p) for p in probs], accuracy, prefix, small_rows)
 
 
-def exact_percentiles_multi(df: DataFrame, specs: list[tuple[str, float]], accuracy: int = 100000,
-                            prefix: str = "q") -> DataFrame:
+def exact_percentiles_multi(df: DataFrame, specs: list[tuple[str, float]], accuracy: int = 10000,
+                            prefix: str = "q", small_rows: int | None = SMALL_PERCENTILE_ROWS) -> DataFrame:
     """1-row DataFrame, one column ``{prefix}i`` per ``(column, probability)`` in
     ``specs``: exact linear-interpolation percentiles (nulls and NaN ignored;
     null when a column has no values). All specs share the same two scans.
 
     Pass 1: per column, a count and one ``approx_percentile`` sketch queried at
     ``p -/+ 3/accuracy`` (Spark's sketch has rank error <= n/accuracy).
-    Pass 2: per spec, the rows below the bracket ``[a, b]`` are only counted,
-    the nearest value on each side outside it is kept, and the bracketed
-    values (about ``6n/accuracy`` rows) are grouped by value. The wanted ranks
+    Pass 2 (one scan, one shuffle): per spec every row is tagged below the
+    bracket ``[a, b]``, inside it, or above it; below/above rows collapse in the
+    map-side partial aggregation to a count plus their largest/smallest value,
+    inside rows (about ``6n/accuracy``) are grouped by value. The wanted ranks
     floor/ceil((n-1)p) lie in the bracket or on one of its two neighbours, and
     their values are picked from exact cumulative counts (a window over the
-    small bracket table). Should a rank ever be missed the query raises rather
-    than return a wrong value. Each scalar subquery is referenced once, so the
+    small grouped table). Should a rank ever be missed the query raises rather
+    than return a wrong value. The sketch subquery is referenced once, so the
     plan stays linear in size.
+
+    Size check: with ``small_rows`` set, the input rows are counted first; up
+    to that bound Spark's exact ``percentile`` aggregate is used instead (one
+    job; same interpolation), beyond it the sketch-and-bracket plan above.
     """
     cols = list(dict.fromkeys(c for c, _ in specs))
+    if small_rows is not None:
+        xs_small = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c)
+                               for c in cols])
+        if xs_small.count() <= small_rows:
+            return xs_small.agg(*[F.percentile(F.col(c), F.lit(float(p))).alias(f"{prefix}{i}")
+                                  for i, (c, p) in enumerate(specs)])
     j_of = {c: j for j, c in enumerate(cols)}
     x = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(f"x{j}")
                     for j, c in enumerate(cols)])
@@ -101,42 +117,39 @@ def exact_percentiles_multi(df: DataFrame, specs: list[tuple[str, float]], accur
         return F.col("st.ab")[j_of[specs[i][0]]][pos_in[i][1]]
 
     k = len(specs)
-    edges = xs.agg(F.array(*[F.struct(
-        F.count_if(col_of(i) < a_of(i)).alias("below"),
-        F.count_if((col_of(i) >= a_of(i)) & (col_of(i) <= b_of(i))).alias("m"),
-        F.max(F.when(col_of(i) < a_of(i), col_of(i))).alias("lo_nb"),
-        F.min(F.when(col_of(i) > b_of(i), col_of(i))).alias("hi_nb")) for i in range(k)]).alias("e")).scalar()
-    hits = F.array(*[F.when((col_of(i) >= a_of(i)) & (col_of(i) <= b_of(i)),
-                            F.struct(F.lit(i).alias("pi"), col_of(i).alias("x"),
-                                     F.col("st.n")[j_of[specs[i][0]]].alias("n")))
-                     for i in range(k)])
-    inside = (xs.select(F.explode(hits).alias("h")).where(F.col("h").isNotNull()).select("h.*")
-              .groupBy("pi", "x", "n").agg(F.count(F.lit(1)).alias("c"))
-              .select("*", edges.alias("e")))
-    w = Window.partitionBy("pi").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (inside.withColumn("end", F.element_at("e", F.col("pi") + 1)["below"] + F.sum("c").over(w) - 1)
+    # every row, per spec: below the bracket (kind 0), inside (1, keeps its value) or above (2);
+    # below/above collapse to one row per spec in the map-side partial aggregation
+    tags = []
+    for i in range(k):
+        v, a, b = col_of(i), a_of(i), b_of(i)
+        kind = F.when(v < a, 0).when(v <= b, 1).otherwise(2)
+        tags.append(F.when(v.isNotNull(), F.struct(
+            F.lit(i).alias("pi"), kind.alias("kind"), F.when(kind == 1, v).alias("x"),
+            F.col("st.n")[j_of[specs[i][0]]].alias("n"), v.alias("v"))))
+    grouped = (xs.select(F.explode(F.array(*tags)).alias("t")).where(F.col("t").isNotNull()).select("t.*")
+               .groupBy("pi", "kind", "x", "n")
+               .agg(F.count(F.lit(1)).alias("c"), F.max("v").alias("vmax"), F.min("v").alias("vmin")))
+    w = Window.partitionBy("pi").orderBy("kind", "x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (grouped.withColumn("end", F.sum("c").over(w) - 1)
               .withColumn("start", F.col("end") - F.col("c") + 1))
-    xc, n = F.col("x"), F.col("n")
-    picks = [F.first("e").alias("e")]
+    n, kd = F.col("n"), F.col("kind")
+    picks = []
     for i, (_, p) in enumerate(specs):
         pos = (n - F.lit(1)).cast("double") * F.lit(float(p))
-        r0, r1 = F.floor(pos), F.ceil(pos)
         mine = F.col("pi") == i
         picks.append(F.max(F.when(mine, n)).alias(f"n_{i}"))
-        picks.append(F.max(F.when(mine & (F.col("start") <= r0) & (F.col("end") >= r0), xc)).alias(f"v0_{i}"))
-        picks.append(F.max(F.when(mine & (F.col("start") <= r1) & (F.col("end") >= r1), xc)).alias(f"v1_{i}"))
+        for tag, r in (("0", F.floor(pos)), ("1", F.ceil(pos))):
+            hit = mine & (F.col("start") <= r) & (F.col("end") >= r)
+            # inside: the value itself; last rank below: the largest value below;
+            # first rank above: the smallest value above
+            val = (F.when(hit & (kd == 1), F.col("x"))
+                   .when(hit & (kd == 0) & (r == F.col("end")), F.col("vmax"))
+                   .when(hit & (kd == 2) & (r == F.col("start")), F.col("vmin")))
+            picks.append(F.max(val).alias(f"v{tag}_{i}"))
     found = ranked.agg(*picks)
     out = []
     for i, (_, p) in enumerate(specs):
-        e, ni = F.col("e")[i], F.col(f"n_{i}")
-        pos = (ni - F.lit(1)).cast("double") * F.lit(float(p))
-
-        def value_at(r, inner):
-            return (F.when(inner.isNotNull(), inner)
-                    .when(r == e["below"] - 1, e["lo_nb"])
-                    .when(r == e["below"] + e["m"], e["hi_nb"]))
-        v0 = value_at(F.floor(pos), F.col(f"v0_{i}"))
-        v1 = value_at(F.ceil(pos), F.col(f"v1_{i}"))
+        ni, v0, v1 = F.col(f"n_{i}"), F.col(f"v0_{i}"), F.col(f"v1_{i}")
         missing = ni.isNotNull() & (v0.isNull() | v1.isNull())
         val = F.when(missing, F.raise_error(F.lit(f"percentile bracket missed for spec {i}"))
                      .cast("double")).otherwise(F.when(ni.isNotNull(), interpolate(ni, p, v0, v1)))

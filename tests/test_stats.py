@@ -20,14 +20,25 @@ def _pct(values, probs):
 def test_exact_percentiles_match_linear_interpolation(spark, values):
     probs = [0.0, 0.25, 0.5, 0.75, 0.99, 1.0]
     df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double")
-    # a tiny sketch accuracy forces wide brackets and exercises the exact pass
-    got = exact_percentiles(df, "x", probs, accuracy=50).first()
     want = _pct(values, probs)
-    for g, w in zip(got, want):
-        if w is None:
-            assert g is None
-        else:
-            assert g == pytest.approx(w, rel=1e-12, abs=1e-9)
+    # a tiny sketch accuracy forces wide brackets; small_rows=0 forces the bracket plan
+    for got in (exact_percentiles(df, "x", probs, accuracy=50, small_rows=None).first(),
+                exact_percentiles(df, "x", probs, accuracy=10000, small_rows=None).first(),
+                exact_percentiles(df, "x", probs).first()):
+        for g, w in zip(got, want):
+            if w is None:
+                assert g is None
+            else:
+                assert g == pytest.approx(w, rel=1e-12, abs=1e-9)
+
+
+def test_exact_percentiles_bracket_plan_large_and_skewed(spark):
+    rng = np.random.default_rng(9)
+    vals = np.concatenate([np.full(20000, 42.0), np.round(rng.lognormal(5, 1, 40000), 2)])
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double").repartition(8)
+    probs = [0.1, 0.25, 1 / 3, 0.5, 0.75, 0.99]
+    got = exact_percentiles(df, "x", probs, accuracy=1000, small_rows=None).first()
+    assert list(got) == pytest.approx(_pct(vals, probs), rel=1e-12)
 
 
 def test_global_row_number_skewed(spark):
