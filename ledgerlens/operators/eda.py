@@ -19,7 +19,7 @@ from ledgerlens.functions.exprs import (
     month_start, safe_div,
 )
 from ledgerlens.operators.stats import (
-    bin_edges, equal_width_bins, exact_percentiles, share_of_total, top_n,
+    SMALL_PERCENTILE_ROWS, bin_edges, equal_width_bins, exact_percentiles, share_of_total, top_n,
 )
 
 
@@ -173,19 +173,37 @@ def order_value_distribution(df: DataFrame) -> DataFrame:
 
 
 def order_histogram(df: DataFrame, bins: int = HISTOGRAM_BINS,
-                    clip: float = HISTOGRAM_CLIP_QUANTILE) -> DataFrame:
+                    clip: float = HISTOGRAM_CLIP_QUANTILE,
+                    small_rows: int | None = SMALL_PERCENTILE_ROWS) -> DataFrame:
     """Histogram of revenue clipped at its ``clip`` quantile: ``bins`` equal
     bins over [min, max] of the kept values (all bins, zeros included), with the
-    mean and median of the kept values on every row."""
+    mean and median of the kept values on every row.
+
+    Quantiles are exact. Inputs within ``small_rows`` (size-checked) use
+    Spark's ``percentile`` aggregate, and the kept rows' min, max, mean and
+    median come from one aggregation; larger inputs use the sketch-and-bracket
+    plan of ``exact_percentiles``.
+    """
     rev = df.select("revenue").where(F.col("revenue").isNotNull())
+    small = small_rows is not None and rev.count() <= small_rows
     # the clip value is a 1-row table: joined by condition (broadcast, exactly one row)
-    cap = exact_percentiles(rev, "revenue", [clip]).select(F.col("q0").alias("cap"))
+    if small:
+        cap = rev.agg(F.percentile("revenue", F.lit(float(clip))).alias("cap"))
+    else:
+        cap = exact_percentiles(rev, "revenue", [clip], small_rows=None).select(F.col("q0").alias("cap"))
     kept = rev.join(F.broadcast(cap), F.col("revenue") <= F.col("cap")).select("revenue", "cap")
-    st = kept.agg(F.struct(F.min("revenue").alias("lo"), F.max("revenue").alias("hi"),
-                           money_avg("revenue").alias("mean"), F.max("cap").alias("cap"))).scalar()
-    median = exact_percentiles(kept, "revenue", [0.5]).select(F.col("q0")).scalar()
+    parts = [F.min("revenue").alias("lo"), F.max("revenue").alias("hi"),
+             money_avg("revenue").alias("mean"), F.max("cap").alias("cap")]
+    if small:
+        st = kept.agg(F.struct(*parts, F.percentile("revenue", F.lit(0.5)).alias("median"))).scalar()
+    else:
+        med = exact_percentiles(kept, "revenue", [0.5], small_rows=None).select(F.col("q0"))
+        st = kept.agg(F.struct(*parts)).scalar()
+        st = F.struct(st.getField("lo").alias("lo"), st.getField("hi").alias("hi"),
+                      st.getField("mean").alias("mean"), st.getField("cap").alias("cap"),
+                      med.scalar().alias("median"))
     spine = (kept.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-             .select("bin", st.alias("st"), median.alias("median")))
+             .select("bin", st.alias("st")))
     lo, hi = F.col("st.lo"), F.col("st.hi")
     counts = (kept.select("revenue", st.alias("st"))
               .select(equal_width_bins(F.col("revenue"), lo, hi, bins).alias("bin"))
@@ -196,7 +214,7 @@ def order_histogram(df: DataFrame, bins: int = HISTOGRAM_BINS,
             .select("bin", lower.alias("bin_lower"), upper.alias("bin_upper"),
                     F.coalesce("orders", F.lit(0)).cast("bigint").alias("orders"),
                     F.col("st.cap").alias("clip_value"), F.col("st.mean").alias("mean_value"),
-                    F.col("median").alias("median_value"))
+                    F.col("st.median").alias("median_value"))
             .orderBy("bin"))
 
 

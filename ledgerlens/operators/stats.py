@@ -167,11 +167,22 @@ def exact_percentile_struct(df: DataFrame, col: str, probs: list[float], accurac
 # global row numbers and quantile scores
 # ---------------------------------------------------------------------------
 
-def global_row_number(df: DataFrame, order_cols: list[str], name: str = "rn") -> DataFrame:
-    """``row_number() over (order by order_cols)`` without a single-partition window.
+# Up to this many rows a row number may be taken in one task (bounded by the check).
+SMALL_RANK_ROWS = 1_000_000
+
+
+def global_row_number(df: DataFrame, order_cols: list[str], name: str = "rn",
+                      small_rows: int | None = SMALL_RANK_ROWS) -> DataFrame:
+    """``row_number() over (order by order_cols)`` without an unbounded
+    single-partition window.
 
     ``order_cols`` must identify a row uniquely (add a key as tie-breaker).
+    Size check: inputs of at most ``small_rows`` rows (counted first) are
+    numbered by one ordered window; larger ones by range partitioning,
+    per-partition numbering and per-partition offsets.
     """
+    if small_rows is not None and df.count() <= small_rows:
+        return df.withColumn(name, F.row_number().over(Window.orderBy(*order_cols)))
     ranged = df.repartitionByRange(*order_cols).withColumn("_pid", F.spark_partition_id())
     local = ranged.withColumn(
         "_lrn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order_cols)))

@@ -59,7 +59,7 @@ def test_scan_prunes_columns_and_pushes_filters(spark, sales):
 
 def test_distributed_rank_uses_range_partitioning(spark):
     df = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") % 3).alias("g"))
-    plan = _plan(global_row_number(df, ["g", "k"]))
+    plan = _plan(global_row_number(df, ["g", "k"], small_rows=None))
     assert "rangepartitioning" in plan.lower()
     assert "Window" in plan
 

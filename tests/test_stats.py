@@ -46,9 +46,11 @@ def test_global_row_number_skewed(spark):
     freq = np.where(rng.random(3000) < 0.6, 1, rng.integers(1, 40, 3000))  # one hot value
     rows = [(f"C{i:05d}", int(f)) for i, f in enumerate(freq)]
     df = spark.createDataFrame(rows, "customer_id string, frequency long").repartition(7)
-    got = {r.customer_id: r.rn for r in global_row_number(df, ["frequency", "customer_id"]).collect()}
     want = sorted(rows, key=lambda r: (r[1], r[0]))
-    assert [got[c] for c, _ in want] == list(range(1, len(rows) + 1))
+    for small in (None, 10 ** 6):
+        got = {r.customer_id: r.rn for r in
+               global_row_number(df, ["frequency", "customer_id"], small_rows=small).collect()}
+        assert [got[c] for c, _ in want] == list(range(1, len(rows) + 1))
 
 
 @pytest.mark.parametrize("n,sizes", [(6, [2, 1, 1, 2]), (7, [2, 2, 1, 2]), (8, [2, 2, 2, 2]), (9, [3, 2, 2, 2])])
@@ -74,3 +76,20 @@ def test_equal_width_bins_match_numpy(spark, values):
     counts = np.bincount(got, minlength=50)
     want, _ = np.histogram(np.asarray(values), bins=50)
     assert list(counts) == list(want)
+
+
+@pytest.mark.parametrize("small_rows", [None, 10 ** 6])
+def test_order_histogram_matches_numpy(spark, small_rows):
+    from ledgerlens.operators.eda import order_histogram
+    rng = np.random.default_rng(11)
+    vals = np.round(rng.gamma(2.0, 500.0, 3000), 2)
+    df = spark.createDataFrame([(float(v),) for v in vals], "revenue double")
+    out = order_histogram(df, small_rows=small_rows).collect()
+    cap = np.quantile(vals, 0.99)
+    kept = vals[vals <= cap]
+    want, edges = np.histogram(kept, bins=50)
+    assert [r.orders for r in out] == list(want)
+    assert [r.bin_lower for r in out] == pytest.approx(list(edges[:-1]), rel=1e-12)
+    assert out[0].clip_value == pytest.approx(cap, rel=1e-12)
+    assert out[0].median_value == pytest.approx(float(np.median(kept)), rel=1e-12)
+    assert out[0].mean_value == pytest.approx(float(kept.mean()), rel=1e-9)
