@@ -621,3 +621,21 @@ UNION ALL SELECT 'summary_stats', 1
 UNION ALL SELECT 'discount_impact', count(DISTINCT tier_order) FROM di""", INSIGHTS)
 
 Q["kpi_history_stream"] = Q["kpi_history"]
+
+
+# --- dashboard flow: the same SQL over the filtered rows ------------------------------
+def with_filtered_sales(body: str, *ctes: str) -> str:
+    base = FEATURES.replace("\ns AS (", "\ns0 AS (", 1)
+    filt = (f"\ns AS (SELECT * FROM s0 WHERE year IN ({_in(FILTER_YEARS)}) "
+            f"AND region IN ({_in(FILTER_REGIONS)}) AND category IN ({_in(FILTER_CATEGORIES)}))")
+    return "WITH " + SALES + "," + base + "," + filt + "".join("," + c for c in ctes) + "\n" + body
+
+
+def _body(q: str) -> str:
+    """The part of a registered query after the sales and feature CTEs."""
+    return q.split(FEATURES, 1)[1]
+
+
+Q["filtered_segment_summary"] = with_filtered_sales("") + _body(Q["segment_summary"])
+Q["filtered_forecast_summary"] = with_filtered_sales("") + _body(Q["forecast_summary"])
+Q["filtered_kpi_alerts"] = with_filtered_sales("") + _body(Q["kpi_alerts"])

@@ -366,3 +366,26 @@ def q_kpi_history_stream(spark, sf_dir):
     parts_dir, ckpt = _scratch(spark, "kpi_parts"), _scratch(spark, "kpi_parts_ckpt")
     _ks.update_monthly_parts(spark, src, s.schema, parts_dir, ckpt)
     return _ks.kpi_history_from_parts(spark.read.parquet(parts_dir), FIXTURE_TARGETS)
+
+
+# --- dashboard flow: every report recomputed on the filtered rows ---------------------
+
+
+@register("filtered_segment_summary")
+def q_filtered_segment_summary(spark, sf_dir):
+    return _rfm.segment_summary(_rfm.compute_rfm(filtered(spark, sf_dir)))
+
+
+@register("filtered_forecast_summary")
+def q_filtered_forecast_summary(spark, sf_dir):
+    return _fc.forecast_summary(_fc.forecast(filtered(spark, sf_dir), 6))
+
+
+@register("filtered_kpi_alerts")
+def q_filtered_kpi_alerts(spark, sf_dir):
+    return _kpi.kpi_alerts(filtered(spark, sf_dir), 3, FIXTURE_TARGETS)
+
+
+@register("kpi_display")
+def q_kpi_display(spark, sf_dir):
+    return _kpi.kpi_display(_kpi.kpi_alerts(sales(spark, sf_dir), 3, FIXTURE_TARGETS))
