@@ -20,6 +20,7 @@ from ledgerlens.functions.constants import (
     DEFAULT_SEGMENT, NO_ACTION, SEGMENT_ACTIONS, SEGMENT_RULES,
 )
 from ledgerlens.functions.exprs import half_up, money_avg, money_sum, safe_div
+from ledgerlens.sources.files import checkpoint_table
 from ledgerlens.operators.stats import (
     exact_percentiles, exact_percentiles_multi, global_row_number, rank_quartile_score, score_by_edges,
 )
@@ -94,9 +95,18 @@ def rfm_segments(scored: DataFrame) -> DataFrame:
     return scored.withColumn("segment", segment_expr())
 
 
-def compute_rfm(df: DataFrame, snapshot_date: str | None = None) -> DataFrame:
-    """Values, scores and segment for every customer."""
-    return rfm_segments(rfm_scores(rfm_values(df, snapshot_date)))
+def compute_rfm(df: DataFrame, snapshot_date: str | None = None, materialize: bool = True) -> DataFrame:
+    """Values, scores and segment for every customer.
+
+    The per-customer values feed five consumers (two size checks, the quartile
+    sketch and ranking passes, the frequency rank, the final scoring), so by
+    default they are written once under the checkpoint folder and read back:
+    the fact table is aggregated exactly once.
+    """
+    values = rfm_values(df, snapshot_date)
+    if materialize:
+        values = checkpoint_table(values, "rfm_values")
+    return rfm_segments(rfm_scores(values))
 
 
 def segment_actions(spark) -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.session import scratch_path
+from ledgerlens.sources.files import checkpoint_table
 
 _WRITTEN: dict[tuple, str] = {}
 
@@ -30,7 +31,4 @@ def materialized(spark: SparkSession, name: str, source: str,
 
 def write_and_read(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a fresh folder under the checkpoint folder; read it back."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return checkpoint_table(df, name)

@@ -97,9 +97,14 @@ def q_rfm_values(spark, sf_dir):
     return _rfm.rfm_values(sales(spark, sf_dir))
 
 
+def rfm_values_table(spark, sf_dir):
+    """Per-customer values, written once per session (input of the scoring queries)."""
+    return materialized(spark, "rfm_values", sf_dir, lambda s, d: _rfm.rfm_values(sales(s, d)))
+
+
 @register("rfm_scores")
 def q_rfm_scores(spark, sf_dir):
-    return _rfm.rfm_scores(_rfm.rfm_values(sales(spark, sf_dir)))
+    return _rfm.rfm_scores(rfm_values_table(spark, sf_dir))
 
 
 @register("rfm_segments")
@@ -129,12 +134,12 @@ def q_segment_compare(spark, sf_dir):
 
 @register("rank_first")
 def q_rank_first(spark, sf_dir):
-    return _rfm.rank_first(_rfm.rfm_values(sales(spark, sf_dir))).select("customer_id", "frequency", "f_rank")
+    return _rfm.rank_first(rfm_values_table(spark, sf_dir)).select("customer_id", "frequency", "f_rank")
 
 
 @register("quantile_score")
 def q_quantile_score(spark, sf_dir):
-    return _rfm.quantile_score(_rfm.rfm_values(sales(spark, sf_dir)), "monetary")
+    return _rfm.quantile_score(rfm_values_table(spark, sf_dir), "monetary")
 
 
 @register("top_n")

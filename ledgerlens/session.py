@@ -38,6 +38,18 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     return spark
 
 
+def shuffle_partitions_for(shuffle_bytes: int, target_bytes: int = 512 << 20, minimum: int = 8,
+                           maximum: int = 50_000) -> int:
+    """Shuffle partition count so each reduce partition holds ~``target_bytes``.
+
+    Size it on the bytes that are shuffled (pruned columns of the star join),
+    not the raw input. The cap keeps map x reduce shuffle blocks manageable;
+    beyond it partitions just grow (and spill), they do not fail. AQE then
+    coalesces small partitions of later, much smaller aggregations.
+    """
+    return max(minimum, min(maximum, -(-int(shuffle_bytes) // int(target_bytes))))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a local one only if unset.
 

@@ -71,3 +71,14 @@ def write_report(tables: dict[str, DataFrame], path: str, parallel: int = 4) ->
 
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
         return dict(pool.map(one, tables.items()))
+
+
+def checkpoint_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as parquet to a new folder under the shared checkpoint
+    folder and read it back: lineage is cut (a lost executor re-reads files),
+    later counts come from parquet metadata, and readers keep column pruning."""
+    from ledgerlens.session import scratch_path
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
