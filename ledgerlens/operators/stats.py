@@ -185,7 +185,12 @@ def global_row_number(df: DataFrame, order_cols: list[str], name: str = "rn",
     """
     if small_rows is not None and df.count() <= small_rows:
         return df.withColumn(name, F.row_number().over(Window.orderBy(*order_cols)))
-    ranged = df.repartitionByRange(*order_cols).withColumn("_pid", F.spark_partition_id())
+    # The partition id is written out with the rows, so the per-partition counts
+    # and the numbering read the same assignment (a re-run range exchange could
+    # sample or coalesce differently) and a lost executor re-reads files.
+    from ledgerlens.sources.files import checkpoint_table
+    ranged = checkpoint_table(
+        df.repartitionByRange(*order_cols).withColumn("_pid", F.spark_partition_id()), "row_number")
     local = ranged.withColumn(
         "_lrn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order_cols)))
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))

@@ -59,9 +59,12 @@ def test_scan_prunes_columns_and_pushes_filters(spark, sales):
 
 def test_distributed_rank_uses_range_partitioning(spark):
     df = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") % 3).alias("g"))
-    plan = _plan(global_row_number(df, ["g", "k"], small_rows=None))
-    assert "rangepartitioning" in plan.lower()
-    assert "Window" in plan
+    out = global_row_number(df, ["g", "k"], small_rows=None)
+    plan = _plan(out)
+    # rows were range-partitioned and written with their partition id; numbering
+    # is a window per partition id, never one window over all rows
+    assert "hashpartitioning(_pid" in plan and "Window" in plan
+    assert sorted(r.rn for r in out.collect()) == list(range(1, 1001))
 
 
 def test_star_join_broadcasts_only_small_dimensions(spark):
