@@ -39,6 +39,9 @@ def main():
     spark = build_session(f"local[{cpus}]", shuffle_partitions=max(cpus * 2, 8), app_name="ledgerlens-bench")
     times = {}
     t0 = time.time()
+    spark.range(1000).selectExpr("sum(id)").collect()   # JVM / codegen warm-up
+    times["session_warmup"] = round(time.time() - t0, 3)
+    t0 = time.time()
     Q.sales(spark, sf_dir)            # star-schema join, written once
     times["build_sales"] = round(time.time() - t0, 3)
     t0 = time.time()

@@ -14,6 +14,7 @@ import re
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.constants import MONTH_NAMES
 from ledgerlens.functions.exprs import half_up, nan_to_null, safe_div, whole_number
 
 SALES_COLUMNS = ["order_id", "customer_id", "segment", "date", "product", "category",
@@ -92,12 +93,16 @@ def fix_quality_issues(df: DataFrame) -> DataFrame:
 
 def engineer_features(df: DataFrame) -> DataFrame:
     """year, month, month_name, quarter, year_month, profit_margin (4 dp)."""
+    # month name and 'YYYY-MM' from the month/year numbers: same text as a
+    # date formatter, without one
+    names = F.array(*[F.lit(m) for m in MONTH_NAMES])
     return (df
             .withColumn("year", F.year("date"))
             .withColumn("month", F.month("date"))
-            .withColumn("month_name", F.date_format("date", "MMM"))
+            .withColumn("month_name", F.element_at(names, F.col("month")))
             .withColumn("quarter", F.quarter("date"))
-            .withColumn("year_month", F.date_format("date", "yyyy-MM"))
+            .withColumn("year_month", F.concat(F.lpad(F.col("year").cast("string"), 4, "0"), F.lit("-"),
+                                               F.lpad(F.col("month").cast("string"), 2, "0")))
             .withColumn("profit_margin", half_up(safe_div("profit", "revenue"), 4)))
 
 
