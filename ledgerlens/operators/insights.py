@@ -24,37 +24,53 @@ def _row(df: DataFrame, no: int, name: str, subject: Column, subject2: Column, v
 
 
 def insights(df: DataFrame) -> DataFrame:
+    """Up to seven insight rows computed from the sales table."""
+    return insights_from(
+        monthly_avg=eda.monthly_avg_revenue(df),
+        regions=df.where(F.col("region").isNotNull()).groupBy("region")
+        .agg(money_sum("revenue").alias("revenue")),
+        categories=eda.category_performance(df),
+        products=eda.top_products(df, 1),
+        discounts=eda.discount_impact(df),
+        concentration=eda.customer_concentration(df, 10),
+        years=eda.yoy_growth(df))
+
+
+def insights_from(monthly_avg: DataFrame, regions: DataFrame, categories: DataFrame, products: DataFrame,
+                  discounts: DataFrame, concentration: DataFrame, years: DataFrame) -> DataFrame:
+    """The insight rows from the component reports (each a small table):
+    ``monthly_avg_revenue``, revenue by region, ``category_performance``,
+    ``top_products``, ``discount_impact``, ``customer_concentration``,
+    ``yoy_growth``. Lets a batch run derive insights from reports it already
+    wrote, without another pass over the fact table."""
     none = F.lit(None)
     # 1 peak month: highest mean revenue (ties -> earlier month)
-    peak = top_n(eda.monthly_avg_revenue(df), [F.col("avg_revenue").desc(), F.col("month")], 1)
+    peak = top_n(monthly_avg, [F.col("avg_revenue").desc(), F.col("month")], 1)
     i1 = _row(peak, 1, "peak_month", F.col("month_name"), none, F.col("avg_revenue"), none)
     # 2 first and last region by revenue
-    reg = (df.where(F.col("region").isNotNull()).groupBy("region")
-           .agg(money_sum("revenue").alias("revenue")))
+    reg = regions.select("region", "revenue")
     low = top_n(reg, [F.col("revenue").asc(), F.col("region").desc()], 1) \
         .select(F.struct("region", "revenue")).scalar()
     top = top_n(reg, [F.col("revenue").desc(), F.col("region")], 1)
     i2 = _row(top.select("*", low.alias("low")), 2, "region_performance", F.col("region"),
               F.col("low.region"), F.col("revenue"), F.col("low.revenue"))
     # 3 category with the highest mean margin
-    cat = eda.category_performance(df)
-    best = top_n(cat, [F.col("avg_margin").desc_nulls_last(), F.col("revenue").desc(), F.col("category")], 1)
+    best = top_n(categories, [F.col("avg_margin").desc_nulls_last(), F.col("revenue").desc(), F.col("category")], 1)
     i3 = _row(best, 3, "best_margin_category", F.col("category"), none, F.col("avg_margin"), none)
     # 4 top product
-    tp = eda.top_products(df, 1)
+    tp = top_n(products, [F.col("revenue").desc(), F.col("product")], 1)
     i4 = _row(tp, 4, "top_product", F.col("product"), none, F.col("revenue"), F.col("orders"))
     # 5 margin gap between undiscounted and 21-30% orders, only if both tiers exist
-    d = eda.discount_impact(df).agg(
+    d = discounts.agg(
         F.max(F.when(F.col("tier_order") == 1, F.col("avg_margin"))).alias("m0"),
         F.max(F.when(F.col("tier_order") == 4, F.col("avg_margin"))).alias("m4"),
         F.count_if(F.col("tier_order") == 1).alias("c0"), F.count_if(F.col("tier_order") == 4).alias("c4"))
     i5 = _row(d.where((F.col("c0") > 0) & (F.col("c4") > 0)), 5, "discount_impact",
               F.lit("No Discount"), F.lit("21–30%"), F.col("m0") - F.col("m4"), none)
     # 6 top-10 customer share
-    cc = eda.customer_concentration(df, 10)
-    i6 = _row(cc, 6, "customer_concentration", none, none, F.col("top_share"), F.col("top_revenue"))
+    i6 = _row(concentration, 6, "customer_concentration", none, none, F.col("top_share"), F.col("top_revenue"))
     # 7 growth of the last year over the one before, only with >= 2 years
-    yy = top_n(eda.yoy_growth(df), [F.col("year").desc()], 2).agg(
+    yy = top_n(years, [F.col("year").desc()], 2).agg(
         F.count(F.lit(1)).alias("c"), F.min("year").alias("y0"), F.max("year").alias("y1"),
         F.max_by("total_revenue", "year").alias("r1"), F.min_by("total_revenue", "year").alias("r0"))
     i7 = _row(yy.where(F.col("c") >= 2), 7, "yoy_growth", F.col("y0"), F.col("y1"),

@@ -48,10 +48,10 @@ def quartile_edges(rfm: DataFrame, col: str):
     return q.select(F.struct(*q.columns)).scalar()
 
 
-def rank_first(rfm: DataFrame) -> DataFrame:
+def rank_first(rfm: DataFrame, known_rows: int | None = None) -> DataFrame:
     """Rank 1..n by (frequency, customer_id): pandas ``rank(method='first')``
     on customers ordered by id."""
-    return global_row_number(rfm, ["frequency", "customer_id"], "f_rank")
+    return global_row_number(rfm, ["frequency", "customer_id"], "f_rank", known_rows=known_rows)
 
 
 def quantile_score(rfm: DataFrame, col: str = "monetary", reverse: bool = False) -> DataFrame:
@@ -66,10 +66,11 @@ def quantile_score(rfm: DataFrame, col: str = "monetary", reverse: bool = False)
 def rfm_scores(rfm: DataFrame) -> DataFrame:
     """Adds r_score (4 = most recent), f_score (by frequency rank), m_score,
     rfm_score ('rfm' digits) and rfm_total."""
-    q = exact_percentiles_multi(rfm, [("recency", p) for p in QUARTILES] + [("monetary", p) for p in QUARTILES])
+    n = rfm.count()   # customers: the f-score's n and the size check of both helpers
+    q = exact_percentiles_multi(rfm, [("recency", p) for p in QUARTILES] + [("monetary", p) for p in QUARTILES],
+                                known_rows=n)
     edges = q.select(F.struct(*q.columns)).scalar()
-    n = rfm.agg(F.count(F.lit(1))).scalar()
-    ranked = rank_first(rfm).select("*", edges.alias("_e"), n.alias("_n"))
+    ranked = rank_first(rfm, known_rows=n).select("*", edges.alias("_e"), F.lit(n).cast("bigint").alias("_n"))
     r = score_by_edges(F.col("recency"), [F.col(f"_e.q{i}") for i in range(3)], reverse=True)
     m = score_by_edges(F.col("monetary"), [F.col(f"_e.q{i}") for i in range(3, 6)])
     f = rank_quartile_score(F.col("f_rank"), F.col("_n"))

@@ -54,14 +54,16 @@ SMALL_PERCENTILE_ROWS = 200_000
 
 
 def exact_percentiles(df: DataFrame, col: str, probs: list[float], accuracy: int = 10000,
-                      prefix: str = "q", small_rows: int | None = SMALL_PERCENTILE_ROWS) -> DataFrame:
+                      prefix: str = "q", small_rows: int | None = SMALL_PERCENTILE_ROWS,
+                      known_rows: int | None = None) -> DataFrame:
     """1-row DataFrame with columns ``{prefix}0..{prefix}k-1``: exact
     linear-interpolation percentiles of ``col`` (see ``exact_percentiles_multi``)."""
-    return exact_percentiles_multi(df, [(col, p) for p in probs], accuracy, prefix, small_rows)
+    return exact_percentiles_multi(df, [(col, p) for p in probs], accuracy, prefix, small_rows, known_rows)
 
 
 def exact_percentiles_multi(df: DataFrame, specs: list[tuple[str, float]], accuracy: int = 10000,
-                            prefix: str = "q", small_rows: int | None = SMALL_PERCENTILE_ROWS) -> DataFrame:
+                            prefix: str = "q", small_rows: int | None = SMALL_PERCENTILE_ROWS,
+                            known_rows: int | None = None) -> DataFrame:
     """1-row DataFrame, one column ``{prefix}i`` per ``(column, probability)`` in
     ``specs``: exact linear-interpolation percentiles (nulls and NaN ignored;
     null when a column has no values). All specs share the same two scans.
@@ -81,12 +83,13 @@ def exact_percentiles_multi(df: DataFrame, specs: list[tuple[str, float]], accur
     Size check: with ``small_rows`` set, the input rows are counted first; up
     to that bound Spark's exact ``percentile`` aggregate is used instead (one
     job; same interpolation), beyond it the sketch-and-bracket plan above.
+    ``known_rows`` (the caller's row count of ``df``) skips the count.
     """
     cols = list(dict.fromkeys(c for c, _ in specs))
     if small_rows is not None:
         xs_small = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c)
                                for c in cols])
-        if xs_small.count() <= small_rows:
+        if (known_rows if known_rows is not None else xs_small.count()) <= small_rows:
             return xs_small.agg(*[F.percentile(F.col(c), F.lit(float(p))).alias(f"{prefix}{i}")
                                   for i, (c, p) in enumerate(specs)])
     j_of = {c: j for j, c in enumerate(cols)}
@@ -174,7 +177,7 @@ SMALL_RANK_ROWS = 1_000_000
 
 
 def global_row_number(df: DataFrame, order_cols: list[str], name: str = "rn",
-                      small_rows: int | None = SMALL_RANK_ROWS) -> DataFrame:
+                      small_rows: int | None = SMALL_RANK_ROWS, known_rows: int | None = None) -> DataFrame:
     """``row_number() over (order by order_cols)`` without an unbounded
     single-partition window.
 
@@ -183,7 +186,7 @@ def global_row_number(df: DataFrame, order_cols: list[str], name: str = "rn",
     numbered by one ordered window; larger ones by range partitioning,
     per-partition numbering and per-partition offsets.
     """
-    if small_rows is not None and df.count() <= small_rows:
+    if small_rows is not None and (known_rows if known_rows is not None else df.count()) <= small_rows:
         return df.withColumn(name, F.row_number().over(Window.orderBy(*order_cols)))
     # The partition id is written out with the rows, so the per-partition counts
     # and the numbering read the same assignment (a re-run range exchange could

@@ -305,12 +305,13 @@ def q_engineer_features(spark, sf_dir):
 
 
 def clean_table(spark, sf_dir):
-    return clean.clean_sales(raw(spark, sf_dir))
+    """The cleaned table, written once per session (input of the reports on it)."""
+    return materialized(spark, "clean_sales", sf_dir, lambda s, d: clean.clean_sales(raw(s, d)))
 
 
 @register("clean_sales")
 def q_clean_sales(spark, sf_dir):
-    return clean_table(spark, sf_dir)
+    return clean.clean_sales(raw(spark, sf_dir))
 
 
 @register("data_quality_report")

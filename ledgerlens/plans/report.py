@@ -9,6 +9,8 @@ columns it needs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.operators import clean, eda, forecast, insights, kpi, rfm
@@ -16,43 +18,56 @@ from ledgerlens.session import scratch_path
 from ledgerlens.sources.files import write_clean, write_report
 
 
-def report_tables(sales: DataFrame, top_n: int = 10, horizon: int = 6, kpi_window: int = 3,
-                  kpi_targets: dict | None = None) -> dict[str, DataFrame]:
-    """Every report of the analysis, as lazy DataFrames over ``sales``."""
-    segs = rfm.compute_rfm(sales)
-    fc = forecast.forecast(sales, horizon)
-    alerts = kpi.kpi_alerts(sales, kpi_window, kpi_targets)
-    ins = insights.insights(sales)
+def report_builders(sales: DataFrame, top_n: int = 10, horizon: int = 6, kpi_window: int = 3,
+                    kpi_targets: dict | None = None,
+                    segments: DataFrame | None = None) -> dict[str, Callable[[], DataFrame]]:
+    """Every report of the analysis as a zero-argument builder over ``sales``
+    (and ``segments``, the scored customer table, computed if not given).
+
+    Builders let the writer construct each plan in its own thread: building a
+    large DataFrame (analysis of the plan, size checks) overlaps with the
+    execution of other reports.
+    """
+    segs = (lambda: rfm.compute_rfm(sales)) if segments is None else (lambda: segments)
+    fc = lambda: forecast.forecast(sales, horizon)
+    alerts = lambda: kpi.kpi_alerts(sales, kpi_window, kpi_targets)
+    ins = lambda: insights.insights(sales)
     return {
-        "summary_stats": eda.summary_stats(sales),
-        "data_quality": clean.data_quality_report(sales),
-        "monthly_sales_trend": eda.monthly_sales_trend(sales),
-        "yoy_growth": eda.yoy_growth(sales),
-        "top_products": eda.top_products(sales, top_n),
-        "bottom_products": eda.bottom_products(sales, 5),
-        "category_performance": eda.category_performance(sales),
-        "region_performance": eda.region_performance(sales),
-        "city_performance": eda.city_performance(sales, top_n),
-        "top_customers": eda.top_customers(sales, top_n),
-        "segment_analysis": eda.segment_analysis(sales),
-        "monthly_avg_revenue": eda.monthly_avg_revenue(sales),
-        "heatmap_data": eda.heatmap_data(sales),
-        "discount_impact": eda.discount_impact(sales),
-        "order_histogram": eda.order_histogram(sales),
+        "summary_stats": lambda: eda.summary_stats(sales),
+        "data_quality": lambda: clean.data_quality_report(sales),
+        "monthly_sales_trend": lambda: eda.monthly_sales_trend(sales),
+        "yoy_growth": lambda: eda.yoy_growth(sales),
+        "top_products": lambda: eda.top_products(sales, top_n),
+        "bottom_products": lambda: eda.bottom_products(sales, 5),
+        "category_performance": lambda: eda.category_performance(sales),
+        "region_performance": lambda: eda.region_performance(sales),
+        "city_performance": lambda: eda.city_performance(sales, top_n),
+        "top_customers": lambda: eda.top_customers(sales, top_n),
+        "segment_analysis": lambda: eda.segment_analysis(sales),
+        "monthly_avg_revenue": lambda: eda.monthly_avg_revenue(sales),
+        "heatmap_data": lambda: eda.heatmap_data(sales),
+        "discount_impact": lambda: eda.discount_impact(sales),
+        "order_histogram": lambda: eda.order_histogram(sales),
+        "customer_concentration": lambda: eda.customer_concentration(sales, top_n),
         "insights": ins,
-        "insight_text": insights.insight_text(ins),
+        "insight_text": lambda: insights.insight_text(ins()),
         "rfm": segs,
-        "segment_summary": rfm.segment_summary(segs),
-        "rfm_grid": rfm.rfm_grid(segs),
+        "segment_summary": lambda: rfm.segment_summary(segs()),
+        "rfm_grid": lambda: rfm.rfm_grid(segs()),
         "forecast": fc,
-        "forecast_summary": forecast.forecast_summary(fc),
+        "forecast_summary": lambda: forecast.forecast_summary(fc()),
         "kpi_alerts": alerts,
-        "kpi_alert_counts": kpi.kpi_alert_counts(alerts),
-        "kpi_history": kpi.kpi_history(sales, kpi_targets),
+        "kpi_alert_counts": lambda: kpi.kpi_alert_counts(alerts()),
+        "kpi_history": lambda: kpi.kpi_history(sales, kpi_targets),
     }
 
 
-def run_analysis(spark: SparkSession, raw: DataFrame, out_dir: str | None = None,
+def report_tables(sales: DataFrame, **kwargs) -> dict[str, DataFrame]:
+    """Every report of the analysis as DataFrames (see ``report_builders``)."""
+    return {k: f() for k, f in report_builders(sales, **kwargs).items()}
+
+
+def run_analysis(spark: SparkSession, raw: DataFrame, out_dir: str | None = None, parallel: int = 4,
                  **report_args) -> dict[str, str]:
     """Clean ``raw``, write the clean table, write every report table; returns paths."""
     out_dir = out_dir or scratch_path(spark, "analysis")
@@ -61,12 +76,24 @@ def run_analysis(spark: SparkSession, raw: DataFrame, out_dir: str | None = None
     # customer-level table reused by three reports: write it once as well
     rfm_path = f"{out_dir}/rfm"
     rfm.compute_rfm(sales).write.mode("overwrite").parquet(rfm_path)
-    tables = report_tables(sales, **report_args)
     segs = spark.read.parquet(rfm_path)
-    tables["rfm"] = segs
-    tables["segment_summary"] = rfm.segment_summary(segs)
-    tables["rfm_grid"] = rfm.rfm_grid(segs)
-    paths = write_report(tables, f"{out_dir}/reports")
+    tables = report_builders(sales, segments=segs, **report_args)
+    tables.pop("rfm")
+    # tables derived from other report tables are built from the written parents
+    derived = {"forecast_summary": ("forecast", forecast.forecast_summary),
+               "kpi_alert_counts": ("kpi_alerts", kpi.kpi_alert_counts)}
+    for name in list(derived) + ["insights", "insight_text"]:
+        tables.pop(name)
+    paths = write_report(tables, f"{out_dir}/reports", parallel=parallel)
+    read = lambda name: spark.read.parquet(paths[name])
+    second = {name: (lambda fn=fn, parent=parent: fn(read(parent))) for name, (parent, fn) in derived.items()}
+    second["insights"] = lambda: insights.insights_from(
+        read("monthly_avg_revenue"), read("region_performance"), read("category_performance"),
+        read("top_products"), read("discount_impact"), read("customer_concentration"),
+        read("yoy_growth"))
+    paths.update(write_report(second, f"{out_dir}/reports", parallel=parallel))
+    paths.update(write_report({"insight_text": insights.insight_text(read("insights"))},
+                              f"{out_dir}/reports", parallel=1))
     paths["sales_clean"] = clean_path
     paths["rfm"] = rfm_path
     return paths

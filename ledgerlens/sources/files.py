@@ -52,9 +52,10 @@ def write_clean(df: DataFrame, path: str, fmt: str = "parquet", partition_by: st
     return path
 
 
-def write_report(tables: dict[str, DataFrame], path: str, parallel: int = 4) -> dict[str, str]:
+def write_report(tables: dict, path: str, parallel: int = 4) -> dict[str, str]:
     """Write each report table (insights, summary, discount impact...) as parquet.
 
+    Values are DataFrames or zero-argument functions returning one.
     Report tables are small aggregates (one file each). Their jobs are
     submitted from ``parallel`` threads at once: Spark runs concurrent jobs of
     one application side by side, so short jobs do not leave executors idle.
@@ -64,6 +65,8 @@ def write_report(tables: dict[str, DataFrame], path: str, parallel: int = 4) ->
 
     def one(item):
         name, df = item
+        if callable(df):            # a builder: construct the plan in this thread
+            df = df()
         p = f"{path}/{name}"
         w = df if name in ("rfm", "rfm_scatter", "order_value_distribution") else df.coalesce(1)
         w.write.mode("overwrite").parquet(p)
