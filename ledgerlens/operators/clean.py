@@ -49,11 +49,10 @@ def fix_dtypes(df: DataFrame, date_format: str = "yyyy-MM-dd") -> DataFrame:
     * unit_price, revenue, profit, discount: double, NaN -> null
     * quantity: whole numbers only (fractions -> null), bigint
     """
-    out = df.withColumn(
-        "date", F.try_to_timestamp(F.col("date").cast("string"), F.lit(date_format)).cast("date"))
-    for c in NUMERIC_COLUMNS:
-        out = out.withColumn(c, nan_to_null(F.col(c).try_cast("double")))
-    return out.withColumn("quantity", whole_number(F.col("quantity").cast("string")))
+    cols = {"date": F.try_to_timestamp(F.col("date").cast("string"), F.lit(date_format)).cast("date"),
+            "quantity": whole_number(F.col("quantity").cast("string"))}
+    cols.update({c: nan_to_null(F.col(c).try_cast("double")) for c in NUMERIC_COLUMNS})
+    return df.withColumns(cols)
 
 
 def mode_value(df: DataFrame, column: str) -> DataFrame:
@@ -71,10 +70,9 @@ def handle_missing(df: DataFrame) -> DataFrame:
     """discount -> 0, city -> 'Unknown', segment -> its mode; then drop rows
     with a null revenue, unit_price, quantity or date."""
     seg_mode = mode_value(df, "segment").scalar()
-    return (df
-            .withColumn("discount", F.coalesce(F.col("discount"), F.lit(0.0)))
-            .withColumn("city", F.coalesce(F.col("city"), F.lit("Unknown")))
-            .withColumn("segment", F.coalesce(F.col("segment"), seg_mode))
+    return (df.withColumns({"discount": F.coalesce(F.col("discount"), F.lit(0.0)),
+                            "city": F.coalesce(F.col("city"), F.lit("Unknown")),
+                            "segment": F.coalesce(F.col("segment"), seg_mode)})
             .dropna(subset=REQUIRED_COLUMNS))
 
 
@@ -86,9 +84,9 @@ def remove_duplicates(df: DataFrame) -> DataFrame:
 def fix_quality_issues(df: DataFrame) -> DataFrame:
     """Keep quantity > 0, title-case category, recompute revenue (2 dp)."""
     return (df.where(F.col("quantity") > 0)
-            .withColumn("category", F.initcap("category"))
-            .withColumn("revenue", half_up(
-                F.col("unit_price") * F.col("quantity") * (F.lit(1.0) - F.col("discount")), 2)))
+            .withColumns({"category": F.initcap("category"),
+                          "revenue": half_up(F.col("unit_price") * F.col("quantity")
+                                             * (F.lit(1.0) - F.col("discount")), 2)}))
 
 
 def engineer_features(df: DataFrame) -> DataFrame:
@@ -96,14 +94,14 @@ def engineer_features(df: DataFrame) -> DataFrame:
     # month name and 'YYYY-MM' from the month/year numbers: same text as a
     # date formatter, without one
     names = F.array(*[F.lit(m) for m in MONTH_NAMES])
-    return (df
-            .withColumn("year", F.year("date"))
-            .withColumn("month", F.month("date"))
-            .withColumn("month_name", F.element_at(names, F.col("month")))
-            .withColumn("quarter", F.quarter("date"))
-            .withColumn("year_month", F.concat(F.lpad(F.col("year").cast("string"), 4, "0"), F.lit("-"),
-                                               F.lpad(F.col("month").cast("string"), 2, "0")))
-            .withColumn("profit_margin", half_up(safe_div("profit", "revenue"), 4)))
+    year, month = F.year("date"), F.month("date")
+    return df.withColumns({
+        "year": year, "month": month,
+        "month_name": F.element_at(names, month),
+        "quarter": F.quarter("date"),
+        "year_month": F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-"),
+                               F.lpad(month.cast("string"), 2, "0")),
+        "profit_margin": half_up(safe_div("profit", "revenue"), 4)})
 
 
 def clean_sales(raw: DataFrame, dedup_after: bool = False,

@@ -74,12 +74,12 @@ def rfm_scores(rfm: DataFrame) -> DataFrame:
     r = score_by_edges(F.col("recency"), [F.col(f"_e.q{i}") for i in range(3)], reverse=True)
     m = score_by_edges(F.col("monetary"), [F.col(f"_e.q{i}") for i in range(3, 6)])
     f = rank_quartile_score(F.col("f_rank"), F.col("_n"))
-    out = (ranked.withColumn("r_score", r.cast("int")).withColumn("f_score", f.cast("int"))
-           .withColumn("m_score", m.cast("int")))
-    return (out.withColumn("rfm_score", F.concat(F.col("r_score").cast("string"), F.col("f_score").cast("string"),
-                                                 F.col("m_score").cast("string")))
-            .withColumn("rfm_total", F.col("r_score") + F.col("f_score") + F.col("m_score"))
-            .drop("_e", "_n", "f_rank"))
+    r, f, m = r.cast("int"), f.cast("int"), m.cast("int")
+    return ranked.select(
+        *[F.col(c) for c in rfm.columns],
+        r.alias("r_score"), f.alias("f_score"), m.alias("m_score"),
+        F.concat(r.cast("string"), f.cast("string"), m.cast("string")).alias("rfm_score"),
+        (r + f + m).alias("rfm_total"))
 
 
 def segment_expr(r="r_score", f="f_score", m="m_score") -> F.Column:
