@@ -136,32 +136,36 @@ def _observe(df: DataFrame, audit: dict | None, name: str) -> DataFrame:
 def cleaning_audit(raw: DataFrame) -> DataFrame:
     """Rows before/after/dropped for each row-removing step, as a table.
 
-    Two aggregations: one over the typed rows (input and survivors of the
-    null filter), one over the de-duplicated rows (their number and the
-    survivors of the quantity rule). Joined as scalar subqueries.
+    One grouped aggregation over all columns plus a "kept by the null rule"
+    flag (map-side partial aggregation collapses copies early): the input
+    rows are the sum of the group counts, the survivors of the null rule the
+    sum over kept groups, the de-duplicated rows the number of kept groups,
+    and the survivors of the quantity rule the kept groups with quantity > 0.
     """
     typed = fix_dtypes(standardize_columns(raw))
     seg_mode = mode_value(typed, "segment").scalar()
-    filled = (typed.withColumn("discount", F.coalesce(F.col("discount"), F.lit(0.0)))
-              .withColumn("city", F.coalesce(F.col("city"), F.lit("Unknown")))
-              .withColumn("segment", F.coalesce(F.col("segment"), seg_mode)))
+    filled = typed.withColumns({"discount": F.coalesce(F.col("discount"), F.lit(0.0)),
+                                "city": F.coalesce(F.col("city"), F.lit("Unknown")),
+                                "segment": F.coalesce(F.col("segment"), seg_mode)})
     keep = F.lit(True)
     for c in REQUIRED_COLUMNS:
         keep = keep & F.col(c).isNotNull()
-    deduped = filled.where(keep).dropDuplicates()
-    after_dedup = deduped.agg(F.struct(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("quantity") > 0).alias("q"))).scalar()
-    counts = filled.agg(F.count(F.lit(1)).alias("raw_rows"), F.count_if(keep).alias("kept")) \
-        .select("raw_rows", "kept", after_dedup.getField("n").alias("dedup"),
-                after_dedup.getField("q").alias("quality"))
+    groups = (filled.withColumn("_keep", keep).groupBy(*filled.columns, "_keep")
+              .agg(F.count(F.lit(1)).alias("_n")))
+    counts = groups.agg(
+        F.sum("_n").alias("raw_rows"),
+        F.coalesce(F.sum(F.when(F.col("_keep"), F.col("_n"))), F.lit(0)).alias("kept"),
+        F.count_if(F.col("_keep")).alias("dedup"),
+        F.count_if(F.col("_keep") & (F.col("quantity") > 0)).alias("quality"))
+
+    def step(no, name, before, after):
+        return F.struct(F.lit(no).alias("step_no"), F.lit(name).alias("step"),
+                        F.col(before).alias("rows_before"), F.col(after).alias("rows_after"))
+
     steps = counts.select(F.explode(F.array(
-        F.struct(F.lit(1).alias("step_no"), F.lit("handle_missing").alias("step"),
-                 F.col("raw_rows").alias("rows_before"), F.col("kept").alias("rows_after")),
-        F.struct(F.lit(2).alias("step_no"), F.lit("remove_duplicates").alias("step"),
-                 F.col("kept").alias("rows_before"), F.col("dedup").alias("rows_after")),
-        F.struct(F.lit(3).alias("step_no"), F.lit("fix_quality_issues").alias("step"),
-                 F.col("dedup").alias("rows_before"), F.col("quality").alias("rows_after")),
-    )).alias("s")).select("s.*")
+        step(1, "handle_missing", "raw_rows", "kept"),
+        step(2, "remove_duplicates", "kept", "dedup"),
+        step(3, "fix_quality_issues", "dedup", "quality"))).alias("s")).select("s.*")
     return steps.withColumn("rows_dropped", F.col("rows_before") - F.col("rows_after"))
 
 
