@@ -210,9 +210,8 @@ def filter_sales(df: DataFrame, years=None, regions=None, categories=None) -> Da
 
 
 def filter_options(df: DataFrame) -> DataFrame:
-    """Distinct values offered by the three filters, long form (option, value, pos)."""
-    parts = [df.select(F.lit(name).alias("option"), F.col(name).cast("string").alias("value"),
-                       F.col(name).alias("_k")).distinct()
-             .select("option", "value") for name in ("year", "region", "category")]
+    """Distinct values offered by the three filters, long form (option, value)."""
+    parts = [df.select(F.lit(name).alias("option"), F.col(name).cast("string").alias("value")).distinct()
+             for name in ("year", "region", "category")]
     out = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return out.where(F.col("value").isNotNull())

@@ -8,6 +8,7 @@ keeps parquet column pruning and filter pushdown for every report reading it.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,16 +17,19 @@ from ledgerlens.session import scratch_path
 from ledgerlens.sources.files import checkpoint_table
 
 _WRITTEN: dict[tuple, str] = {}
+_LOCK = threading.RLock()
 
 
 def materialized(spark: SparkSession, name: str, source: str,
                  build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """``build(spark, source)`` written once per application and table name."""
     key = (spark.sparkContext.applicationId, name, source)
-    path = _WRITTEN.get(key)
-    if path is None:
-        path = scratch_path(spark, name)
-        build(spark, source).write.mode("overwrite").parquet(path)
-        _WRITTEN[key] = path
+    with _LOCK:
+        path = _WRITTEN.get(key)
+        if path is None:
+            path = scratch_path(spark, name)
+            build(spark, source).write.mode("overwrite").parquet(path)
+            _WRITTEN[key] = path
     return spark.read.parquet(path)
 
 
