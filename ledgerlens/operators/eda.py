@@ -36,8 +36,27 @@ def _top1(df: DataFrame, key: str, measure: str = "revenue"):
     return g.orderBy(F.col("_v").desc(), F.col(key).asc()).limit(1).select(key).scalar()
 
 
+def _top_keys(df: DataFrame, keys: list[str], measure: str = "revenue"):
+    """Scalar struct: for each key column, the value with the largest money sum
+    of ``measure`` (ties -> smallest value). One grouping-sets aggregation for
+    all keys; the per-set top-1 runs on the small aggregated result."""
+    sets = df.groupingSets([[k] for k in keys], *keys).agg(
+        money_sum(measure).alias("_v"), F.grouping_id().alias("_gid"))
+    n = len(keys)
+    gid = {k: (1 << n) - 1 - (1 << (n - 1 - i)) for i, k in enumerate(keys)}   # only key i not aggregated
+    valid = F.lit(False)
+    for k in keys:
+        valid = valid | ((F.col("_gid") == gid[k]) & F.col(k).isNotNull())
+    key_of = F.coalesce(*[F.when(F.col("_gid") == gid[k], F.col(k).cast("string")) for k in keys])
+    w = Window.partitionBy("_gid").orderBy(F.col("_v").desc(), key_of.asc())
+    ranked = sets.where(valid).withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") == 1)
+    return ranked.agg(F.struct(*[F.max(F.when(F.col("_gid") == gid[k], F.col(k))).alias(k)
+                                 for k in keys])).scalar()
+
+
 def summary_stats(df: DataFrame) -> DataFrame:
     """One row: totals, counts, means and the top category and region."""
+    top = _top_keys(df, ["category", "region"])
     return df.agg(
         money_sum("revenue").alias("total_revenue"),
         money_sum("profit").alias("total_profit"),
@@ -45,8 +64,8 @@ def summary_stats(df: DataFrame) -> DataFrame:
         F.count_distinct("customer_id").alias("unique_customers"),
         money_avg("revenue").alias("avg_order_value"),
         exact_avg("profit_margin", RATIO).alias("avg_profit_margin"),
-    ).select("*", _top1(df, "category").alias("top_category"),
-             _top1(df, "region").alias("top_region"))
+    ).select("*", top.alias("_top")).select(
+        "*", F.col("_top.category").alias("top_category"), F.col("_top.region").alias("top_region")).drop("_top")
 
 
 def overview_cards(df: DataFrame) -> DataFrame:
