@@ -204,19 +204,21 @@ def order_histogram(df: DataFrame, bins: int = HISTOGRAM_BINS,
     plan of ``exact_percentiles``.
     """
     rev = df.select("revenue").where(F.col("revenue").isNotNull())
-    small = small_rows is not None and rev.count() <= small_rows
+    n_rev = rev.count()
+    small = small_rows is not None and n_rev <= small_rows
     # the clip value is a 1-row table: joined by condition (broadcast, exactly one row)
     if small:
         cap = rev.agg(F.percentile("revenue", F.lit(float(clip))).alias("cap"))
     else:
-        cap = exact_percentiles(rev, "revenue", [clip], small_rows=None).select(F.col("q0").alias("cap"))
+        cap = exact_percentiles(rev, "revenue", [clip], small_rows=None, known_rows=n_rev) \
+            .select(F.col("q0").alias("cap"))
     kept = rev.join(F.broadcast(cap), F.col("revenue") <= F.col("cap")).select("revenue", "cap")
     parts = [F.min("revenue").alias("lo"), F.max("revenue").alias("hi"),
              money_avg("revenue").alias("mean"), F.max("cap").alias("cap")]
     if small:
         st = kept.agg(F.struct(*parts, F.percentile("revenue", F.lit(0.5)).alias("median"))).scalar()
     else:
-        med = exact_percentiles(kept, "revenue", [0.5], small_rows=None).select(F.col("q0"))
+        med = exact_percentiles(kept, "revenue", [0.5], small_rows=None, known_rows=n_rev).select(F.col("q0"))
         st = kept.agg(F.struct(*parts)).scalar()
         st = F.struct(st.getField("lo").alias("lo"), st.getField("hi").alias("hi"),
                       st.getField("mean").alias("mean"), st.getField("cap").alias("cap"),

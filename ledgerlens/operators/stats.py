@@ -46,6 +46,12 @@ def interpolate(n: Column, p: float, v_lo: Column, v_hi: Column) -> Column:
             .otherwise((higher - pos) * v_lo + (pos - lower) * v_hi))
 
 
+# Sketch-and-bracket plan: target rows per exactly-ranked bracket, and the
+# largest sketch accuracy used to reach it (sketch memory grows with accuracy;
+# beyond ~3e11 rows the bracket grows past the target, ~6e-6 of the rows).
+MAX_BRACKET_ROWS = 2_000_000
+MAX_SKETCH_ACCURACY = 1_000_000
+
 # Inputs up to this many rows use Spark's exact ``percentile`` aggregate: its
 # buffer holds one counter per distinct value, so the row count bounds it.
 # Its final merge and sort run in one task, so beyond a few hundred thousand
@@ -83,15 +89,21 @@ def exact_percentiles_multi(df: DataFrame, specs: list[tuple[str, float]], accur
     Size check: with ``small_rows`` set, the input rows are counted first; up
     to that bound Spark's exact ``percentile`` aggregate is used instead (one
     job; same interpolation), beyond it the sketch-and-bracket plan above.
-    ``known_rows`` (the caller's row count of ``df``) skips the count.
+    ``known_rows`` (the caller's row count of ``df``) skips the count. The
+    row count also sets the sketch accuracy so that each bracket stays near
+    ``MAX_BRACKET_ROWS`` rows.
     """
     cols = list(dict.fromkeys(c for c, _ in specs))
-    if small_rows is not None:
+    if small_rows is not None or known_rows is not None:
         xs_small = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c)
                                for c in cols])
-        if (known_rows if known_rows is not None else xs_small.count()) <= small_rows:
+        rows = known_rows if known_rows is not None else xs_small.count()
+        if small_rows is not None and rows <= small_rows:
             return xs_small.agg(*[F.percentile(F.col(c), F.lit(float(p))).alias(f"{prefix}{i}")
                                   for i, (c, p) in enumerate(specs)])
+        # keep each exactly-ranked bracket (~6n/accuracy rows, one window task per spec)
+        # near MAX_BRACKET_ROWS by raising the sketch accuracy with n, up to its cap
+        accuracy = max(accuracy, min(MAX_SKETCH_ACCURACY, -(-6 * rows // MAX_BRACKET_ROWS)))
     j_of = {c: j for j, c in enumerate(cols)}
     x = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(f"x{j}")
                     for j, c in enumerate(cols)])
