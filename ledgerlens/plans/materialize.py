@@ -21,18 +21,26 @@ _LOCK = threading.RLock()
 
 
 def materialized(spark: SparkSession, name: str, source: str,
-                 build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
-    """``build(spark, source)`` written once per application and table name."""
+                 build: Callable[[SparkSession, str], DataFrame],
+                 partition_by: str | None = None) -> DataFrame:
+    """``build(spark, source)`` written once per application and table name,
+    optionally partitioned by a column (filters on it then skip whole folders)."""
     key = (spark.sparkContext.applicationId, name, source)
     with _LOCK:
         path = _WRITTEN.get(key)
         if path is None:
             path = scratch_path(spark, name)
-            build(spark, source).write.mode("overwrite").parquet(path)
+            w = build(spark, source).write.mode("overwrite")
+            (w.partitionBy(partition_by) if partition_by else w).parquet(path)
             _WRITTEN[key] = path
     return spark.read.parquet(path)
 
 
+def materialized_path(spark: SparkSession, name: str, source: str) -> str | None:
+    """Folder of a table written by ``materialized`` in this application."""
+    return _WRITTEN.get((spark.sparkContext.applicationId, name, source))
+
+
 def write_and_read(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a fresh folder under the checkpoint folder; read it back."""
     return checkpoint_table(df, name)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.operators import clean, eda
-from ledgerlens.plans.materialize import materialized
+from ledgerlens.plans.materialize import materialized, materialized_path
 from ledgerlens.sources.tables import sales_from_star
 
 
@@ -18,8 +18,9 @@ def build_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sales table, built once per session and read back from parquet."""
-    return materialized(spark, "sales", sf_dir, build_sales)
+    """The sales table, built once per session and read back from parquet
+    (partitioned by year: year filters prune folders)."""
+    return materialized(spark, "sales", sf_dir, build_sales, partition_by="year")
 
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -368,7 +369,7 @@ def q_kpi_history_stream(spark, sf_dir):
     """KPI history from monthly parts maintained by a streaming aggregation over
     the written sales files (one availableNow run)."""
     s = sales(spark, sf_dir)
-    src = s.inputFiles()[0].rsplit("/", 1)[0]
+    src = materialized_path(spark, "sales", sf_dir)
     parts_dir, ckpt = _scratch(spark, "kpi_parts"), _scratch(spark, "kpi_parts_ckpt")
     _ks.update_monthly_parts(spark, src, s.schema, parts_dir, ckpt)
     return _ks.kpi_history_from_parts(spark.read.parquet(parts_dir), FIXTURE_TARGETS)
