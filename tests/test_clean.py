@@ -85,3 +85,16 @@ def test_filter_sales_empty_list_selects_nothing(spark):
     assert clean.filter_sales(df, [], None, None).count() == 0
     assert clean.filter_sales(df, [2020], ["East"], ["Tech"]).count() == 1
     assert clean.filter_sales(df).count() == 1
+
+
+def test_write_clean_csv_roundtrip(spark, tmp_path):
+    from ledgerlens.sources.files import write_clean
+    rows = [("o1", "c1", "S", "2024-01-05", "p", "CAT", "R", "Paris, FR", "3", "10.5", "0.1", "1", "0.5"),
+            ("o2", "c2", "S", "2023-12-31", "p", "cat", "R", None, "2", "4", None, "1", "0.5")]
+    cleaned = clean.clean_sales(raw_df(spark, rows))
+    path = write_clean(cleaned, os.path.join(str(tmp_path), "out"), "csv", "year")
+    back = spark.read.option("header", True).csv(path)
+    assert back.count() == 2
+    got = {r.order_id: r for r in back.collect()}
+    assert got["o1"]["city"] == "Paris, FR" and got["o2"]["city"] == "Unknown"
+    assert sorted(r.year for r in back.select(F.col("year").cast("int").alias("year")).collect()) == [2023, 2024]
