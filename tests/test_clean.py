@@ -98,3 +98,17 @@ def test_write_clean_csv_roundtrip(spark, tmp_path):
     got = {r.order_id: r for r in back.collect()}
     assert got["o1"]["city"] == "Paris, FR" and got["o2"]["city"] == "Unknown"
     assert sorted(r.year for r in back.select(F.col("year").cast("int").alias("year")).collect()) == [2023, 2024]
+
+
+def test_clean_sales_observations_match_audit(spark):
+    from ledgerlens.plans import queries as Q
+    raw = Q.raw(spark, "/root/testdata/sf0.001")
+    audit = {}
+    out = clean.clean_sales(raw, audit=audit)
+    out.write.format("noop").mode("overwrite").save()
+    got = {k: v.get["rows"] for k, v in audit.items()}
+    steps = {r.step: r for r in clean.cleaning_audit(raw).collect()}
+    assert got["typed"] == steps["handle_missing"].rows_before == 6068
+    assert got["after_missing"] == steps["handle_missing"].rows_after
+    assert got["after_dedup"] == steps["remove_duplicates"].rows_after
+    assert got["after_quality"] == steps["fix_quality_issues"].rows_after == 5865
