@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.exprs import money_sum, safe_div
-from ledgerlens.operators import eda
+from ledgerlens.functions.exprs import MONEY, RATIO, discount_tier_order, money_sum, safe_div
+from ledgerlens.sources.files import checkpoint_table
 from ledgerlens.operators.stats import top_n
 
 
@@ -24,16 +24,56 @@ def _row(df: DataFrame, no: int, name: str, subject: Column, subject2: Column, v
 
 
 def insights(df: DataFrame) -> DataFrame:
-    """Up to seven insight rows computed from the sales table."""
+    """Up to seven insight rows computed from the sales table.
+
+    All component aggregates (by month of year, region, category, product,
+    discount tier, customer, year, and the grand total) come from one
+    grouping-sets aggregation: one scan and one shuffle of the fact table
+    instead of seven. Sums are exact decimals, as in the single reports.
+    The grouped table is written once under the checkpoint folder.
+    """
+    keys = ["year", "month", "month_name", "region", "category", "product", "customer_id", "tier_order"]
+    sets = [["year", "month", "month_name"], ["region"], ["category"], ["product"], ["customer_id"],
+            ["tier_order"], ["year"], []]
+    src = df.select(*[c for c in keys if c != "tier_order"], "revenue", "order_id", "profit_margin",
+                    discount_tier_order("discount").alias("tier_order"))
+    # written once (its size is months + regions + categories + products + customers
+    # + tiers + years): each branch below filters on the grouping id, and a filter
+    # on grouping columns would otherwise be pushed below the aggregation, giving
+    # every branch its own scan of the fact table
+    g = checkpoint_table(
+        src.groupingSets(sets, *keys)
+        .agg(F.sum(F.col("revenue").cast(MONEY)).alias("rev"), F.count("order_id").alias("orders"),
+             F.sum(F.col("profit_margin").cast(RATIO)).alias("pm"), F.count("profit_margin").alias("pm_n"),
+             F.grouping_id().alias("gid")), "insight_parts")
+    full = (1 << len(keys)) - 1
+
+    def of(group: list[str]) -> DataFrame:
+        gid = full
+        for k in group:
+            gid -= 1 << (len(keys) - 1 - keys.index(k))
+        cond = F.col("gid") == gid
+        for k in group:
+            cond = cond & F.col(k).isNotNull()
+        return g.where(cond)
+
+    revenue = F.coalesce(F.col("rev").cast("double"), F.lit(0.0))
+    margin = F.try_divide(F.col("pm").cast("double"), F.col("pm_n").cast("double"))
+    monthly = (of(["year", "month", "month_name"]).groupBy("month", "month_name")
+               .agg((F.sum("rev").cast("double") / F.count(F.lit(1)).cast("double")).alias("avg_revenue")))
+    total = of([]).select(revenue.alias("_t")).select("_t").scalar()
+    top10 = top_n(of(["customer_id"]).select("customer_id", revenue.alias("total_revenue")),
+                  [F.col("total_revenue").desc(), F.col("customer_id")], 10)
+    concentration = top10.agg(money_sum("total_revenue").alias("top_revenue")).select(
+        "top_revenue", safe_div(F.col("top_revenue"), total).alias("top_share"))
     return insights_from(
-        monthly_avg=eda.monthly_avg_revenue(df),
-        regions=df.where(F.col("region").isNotNull()).groupBy("region")
-        .agg(money_sum("revenue").alias("revenue")),
-        categories=eda.category_performance(df),
-        products=eda.top_products(df, 1),
-        discounts=eda.discount_impact(df),
-        concentration=eda.customer_concentration(df, 10),
-        years=eda.yoy_growth(df))
+        monthly_avg=monthly,
+        regions=of(["region"]).select("region", revenue.alias("revenue")),
+        categories=of(["category"]).select("category", revenue.alias("revenue"), margin.alias("avg_margin")),
+        products=of(["product"]).select("product", revenue.alias("revenue"), F.col("orders")),
+        discounts=of(["tier_order"]).select("tier_order", margin.alias("avg_margin")),
+        concentration=concentration,
+        years=of(["year"]).select("year", revenue.alias("total_revenue")))
 
 
 def insights_from(monthly_avg: DataFrame, regions: DataFrame, categories: DataFrame, products: DataFrame,
