@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.exprs import half_up, money_sum, month_start, safe_div
 from ledgerlens.operators.stats import centered_moving_average
+from ledgerlens.sources.files import checkpoint_table
 
 
 def monthly_series(df: DataFrame) -> DataFrame:
@@ -71,7 +72,9 @@ def forecast(df: DataFrame, periods: int = 6) -> DataFrame:
     """History and ``periods`` future months: ds, actual, trend, seasonal,
     forecast, ci_lower, ci_upper. Future trend is the fitted line clipped at 0;
     the band is forecast * (1 -/+ sigma of residuals), lower clipped at 0."""
-    dec = decompose(monthly_series(df))
+    # the monthly series (one row per month) feeds five branches below; written
+    # once, so the fact table is aggregated once instead of once per branch
+    dec = decompose(checkpoint_table(monthly_series(df), "monthly_series"))
     idx = seasonal_index(dec).withColumn("_present", F.lit(True))
     fit = fit_trend(dec)
     st = dec.agg(F.max("ds").alias("last_ds"),
