@@ -168,24 +168,29 @@ def q_monthly_series(spark, sf_dir):
     return _fc.monthly_series(sales(spark, sf_dir))
 
 
+def series_table(spark, sf_dir):
+    """The monthly revenue series, written once per session (one row per month)."""
+    return materialized(spark, "monthly_series", sf_dir, lambda s, d: _fc.monthly_series(sales(s, d)))
+
+
 @register("centered_moving_average")
 def q_centered_moving_average(spark, sf_dir):
-    return _cma(_fc.monthly_series(sales(spark, sf_dir)), "y", "ds", 12, 6, "trend")
+    return _cma(series_table(spark, sf_dir), "y", "ds", 12, 6, "trend")
 
 
 @register("decompose")
 def q_decompose(spark, sf_dir):
-    return _fc.decompose(_fc.monthly_series(sales(spark, sf_dir)))
+    return _fc.decompose(series_table(spark, sf_dir))
 
 
 @register("seasonal_index")
 def q_seasonal_index(spark, sf_dir):
-    return _fc.seasonal_index(_fc.decompose(_fc.monthly_series(sales(spark, sf_dir))))
+    return _fc.seasonal_index(_fc.decompose(series_table(spark, sf_dir)))
 
 
 @register("fit_trend")
 def q_fit_trend(spark, sf_dir):
-    return _fc.fit_trend(_fc.decompose(_fc.monthly_series(sales(spark, sf_dir))))
+    return _fc.fit_trend(_fc.decompose(series_table(spark, sf_dir)))
 
 
 @register("forecast")
