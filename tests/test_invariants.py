@@ -71,3 +71,16 @@ def test_star_join_broadcasts_only_small_dimensions(spark):
     from ledgerlens.sources.tables import sales_from_star
     plan = _plan(sales_from_star(spark, SF))
     assert "SortMergeJoin" in plan or "BroadcastHashJoin" in plan
+
+
+def test_forecast_reads_the_written_series_not_the_facts(sales):
+    plan = _plan(forecast.forecast(sales, 6))
+    schemas = [line for line in plan.splitlines() if "ReadSchema" in line or "FileScan" in line]
+    assert schemas and all("revenue" not in line for line in schemas)
+
+
+def test_insights_scan_only_the_written_aggregates(sales):
+    from ledgerlens.operators.insights import insights
+    plan = _plan(insights(sales))
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert scans and all("profit_margin" not in line for line in scans)
