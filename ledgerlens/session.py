@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -38,24 +39,14 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     return spark
 
 
-def shuffle_partitions_for(shuffle_bytes: int, target_bytes: int = 512 << 20, minimum: int = 8,
-                           maximum: int = 50_000) -> int:
-    """Shuffle partition count so each reduce partition holds ~``target_bytes``.
-
-    Size it on the bytes that are shuffled (pruned columns of the star join),
-    not the raw input. The cap keeps map x reduce shuffle blocks manageable;
-    beyond it partitions just grow (and spill), they do not fail. AQE then
-    coalesces small partitions of later, much smaller aggregations.
-    """
-    return max(minimum, min(maximum, -(-int(shuffle_bytes) // int(target_bytes))))
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a local one only if unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared file system folder and
-    is used as is. Only when nothing is configured (tests, local runs) a fresh
-    folder under the system temp directory is made.
+    is used as is. When nothing is configured, a single-machine master
+    (``local``, ``local[N]``) gets a fresh folder under the system temp
+    directory; any other master raises, because executors would each write to
+    a disk that the others cannot read.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -63,6 +54,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
