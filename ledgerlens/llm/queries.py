@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, url_reputation
+from . import line_dedup, near_dup, url_reputation
 from .common import table
 
 #: (verdict, host, path)
@@ -25,4 +25,9 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-REGISTRY = {f.__name__: f for f in (op1_url_filters, op7_line_dedup)}
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dup.near_duplicates(docs, words=4, percent=80)
+
+
+REGISTRY = {f.__name__: f for f in (op1_url_filters, op7_line_dedup, op10_minhash_near_dedup)}
