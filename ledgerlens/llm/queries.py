@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, near_dup, url_reputation
+from . import length_hist, line_dedup, near_dup, packing, tokens, url_reputation
 from .common import table
 
 #: (verdict, host, path)
@@ -18,6 +18,10 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.filter_urls(table(spark, sf_dir, "pages"), labels, URL_RULES)
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokens.default_path(), capacity=2048)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.drop_common_lines(docs).select(
@@ -25,9 +29,15 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    histogram = length_hist.length_histogram(table(spark, sf_dir, "documents"), tokens.default_path())
+    return length_hist.with_sums(histogram)
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_dup.near_duplicates(docs, words=4, percent=80)
 
 
-REGISTRY = {f.__name__: f for f in (op1_url_filters, op7_line_dedup, op10_minhash_near_dedup)}
+REGISTRY = {f.__name__: f for f in (
+    op1_url_filters, op3_best_fit_packing, op7_line_dedup, op9_token_counts, op10_minhash_near_dedup)}

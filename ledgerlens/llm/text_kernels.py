@@ -81,6 +81,15 @@ def _group_hashes(group: list[bytes], kinds: np.ndarray, weight: np.ndarray) ->
     return mix(np.add.reduceat(weight[raw] * _PLACE[place & (_POSITIONS - 1)], starts)), bounds
 
 
+def place_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """Hashes of the given spans of a buffer; spans are ordered and do not overlap."""
+    size = (ends - starts).astype(np.int32)
+    stop = np.cumsum(size)
+    place = np.arange(stop[-1], dtype=np.int32) - np.repeat(stop - size, size).astype(np.int32)
+    at = np.repeat(starts.astype(np.int32), size) + place
+    return mix(np.add.reduceat(_BYTE[fold[raw[at]]] * _PLACE[place & (_POSITIONS - 1)], stop - size))
+
+
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of every run of ``n`` consecutive tokens (empty if there are fewer)."""
     m = len(hashes) - n + 1
