@@ -70,4 +70,14 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/
        n AS host_labelled, s AS host_good FROM r
 """
 
-Q = {"op1_url_filters": OP1, "op7_line_dedup": OP7}
+OP6 = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+           FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS m FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id <> m THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> m THEN m END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+"""
+
+Q = {"op1_url_filters": OP1, "op6_warc": OP6, "op7_line_dedup": OP7}

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import length_hist, line_dedup, near_dup, packing, tokens, url_reputation
-from .common import table
+from . import (length_hist, line_dedup, llr_rules, near_dup, packing, secret_scan, tokens, url_reputation,
+               warc)
+from .common import majority_labels, table
 
 #: (verdict, host, path)
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -22,6 +23,29 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokens.default_path(), capacity=2048)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    clean = majority_labels(labels, "toxic").where("label = 0").select("label_id")
+    trusted = majority_labels(labels, "quality").where("label = 1").join(clean, "label_id")
+    return llr_rules.judge(table(spark, sf_dir, "documents"), trusted)
+
+
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def count(rank: int):
+        return F.size(F.filter("base_spans", lambda s: s["rank"] == rank)).cast("long")
+
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+                        F.sha2(secret_scan.rendered(F.col("base_spans")), 256).alias("base_sha256"),
+                        secret_scan.rendered(F.col("all_spans")).alias("spans"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.drop_common_lines(docs).select(
@@ -40,4 +64,5 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {f.__name__: f for f in (
-    op1_url_filters, op3_best_fit_packing, op7_line_dedup, op9_token_counts, op10_minhash_near_dedup)}
+    op1_url_filters, op3_best_fit_packing, op4_quality_rules, op5_secret_scans, op6_warc, op7_line_dedup,
+    op9_token_counts, op10_minhash_near_dedup)}
