@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (length_hist, line_dedup, llr_rules, near_dup, packing, secret_scan, tokens, url_reputation,
-               warc)
+from . import (length_hist, line_dedup, llr_rules, near_dup, packing, quality_net, secret_scan, tokens,
+               url_reputation, warc)
 from .common import majority_labels, table
 
 #: (verdict, host, path)
@@ -19,6 +19,15 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.filter_urls(table(spark, sf_dir, "pages"), labels, URL_RULES)
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = majority_labels(table(spark, sf_dir, "labels"), "quality")
+    model = quality_net.train(docs, labels.where(~quality_net.held_out(F.col("label_id"))))
+    return quality_net.scored(docs, model).select(
+        "doc_id", quality_net.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= quality_net.ACCEPT).cast("int").alias("predicted"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokens.default_path(), capacity=2048)
 
@@ -64,5 +73,5 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {f.__name__: f for f in (
-    op1_url_filters, op3_best_fit_packing, op4_quality_rules, op5_secret_scans, op6_warc, op7_line_dedup,
+    op1_url_filters, op2_quality_classifier, op3_best_fit_packing, op4_quality_rules, op5_secret_scans, op6_warc, op7_line_dedup,
     op9_token_counts, op10_minhash_near_dedup)}
