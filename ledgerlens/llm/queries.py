@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (length_hist, line_dedup, llr_rules, near_dup, packing, quality_net, secret_scan, tokens,
-               url_reputation, warc)
+from . import (decontam, length_hist, line_dedup, llr_rules, near_dup, packing, quality_net, secret_scan,
+               tokens, url_reputation, warc)
 from .common import majority_labels, table
 
 #: (verdict, host, path)
@@ -62,6 +62,13 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.with_matches(docs, table(spark, sf_dir, "benchmark"), name="found")
+    return found.select("doc_id", (F.size("found") > 0).alias("contaminated"),
+                        F.sort_array("found.item_id").alias("item_ids"), F.get("found.score", 0).alias("best_score"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     histogram = length_hist.length_histogram(table(spark, sf_dir, "documents"), tokens.default_path())
     return length_hist.with_sums(histogram)
@@ -73,5 +80,5 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {f.__name__: f for f in (
-    op1_url_filters, op2_quality_classifier, op3_best_fit_packing, op4_quality_rules, op5_secret_scans, op6_warc, op7_line_dedup,
-    op9_token_counts, op10_minhash_near_dedup)}
+    op1_url_filters, op2_quality_classifier, op3_best_fit_packing, op4_quality_rules, op5_secret_scans, op6_warc,
+    op7_line_dedup, op8_benchmark_decontamination, op9_token_counts, op10_minhash_near_dedup)}
