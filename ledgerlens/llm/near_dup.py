@@ -14,12 +14,13 @@ of 1e-5 at most, see ``shared_floor``), which gives three steps:
    values share one of those left. Frequent passages so drop out of the lists
    of documents that hold more than the passage;
 3. candidates from the lists: a pair is taken in the list of its smallest common
-   value only, must pass the length bound and the estimate from the sketch of
-   the union, and is verified on full sets. First a few pivots of each list are
+   value only, must pass the bounds and the estimate from the sketch of the
+   union, and is verified on full sets. First a few pivots of each list are
    compared with its members; what that joins into components need not be
    compared again. Last, in every list that still holds several components,
    every member outside the largest one is compared with all members of other
-   components, so no link is lost.
+   components, so no link is lost; there the full sets go into the join, which
+   hands on verified links only.
 
 Large lists are never gathered in one task: pivots are partial minima and lists
 meet in joins that AQE splits.
@@ -128,19 +129,21 @@ def _private(values: DataFrame) -> DataFrame:
 
 
 def survivors(docs: DataFrame, reps: DataFrame, words: int, percent: int, floor_shared: int) -> DataFrame:
-    """(rid, n, values) of the representatives that can have a partner, by step 1."""
+    """(rid, n, shared, values) of the representatives that can have a partner, by step 1;
+    ``shared`` counts the values that some other candidate has too."""
     private = _private(reps.select("rid", F.explode("sketch").alias("value")))
     kept = F.size("sketch") - F.coalesce("private", F.lit(0))
     first = reps.join(private, "rid", "left").where(kept >= least_shared(F.size("sketch"), percent, floor_shared))
     sets = full_sets(docs, first.select("rid", "doc_id", "node"), words)
     private = _private(sets.select("rid", F.explode("values").alias("value")))
-    left = sets.join(private, "rid", "left").where(
-        100 * (F.col("n") - F.coalesce("private", F.lit(0))) >= percent * F.col("n"))
-    return written(left.select("rid", "n", "values"), "near-survivors")
+    left = sets.join(private, "rid", "left").withColumn("shared", F.col("n") - F.coalesce("private", F.lit(0)))
+    return written(left.where(100 * F.col("shared") >= percent * F.col("n")).select("rid", "n", "shared", "values"),
+                   "near-survivors")
 
 
 def postings(sets: DataFrame, k: int, percent: int, floor_shared: int) -> DataFrame:
-    """(value, rid, n, pre, sketch): the inverted lists of step 2; ``pre`` are a sketch's listed values."""
+    """(value, rid, n, shared, central, pre, sketch): the inverted lists of step 2. ``pre`` are a sketch's
+    listed values, ``central`` adds up how many sketches its values are in."""
     rows = sets.select("rid", F.explode(F.slice("values", 1, k)).alias("value"))
     shared = rows.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     ordered = rows.join(shared, "value").groupBy("rid").agg(
@@ -148,32 +151,37 @@ def postings(sets: DataFrame, k: int, percent: int, floor_shared: int) -> DataFr
     size = F.least(F.col("n"), F.lit(k))
     length = size - least_shared(size, percent, floor_shared) + 1 - (size - F.size("own"))
     pre = F.when(length > 0, F.slice("own.value", F.lit(1), F.greatest(length, F.lit(1))))
-    out = (sets.join(ordered, "rid").select("rid", "n", F.slice("values", 1, k).alias("sketch"), pre.alias("pre"))
+    central = F.aggregate("own", F.lit(0).cast("long"), lambda s, x: s + x["df"])
+    out = (sets.join(ordered, "rid").select("rid", "n", "shared", central.alias("central"),
+                                            F.slice("values", 1, k).alias("sketch"), pre.alias("pre"))
            .where(F.col("pre").isNotNull()))
-    return out.select(F.explode("pre").alias("value"), "rid", "n", "pre", "sketch")
+    return out.select(F.explode("pre").alias("value"), "rid", "n", "shared", "central", "pre", "sketch")
 
 
 def _similar(k: int, percent: int, floor_shared: int) -> Column:
-    """Of a pair (a, b) met in list ``value``: right list, length bound, union-sketch estimate."""
+    """Of a pair (a, b) met in list ``value``: right list, bounds, union-sketch estimate. What both
+    share is at most what either shares with anyone, which bounds the similarity from above."""
     na, nb = F.col("a.n"), F.col("b.n")
-    union = F.slice(F.array_sort(F.array_union("a.sketch", "b.sketch")), 1, k)
+    most = F.least("a.shared", "b.shared")
+    union = F.slice(F.sort_array(F.array_union("a.sketch", "b.sketch")), 1, k)
     shared = F.size(F.array_intersect(union, F.array_intersect("a.sketch", "b.sketch")))
-    return ((100 * F.least(na, nb) >= percent * F.greatest(na, nb))
+    return ((100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (100 * most >= percent * (na + nb - most))
             & (F.array_min(F.array_intersect("a.pre", "b.pre")) == F.col("a.value"))
             & (shared >= least_shared(F.size(union), percent, floor_shared)))
 
 
 def candidates(lists: DataFrame, similar: Column, pivots: int | None) -> DataFrame:
     """(a, b) pairs across components; ``lists`` are postings with ``comp``. With ``pivots`` only
-    as many members of each list ask; without, all members outside the list's largest component."""
+    as many members of each list ask, those in the middle of their groups; without, all members
+    outside the list's largest component, and ``lists`` may have further columns for ``similar``."""
     live = (lists.groupBy("value", "comp").agg(F.count("*").alias("c")).groupBy("value")
             .agg(F.max(F.struct("c", "comp")).alias("big"), F.count("*").alias("comps"))
             .where("comps > 1").select("value", F.col("big.comp").alias("big")))
     asks = lists.join(live, "value").where("comp <> big")
     if pivots:
-        row = F.struct(F.xxhash64("rid").alias("h"), "rid", "n", "comp", "pre", "sketch", "big")
+        row = F.struct("central", F.xxhash64("rid").alias("h"), "rid", "n", "shared", "comp", "pre", "sketch", "big")
         asks = asks.groupBy("value", F.pmod(F.xxhash64("rid"), F.lit(pivots)).alias("slot")).agg(
-            F.min(row).alias("p")).select("value", "p.*")
+            F.max(row).alias("p")).select("value", "p.*")
     cross = (F.col("a.comp") != F.col("b.comp")) & ((F.col("b.comp") == F.col("a.big")) | (F.col("a.rid") < F.col("b.rid"))
                                                     | F.lit(bool(pivots)))
     met = asks.alias("a").join(lists.alias("b"), (F.col("a.value") == F.col("b.value")) & cross & similar)
@@ -189,6 +197,12 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         100 * inter >= percent * (F.col("na") + F.col("nb") - inter)).select("a", "b")
 
 
+def unsettled(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """The lists that hold several components, with their members' full sets."""
+    open_ = lists.groupBy("value").agg((F.min("comp") < F.max("comp")).alias("open")).where("open").select("value")
+    return lists.join(open_, "value", "left_semi").join(sets.select("rid", "values"), "rid")
+
+
 def link(sets: DataFrame, k: int, percent: int, floor_shared: int, pivots: int, rounds: int) -> DataFrame:
     """(node, root) over the representatives with a verified link, by steps 2 and 3."""
     lists = written(postings(sets, k, percent, floor_shared), "near-postings")
@@ -197,8 +211,12 @@ def link(sets: DataFrame, k: int, percent: int, floor_shared: int, pivots: int,
     for asked in [pivots] * rounds + [None]:
         comp = lists.join(roots.toDF("rid", "comp"), "rid", "left").withColumn(
             "comp", F.coalesce("comp", "rid")) if roots is not None else lists.withColumn("comp", F.col("rid"))
-        pairs = written(candidates(comp, similar, asked), "near-pairs")
-        found = verified(pairs, sets, percent)
+        if asked:
+            found = verified(written(candidates(comp, similar, asked), "near-pairs"), sets, percent)
+        else:
+            both = F.size(F.array_intersect("a.values", "b.values"))
+            exact = 100 * both >= percent * (F.col("a.n") + F.col("b.n") - both)
+            found = candidates(unsettled(comp, sets), similar & exact, None)
         links = written(found if links is None else links.union(found), "near-links")
         roots = connected_components(links)
     return roots
