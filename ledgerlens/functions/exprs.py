@@ -8,8 +8,12 @@ Numeric policy
 * ``half_up(x, n)`` rounds half away from -inf as ``floor(x*10^n + 0.5)/10^n``.
   It gives the same bits in Spark and in an SQL oracle (``round`` does not:
   the engines break ties of computed doubles differently).
-* Money is summed exactly as ``decimal(18,2)`` and returned as ``double``; the
-  result does not depend on partitioning or summation order.
+  Where a double has no digits left below the ``n``-th decimal (``|x|*10^n``
+  of 2^53 or more), and for infinities and NaN, the value is returned as it is.
+* Money is summed exactly as ``decimal(38,6)`` and returned as ``double``; the
+  result does not depend on partitioning or summation order. Amounts that a
+  decimal cannot hold (infinite, NaN, 10^32 or more) count as missing; cleaning
+  already turns non-finite input into nulls, where the null rule sees it.
 * Division always goes through ``try_divide`` (ANSI mode raises on ``x/0``).
 """
 
@@ -20,8 +24,9 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.constants import DISCOUNT_TIERS
 
-MONEY = "decimal(18,2)"   # money values carry two decimals
-RATIO = "decimal(18,4)"   # profit margins carry four decimals
+MONEY = "decimal(38,6)"   # money amounts and their sums, to a millionth
+RATIO = "decimal(38,8)"   # profit margins and discounts
+EXACT = float(2 ** 53)    # from here on a double is a whole number
 
 
 def _c(c) -> Column:
@@ -31,7 +36,9 @@ def _c(c) -> Column:
 def half_up(c, n: int = 2) -> Column:
     """Round to ``n`` decimals, ties upwards: ``floor(x*10^n + 0.5) / 10^n``."""
     scale = float(10 ** n)
-    return F.floor(_c(c) * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+    c = _c(c).cast("double")
+    return F.when(F.abs(c) * F.lit(scale) < F.lit(EXACT),
+                  F.floor(c * F.lit(scale) + F.lit(0.5)) / F.lit(scale)).otherwise(c)
 
 
 def money(c) -> Column:
@@ -39,15 +46,19 @@ def money(c) -> Column:
     return half_up(c, 2)
 
 
+def exact(c, dtype: str = MONEY) -> Column:
+    """An amount as a decimal; null where it does not fit."""
+    return _c(c).try_cast(dtype)
+
+
 def money_sum(c) -> Column:
-    """Exact sum of a 2-decimal amount as double; all-null sums to 0.0 (pandas rule)."""
-    return F.coalesce(F.sum(_c(c).cast(MONEY)).cast("double"), F.lit(0.0))
+    """Exact sum of an amount as double; all-null sums to 0.0 (pandas rule)."""
+    return F.coalesce(F.sum(exact(c)).cast("double"), F.lit(0.0))
 
 
 def exact_avg(c, dtype: str = MONEY) -> Column:
-    """Mean of a fixed-decimal column, summed exactly; null when no values."""
-    return F.try_divide(F.sum(_c(c).cast(dtype)).cast("double"),
-                        F.count(_c(c)).cast("double"))
+    """Mean of a column, summed exactly; null when no values."""
+    return F.try_divide(F.sum(exact(c, dtype)).cast("double"), F.count(exact(c, dtype)).cast("double"))
 
 
 def money_avg(c) -> Column:
@@ -59,18 +70,25 @@ def safe_div(a, b) -> Column:
     return F.try_divide(_c(a), F.nullif(_c(b), F.lit(0)))
 
 
-def nan_to_null(c) -> Column:
-    """NaN -> null after a numeric cast (``try_cast('NaN' as double)`` is NaN)."""
+def finite_or_null(c) -> Column:
+    """NaN and infinities -> null after a numeric cast (both parse from text)."""
     c = _c(c)
-    return F.when(~F.isnan(c), c)
+    return F.when(F.abs(c) < F.lit(float("inf")), c)
 
 
 def whole_number(c) -> Column:
     """A string parsed as a whole number; fractions, NaN, inf, junk -> null."""
-    d = nan_to_null(_c(c).try_cast("double"))
+    d = finite_or_null(_c(c).try_cast("double"))
     return F.when((d == F.floor(d)) & (F.abs(d) < F.lit(1e18)), d.cast("bigint"))
 
 
+def title_case(c) -> Column:
+    """Capital at the start of every run of letters, small letters after it
+    ("office-supplies o'neil" -> "Office-Supplies O'Neil")."""
+    runs = F.regexp_extract_all(_c(c), F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
+    return F.array_join(F.transform(runs, F.initcap), "")
+
+
 def discount_tier(c="discount") -> Column:
     """Tier label for right-closed bins; outside or null -> null."""
     c = _c(c)

@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.constants import HISTOGRAM_BINS, HISTOGRAM_CLIP_QUANTILE
 from ledgerlens.functions.exprs import (
-    RATIO, discount_tier, discount_tier_order, exact_avg, half_up, money_avg, money_sum,
+    RATIO, discount_tier, discount_tier_order, exact, exact_avg, half_up, money_avg, money_sum,
     month_start, safe_div,
 )
 from ledgerlens.operators.stats import (
-    SMALL_PERCENTILE_ROWS, bin_edges, equal_width_bins, exact_percentiles, share_of_total, top_n,
+    bin_edges, equal_width_bins, percentiles_of, share_of_total, top_n, value_ranks,
 )
+from ledgerlens.sources.files import checkpoint_table
 
 
 def _keyed(df: DataFrame, *keys: str) -> DataFrame:
@@ -30,12 +31,6 @@ def _keyed(df: DataFrame, *keys: str) -> DataFrame:
     return df.where(cond)
 
 
-def _top1(df: DataFrame, key: str, measure: str = "revenue"):
-    """Scalar subquery: the key with the largest money sum (ties -> smallest key)."""
-    g = _keyed(df, key).groupBy(key).agg(money_sum(measure).alias("_v"))
-    return g.orderBy(F.col("_v").desc(), F.col(key).asc()).limit(1).select(key).scalar()
-
-
 def _top_keys(df: DataFrame, keys: list[str], measure: str = "revenue"):
     """Scalar struct: for each key column, the value with the largest money sum
     of ``measure`` (ties -> smallest value). One grouping-sets aggregation for
@@ -155,24 +150,22 @@ def segment_analysis(df: DataFrame) -> DataFrame:
 def monthly_avg_revenue(df: DataFrame) -> DataFrame:
     """Revenue per (year, month), then the mean over the years present; calendar order."""
     ym = (_keyed(df, "year", "month", "month_name").groupBy("year", "month", "month_name")
-          .agg(F.sum(F.col("revenue").cast("decimal(18,2)")).alias("_rev")))
+          .agg(F.sum(exact("revenue")).alias("_rev")))
     return (ym.groupBy("month", "month_name")
             .agg((F.sum("_rev").cast("double") / F.count(F.lit(1)).cast("double")).alias("avg_revenue"))
             .orderBy("month"))
 
 
-def region_values(df: DataFrame) -> list[str]:
-    """Sorted distinct regions (a small dimension) for the pivot's value list."""
-    return sorted(r[0] for r in _keyed(df, "region").select("region").distinct().collect())
-
-
 def heatmap_data(df: DataFrame, regions: list[str] | None = None) -> DataFrame:
     """Revenue by month (rows, calendar order, only months present) x region
-    (columns), missing cells 0. A conditional aggregation: one shuffle on month."""
-    regions = region_values(df) if regions is None else regions
-    d = _keyed(df, "month", "month_name", "region")
-    aggs = [money_sum(F.when(F.col("region") == r, F.col("revenue"))).alias(r) for r in regions]
-    return d.groupBy("month", "month_name").agg(*aggs).orderBy("month")
+    (columns), missing cells 0. The facts are aggregated once to month x region;
+    where ``regions`` is not given, the column names come from that small table."""
+    cells = checkpoint_table(_keyed(df, "month", "month_name", "region").groupBy("month", "month_name", "region")
+                             .agg(money_sum("revenue").alias("revenue")), "heatmap_cells")
+    if regions is None:
+        regions = sorted(r[0] for r in cells.select("region").distinct().collect())
+    aggs = [F.coalesce(F.max(F.when(F.col("region") == r, F.col("revenue"))), F.lit(0.0)).alias(r) for r in regions]
+    return cells.groupBy("month", "month_name").agg(*aggs).orderBy("month")
 
 
 def discount_impact(df: DataFrame) -> DataFrame:
@@ -192,55 +185,45 @@ def order_value_distribution(df: DataFrame) -> DataFrame:
 
 
 def order_histogram(df: DataFrame, bins: int = HISTOGRAM_BINS,
-                    clip: float = HISTOGRAM_CLIP_QUANTILE,
-                    small_rows: int | None = SMALL_PERCENTILE_ROWS) -> DataFrame:
+                    clip: float = HISTOGRAM_CLIP_QUANTILE) -> DataFrame:
     """Histogram of revenue clipped at its ``clip`` quantile: ``bins`` equal
     bins over [min, max] of the kept values (all bins, zeros included), with the
     mean and median of the kept values on every row.
 
-    Quantiles are exact. Inputs within ``small_rows`` (size-checked) use
-    Spark's ``percentile`` aggregate, and the kept rows' min, max, mean and
-    median come from one aggregation; larger inputs use the sketch-and-bracket
-    plan of ``exact_percentiles``.
+    The facts are read once, into ranked value counts (``value_ranks``): clip
+    value, range, mean, median and bins all come from that table, by the same
+    plan at every size. Kept values keep their ranks, so the median needs no
+    second ranking.
     """
-    rev = df.select("revenue").where(F.col("revenue").isNotNull())
-    n_rev = rev.count()
-    small = small_rows is not None and n_rev <= small_rows
-    # the clip value is a 1-row table: joined by condition (broadcast, exactly one row)
-    if small:
-        cap = rev.agg(F.percentile("revenue", F.lit(float(clip))).alias("cap"))
-    else:
-        cap = exact_percentiles(rev, "revenue", [clip], small_rows=None, known_rows=n_rev) \
-            .select(F.col("q0").alias("cap"))
-    kept = rev.join(F.broadcast(cap), F.col("revenue") <= F.col("cap")).select("revenue", "cap")
-    parts = [F.min("revenue").alias("lo"), F.max("revenue").alias("hi"),
-             money_avg("revenue").alias("mean"), F.max("cap").alias("cap")]
-    if small:
-        st = kept.agg(F.struct(*parts, F.percentile("revenue", F.lit(0.5)).alias("median"))).scalar()
-    else:
-        med = exact_percentiles(kept, "revenue", [0.5], small_rows=None, known_rows=n_rev).select(F.col("q0"))
-        st = kept.agg(F.struct(*parts)).scalar()
-        st = F.struct(st.getField("lo").alias("lo"), st.getField("hi").alias("hi"),
-                      st.getField("mean").alias("mean"), st.getField("cap").alias("cap"),
-                      med.scalar().alias("median"))
-    spine = (kept.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-             .select("bin", st.alias("st")))
+    ranks = checkpoint_table(value_ranks(df, ["revenue"]), "revenue_ranks")
+    cap = percentiles_of(ranks, [(0, clip)]).scalar()
+    kept = ranks.where(F.col("value") <= cap)
+    amount = F.sum(exact("value") * F.col("c")).cast("double")
+    st = kept.agg(F.struct(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("c").alias("n"),
+                           (amount / F.sum("c").cast("double")).alias("mean"))).scalar()
+    median = percentiles_of(kept.withColumn("n", st.getField("n")), [(0, 0.5)]).scalar()
     lo, hi = F.col("st.lo"), F.col("st.hi")
-    counts = (kept.select("revenue", st.alias("st"))
-              .select(equal_width_bins(F.col("revenue"), lo, hi, bins).alias("bin"))
-              .groupBy("bin").agg(F.count(F.lit(1)).alias("orders")))
+    counts = (kept.select("value", "c", st.alias("st"))
+              .groupBy(equal_width_bins(F.col("value"), lo, hi, bins).alias("bin")).agg(F.sum("c").alias("orders")))
+    spine = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"), st.alias("st"),
+                                               cap.alias("cap"), median.alias("median"))
     lower, upper = bin_edges(lo, hi, F.col("bin"), bins)
     return (spine.join(counts, "bin", "left")
             .where(lo.isNotNull())
             .select("bin", lower.alias("bin_lower"), upper.alias("bin_upper"),
                     F.coalesce("orders", F.lit(0)).cast("bigint").alias("orders"),
-                    F.col("st.cap").alias("clip_value"), F.col("st.mean").alias("mean_value"),
-                    F.col("st.median").alias("median_value"))
+                    F.col("cap").alias("clip_value"), F.col("st.mean").alias("mean_value"),
+                    F.col("median").alias("median_value"))
             .orderBy("bin"))
 
 
 def customer_concentration(df: DataFrame, n: int = 10) -> DataFrame:
-    top = top_customers(df, n).agg(money_sum("total_revenue").alias("top_revenue"))
-    total = df.agg(money_sum("revenue").alias("_t")).select("_t").scalar()
+    """Revenue of the top ``n`` customers and its share of all revenue; one
+    aggregate per customer (rows without one included), written once."""
+    each = checkpoint_table(df.groupBy("customer_id").agg(
+        F.sum(exact("revenue")).alias("revenue")), "customer_revenue")
+    total = each.agg(F.coalesce(F.sum("revenue").cast("double"), F.lit(0.0))).scalar()
+    top = top_n(_keyed(each, "customer_id"), [F.col("revenue").desc_nulls_last(), F.col("customer_id")], n).agg(
+        F.coalesce(F.sum("revenue").cast("double"), F.lit(0.0)).alias("top_revenue"))
     return top.select("top_revenue", total.alias("total_revenue"),
                       safe_div(F.col("top_revenue"), total).alias("top_share"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.exprs import MONEY, RATIO, discount_tier_order, money_sum, safe_div
+from ledgerlens.functions.exprs import RATIO, discount_tier_order, exact, money_sum, safe_div
 from ledgerlens.sources.files import checkpoint_table
 from ledgerlens.operators.stats import top_n
 
@@ -43,8 +43,8 @@ def insights(df: DataFrame) -> DataFrame:
     # every branch its own scan of the fact table
     g = checkpoint_table(
         src.groupingSets(sets, *keys)
-        .agg(F.sum(F.col("revenue").cast(MONEY)).alias("rev"), F.count("order_id").alias("orders"),
-             F.sum(F.col("profit_margin").cast(RATIO)).alias("pm"), F.count("profit_margin").alias("pm_n"),
+        .agg(F.sum(exact("revenue")).alias("rev"), F.count("order_id").alias("orders"),
+             F.sum(exact("profit_margin", RATIO)).alias("pm"), F.count("profit_margin").alias("pm_n"),
              F.grouping_id().alias("gid")), "insight_parts")
     full = (1 << len(keys)) - 1
 
@@ -121,39 +121,37 @@ def insights_from(monthly_avg: DataFrame, regions: DataFrame, categories: DataFr
     return out.orderBy("no")
 
 
+def _shown(text: Column) -> Column:
+    return F.coalesce(text, F.lit("n/a"))
+
+
 def _money(c: Column) -> Column:
-    return F.concat(F.lit("$"), F.format_number(c, 0))
+    return _shown(F.concat(F.lit("$"), F.format_number(c, 0)))
 
 
 def _pct(c: Column) -> Column:
-    return F.concat(F.format_number(c * 100, 1), F.lit("%"))
+    return _shown(F.concat(F.format_number(c * 100, 1), F.lit("%")))
 
 
 def insight_text(ins: DataFrame) -> DataFrame:
-    """(no, text): the recommendation sentence for each insight row."""
-    s, s2, v, v2 = F.col("subject"), F.col("subject2"), F.col("value"), F.col("value2")
+    """(no, text): one sentence with a suggestion for each insight row; missing values show as n/a."""
+    s, s2, v, v2 = _shown(F.col("subject")), _shown(F.col("subject2")), F.col("value"), F.col("value2")
     n = F.col("no")
+
+    def line(*parts) -> Column:
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
     text = (
-        F.when(n == 1, F.concat(F.lit("INSIGHT 1 – Peak Month: '"), s, F.lit(
-            "' records the highest average revenue. Recommendation: Scale up inventory, marketing spend, "
-            "and support staff in the weeks leading up to "), s, F.lit(".")))
-        .when(n == 2, F.concat(F.lit("INSIGHT 2 – Region Performance: '"), s, F.lit("' leads with "), _money(v),
-                               F.lit(" in revenue. '"), s2, F.lit("' is the weakest at "), _money(v2),
-                               F.lit(". Recommendation: Investigate low-performing region's logistics and lead generation.")))
-        .when(n == 3, F.concat(F.lit("INSIGHT 3 – Best Margin Category: '"), s,
-                               F.lit("' has the highest avg profit margin ("), _pct(v),
-                               F.lit("). Recommendation: Prioritise this category in upselling and cross-selling campaigns.")))
-        .when(n == 4, F.concat(F.lit("INSIGHT 4 – Top Product: '"), s, F.lit("' generates "), _money(v),
-                               F.lit(" revenue across "), F.format_number(v2, 0),
-                               F.lit(" orders. Recommendation: Ensure consistent stock availability and consider bundling.")))
-        .when(n == 5, F.concat(F.lit("INSIGHT 5 – Discount Impact: Orders with 21–30% discount have "), _pct(v),
-                               F.lit(" lower profit margins than non-discounted orders. "
-                                     "Recommendation: Cap discounts at 10% unless clearing overstock.")))
-        .when(n == 6, F.concat(F.lit("INSIGHT 6 – Customer Concentration: Top 10 customers account for "), _pct(v),
-                               F.lit(" of total revenue ("), _money(v2),
-                               F.lit("). Recommendation: Build a VIP retention programme for these accounts.")))
-        .when(n == 7, F.concat(F.lit("INSIGHT 7 – YoY Growth: Revenue grew "), _pct(v), F.lit(" from "), s,
-                               F.lit(" to "), s2, F.lit(". Recommendation: "),
-                               F.when(v > 0, F.lit("Accelerate growth with paid acquisition."))
-                               .otherwise(F.lit("Audit customer churn and pricing strategy.")))))
+        F.when(n == 1, line("1. Peak month: ", s, " earns the most on average. Plan stock, campaigns and staff for it."))
+        .when(n == 2, line("2. Regions: ", s, " comes first with ", _money(v), ", ", s2, " last with ", _money(v2),
+                           ". Look into delivery and demand in the last one."))
+        .when(n == 3, line("3. Margin: ", s, " has the best mean margin, ", _pct(v), ". Put it first in cross-selling."))
+        .when(n == 4, line("4. Product: ", s, " brings in ", _money(v), " with ", _shown(F.format_number(v2, 0)),
+                           " orders. Keep it in stock."))
+        .when(n == 5, line("5. Discounts: margins of the highest tier are ", _pct(v),
+                           " below those without discount. Keep discounts low outside clearances."))
+        .when(n == 6, line("6. Customers: the top 10 make ", _pct(v), " of revenue, ", _money(v2),
+                           ". Look after these accounts."))
+        .when(n == 7, line("7. Growth: revenue changed by ", _pct(v), " from ", s, " to ", s2, ". ",
+                           F.when(v > 0, "Invest in new customers.").otherwise("Check prices and lost customers."))))
     return ins.select("no", text.alias("text")).orderBy("no")

@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.constants import KPI_CONFIG, KPI_KEYS
-from ledgerlens.functions.exprs import RATIO, exact_avg, money_avg, money_sum, safe_div
+from ledgerlens.functions.exprs import RATIO, exact, exact_avg, money_avg, money_sum, safe_div
 
-DISCOUNT = "decimal(20,8)"
+DISCOUNT = "decimal(38,8)"
 
 
 def kpi_config(targets: dict[str, float] | None = None) -> list[tuple]:
@@ -27,10 +27,16 @@ def kpi_config(targets: dict[str, float] | None = None) -> list[tuple]:
 def compute_kpis(df: DataFrame, window_months: int = 3) -> DataFrame:
     """One row: the five KPIs over rows with date >= max(date) - window_months
     (calendar months, inclusive). Totals are divided by the number of distinct
-    months present in that range (at least 1)."""
-    latest = df.agg(F.max("date")).scalar()
-    recent = (df.select("date", "year_month", "revenue", "profit_margin", "discount", latest.alias("_latest"))
-              .where(F.col("date") >= F.add_months("_latest", -window_months)))
+    months present in that range (at least 1).
+
+    The window's start is fixed first, from a scan of the ``date`` column alone,
+    so that the main scan gets it as a literal: with a ``year`` column (the written
+    tables are partitioned by it) older folders are not read at all.
+    """
+    start = df.agg(F.add_months(F.max("date"), -window_months)).first()[0]
+    recent = df.where(F.col("date") >= F.lit(start)) if start else df.where(F.lit(False))
+    if start and "year" in df.columns:
+        recent = recent.where(F.col("year") >= F.lit(start.year))
     n = F.greatest(F.count_distinct("year_month"), F.lit(1)).cast("double")
     return recent.agg(
         (money_sum("revenue") / n).alias("monthly_revenue"),
@@ -80,23 +86,24 @@ def kpi_alert_counts(alerts: DataFrame) -> DataFrame:
 
 
 def kpi_display(alerts: DataFrame) -> DataFrame:
-    """Presentation strings: '$1,234.56', '12.3%', '1,234.5' by unit."""
+    """Presentation strings: '$1,234.56', '12.3%', '1,234.5' by unit; missing values show as n/a."""
     def fmt(c: Column) -> Column:
-        return (F.when(F.col("unit") == "$", F.concat(F.lit("$"), F.format_number(c, 2)))
+        return F.coalesce(F.when(F.col("unit") == "$", F.concat(F.lit("$"), F.format_number(c, 2)))
                 .when(F.col("unit") == "%", F.concat(F.format_number(c * 100, 1), F.lit("%")))
-                .otherwise(F.format_number(c, 1)))
+                .otherwise(F.format_number(c, 1)), F.lit("n/a"))
     return alerts.select("kpi_order", "key", "label", "status", fmt(F.col("value")).alias("display_value"),
                          fmt(F.col("target")).alias("display_target"),
-                         F.format_string("%+.1f%%", F.col("pct_vs_target")).alias("display_pct"))
+                         F.when(F.col("pct_vs_target").isNull(), "n/a").otherwise(
+                             F.format_string("%+.1f%%", F.col("pct_vs_target"))).alias("display_pct"))
 
 
 def monthly_kpi_parts(df: DataFrame) -> DataFrame:
     """Per month: exact sums and counts the trailing KPIs are built from."""
     return (df.where(F.col("year_month").isNotNull()).groupBy("year_month")
-            .agg(F.sum(F.col("revenue").cast("decimal(18,2)")).alias("rev"),
+            .agg(F.sum(exact("revenue")).alias("rev"),
                  F.count("revenue").alias("rev_n"), F.count(F.lit(1)).alias("rows"),
-                 F.sum(F.col("profit_margin").cast(RATIO)).alias("pm"), F.count("profit_margin").alias("pm_n"),
-                 F.sum(F.col("discount").cast(DISCOUNT)).alias("disc"), F.count("discount").alias("disc_n")))
+                 F.sum(exact("profit_margin", RATIO)).alias("pm"), F.count("profit_margin").alias("pm_n"),
+                 F.sum(exact("discount", DISCOUNT)).alias("disc"), F.count("discount").alias("disc_n")))
 
 
 def rolling_kpi_window(parts: DataFrame, months: int = 3) -> DataFrame:

@@ -5,7 +5,7 @@ Scaling notes
 * Per-customer values are one grouped aggregation (partially aggregated per
   task, so a customer with a third of all rows costs nothing extra).
 * Recency and monetary edges are exact quartiles from ``exact_percentiles``
-  (sketch + bracket), never a collect of all customers.
+  (ranked value counts), never a collect of all customers.
 * The frequency score needs ``rank(method='first')`` over all customers; it is
   ``global_row_number`` on (frequency, customer_id): range partitioning keeps
   every task bounded even when most customers share one frequency.
@@ -30,16 +30,21 @@ QUARTILES = [0.25, 0.5, 0.75]
 
 def rfm_values(df: DataFrame, snapshot_date: str | None = None) -> DataFrame:
     """customer_id, recency (days from last purchase to the snapshot),
-    frequency (rows), monetary (revenue). Snapshot defaults to max(date)+1."""
+    frequency (rows), monetary (revenue). Snapshot defaults to max(date)+1.
+
+    The per-customer aggregate is written once: the last date of all rows (those
+    without a customer too) comes from it, so the facts are scanned once.
+    """
+    g = (df.groupBy("customer_id")
+         .agg(F.max("date").alias("last_date"), F.count("order_id").alias("frequency"),
+              money_sum("revenue").alias("monetary")))
     if snapshot_date is None:
-        snap = df.agg(F.date_add(F.max("date"), 1)).scalar()
+        g = checkpoint_table(g, "rfm_customers")
+        snap = g.agg(F.date_add(F.max("last_date"), 1)).scalar()
     else:
         snap = F.to_date(F.lit(snapshot_date))
-    g = (df.where(F.col("customer_id").isNotNull()).groupBy("customer_id")
-         .agg(F.max("date").alias("last_date"), F.count("order_id").alias("frequency"),
-              money_sum("revenue").alias("monetary")))
-    return g.select("customer_id", F.datediff(snap, F.col("last_date")).alias("recency"),
-                    "frequency", "monetary")
+    return g.where(F.col("customer_id").isNotNull()).select(
+        "customer_id", F.datediff(snap, F.col("last_date")).alias("recency"), "frequency", "monetary")
 
 
 def quartile_edges(rfm: DataFrame, col: str):
@@ -48,10 +53,10 @@ def quartile_edges(rfm: DataFrame, col: str):
     return q.select(F.struct(*q.columns)).scalar()
 
 
-def rank_first(rfm: DataFrame, known_rows: int | None = None) -> DataFrame:
+def rank_first(rfm: DataFrame) -> DataFrame:
     """Rank 1..n by (frequency, customer_id): pandas ``rank(method='first')``
     on customers ordered by id."""
-    return global_row_number(rfm, ["frequency", "customer_id"], "f_rank", known_rows=known_rows)
+    return global_row_number(rfm, ["frequency", "customer_id"], "f_rank")
 
 
 def quantile_score(rfm: DataFrame, col: str = "monetary", reverse: bool = False) -> DataFrame:
@@ -66,11 +71,11 @@ def quantile_score(rfm: DataFrame, col: str = "monetary", reverse: bool = False)
 def rfm_scores(rfm: DataFrame) -> DataFrame:
     """Adds r_score (4 = most recent), f_score (by frequency rank), m_score,
     rfm_score ('rfm' digits) and rfm_total."""
-    n = rfm.count()   # customers: the f-score's n and the size check of both helpers
-    q = exact_percentiles_multi(rfm, [("recency", p) for p in QUARTILES] + [("monetary", p) for p in QUARTILES],
-                                known_rows=n)
+    q = exact_percentiles_multi(rfm, [("recency", p) for p in QUARTILES] + [("monetary", p) for p in QUARTILES])
     edges = q.select(F.struct(*q.columns)).scalar()
-    ranked = rank_first(rfm, known_rows=n).select("*", edges.alias("_e"), F.lit(n).cast("bigint").alias("_n"))
+    ranked = rank_first(rfm)
+    n = ranked.agg(F.count(F.lit(1))).scalar()
+    ranked = ranked.select("*", edges.alias("_e"), n.alias("_n"))
     r = score_by_edges(F.col("recency"), [F.col(f"_e.q{i}") for i in range(3)], reverse=True)
     m = score_by_edges(F.col("monetary"), [F.col(f"_e.q{i}") for i in range(3, 6)])
     f = rank_quartile_score(F.col("f_rank"), F.col("_n"))
@@ -99,10 +104,9 @@ def rfm_segments(scored: DataFrame) -> DataFrame:
 def compute_rfm(df: DataFrame, snapshot_date: str | None = None, materialize: bool = True) -> DataFrame:
     """Values, scores and segment for every customer.
 
-    The per-customer values feed five consumers (two size checks, the quartile
-    sketch and ranking passes, the frequency rank, the final scoring), so by
-    default they are written once under the checkpoint folder and read back:
-    the fact table is aggregated exactly once.
+    The per-customer values feed the quartiles, the frequency rank and the
+    scoring, so by default they are written once under the checkpoint folder and
+    read back: the fact table is aggregated exactly once.
     """
     values = rfm_values(df, snapshot_date)
     if materialize:
@@ -111,9 +115,8 @@ def compute_rfm(df: DataFrame, snapshot_date: str | None = None, materialize: bo
 
 
 def segment_actions(spark) -> DataFrame:
-    """The 11-row segment -> (description, action) table (fixed size: broadcast)."""
-    rows = [(k, v[0], v[1]) for k, v in SEGMENT_ACTIONS.items()]
-    return spark.createDataFrame(rows, "segment string, description string, action string")
+    """The 11-row segment -> action table (fixed size: broadcast)."""
+    return spark.createDataFrame(list(SEGMENT_ACTIONS.items()), "segment string, action string")
 
 
 def segment_summary(rfm: DataFrame) -> DataFrame:
@@ -122,7 +125,7 @@ def segment_summary(rfm: DataFrame) -> DataFrame:
               F.avg("recency").alias("_r"), F.avg("frequency").alias("_f"),
               money_avg("monetary").alias("_m"), money_sum("monetary").alias("total_revenue")))
     total = F.sum("customers").over(Window.partitionBy())
-    acts = F.broadcast(segment_actions(rfm.sparkSession).select("segment", "action"))
+    acts = F.broadcast(segment_actions(rfm.sparkSession))
     return (g.join(acts, "segment", "left")
             .select("segment", "customers",
                     half_up("_r", 0).cast("int").alias("avg_recency"),

@@ -4,9 +4,9 @@ quantile scores, centred moving averages and equal-width histograms.
 Two of them are global by nature and are written so that no task or driver
 ever holds the whole input:
 
-* ``exact_percentiles``: a sketch (``approx_percentile``) brackets each target
-  rank with a proven rank error, then only the values inside the bracket are
-  grouped and ranked exactly. Result equals linear-interpolation percentiles.
+* ``exact_percentiles``: rows collapse to distinct values with counts, which are
+  ranked in value ranges with offsets. Result equals linear-interpolation
+  percentiles, by the same plan at every size.
 * ``global_row_number``: range-partition on the sort key (balanced even when
   one key value is hot, because the key includes a unique tie-breaker), number
   rows inside each partition, and add the row counts of earlier partitions.
@@ -46,170 +46,87 @@ def interpolate(n: Column, p: float, v_lo: Column, v_hi: Column) -> Column:
             .otherwise((higher - pos) * v_lo + (pos - lower) * v_hi))
 
 
-# Sketch-and-bracket plan: target rows per exactly-ranked bracket, and the
-# largest sketch accuracy used to reach it (sketch memory grows with accuracy;
-# beyond ~3e11 rows the bracket grows past the target, ~6e-6 of the rows).
-MAX_BRACKET_ROWS = 2_000_000
-MAX_SKETCH_ACCURACY = 1_000_000
+def _numbered(df: DataFrame, order_cols: list[str], name: str) -> DataFrame:
+    """``df`` written in ranges of ``order_cols`` with its range number ``_pid``.
 
-# Inputs up to this many rows use Spark's exact ``percentile`` aggregate: its
-# buffer holds one counter per distinct value, so the row count bounds it.
-# Its final merge and sort run in one task, so beyond a few hundred thousand
-# distinct values the sketch-and-bracket plan is faster (measured locally).
-SMALL_PERCENTILE_ROWS = 200_000
+    The numbers are written with the rows, so that counts and numbering read the
+    same ranges (a re-run range exchange could sample differently) and a lost
+    executor re-reads files.
+    """
+    from ledgerlens.sources.files import checkpoint_table
+    return checkpoint_table(df.repartitionByRange(*order_cols).withColumn("_pid", F.spark_partition_id()), name)
 
 
-def exact_percentiles(df: DataFrame, col: str, probs: list[float], accuracy: int = 10000,
-                      prefix: str = "q", small_rows: int | None = SMALL_PERCENTILE_ROWS,
-                      known_rows: int | None = None) -> DataFrame:
-    """1-row DataFrame with columns ``{prefix}0..{prefix}k-1``: exact
-    linear-interpolation percentiles of ``col`` (see ``exact_percentiles_multi``)."""
-    return exact_percentiles_multi(df, [(col, p) for p in probs], accuracy, prefix, small_rows, known_rows)
-
-
-def exact_percentiles_multi(df: DataFrame, specs: list[tuple[str, float]], accuracy: int = 10000,
-                            prefix: str = "q", small_rows: int | None = SMALL_PERCENTILE_ROWS,
-                            known_rows: int | None = None) -> DataFrame:
-    """1-row DataFrame, one column ``{prefix}i`` per ``(column, probability)`` in
-    ``specs``: exact linear-interpolation percentiles (nulls and NaN ignored;
-    null when a column has no values). All specs share the same two scans.
-
-    Pass 1: per column, a count and one ``approx_percentile`` sketch queried at
-    ``p -/+ 3/accuracy`` (Spark's sketch has rank error <= n/accuracy).
-    Pass 2 (one scan, one shuffle): per spec every row is tagged below the
-    bracket ``[a, b]``, inside it, or above it; below/above rows collapse in the
-    map-side partial aggregation to a count plus their largest/smallest value,
-    inside rows (about ``6n/accuracy``) are grouped by value. The wanted ranks
-    floor/ceil((n-1)p) lie in the bracket or on one of its two neighbours, and
-    their values are picked from exact cumulative counts (a window over the
-    small grouped table). Should a rank ever be missed the query raises rather
-    than return a wrong value. The sketch subquery is referenced once, so the
-    plan stays linear in size.
-
-    Size check: with ``small_rows`` set, the input rows are counted first; up
-    to that bound Spark's exact ``percentile`` aggregate is used instead (one
-    job; same interpolation), beyond it the sketch-and-bracket plan above.
-    ``known_rows`` (the caller's row count of ``df``) skips the count. The
-    row count also sets the sketch accuracy so that each bracket stays near
-    ``MAX_BRACKET_ROWS`` rows.
+def value_ranks(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(j, value, c, start, end, n): per column ``cols[j]``, every distinct value with
+    its count, the ranks (from 0) that it takes, and the number of values. Nulls and
+    NaN are left out.
+
+    One scan of ``df``: rows collapse to (value, count) in a partial aggregation.
+    The distinct values are written in ranges; cumulative counts are taken inside a
+    range and shifted by the sums of the ranges before it (one row per range and
+    column). No task sees more than one range, at any size.
     """
-    cols = list(dict.fromkeys(c for c, _ in specs))
-    if small_rows is not None or known_rows is not None:
-        xs_small = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c)
-                               for c in cols])
-        rows = known_rows if known_rows is not None else xs_small.count()
-        if small_rows is not None and rows <= small_rows:
-            return xs_small.agg(*[F.percentile(F.col(c), F.lit(float(p))).alias(f"{prefix}{i}")
-                                  for i, (c, p) in enumerate(specs)])
-        # keep each exactly-ranked bracket (~6n/accuracy rows, one window task per spec)
-        # near MAX_BRACKET_ROWS by raising the sketch accuracy with n, up to its cap
-        accuracy = max(accuracy, min(MAX_SKETCH_ACCURACY, -(-6 * rows // MAX_BRACKET_ROWS)))
-    j_of = {c: j for j, c in enumerate(cols)}
-    x = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(f"x{j}")
-                    for j, c in enumerate(cols)])
-    any_value = F.lit(False)
-    for j in range(len(cols)):
-        any_value = any_value | F.col(f"x{j}").isNotNull()
-    x = x.where(any_value)
-    d = 3.0 / accuracy
-    per_col = {c: [i for i, (cc, _) in enumerate(specs) if cc == c] for c in cols}
-    sketches, pos_in = [], {}
-    for c in cols:
-        items = per_col[c]
-        bounds = [max(specs[i][1] - d, 0.0) for i in items] + [min(specs[i][1] + d, 1.0) for i in items]
-        for t, i in enumerate(items):
-            pos_in[i] = (t, len(items) + t)
-        sketches.append(F.approx_percentile(f"x{j_of[c]}", bounds, accuracy))
-    s1 = x.agg(F.struct(F.array(*[F.count(f"x{j}") for j in range(len(cols))]).alias("n"),
-                        F.array(*sketches).alias("ab"))).scalar()
-    xs = x.select("*", s1.alias("st"))
-
-    def col_of(i):
-        return F.col(f"x{j_of[specs[i][0]]}")
-
-    def a_of(i):
-        return F.col("st.ab")[j_of[specs[i][0]]][pos_in[i][0]]
-
-    def b_of(i):
-        return F.col("st.ab")[j_of[specs[i][0]]][pos_in[i][1]]
-
-    k = len(specs)
-    # every row, per spec: below the bracket (kind 0), inside (1, keeps its value) or above (2);
-    # below/above collapse to one row per spec in the map-side partial aggregation
-    tags = []
-    for i in range(k):
-        v, a, b = col_of(i), a_of(i), b_of(i)
-        kind = F.when(v < a, 0).when(v <= b, 1).otherwise(2)
-        tags.append(F.when(v.isNotNull(), F.struct(
-            F.lit(i).alias("pi"), kind.alias("kind"), F.when(kind == 1, v).alias("x"),
-            F.col("st.n")[j_of[specs[i][0]]].alias("n"), v.alias("v"))))
-    grouped = (xs.select(F.explode(F.array(*tags)).alias("t")).where(F.col("t").isNotNull()).select("t.*")
-               .groupBy("pi", "kind", "x", "n")
-               .agg(F.count(F.lit(1)).alias("c"), F.max("v").alias("vmax"), F.min("v").alias("vmin")))
-    w = Window.partitionBy("pi").orderBy("kind", "x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (grouped.withColumn("end", F.sum("c").over(w) - 1)
-              .withColumn("start", F.col("end") - F.col("c") + 1))
-    n, kd = F.col("n"), F.col("kind")
+    pairs = F.array(*[F.struct(F.lit(j).alias("j"), F.col(c).cast("double").alias("value")) for j, c in enumerate(cols)])
+    counts = (df.select(F.explode(pairs).alias("p")).select("p.*")
+              .where(F.col("value").isNotNull() & ~F.isnan("value"))
+              .groupBy("j", "value").agg(F.count(F.lit(1)).alias("c")))
+    ranged = _numbered(counts, ["j", "value"], "value_counts")
+    sums = ranged.groupBy("j", "_pid").agg(F.sum("c").alias("s"))
+    before = Window.partitionBy("j").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("j", "_pid", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("off"),
+                          F.sum("s").over(Window.partitionBy("j")).alias("n"))
+    inside = Window.partitionBy("_pid", "j").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.withColumn("cum", F.sum("c").over(inside))
+    # at most one row per range and column: safe to broadcast
+    return local.join(F.broadcast(offsets), ["j", "_pid"]).select(
+        "j", "value", "c", (F.col("off") + F.col("cum") - F.col("c")).alias("start"),
+        (F.col("off") + F.col("cum") - 1).alias("end"), "n")
+
+
+def percentiles_of(ranks: DataFrame, specs: list[tuple[int, float]], prefix: str = "q") -> DataFrame:
+    """1-row DataFrame ``{prefix}0..``: the percentile of each (column number,
+    probability), linearly interpolated, from ``value_ranks``."""
     picks = []
-    for i, (_, p) in enumerate(specs):
-        pos = (n - F.lit(1)).cast("double") * F.lit(float(p))
-        mine = F.col("pi") == i
-        picks.append(F.max(F.when(mine, n)).alias(f"n_{i}"))
+    for i, (j, p) in enumerate(specs):
+        mine, pos = F.col("j") == j, (F.col("n") - 1).cast("double") * F.lit(float(p))
+        picks.append(F.max(F.when(mine, F.col("n"))).alias(f"n_{i}"))
         for tag, r in (("0", F.floor(pos)), ("1", F.ceil(pos))):
-            hit = mine & (F.col("start") <= r) & (F.col("end") >= r)
-            # inside: the value itself; last rank below: the largest value below;
-            # first rank above: the smallest value above
-            val = (F.when(hit & (kd == 1), F.col("x"))
-                   .when(hit & (kd == 0) & (r == F.col("end")), F.col("vmax"))
-                   .when(hit & (kd == 2) & (r == F.col("start")), F.col("vmin")))
-            picks.append(F.max(val).alias(f"v{tag}_{i}"))
-    found = ranked.agg(*picks)
-    out = []
-    for i, (_, p) in enumerate(specs):
-        ni, v0, v1 = F.col(f"n_{i}"), F.col(f"v0_{i}"), F.col(f"v1_{i}")
-        missing = ni.isNotNull() & (v0.isNull() | v1.isNull())
-        val = F.when(missing, F.raise_error(F.lit(f"percentile bracket missed for spec {i}"))
-                     .cast("double")).otherwise(F.when(ni.isNotNull(), interpolate(ni, p, v0, v1)))
-        out.append(val.alias(f"{prefix}{i}"))
-    return found.select(*out)
-
-
-def exact_percentile_struct(df: DataFrame, col: str, probs: list[float], accuracy: int = 100000) -> Column:
-    """The percentiles of ``exact_percentiles`` as one scalar-subquery struct column."""
-    q = exact_percentiles(df, col, probs, accuracy)
-    return q.select(F.struct(*q.columns)).scalar()
+            picks.append(F.max(F.when(mine & (F.col("start") <= r) & (F.col("end") >= r), F.col("value")))
+                         .alias(f"v{tag}_{i}"))
+    found = ranks.agg(*picks)
+    return found.select(*[F.when(F.col(f"n_{i}").isNotNull(), interpolate(
+        F.col(f"n_{i}"), p, F.col(f"v0_{i}"), F.col(f"v1_{i}"))).alias(f"{prefix}{i}") for i, (_, p) in enumerate(specs)])
+
+
+def exact_percentiles(df: DataFrame, col: str, probs: list[float], prefix: str = "q") -> DataFrame:
+    """1-row DataFrame with columns ``{prefix}0..{prefix}k-1``: exact
+    linear-interpolation percentiles of ``col``; null when it has no values."""
+    return exact_percentiles_multi(df, [(col, p) for p in probs], prefix)
+
+
+def exact_percentiles_multi(df: DataFrame, specs: list[tuple[str, float]], prefix: str = "q") -> DataFrame:
+    """``exact_percentiles`` for several ``(column, probability)`` in one scan."""
+    cols = list(dict.fromkeys(c for c, _ in specs))
+    return percentiles_of(value_ranks(df, cols), [(cols.index(c), p) for c, p in specs], prefix)
 
 
 # ---------------------------------------------------------------------------
 # global row numbers and quantile scores
 # ---------------------------------------------------------------------------
 
-# Up to this many rows a row number may be taken in one task (bounded by the check).
-SMALL_RANK_ROWS = 1_000_000
-
-
-def global_row_number(df: DataFrame, order_cols: list[str], name: str = "rn",
-                      small_rows: int | None = SMALL_RANK_ROWS, known_rows: int | None = None) -> DataFrame:
+def global_row_number(df: DataFrame, order_cols: list[str], name: str = "rn") -> DataFrame:
     """``row_number() over (order by order_cols)`` without an unbounded
-    single-partition window.
+    single-partition window: rows are numbered inside ranges of ``order_cols``
+    and shifted by the row counts of the ranges before.
 
     ``order_cols`` must identify a row uniquely (add a key as tie-breaker).
-    Size check: inputs of at most ``small_rows`` rows (counted first) are
-    numbered by one ordered window; larger ones by range partitioning,
-    per-partition numbering and per-partition offsets.
     """
-    if small_rows is not None and (known_rows if known_rows is not None else df.count()) <= small_rows:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*order_cols)))
-    # The partition id is written out with the rows, so the per-partition counts
-    # and the numbering read the same assignment (a re-run range exchange could
-    # sample or coalesce differently) and a lost executor re-reads files.
-    from ledgerlens.sources.files import checkpoint_table
-    ranged = checkpoint_table(
-        df.repartitionByRange(*order_cols).withColumn("_pid", F.spark_partition_id()), "row_number")
+    ranged = _numbered(df, order_cols, "row_number")
     local = ranged.withColumn(
         "_lrn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order_cols)))
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
-    # one row per partition: bounded by the partition count, safe to broadcast
+    # one row per range: bounded by the partition count, safe to broadcast
     offsets = counts.select(
         "_pid", F.coalesce(F.sum("_cnt").over(
             Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
@@ -244,12 +161,13 @@ def centered_moving_average(df: DataFrame, value: str, order: str, window: int =
     """Centred rolling mean (pandas ``rolling(window, center=True)``): rows
     ``[-(window//2), (window-1)//2]``, null with fewer than ``min_periods`` values.
 
-    The mean is taken over exact cents (decimal) so it is order-independent.
+    The mean is taken over exact decimals, so it is order-independent.
     Intended for short series (months): the window has no partition key.
     """
     min_periods = window // 2 if min_periods is None else min_periods
     w = Window.orderBy(order).rowsBetween(-(window // 2), (window - 1) // 2)
-    s = F.sum(F.col(value).cast("decimal(20,2)")).over(w).cast("double")
+    from ledgerlens.functions.exprs import exact
+    s = F.sum(exact(value)).over(w).cast("double")
     c = F.count(F.col(value)).over(w)
     return df.withColumn(name, F.when(c >= min_periods, s / c.cast("double")))
 

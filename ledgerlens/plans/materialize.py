@@ -14,33 +14,49 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.session import scratch_path
-from ledgerlens.sources.files import checkpoint_table
 
 _WRITTEN: dict[tuple, str] = {}
 _LOCK = threading.RLock()
 
 
+def fingerprint(spark: SparkSession, source: str) -> int:
+    """Names, sizes and times of the files under ``source`` (two levels), so that
+    a table written from files that changed meanwhile is not used again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(source)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    seen = []
+
+    def look(p, depth):
+        for f in fs.listStatus(p):
+            seen.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+            if f.isDirectory() and depth:
+                look(f.getPath(), depth - 1)
+
+    if fs.exists(path):
+        look(path, 1)
+    return hash(tuple(sorted(seen)))
+
+
 def materialized(spark: SparkSession, name: str, source: str,
                  build: Callable[[SparkSession, str], DataFrame],
                  partition_by: str | None = None) -> DataFrame:
-    """``build(spark, source)`` written once per application and table name,
-    optionally partitioned by a column (filters on it then skip whole folders)."""
+    """``build(spark, source)`` written once per application, table name and state
+    of the source files, optionally partitioned by a column (filters on it then skip whole folders)."""
     key = (spark.sparkContext.applicationId, name, source)
+    state = fingerprint(spark, source)
     with _LOCK:
-        path = _WRITTEN.get(key)
-        if path is None:
+        path, old = _WRITTEN.get(key, (None, None))
+        if path is None or old != state:
             path = scratch_path(spark, name)
-            w = build(spark, source).write.mode("overwrite")
-            (w.partitionBy(partition_by) if partition_by else w).parquet(path)
-            _WRITTEN[key] = path
+            df = build(spark, source)
+            if partition_by:
+                df.hint("rebalance", partition_by).write.mode("overwrite").partitionBy(partition_by).parquet(path)
+            else:
+                df.write.mode("overwrite").parquet(path)
+            _WRITTEN[key] = path, state
     return spark.read.parquet(path)
 
 
 def materialized_path(spark: SparkSession, name: str, source: str) -> str | None:
     """Folder of a table written by ``materialized`` in this application."""
-    return _WRITTEN.get((spark.sparkContext.applicationId, name, source))
-
-
-def write_and_read(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a fresh folder under the checkpoint folder; read it back."""
-    return checkpoint_table(df, name)
+    return _WRITTEN.get((spark.sparkContext.applicationId, name, source), (None, None))[0]

@@ -58,6 +58,17 @@ def with_sales(body: str, *ctes: str) -> str:
     return "WITH " + SALES + "," + FEATURES + extra + "\n" + body
 
 
+def _body(q: str) -> str:
+    """The part of a registered query after the sales and feature CTEs."""
+    return q.split(FEATURES, 1)[1]
+
+
+def _nested(q: str) -> str:
+    """That part as a query of its own, over the CTE ``s``."""
+    body = _body(q)
+    return "WITH " + body[1:] if body.startswith(",") else body
+
+
 Q: dict[str, str] = {}
 
 Q["region_performance"] = with_sales(f"""
@@ -221,9 +232,7 @@ FROM ({CUSTOMER_METRICS} ORDER BY total_revenue DESC, customer_id LIMIT 10)""")
 
 
 # --- RFM ------------------------------------------------------------------
-from ledgerlens.functions.constants import (  # noqa: E402
-    DEFAULT_SEGMENT, NO_ACTION, SEGMENT_ACTIONS, SEGMENT_RULES,
-)
+from ledgerlens.functions.constants import NO_ACTION, SEGMENT_ACTIONS  # noqa: E402  (texts only)
 
 RFM0 = f"""
 rfm0 AS (
@@ -255,10 +264,12 @@ rfm3 AS (
   SELECT *, cast(r_score AS varchar) || cast(f_score AS varchar) || cast(m_score AS varchar) AS rfm_score,
          r_score + f_score + m_score AS rfm_total FROM rfm2)"""
 
-SEGMENT_CASE = "CASE " + " ".join(
-    f"WHEN r_score BETWEEN {r[0]} AND {r[1]} AND f_score BETWEEN {f[0]} AND {f[1]} "
-    f"AND m_score BETWEEN {m[0]} AND {m[1]} THEN '{name}'"
-    for name, r, f, m in SEGMENT_RULES) + f" ELSE '{DEFAULT_SEGMENT}' END"
+#: Written out by hand per recency score, apart from the rules that the operators read.
+SEGMENT_CASE = """CASE r_score
+ WHEN 4 THEN CASE WHEN f_score = 4 THEN 'Champions' WHEN f_score = 3 THEN 'Loyal Customers' ELSE 'New Customers' END
+ WHEN 3 THEN CASE WHEN f_score >= 3 THEN 'Loyal Customers' WHEN f_score = 2 THEN 'Potential Loyalist' ELSE 'Promising' END
+ WHEN 2 THEN CASE WHEN f_score >= 3 THEN 'Need Attention' WHEN m_score >= 3 THEN 'About to Sleep' ELSE 'Hibernating' END
+ ELSE CASE WHEN f_score >= 3 AND m_score >= 3 THEN 'At Risk' ELSE 'Lost' END END"""
 
 RFM4 = f"rfm AS (SELECT *, {SEGMENT_CASE} AS segment FROM rfm3)"
 
@@ -268,7 +279,7 @@ def _sqlstr(v: str) -> str:
 
 
 ACTIONS = "acts(segment, action) AS (VALUES " + ", ".join(
-    f"({_sqlstr(k)}, {_sqlstr(v[1])})" for k, v in SEGMENT_ACTIONS.items()) + ")"
+    f"({_sqlstr(k)}, {_sqlstr(v)})" for k, v in SEGMENT_ACTIONS.items()) + ")"
 
 Q["rfm_values"] = with_sales("SELECT * FROM rfm0", RFM0)
 Q["rfm_scores"] = with_sales("SELECT * FROM rfm3", RFM0, RFM1)
@@ -367,7 +378,14 @@ Q["forecast_summary"] = with_sales(
 
 
 # --- KPI --------------------------------------------------------------------
-from ledgerlens.functions.constants import KPI_CONFIG  # noqa: E402
+#: (key, label, unit, target, warn, crit, higher is better), written out apart from the operators' table.
+KPI_LIMITS = [
+    ("monthly_revenue", "Monthly Revenue", "$", 145000.0, 0.85, 0.70, True),
+    ("avg_order_value", "Avg Order Value", "$", 420.0, 0.90, 0.75, True),
+    ("profit_margin", "Profit Margin %", "%", 0.26, 0.88, 0.75, True),
+    ("order_count", "Monthly Orders", "", 330.0, 0.85, 0.70, True),
+    ("discount_rate", "Avg Discount Rate", "%", 0.10, 1.20, 1.50, False),
+]
 
 FIXTURE_TARGETS = {"monthly_revenue": 30_000_000.0, "avg_order_value": 45_000.0,
                    "profit_margin": 0.40, "order_count": 700.0, "discount_rate": 0.10}
@@ -384,7 +402,7 @@ kpis AS (
 
 CFG = "cfg(kpi_order, key, label, unit, target, warn_pct, crit_pct, higher_is_better) AS (VALUES " + ", ".join(
     f"({i + 1}, '{k}', '{lab}', '{u}', cast({FIXTURE_TARGETS.get(k, t)!r} AS double), {w!r}, {c!r}, {str(h).lower()})"
-    for i, (k, lab, u, t, w, c, h) in enumerate(KPI_CONFIG)) + ")"
+    for i, (k, lab, u, t, w, c, h) in enumerate(KPI_LIMITS)) + ")"
 
 
 def classify_sql(v: str, t: str, w: str, c: str, h: str) -> str:
@@ -430,7 +448,7 @@ Q["rolling_kpi_window"] = with_sales("SELECT * FROM roll", PARTS)
 
 _HIST_COLS = ", ".join(
     f"{classify_sql(k, repr(FIXTURE_TARGETS.get(k, t)), repr(w), repr(c), str(h).lower())} AS {k}_status"
-    for k, _, _, t, w, c, h in KPI_CONFIG)
+    for k, _, _, t, w, c, h in KPI_LIMITS)
 Q["kpi_history"] = with_sales(f"""
 SELECT *, {_HIST_COLS} FROM (
   SELECT year_month, revenue_w / cast(months_in_window AS double) AS monthly_revenue,
@@ -615,10 +633,43 @@ ins AS (
    FROM yy HAVING count(*) >= 2))"""
 
 Q["insights"] = with_sales("SELECT * FROM ins", INSIGHTS)
-Q["write_report"] = with_sales("""
-SELECT 'insights' AS table_name, count(*) AS rows FROM ins
-UNION ALL SELECT 'summary_stats', 1
-UNION ALL SELECT 'discount_impact', count(DISTINCT tier_order) FROM di""", INSIGHTS)
+_WRITTEN = """
+ss AS ({summary}), dd AS ({discount}),
+rep AS (SELECT 'insights' AS table_name, name AS key, unnest(['value', 'value2']) AS measure, unnest([value, value2]) AS value FROM ins
+  UNION ALL SELECT 'summary_stats', top_region, unnest(['total_revenue', 'total_profit', 'total_orders', 'unique_customers']),
+    unnest([total_revenue, total_profit, CAST(total_orders AS DOUBLE), CAST(unique_customers AS DOUBLE)]) FROM ss
+  UNION ALL SELECT 'discount_impact', discount_tier, unnest(['avg_margin', 'avg_revenue', 'orders']),
+    unnest([avg_margin, avg_revenue, CAST(orders AS DOUBLE)]) FROM dd)"""
+Q["write_report"] = with_sales("SELECT * FROM rep", INSIGHTS, _WRITTEN.format(
+    summary=_nested(Q["summary_stats"]), discount=_nested(Q["discount_impact"])))
+
+_D0 = "coalesce('$' || format('{{:,.0f}}', {0}), 'n/a')"
+_P1 = "coalesce(format('{{:.1f}}', {0} * 100) || '%', 'n/a')"
+Q["insight_text"] = with_sales(f"""
+SELECT no, CASE no
+ WHEN 1 THEN '1. Peak month: ' || s || ' earns the most on average. Plan stock, campaigns and staff for it.'
+ WHEN 2 THEN '2. Regions: ' || s || ' comes first with ' || {_D0.format('value')} || ', ' || s2 || ' last with '
+             || {_D0.format('value2')} || '. Look into delivery and demand in the last one.'
+ WHEN 3 THEN '3. Margin: ' || s || ' has the best mean margin, ' || {_P1.format('value')} || '. Put it first in cross-selling.'
+ WHEN 4 THEN '4. Product: ' || s || ' brings in ' || {_D0.format('value')} || ' with '
+             || coalesce(format('{{:,.0f}}', value2), 'n/a') || ' orders. Keep it in stock.'
+ WHEN 5 THEN '5. Discounts: margins of the highest tier are ' || {_P1.format('value')}
+             || ' below those without discount. Keep discounts low outside clearances.'
+ WHEN 6 THEN '6. Customers: the top 10 make ' || {_P1.format('value')} || ' of revenue, ' || {_D0.format('value2')}
+             || '. Look after these accounts.'
+ WHEN 7 THEN '7. Growth: revenue changed by ' || {_P1.format('value')} || ' from ' || s || ' to ' || s2 || '. '
+             || CASE WHEN value > 0 THEN 'Invest in new customers.' ELSE 'Check prices and lost customers.' END
+ END AS text
+FROM (SELECT *, coalesce(subject, 'n/a') AS s, coalesce(subject2, 'n/a') AS s2 FROM ins)""", INSIGHTS)
+
+Q["kpi_display"] = with_sales("""
+SELECT kpi_order, key, label, status,
+  coalesce(CASE unit WHEN '$' THEN '$' || format('{:,.2f}', value) WHEN '%' THEN format('{:,.1f}', value * 100) || '%'
+           ELSE format('{:,.1f}', value) END, 'n/a') AS display_value,
+  coalesce(CASE unit WHEN '$' THEN '$' || format('{:,.2f}', target) WHEN '%' THEN format('{:,.1f}', target * 100) || '%'
+           ELSE format('{:,.1f}', target) END, 'n/a') AS display_target,
+  coalesce(format('{:+.1f}', pct_vs_target) || '%', 'n/a') AS display_pct
+FROM alerts""", KPIS, CFG, ALERTS)
 
 Q["kpi_history_stream"] = Q["kpi_history"]
 
@@ -631,11 +682,6 @@ def with_filtered_sales(body: str, *ctes: str) -> str:
     return "WITH " + SALES + "," + base + "," + filt + "".join("," + c for c in ctes) + "\n" + body
 
 
-def _body(q: str) -> str:
-    """The part of a registered query after the sales and feature CTEs."""
-    return q.split(FEATURES, 1)[1]
-
-
 Q["filtered_segment_summary"] = with_filtered_sales("") + _body(Q["segment_summary"])
 Q["filtered_forecast_summary"] = with_filtered_sales("") + _body(Q["forecast_summary"])
 Q["filtered_kpi_alerts"] = with_filtered_sales("") + _body(Q["kpi_alerts"])

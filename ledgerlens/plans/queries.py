@@ -353,15 +353,22 @@ def q_insight_text(spark, sf_dir):
 
 @register("write_report")
 def q_write_report(spark, sf_dir):
-    """Write the report tables, read them back, report rows per table."""
+    """Write the report tables, read them back, hand on every value as
+    (table_name, key, measure, value)."""
     s = sales(spark, sf_dir)
     paths = _write_report({"insights": _ins.insights(s), "summary_stats": eda.summary_stats(s),
                            "discount_impact": eda.discount_impact(s)}, _scratch(spark, "report"))
-    parts = [spark.read.parquet(p).agg(_F.count(_F.lit(1)).alias("rows")).select(
-        _F.lit(name).alias("table_name"), "rows") for name, p in paths.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    measures = {"insights": ("name", ["value", "value2"]),
+                "summary_stats": ("top_region", ["total_revenue", "total_profit", "total_orders", "unique_customers"]),
+                "discount_impact": ("discount_tier", ["avg_margin", "avg_revenue", "orders"])}
+    out = None
+    for name, (key, columns) in measures.items():
+        values = _F.array(*[_F.struct(_F.lit(c).alias("measure"), _F.col(c).cast("double").alias("value"))
+                            for c in columns])
+        part = spark.read.parquet(paths[name]).select(
+            _F.lit(name).alias("table_name"), _F.col(key).alias("key"), _F.explode(values).alias("v")).select(
+            "table_name", "key", "v.*")
+        out = part if out is None else out.unionByName(part)
     return out
 
 

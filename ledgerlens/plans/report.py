@@ -48,7 +48,7 @@ def report_builders(sales: DataFrame, top_n: int = 10, horizon: int = 6, kpi_win
         "heatmap_data": lambda: eda.heatmap_data(sales),
         "discount_impact": lambda: eda.discount_impact(sales),
         "order_histogram": lambda: eda.order_histogram(sales),
-        "customer_concentration": lambda: eda.customer_concentration(sales, top_n),
+        "customer_concentration": lambda: eda.customer_concentration(sales),
         "insights": ins,
         "insight_text": lambda: insights.insight_text(ins()),
         "rfm": segs,

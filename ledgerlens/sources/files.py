@@ -13,23 +13,31 @@ from pyspark.sql import types as T
 from ledgerlens.functions.constants import NULL_TOKENS
 
 
+#: Quotes are doubled inside quoted fields, as spreadsheet exports write them.
+_DIALECT = {"quote": '"', "escape": '"', "inferSchema": False}
+
+
 def _header(spark: SparkSession, path: str) -> list[str]:
     """Column names from the header line, read by Spark from the files."""
-    first = (spark.read.option("header", False).option("inferSchema", False)
-             .csv(path).limit(1).collect())
+    first = spark.read.options(header=False, **_DIALECT).csv(path).limit(1).collect()
     return [c if c is not None else f"_c{i}" for i, c in enumerate(first[0])] if first else []
 
 
-def read_sales_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_sales_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Header CSV -> all-string DataFrame with the header names kept verbatim.
 
     Every token in ``NULL_TOKENS`` becomes null, as a pandas-style reader would.
-    Columns are not renamed here: ``standardize_columns`` does that.
+    Columns are not renamed here: ``standardize_columns`` does that. All files
+    must carry the same header, and every row as many fields as the header has;
+    anything else raises instead of moving values to other columns.
+    ``multi_line`` allows line breaks inside quoted fields; such files cannot be
+    split, so each is read by one task.
     """
     names = _header(spark, path)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    df = (spark.read.schema(schema).option("header", True).option("enforceSchema", True)
-          .option("mode", "PERMISSIVE").csv(path))
+    df = spark.read.schema(schema).options(
+        header=True, enforceSchema=False, mode="FAILFAST", multiLine=multi_line, columnPruning=False,
+        **{k: v for k, v in _DIALECT.items() if k != "inferSchema"}).csv(path)
     return df.select(*[
         F.when(~F.col(f"`{n}`").isin(NULL_TOKENS), F.col(f"`{n}`")).alias(n)
         for n in names])
@@ -40,26 +48,29 @@ def read_sales_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_clean(df: DataFrame, path: str, fmt: str = "parquet", partition_by: str | None = "year") -> str:
-    """Persist the cleaned table; parquet partitioned by year (prunable) or CSV with header."""
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(partition_by)
+    """Persist the cleaned table: parquet partitioned by year (prunable), or CSV with
+    header and all columns (never partitioned: folders would take a column out of
+    the files). Rows are rebalanced by the partition column first, so a task writes
+    few folders; large years are split over several tasks."""
     if fmt == "csv":
-        w.option("header", True).option("ignoreLeadingWhiteSpace", False) \
-            .option("ignoreTrailingWhiteSpace", False).csv(path)
+        df.write.mode("overwrite").options(
+            header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+        return path
+    if partition_by:
+        df.hint("rebalance", partition_by).write.mode("overwrite").partitionBy(partition_by).parquet(path)
     else:
-        w.parquet(path)
+        df.write.mode("overwrite").parquet(path)
     return path
 
 
 def write_report(tables: dict, path: str, parallel: int = 4) -> dict[str, str]:
     """Write each report table (insights, summary, discount impact...) as parquet.
 
-    Values are DataFrames or zero-argument functions returning one.
-    Report tables are small aggregates (one file each). Their jobs are
+    Values are DataFrames or zero-argument functions returning one. Their jobs are
     submitted from ``parallel`` threads at once: Spark runs concurrent jobs of
     one application side by side, so short jobs do not leave executors idle.
-    Tables with one row per customer or order are not coalesced.
+    The number of files follows the size of the result (adaptive execution
+    coalesces small partitions); nothing is forced through one task.
     """
     from concurrent.futures import ThreadPoolExecutor
 
@@ -68,8 +79,7 @@ def write_report(tables: dict, path: str, parallel: int = 4) -> dict[str, str]:
         if callable(df):            # a builder: construct the plan in this thread
             df = df()
         p = f"{path}/{name}"
-        w = df if name in ("rfm", "rfm_scatter", "order_value_distribution") else df.coalesce(1)
-        w.write.mode("overwrite").parquet(p)
+        df.write.mode("overwrite").parquet(p)
         return name, p
 
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:

@@ -12,20 +12,8 @@ of months), and the KPI history is computed from it.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ledgerlens.functions.exprs import RATIO
 from ledgerlens.operators import kpi
-from ledgerlens.operators.kpi import DISCOUNT
-
-
-def monthly_parts_stream(sales: DataFrame) -> DataFrame:
-    """The streaming counterpart of ``kpi.monthly_kpi_parts``."""
-    return (sales.where(F.col("year_month").isNotNull()).groupBy("year_month")
-            .agg(F.sum(F.col("revenue").cast("decimal(18,2)")).alias("rev"),
-                 F.count("revenue").alias("rev_n"), F.count(F.lit(1)).alias("rows"),
-                 F.sum(F.col("profit_margin").cast(RATIO)).alias("pm"), F.count("profit_margin").alias("pm_n"),
-                 F.sum(F.col("discount").cast(DISCOUNT)).alias("disc"), F.count("discount").alias("disc_n")))
 
 
 def update_monthly_parts(spark: SparkSession, source_dir: str, schema, parts_dir: str,
@@ -37,7 +25,7 @@ def update_monthly_parts(spark: SparkSession, source_dir: str, schema, parts_dir
     def write(batch: DataFrame, _batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(parts_dir)
 
-    q = (monthly_parts_stream(stream).writeStream.outputMode("complete")
+    q = (kpi.monthly_kpi_parts(stream).writeStream.outputMode("complete")
          .option("checkpointLocation", checkpoint_dir)
          .foreachBatch(write).trigger(availableNow=True).start())
     q.awaitTermination()

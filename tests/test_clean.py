@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import clean
-from ledgerlens.sources.files import read_sales_csv
+from ledgerlens.sources.files import read_sales_csv, write_clean
 
 RAW_COLS = ["order_id", "customer_id", "segment", "date", "product", "category", "region", "city",
             "quantity", "unit_price", "discount", "Revenue ", "Profit"]
@@ -112,3 +112,90 @@ def test_clean_sales_observations_match_audit(spark):
     assert got["after_missing"] == steps["handle_missing"].rows_after
     assert got["after_dedup"] == steps["remove_duplicates"].rows_after
     assert got["after_quality"] == steps["fix_quality_issues"].rows_after == 5865
+
+
+RAW = ("order_id string, customer_id string, segment string, date string, product string, category string, "
+       "region string, city string, quantity string, unit_price string, discount string, revenue string, profit string")
+
+
+def raw_row(**own):
+    row = {"order_id": "o", "customer_id": "c", "segment": "S", "date": "2024-05-01", "product": "P", "category": "cat",
+           "region": "R", "city": "C", "quantity": "2", "unit_price": "10", "discount": "0", "revenue": "20", "profit": "5"}
+    return tuple({**row, **own}.values())
+
+
+def test_dates_by_type_and_by_layout(spark):
+    import datetime as dt
+    from pyspark.sql import functions as F
+    from ledgerlens.operators.clean import clean_sales, cleaning_audit, parse_failures
+    raw = spark.createDataFrame([raw_row()], RAW)
+    day = dt.date(2024, 5, 1)
+    for kind in ("date", "timestamp", "timestamp_ntz"):
+        assert [r.date for r in clean_sales(raw.withColumn("date", F.col("date").cast(kind))).collect()] == [day]
+    other = raw.withColumn("date", F.lit("05/01/2024"))
+    assert [r.date for r in clean_sales(other, date_format="MM/dd/yyyy").collect()] == [day]
+    assert clean_sales(other).collect() == []
+    assert {r.column_name: r.failures for r in parse_failures(other).collect()}["date"] == 1
+    assert {r.column_name: r.failures for r in parse_failures(other, "MM/dd/yyyy").collect()}["date"] == 0
+    assert cleaning_audit(other, "MM/dd/yyyy").collect()[0].rows_dropped == 0
+
+
+def test_infinite_and_huge_prices(spark):
+    from ledgerlens.operators import eda
+    from ledgerlens.operators.clean import clean_sales, cleaning_audit, parse_failures
+    raw = spark.createDataFrame([raw_row(), raw_row(order_id="p", unit_price="inf"), raw_row(order_id="q", profit="NaN"),
+                                 raw_row(order_id="r", unit_price="1e17", revenue="2e17")], RAW)
+    clean = clean_sales(raw)
+    assert {r.order_id: (r.revenue, r.profit) for r in clean.collect()} == {
+        "o": (20.0, 5.0), "q": (20.0, None), "r": (2e17, 5.0)}
+    assert eda.region_performance(clean).first().revenue == pytest.approx(2e17)
+    assert cleaning_audit(raw).collect()[0].rows_dropped == 1
+    assert {r.column_name: r.failures for r in parse_failures(raw).collect()} == {
+        "date": 0, "quantity": 0, "unit_price": 1, "revenue": 0, "profit": 1, "discount": 0}
+
+
+def test_category_title_case(spark):
+    from ledgerlens.operators.clean import clean_sales
+    raw = spark.createDataFrame([raw_row(category="office-supplies o'neil")], RAW)
+    assert clean_sales(raw).first().category == "Office-Supplies O'Neil"
+
+
+def test_csv_dialect(spark, tmp_path):
+    def read(text, name="a.csv", **options):
+        folder = tmp_path / name
+        folder.mkdir()
+        for i, t in enumerate(text if isinstance(text, list) else [text]):
+            (folder / f"{i}.csv").write_text(t)
+        return [tuple(r) for r in read_sales_csv(spark, str(folder), **options).collect()]
+
+    assert read('x,y\n"C ""q"", z",2\n', "quotes") == [('C "q", z', "2")]
+    assert read('x,y\n"two\nlines",2\n', "lines", multi_line=True) == [("two\nlines", "2")]
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read("x,y\n1,2,3\n", "surplus")
+    with pytest.raises(Exception, match="(?i)header"):
+        read(["x,y\n1,2\n", "y,x\n2,1\n"], "order")
+
+
+def test_clean_csv_has_all_columns(spark, tmp_path):
+    from ledgerlens.operators.clean import clean_sales
+    clean = clean_sales(spark.createDataFrame([raw_row()], RAW))
+    path = write_clean(clean, str(tmp_path / "csv"), "csv")
+    assert spark.read.option("header", True).csv(path).columns == clean.columns
+
+
+def test_filter_options_are_sorted(spark):
+    from ledgerlens.operators.clean import filter_options
+    df = spark.createDataFrame([(2024, "W", "b"), (2023, "E", None), (2024, "E", "a")], "year int, region string, category string")
+    assert [tuple(r) for r in filter_options(df).collect()] == [
+        ("year", "2023"), ("year", "2024"), ("region", "E"), ("region", "W"), ("category", "a"), ("category", "b")]
+
+
+def test_changed_source_files_are_read_again(spark, tmp_path):
+    from ledgerlens.plans.materialize import materialized
+    build = lambda s, d: s.read.parquet(f"{d}/t.parquet")
+    spark.range(3).write.parquet(str(tmp_path / "t.parquet"))
+    assert materialized(spark, "t", str(tmp_path), build).count() == 3
+    first = materialized(spark, "t", str(tmp_path), build).inputFiles()
+    assert materialized(spark, "t", str(tmp_path), build).inputFiles() == first
+    spark.range(5).write.mode("overwrite").parquet(str(tmp_path / "t.parquet"))
+    assert materialized(spark, "t", str(tmp_path), build).count() == 5

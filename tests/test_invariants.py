@@ -59,7 +59,7 @@ def test_scan_prunes_columns_and_pushes_filters(spark, sales):
 
 def test_distributed_rank_uses_range_partitioning(spark):
     df = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") % 3).alias("g"))
-    out = global_row_number(df, ["g", "k"], small_rows=None)
+    out = global_row_number(df, ["g", "k"])
     plan = _plan(out)
     # rows were range-partitioned and written with their partition id; numbering
     # is a window per partition id, never one window over all rows
@@ -67,10 +67,35 @@ def test_distributed_rank_uses_range_partitioning(spark):
     assert sorted(r.rn for r in out.collect()) == list(range(1, 1001))
 
 
-def test_star_join_broadcasts_only_small_dimensions(spark):
+def test_star_join_broadcasts_nothing_without_a_size(spark):
+    """With broadcasting by size off, every join of the star must be a sort-merge join:
+    no table is broadcast by a hint."""
     from ledgerlens.sources.tables import sales_from_star
-    plan = _plan(sales_from_star(spark, SF))
-    assert "SortMergeJoin" in plan or "BroadcastHashJoin" in plan
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(sales_from_star(spark, SF))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def _scans(df, table="sales"):
+    df.collect()
+    return _plan(df).split("+- == Initial Plan ==")[0].count("FileScan")
+
+
+def test_reports_scan_the_facts_once(spark, sales):
+    from ledgerlens.operators import clean
+    assert _scans(clean.filter_options(sales)) == 1
+    assert _scans(eda.region_performance(sales)) == 1
+
+
+def test_kpi_window_reads_no_older_years(spark, sales):
+    from ledgerlens.operators import kpi
+    plan = kpi.compute_kpis(sales, 3)._jdf.queryExecution().executedPlan().toString()
+    filters = [line for line in plan.splitlines() if "PartitionFilters" in line]
+    assert filters and all("year" in line.split("PartitionFilters: [")[1].split("]")[0] for line in filters)
 
 
 def test_forecast_reads_the_written_series_not_the_facts(sales):

@@ -21,10 +21,8 @@ def test_exact_percentiles_match_linear_interpolation(spark, values):
     probs = [0.0, 0.25, 0.5, 0.75, 0.99, 1.0]
     df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double")
     want = _pct(values, probs)
-    # a tiny sketch accuracy forces wide brackets; small_rows=0 forces the bracket plan
-    for got in (exact_percentiles(df, "x", probs, accuracy=50, small_rows=None).first(),
-                exact_percentiles(df, "x", probs, accuracy=10000, small_rows=None).first(),
-                exact_percentiles(df, "x", probs).first()):
+    for got in (exact_percentiles(df, "x", probs).first(),
+                exact_percentiles(df.repartition(5), "x", probs).first()):
         for g, w in zip(got, want):
             if w is None:
                 assert g is None
@@ -32,12 +30,12 @@ def test_exact_percentiles_match_linear_interpolation(spark, values):
                 assert g == pytest.approx(w, rel=1e-12, abs=1e-9)
 
 
-def test_exact_percentiles_bracket_plan_large_and_skewed(spark):
+def test_exact_percentiles_large_and_skewed(spark):
     rng = np.random.default_rng(9)
     vals = np.concatenate([np.full(20000, 42.0), np.round(rng.lognormal(5, 1, 40000), 2)])
     df = spark.createDataFrame([(float(v),) for v in vals], "x double").repartition(8)
     probs = [0.1, 0.25, 1 / 3, 0.5, 0.75, 0.99]
-    got = exact_percentiles(df, "x", probs, accuracy=1000, small_rows=None).first()
+    got = exact_percentiles(df, "x", probs).first()
     assert list(got) == pytest.approx(_pct(vals, probs), rel=1e-12)
 
 
@@ -47,10 +45,8 @@ def test_global_row_number_skewed(spark):
     rows = [(f"C{i:05d}", int(f)) for i, f in enumerate(freq)]
     df = spark.createDataFrame(rows, "customer_id string, frequency long").repartition(7)
     want = sorted(rows, key=lambda r: (r[1], r[0]))
-    for small in (None, 10 ** 6):
-        got = {r.customer_id: r.rn for r in
-               global_row_number(df, ["frequency", "customer_id"], small_rows=small).collect()}
-        assert [got[c] for c, _ in want] == list(range(1, len(rows) + 1))
+    got = {r.customer_id: r.rn for r in global_row_number(df, ["frequency", "customer_id"]).collect()}
+    assert [got[c] for c, _ in want] == list(range(1, len(rows) + 1))
 
 
 @pytest.mark.parametrize("n,sizes", [(6, [2, 1, 1, 2]), (7, [2, 2, 1, 2]), (8, [2, 2, 2, 2]), (9, [3, 2, 2, 2])])
@@ -78,13 +74,12 @@ def test_equal_width_bins_match_numpy(spark, values):
     assert list(counts) == list(want)
 
 
-@pytest.mark.parametrize("small_rows", [None, 10 ** 6])
-def test_order_histogram_matches_numpy(spark, small_rows):
+def test_order_histogram_matches_numpy(spark):
     from ledgerlens.operators.eda import order_histogram
     rng = np.random.default_rng(11)
     vals = np.round(rng.gamma(2.0, 500.0, 3000), 2)
     df = spark.createDataFrame([(float(v),) for v in vals], "revenue double")
-    out = order_histogram(df, small_rows=small_rows).collect()
+    out = order_histogram(df).collect()
     cap = np.quantile(vals, 0.99)
     kept = vals[vals <= cap]
     want, edges = np.histogram(kept, bins=50)
@@ -93,3 +88,11 @@ def test_order_histogram_matches_numpy(spark, small_rows):
     assert out[0].clip_value == pytest.approx(cap, rel=1e-12)
     assert out[0].median_value == pytest.approx(float(np.median(kept)), rel=1e-12)
     assert out[0].mean_value == pytest.approx(float(kept.mean()), rel=1e-9)
+
+
+def test_order_histogram_of_nothing_and_of_one_value(spark):
+    from ledgerlens.operators.eda import order_histogram
+    assert order_histogram(spark.createDataFrame([(None,)], "revenue double")).collect() == []
+    out = order_histogram(spark.createDataFrame([(7.0,)] * 5, "revenue double")).collect()
+    assert len(out) == 50 and sum(r.orders for r in out) == 5
+    assert (out[0].clip_value, out[0].mean_value, out[0].median_value) == (7.0, 7.0, 7.0)
