@@ -384,7 +384,7 @@ def q_kpi_history_stream(spark, sf_dir):
     src = materialized_path(spark, "sales", sf_dir)
     parts_dir, ckpt = _scratch(spark, "kpi_parts"), _scratch(spark, "kpi_parts_ckpt")
     _ks.update_monthly_parts(spark, src, s.schema, parts_dir, ckpt)
-    return _ks.kpi_history_from_parts(spark.read.parquet(parts_dir), FIXTURE_TARGETS)
+    return _ks.kpi_history_from_parts(_ks.read_monthly_parts(spark, parts_dir), FIXTURE_TARGETS)
 
 
 # --- dashboard flow: every report recomputed on the filtered rows ---------------------
