@@ -4,8 +4,8 @@ Words and runs of punctuation are hashed into ``buckets``. Every bucket has a
 sparse random index vector (a few +1 and -1, from the bucket's number); a
 bucket's word vector is the sum of the index vectors of its neighbours, over all
 tokens of all documents. A document is the mean of its tokens' unit vectors,
-weighted by a / (a + p) with the bucket's corpus frequency p, and the length of
-that mean. A network of two
+weighted by a / (a + p) with the bucket's corpus frequency p, the length of that
+mean, and the mean similarity of neighbouring tokens' vectors. A network of two
 layers in numpy is fitted on a bounded sample of labelled documents
 (``max_train``, the smallest hashes of their ids), its probabilities are
 calibrated by a temperature on a part of the sample that it was not fitted on.
@@ -39,12 +39,13 @@ BUCKETS = 1 << 13
 DIMS = 32
 NONZERO = 4
 REACH = 2
+EXTRA = 2
 MAX_TRAIN = 20_000
 HIDDEN = 24
 EPOCHS = 30
 RATE = 0.005
 DECAY = 1e-3
-SMOOTH = 1e-3
+SMOOTH = 1e-2
 SEED = 11
 #: Documents with at least this probability of being good are accepted.
 ACCEPT = 0.3
@@ -105,20 +106,29 @@ def pooling_table(vectors: DataFrame, buckets: int = BUCKETS, dims: int = DIMS,
 
 
 def pool(texts: list[str | None], table: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """One row per text: the weighted mean of its tokens' vectors, and that mean's length
-    (long where few different tokens make up the text)."""
-    out = np.zeros((len(texts), table.shape[1] + 1), np.float32)
+    """One row per text: the weighted mean of its tokens' vectors, that mean's length (long
+    where few different tokens make up the text), and the mean similarity of neighbouring
+    tokens (1 where a token repeats)."""
+    out = np.zeros((len(texts), table.shape[1] + EXTRA), np.float32)
     weighted = table * weight[:, None]
     for first, tokens, bounds in _tokens(texts, len(table)):
         if not len(tokens):
             continue
-        sums = np.cumsum(weighted[tokens], axis=0, dtype=np.float64)
-        mass = np.cumsum(weight[tokens], dtype=np.float64)
-        sums, mass = np.vstack([np.zeros(table.shape[1]), sums]), np.append(0.0, mass)
+        own = slice(first, first + len(bounds) - 1)
         a, b = bounds[:-1], bounds[1:]
-        mean = (sums[b] - sums[a]) / np.maximum(mass[b] - mass[a], 1e-9)[:, None]
-        out[first:first + len(a), :-1] = mean
-        out[first:first + len(a), -1] = np.linalg.norm(mean, axis=1)
+
+        def summed(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+            sums = np.cumsum(values, axis=0, dtype=np.float64)
+            sums = np.concatenate([np.zeros((1, *sums.shape[1:])), sums])
+            return sums[end] - sums[begin]
+
+        mean = summed(weighted[tokens], a, b) / np.maximum(summed(weight[tokens], a, b), 1e-9)[:, None]
+        alike = (table[tokens[:-1]] * table[tokens[1:]]).sum(1)
+        pairs = np.maximum(b - a - 1, 0)
+        out[own, :-EXTRA] = mean
+        out[own, -2] = np.linalg.norm(mean, axis=1)
+        start = np.minimum(a, len(alike))
+        out[own, -1] = summed(alike, start, start + pairs) / np.maximum(pairs, 1)
     return out
 
 
@@ -209,7 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, bucket
 
     pooled = rows.select("doc_id", "label", "text").mapInArrow(run, "id string, label int, x array<float>")
     got = sorted(pooled.groupBy("id").agg(F.min("label").alias("label"), F.min("x").alias("x")).collect())
-    x = np.array([r["x"] for r in got], np.float64).reshape(len(got), dims + 1)
+    x = np.array([r["x"] for r in got], np.float64).reshape(len(got), dims + EXTRA)
     return Model(table, weight, fit(x, np.array([r["label"] for r in got], np.float64)))
 
 

@@ -86,3 +86,20 @@ def test_defined_cases(spark):
     assert len({r.score for r in got if not r.text}) == 1
     empty = docs.where("false")
     assert q.scored(empty, q.train(empty, labels)).collect() == []
+
+
+def test_pooling_by_hand():
+    rng = np.random.default_rng(1)
+    table = rng.normal(size=(64, 4)).astype(np.float32)
+    table /= np.linalg.norm(table, axis=1, keepdims=True)
+    weight = rng.random(64).astype(np.float32)
+    texts = ["a b c", None, "solo", "r r r r", "", "x!! y"]
+    got = q.pool(texts, table, weight)
+    for text, row in zip(texts, got):
+        tokens = [] if not text else (next(token_hashes([text], WORDS_AND_MARKS, NO_FOLD))[1] >> np.uint64(58)).astype(int)
+        if not len(tokens):
+            assert not row.any()
+            continue
+        mean = sum(weight[t] * table[t] for t in tokens) / sum(weight[t] for t in tokens)
+        pairs = [float(table[s] @ table[t]) for s, t in zip(tokens, tokens[1:])]
+        assert row == pytest.approx([*mean, np.linalg.norm(mean), np.mean(pairs) if pairs else 0], abs=1e-5)
