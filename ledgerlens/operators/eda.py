@@ -10,7 +10,7 @@ Conventions shared by every report (pandas semantics made explicit):
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.constants import HISTOGRAM_BINS, HISTOGRAM_CLIP_QUANTILE
@@ -31,36 +31,56 @@ def _keyed(df: DataFrame, *keys: str) -> DataFrame:
     return df.where(cond)
 
 
-def _top_keys(df: DataFrame, keys: list[str], measure: str = "revenue"):
-    """Scalar struct: for each key column, the value with the largest money sum
-    of ``measure`` (ties -> smallest value). One grouping-sets aggregation for
-    all keys; the per-set top-1 runs on the small aggregated result."""
-    sets = df.groupingSets([[k] for k in keys], *keys).agg(
-        money_sum(measure).alias("_v"), F.grouping_id().alias("_gid"))
-    n = len(keys)
-    gid = {k: (1 << n) - 1 - (1 << (n - 1 - i)) for i, k in enumerate(keys)}   # only key i not aggregated
-    valid = F.lit(False)
-    for k in keys:
-        valid = valid | ((F.col("_gid") == gid[k]) & F.col(k).isNotNull())
-    key_of = F.coalesce(*[F.when(F.col("_gid") == gid[k], F.col(k).cast("string")) for k in keys])
-    w = Window.partitionBy("_gid").orderBy(F.col("_v").desc(), key_of.asc())
-    ranked = sets.where(valid).withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") == 1)
-    return ranked.agg(F.struct(*[F.max(F.when(F.col("_gid") == gid[k], F.col(k))).alias(k)
-                                 for k in keys])).scalar()
+MONTH_KEYS = ["year", "month", "month_name", "year_month"]
+
+
+def partial_sums(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Exact sums and counts per group (null keys included), from which every report by
+    these keys, or by fewer of them, can be put together without another scan."""
+    return df.groupBy(*keys).agg(
+        F.sum(exact("revenue")).alias("rev"), F.count("revenue").alias("rev_n"),
+        F.sum(exact("profit")).alias("prof"), F.count("order_id").alias("orders"), F.count(F.lit(1)).alias("rows"),
+        F.sum(exact("profit_margin", RATIO)).alias("pm"), F.count("profit_margin").alias("pm_n"),
+        F.sum(exact("discount", RATIO)).alias("disc"), F.count("discount").alias("disc_n"),
+        F.max("date").alias("last_date"))
+
+
+def sums_by(df: DataFrame, parts: DataFrame | None, *keys: str) -> DataFrame:
+    """``partial_sums`` by ``keys`` without null keys: of the rows of ``df``, or added up from ``parts``."""
+    if parts is None:
+        return partial_sums(_keyed(df, *keys), list(keys))
+    added = [c for c in ("rev", "rev_n", "prof", "orders", "rows", "pm", "pm_n", "disc", "disc_n")]
+    return _keyed(parts, *keys).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in added], F.max("last_date").alias("last_date"))
+
+
+def _amount(c: str) -> Column:
+    return F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+
+
+def _mean(total: str, n: str) -> Column:
+    return F.try_divide(F.col(total).cast("double"), F.col(n).cast("double"))
 
 
 def summary_stats(df: DataFrame) -> DataFrame:
-    """One row: totals, counts, means and the top category and region."""
-    top = _top_keys(df, ["category", "region"])
-    return df.agg(
-        money_sum("revenue").alias("total_revenue"),
-        money_sum("profit").alias("total_profit"),
-        F.count(F.lit(1)).alias("total_orders"),
-        F.count_distinct("customer_id").alias("unique_customers"),
-        money_avg("revenue").alias("avg_order_value"),
-        exact_avg("profit_margin", RATIO).alias("avg_profit_margin"),
-    ).select("*", top.alias("_top")).select(
-        "*", F.col("_top.category").alias("top_category"), F.col("_top.region").alias("top_region")).drop("_top")
+    """One row: totals, counts, means and the top category and region (largest revenue,
+    ties -> smallest name). One grouping-sets pass over the facts, written once; the
+    rest reads its groups (customers + categories + regions + 1)."""
+    keys = ["category", "region", "customer_id"]
+    g = checkpoint_table(df.groupingSets([["category"], ["region"], ["customer_id"], []], *keys).agg(
+        F.sum(exact("revenue")).alias("rev"), F.count(exact("revenue")).alias("rev_n"), F.sum(exact("profit")).alias("prof"),
+        F.count(F.lit(1)).alias("rows"), F.sum(exact("profit_margin", RATIO)).alias("pm"),
+        F.count(exact("profit_margin", RATIO)).alias("pm_n"), F.grouping_id().alias("gid")), "summary_parts")
+
+    def top(key: str, gid: int):
+        return top_n(g.where((F.col("gid") == gid) & F.col(key).isNotNull()),
+                     [_amount("rev").desc(), F.col(key)], 1).select(key).scalar()
+
+    customers = g.where((F.col("gid") == 0b110) & F.col("customer_id").isNotNull()).agg(F.count(F.lit(1))).scalar()
+    return g.where(F.col("gid") == 0b111).select(
+        _amount("rev").alias("total_revenue"), _amount("prof").alias("total_profit"),
+        F.col("rows").alias("total_orders"), customers.alias("unique_customers"),
+        _mean("rev", "rev_n").alias("avg_order_value"), _mean("pm", "pm_n").alias("avg_profit_margin"),
+        top("category", 0b011).alias("top_category"), top("region", 0b101).alias("top_region"))
 
 
 def overview_cards(df: DataFrame) -> DataFrame:
@@ -75,35 +95,30 @@ def overview_cards(df: DataFrame) -> DataFrame:
     )
 
 
-def monthly_sales_trend(df: DataFrame) -> DataFrame:
-    return (_keyed(df, "year_month").groupBy("year_month")
-            .agg(money_sum("revenue").alias("revenue"), money_sum("profit").alias("profit"),
-                 F.count("order_id").alias("orders"))
-            .withColumn("year_month_dt", month_start("year_month"))
+def monthly_sales_trend(df: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """``parts``, here and below: ``partial_sums`` already at hand, used instead of the facts."""
+    return (sums_by(df, parts, "year_month")
+            .select("year_month", _amount("rev").alias("revenue"), _amount("prof").alias("profit"), "orders",
+                    month_start("year_month").alias("year_month_dt"))
             .orderBy("year_month_dt"))
 
 
-def yoy_growth(df: DataFrame) -> DataFrame:
+def yoy_growth(df: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     """Revenue per year with growth over the previous year present."""
-    y = _keyed(df, "year").groupBy("year").agg(money_sum("revenue").alias("total_revenue"))
+    y = sums_by(df, parts, "year").select("year", _amount("rev").alias("total_revenue"))
     prev = F.lag("total_revenue").over(Window.orderBy("year"))
     return y.withColumn("growth", safe_div(F.col("total_revenue") - prev, prev)).orderBy("year")
 
 
-def _product_metrics(df: DataFrame) -> DataFrame:
-    return (_keyed(df, "product").groupBy("product")
-            .agg(money_sum("revenue").alias("revenue"), money_sum("profit").alias("profit"),
-                 F.count("order_id").alias("orders"),
-                 exact_avg("profit_margin", RATIO).alias("avg_margin")))
-
-
-def top_products(df: DataFrame, n: int = 10) -> DataFrame:
-    return top_n(_product_metrics(df), [F.col("revenue").desc(), F.col("product")], n)
+def top_products(df: DataFrame, n: int = 10, parts: DataFrame | None = None) -> DataFrame:
+    g = sums_by(df, parts, "product").select(
+        "product", _amount("rev").alias("revenue"), _amount("prof").alias("profit"), "orders",
+        _mean("pm", "pm_n").alias("avg_margin"))
+    return top_n(g, [F.col("revenue").desc(), F.col("product")], n)
 
 
-def bottom_products(df: DataFrame, n: int = 5) -> DataFrame:
-    g = (_keyed(df, "product").groupBy("product")
-         .agg(money_sum("revenue").alias("revenue"), money_sum("profit").alias("profit")))
+def bottom_products(df: DataFrame, n: int = 5, parts: DataFrame | None = None) -> DataFrame:
+    g = sums_by(df, parts, "product").select("product", _amount("rev").alias("revenue"), _amount("prof").alias("profit"))
     return top_n(g, [F.col("profit").asc(), F.col("product")], n)
 
 
@@ -129,14 +144,11 @@ def city_performance(df: DataFrame, n: int = 10) -> DataFrame:
     return top_n(g, [F.col("revenue").desc(), F.col("region"), F.col("city")], n)
 
 
-def _customer_metrics(df: DataFrame) -> DataFrame:
-    return (_keyed(df, "customer_id").groupBy("customer_id")
-            .agg(money_sum("revenue").alias("total_revenue"), F.count("order_id").alias("total_orders"),
-                 money_avg("revenue").alias("avg_order_value"), money_sum("profit").alias("total_profit")))
-
-
-def top_customers(df: DataFrame, n: int = 10) -> DataFrame:
-    return top_n(_customer_metrics(df), [F.col("total_revenue").desc(), F.col("customer_id")], n)
+def top_customers(df: DataFrame, n: int = 10, parts: DataFrame | None = None) -> DataFrame:
+    g = sums_by(df, parts, "customer_id").select(
+        "customer_id", _amount("rev").alias("total_revenue"), F.col("orders").alias("total_orders"),
+        _mean("rev", "rev_n").alias("avg_order_value"), _amount("prof").alias("total_profit"))
+    return top_n(g, [F.col("total_revenue").desc(), F.col("customer_id")], n)
 
 
 def segment_analysis(df: DataFrame) -> DataFrame:
@@ -147,12 +159,10 @@ def segment_analysis(df: DataFrame) -> DataFrame:
             .orderBy(F.col("revenue").desc(), "segment"))
 
 
-def monthly_avg_revenue(df: DataFrame) -> DataFrame:
+def monthly_avg_revenue(df: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     """Revenue per (year, month), then the mean over the years present; calendar order."""
-    ym = (_keyed(df, "year", "month", "month_name").groupBy("year", "month", "month_name")
-          .agg(F.sum(exact("revenue")).alias("_rev")))
-    return (ym.groupBy("month", "month_name")
-            .agg((F.sum("_rev").cast("double") / F.count(F.lit(1)).cast("double")).alias("avg_revenue"))
+    return (sums_by(df, parts, "year", "month", "month_name").groupBy("month", "month_name")
+            .agg((F.sum("rev").cast("double") / F.count(F.lit(1)).cast("double")).alias("avg_revenue"))
             .orderBy("month"))
 
 
@@ -217,13 +227,13 @@ def order_histogram(df: DataFrame, bins: int = HISTOGRAM_BINS,
             .orderBy("bin"))
 
 
-def customer_concentration(df: DataFrame, n: int = 10) -> DataFrame:
-    """Revenue of the top ``n`` customers and its share of all revenue; one
+def customer_concentration(df: DataFrame, n: int = 10, parts: DataFrame | None = None) -> DataFrame:
+    """Revenue of the top ``n`` customers and its share of all revenue, from one
     aggregate per customer (rows without one included), written once."""
-    each = checkpoint_table(df.groupBy("customer_id").agg(
-        F.sum(exact("revenue")).alias("revenue")), "customer_revenue")
-    total = each.agg(F.coalesce(F.sum("revenue").cast("double"), F.lit(0.0))).scalar()
-    top = top_n(_keyed(each, "customer_id"), [F.col("revenue").desc_nulls_last(), F.col("customer_id")], n).agg(
-        F.coalesce(F.sum("revenue").cast("double"), F.lit(0.0)).alias("top_revenue"))
+    each = checkpoint_table(partial_sums(df, ["customer_id"]).select("customer_id", "rev"),
+                            "customer_revenue") if parts is None else parts
+    total = each.agg(F.sum("rev").alias("rev")).select(_amount("rev")).scalar()
+    top = top_n(_keyed(each, "customer_id"), [_amount("rev").desc(), F.col("customer_id")], n).agg(
+        F.sum("rev").alias("rev")).select(_amount("rev").alias("top_revenue"))
     return top.select("top_revenue", total.alias("total_revenue"),
                       safe_div(F.col("top_revenue"), total).alias("top_share"))

@@ -15,16 +15,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.exprs import half_up, money_sum, month_start, safe_div
+from ledgerlens.functions.exprs import half_up, month_start, safe_div
+from ledgerlens.operators.eda import sums_by
 from ledgerlens.operators.stats import centered_moving_average
 from ledgerlens.sources.files import checkpoint_table
 
 
-def monthly_series(df: DataFrame) -> DataFrame:
-    """(ds, y): revenue per calendar month, gap-free from first to last month (gaps -> 0)."""
-    m = (df.where(F.col("year_month").isNotNull()).groupBy("year_month")
-         .agg(money_sum("revenue").alias("y"))
-         .select(month_start("year_month").alias("ds"), "y"))
+def monthly_series(df: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """(ds, y): revenue per calendar month, gap-free from first to last month (gaps -> 0).
+
+    The months are written once, so that both the series and its span read them and
+    the facts are aggregated once; ``parts`` (see ``eda.partial_sums``) saves that too."""
+    m = (sums_by(df, parts, "year_month")
+         .select(month_start("year_month").alias("ds"), F.coalesce(F.col("rev").cast("double"), F.lit(0.0)).alias("y")))
+    m = checkpoint_table(m, "months") if parts is None else m
     spine = m.agg(F.min("ds").alias("lo"), F.max("ds").alias("hi")).select(
         F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 MONTH"))).alias("ds"))
     return (spine.join(m, "ds", "left")
@@ -68,13 +72,13 @@ def _clip0(c):
     return F.when(c.isNotNull(), F.greatest(c, F.lit(0.0)))
 
 
-def forecast(df: DataFrame, periods: int = 6) -> DataFrame:
+def forecast(df: DataFrame, periods: int = 6, parts: DataFrame | None = None) -> DataFrame:
     """History and ``periods`` future months: ds, actual, trend, seasonal,
     forecast, ci_lower, ci_upper. Future trend is the fitted line clipped at 0;
     the band is forecast * (1 -/+ sigma of residuals), lower clipped at 0."""
     # the monthly series (one row per month) feeds five branches below; written
     # once, so the fact table is aggregated once instead of once per branch
-    dec = decompose(checkpoint_table(monthly_series(df), "monthly_series"))
+    dec = decompose(checkpoint_table(monthly_series(df, parts), "monthly_series"))
     idx = seasonal_index(dec).withColumn("_present", F.lit(True))
     fit = fit_trend(dec)
     st = dec.agg(F.max("ds").alias("last_ds"),

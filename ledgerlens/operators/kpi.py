@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.constants import KPI_CONFIG, KPI_KEYS
+from ledgerlens.operators.eda import sums_by
 from ledgerlens.functions.exprs import RATIO, exact, exact_avg, money_avg, money_sum, safe_div
 
 DISCOUNT = "decimal(38,8)"
@@ -117,10 +118,12 @@ def rolling_kpi_window(parts: DataFrame, months: int = 3) -> DataFrame:
         F.sum("disc").over(w).cast("double").alias("disc_w"), F.sum("disc_n").over(w).alias("disc_n_w"))
 
 
-def kpi_history(df: DataFrame, targets: dict[str, float] | None = None, months: int = 3) -> DataFrame:
+def kpi_history(df: DataFrame, targets: dict[str, float] | None = None, months: int = 3,
+                parts: DataFrame | None = None) -> DataFrame:
     """Per month present: the five KPIs over that month and the previous
     ``months - 1`` months present, row-weighted, plus one status column per KPI."""
-    return kpi_history_from_parts(monthly_kpi_parts(df), targets, months)
+    monthly = monthly_kpi_parts(df) if parts is None else sums_by(df, parts, "year_month")
+    return kpi_history_from_parts(monthly, targets, months)
 
 
 def kpi_history_from_parts(parts: DataFrame, targets: dict[str, float] | None = None,

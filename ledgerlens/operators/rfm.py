@@ -20,6 +20,7 @@ from ledgerlens.functions.constants import (
     DEFAULT_SEGMENT, NO_ACTION, SEGMENT_ACTIONS, SEGMENT_RULES,
 )
 from ledgerlens.functions.exprs import half_up, money_avg, money_sum, safe_div
+from ledgerlens.operators.eda import partial_sums
 from ledgerlens.sources.files import checkpoint_table
 from ledgerlens.operators.stats import (
     exact_percentiles, exact_percentiles_multi, global_row_number, rank_quartile_score, score_by_edges,
@@ -28,23 +29,23 @@ from ledgerlens.operators.stats import (
 QUARTILES = [0.25, 0.5, 0.75]
 
 
-def rfm_values(df: DataFrame, snapshot_date: str | None = None) -> DataFrame:
+def rfm_values(df: DataFrame, snapshot_date: str | None = None, parts: DataFrame | None = None) -> DataFrame:
     """customer_id, recency (days from last purchase to the snapshot),
     frequency (rows), monetary (revenue). Snapshot defaults to max(date)+1.
 
-    The per-customer aggregate is written once: the last date of all rows (those
-    without a customer too) comes from it, so the facts are scanned once.
+    The per-customer aggregate is written once (or given as ``parts``, see
+    ``eda.partial_sums``): the last date of all rows, those without a customer too,
+    comes from it, so the facts are scanned once.
     """
-    g = (df.groupBy("customer_id")
-         .agg(F.max("date").alias("last_date"), F.count("order_id").alias("frequency"),
-              money_sum("revenue").alias("monetary")))
+    g = partial_sums(df, ["customer_id"]).select("customer_id", "last_date", "orders", "rev") if parts is None else parts
     if snapshot_date is None:
-        g = checkpoint_table(g, "rfm_customers")
+        g = checkpoint_table(g, "rfm_customers") if parts is None else g
         snap = g.agg(F.date_add(F.max("last_date"), 1)).scalar()
     else:
         snap = F.to_date(F.lit(snapshot_date))
     return g.where(F.col("customer_id").isNotNull()).select(
-        "customer_id", F.datediff(snap, F.col("last_date")).alias("recency"), "frequency", "monetary")
+        "customer_id", F.datediff(snap, F.col("last_date")).alias("recency"), F.col("orders").alias("frequency"),
+        F.coalesce(F.col("rev").cast("double"), F.lit(0.0)).alias("monetary"))
 
 
 def quartile_edges(rfm: DataFrame, col: str):
@@ -101,14 +102,15 @@ def rfm_segments(scored: DataFrame) -> DataFrame:
     return scored.withColumn("segment", segment_expr())
 
 
-def compute_rfm(df: DataFrame, snapshot_date: str | None = None, materialize: bool = True) -> DataFrame:
+def compute_rfm(df: DataFrame, snapshot_date: str | None = None, materialize: bool = True,
+                parts: DataFrame | None = None) -> DataFrame:
     """Values, scores and segment for every customer.
 
     The per-customer values feed the quartiles, the frequency rank and the
     scoring, so by default they are written once under the checkpoint folder and
     read back: the fact table is aggregated exactly once.
     """
-    values = rfm_values(df, snapshot_date)
+    values = rfm_values(df, snapshot_date, parts)
     if materialize:
         values = checkpoint_table(values, "rfm_values")
     return rfm_segments(rfm_scores(values))

@@ -20,35 +20,39 @@ from ledgerlens.sources.files import write_clean, write_report
 
 def report_builders(sales: DataFrame, top_n: int = 10, horizon: int = 6, kpi_window: int = 3,
                     kpi_targets: dict | None = None,
-                    segments: DataFrame | None = None) -> dict[str, Callable[[], DataFrame]]:
+                    segments: DataFrame | None = None,
+                    parts: dict[str, DataFrame] | None = None) -> dict[str, Callable[[], DataFrame]]:
     """Every report of the analysis as a zero-argument builder over ``sales``
     (and ``segments``, the scored customer table, computed if not given).
+    ``parts`` are ``eda.partial_sums`` by ``month``, ``product`` and ``customer``;
+    the reports that they answer do not read ``sales``.
 
     Builders let the writer construct each plan in its own thread: building a
     large DataFrame (analysis of the plan, size checks) overlaps with the
     execution of other reports.
     """
+    month, product, customer = [(parts or {}).get(k) for k in ("month", "product", "customer")]
     segs = (lambda: rfm.compute_rfm(sales)) if segments is None else (lambda: segments)
-    fc = lambda: forecast.forecast(sales, horizon)
+    fc = lambda: forecast.forecast(sales, horizon, month)
     alerts = lambda: kpi.kpi_alerts(sales, kpi_window, kpi_targets)
     ins = lambda: insights.insights(sales)
     return {
         "summary_stats": lambda: eda.summary_stats(sales),
         "data_quality": lambda: clean.data_quality_report(sales),
-        "monthly_sales_trend": lambda: eda.monthly_sales_trend(sales),
-        "yoy_growth": lambda: eda.yoy_growth(sales),
-        "top_products": lambda: eda.top_products(sales, top_n),
-        "bottom_products": lambda: eda.bottom_products(sales, 5),
+        "monthly_sales_trend": lambda: eda.monthly_sales_trend(sales, month),
+        "yoy_growth": lambda: eda.yoy_growth(sales, month),
+        "top_products": lambda: eda.top_products(sales, top_n, product),
+        "bottom_products": lambda: eda.bottom_products(sales, 5, product),
         "category_performance": lambda: eda.category_performance(sales),
         "region_performance": lambda: eda.region_performance(sales),
         "city_performance": lambda: eda.city_performance(sales, top_n),
-        "top_customers": lambda: eda.top_customers(sales, top_n),
+        "top_customers": lambda: eda.top_customers(sales, top_n, customer),
         "segment_analysis": lambda: eda.segment_analysis(sales),
-        "monthly_avg_revenue": lambda: eda.monthly_avg_revenue(sales),
+        "monthly_avg_revenue": lambda: eda.monthly_avg_revenue(sales, month),
         "heatmap_data": lambda: eda.heatmap_data(sales),
         "discount_impact": lambda: eda.discount_impact(sales),
         "order_histogram": lambda: eda.order_histogram(sales),
-        "customer_concentration": lambda: eda.customer_concentration(sales),
+        "customer_concentration": lambda: eda.customer_concentration(sales, parts=customer),
         "insights": ins,
         "insight_text": lambda: insights.insight_text(ins()),
         "rfm": segs,
@@ -58,7 +62,7 @@ def report_builders(sales: DataFrame, top_n: int = 10, horizon: int = 6, kpi_win
         "forecast_summary": lambda: forecast.forecast_summary(fc()),
         "kpi_alerts": alerts,
         "kpi_alert_counts": lambda: kpi.kpi_alert_counts(alerts()),
-        "kpi_history": lambda: kpi.kpi_history(sales, kpi_targets),
+        "kpi_history": lambda: kpi.kpi_history(sales, kpi_targets, parts=month),
     }
 
 
@@ -73,11 +77,15 @@ def run_analysis(spark: SparkSession, raw: DataFrame, out_dir: str | None = None
     out_dir = out_dir or scratch_path(spark, "analysis")
     clean_path = write_clean(clean.clean_sales(raw), f"{out_dir}/sales_clean", "parquet", "year")
     sales = spark.read.parquet(clean_path)
-    # customer-level table reused by three reports: write it once as well
+    # partial sums that a dozen reports share, and the scored customers: written once
+    keys = {"month": eda.MONTH_KEYS, "product": ["product"], "customer": ["customer_id"]}
+    written = write_report({k: (lambda v=v: eda.partial_sums(sales, v)) for k, v in keys.items()},
+                           f"{out_dir}/parts", parallel=parallel)
+    parts = {k: spark.read.parquet(p) for k, p in written.items()}
     rfm_path = f"{out_dir}/rfm"
-    rfm.compute_rfm(sales).write.mode("overwrite").parquet(rfm_path)
+    rfm.compute_rfm(sales, parts=parts["customer"]).write.mode("overwrite").parquet(rfm_path)
     segs = spark.read.parquet(rfm_path)
-    tables = report_builders(sales, segments=segs, **report_args)
+    tables = report_builders(sales, segments=segs, parts=parts, **report_args)
     tables.pop("rfm")
     # tables derived from other report tables are built from the written parents
     derived = {"forecast_summary": ("forecast", forecast.forecast_summary),
