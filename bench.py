@@ -26,7 +26,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from ledgerlens.plans import queries as Q  # noqa: E402
 from ledgerlens.plans.report import run_analysis  # noqa: E402
-from ledgerlens.session import build_session  # noqa: E402
+from ledgerlens.session import build_session, drop_scratch  # noqa: E402
 
 HEADLINE = [
     "region_performance", "summary_stats", "monthly_sales_trend", "top_products", "category_performance",
@@ -96,6 +96,7 @@ def main():
            "analysis_runs": runs, "analysis_12k_runs": small_runs, "analysis_12k_rows": small.count(),
            "raw_rows": rows, "rows_per_sec": round(rows / pipeline, 1), "cpus": cpus,
            "headline_total_sec": round(sum(times[n] for n in HEADLINE), 3)}
+    drop_scratch(spark)
     print(json.dumps(out))
     spark.stop()
 

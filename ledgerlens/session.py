@@ -65,3 +65,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique folder path below the checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "ledgerlens-tables", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the tables that this application wrote under ``scratch_path``. For the end
+    of an application: DataFrames that read them cannot be used afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(ensure_checkpoint_dir(spark), "ledgerlens-tables"))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

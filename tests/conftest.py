@@ -13,6 +13,8 @@ def spark():
     s = build_session("local[4]", 4, app_name="ledgerlens-tests", driver_memory="6g",
                       extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="ll-test-ckpt-")})
     yield s
+    from ledgerlens.session import drop_scratch
+    drop_scratch(s)
     s.stop()
 
 

@@ -37,3 +37,19 @@ def test_configured_folder_is_used_on_any_master():
 def test_local_master_gets_its_own_folder():
     assert session.ensure_checkpoint_dir(_Spark("local[2]"))
     assert session.ensure_checkpoint_dir(_Spark("local"))
+
+
+def test_drop_scratch_deletes_only_scratch(spark, tmp_path):
+    other = spark.newSession()
+    old = other.sparkContext.getCheckpointDir()
+    try:
+        other.sparkContext.setCheckpointDir(str(tmp_path))
+        path = session.scratch_path(other, "t")
+        other.range(3).write.parquet(path)
+        other.range(3).write.parquet(str(tmp_path / "kept"))
+        session.drop_scratch(other)
+        assert other.read.parquet(str(tmp_path / "kept")).count() == 3
+        with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+            other.read.parquet(path)
+    finally:
+        other.sparkContext._jsc.sc().setCheckpointDir(old.rsplit("/", 1)[0])
