@@ -89,9 +89,10 @@ def ngram_buckets(hashes: Column, buckets: int) -> Column:
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """One row with ``ratios``, array by bucket; ``trusted`` (label_id) are the target's documents.
-    Counts are partial sums by bucket, so no word, however frequent, gathers rows."""
-    marked = docs.select("doc_id", "text").join(trusted.select("label_id").distinct(), F.col("doc_id") == F.col("label_id"),
-                                                "left")
+    Counts are partial sums by bucket, so no word, however frequent, gathers rows. The trusted
+    ids grow with the documents, so both sides are merged at every size, never broadcast."""
+    ids = trusted.select("label_id").distinct().hint("merge")
+    marked = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("label_id"), "left")
     hashed = marked.select(F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"),
                            F.col("label_id").isNotNull().cast("long").alias("target"))
     grams = hashed.select(F.explode(ngram_buckets(F.col("hashes"), buckets)).alias("bucket"), "target")
