@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import written
-from .text_kernels import BARE_WORDS, token_hashes, windows
+from .text_kernels import BARE_WORDS, give_back, token_hashes, windows
 
 K1 = 1.2
 B = 0.75
@@ -265,6 +265,7 @@ def _one_block(docs: DataFrame, index: Index, threshold: float, min_overlap: flo
                 old = pa.array(new, old.type)
             yield pa.RecordBatch.from_arrays([*[c for c, n in zip(batch.columns, columns) if n != name], old],
                                              [*[n for n in columns if n != name], name])
+        give_back()
 
     columns = docs.columns
     schema = T.StructType([*[f for f in docs.schema if f.name != name], docs.schema[name]])

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
+from .text_kernels import give_back
 from .tokens import encoder, slices
 
 BLOCK = 1024
@@ -36,6 +37,7 @@ def encoded_lengths(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(enc.lengths(part["text"]), pa.int64())], ["length"])
+        give_back()
 
     return docs.select("text").mapInArrow(run, "length long")
 

@@ -46,7 +46,7 @@ from pyspark.sql import types as T
 
 from .common import written
 from .components import connected_components
-from .text_kernels import shingle_sets
+from .text_kernels import give_back, shingle_sets
 
 K = 32
 MISS = 1e-5
@@ -91,6 +91,7 @@ def sketches(docs: DataFrame, words: int, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(nodes, pa.binary()),
                                               pa.array(sizes, pa.int32()), _lists(low)],
                                              ["doc_id", "node", "n", "sketch"])
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, T.StructType(fields))
 
@@ -108,6 +109,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                     sets.append(values)
             yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array([len(s) for s in sets], pa.int32()),
                                               _lists(sets)], ["rid", "n", "values"])
+        give_back()
 
     ids = wanted.select("rid", "node", F.col("doc_id").alias("__id"))
     rows = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__id"))).select("rid", "node", "text")

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import written
+from .text_kernels import give_back
 from .tokens import encoder, slices
 
 CAPACITY = 2048
@@ -72,6 +73,7 @@ def encoded_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
                      pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()),
                      pa.array([task] * len(row), pa.int32()), pa.array(nth, pa.int64())],
                     [f.name for f in fields])
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, T.StructType(fields))
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import written
-from .text_kernels import NO_FOLD, WORDS_AND_MARKS, token_hashes
+from .text_kernels import NO_FOLD, WORDS_AND_MARKS, give_back, token_hashes
 
 BUCKETS = 1 << 13
 DIMS = 32
@@ -85,6 +85,7 @@ def word_vectors(docs: DataFrame, buckets: int = BUCKETS, dims: int = DIMS, reac
         table = total.reshape(buckets, dims)[seen]
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen]), *[pa.array(c) for c in table.T]],
                                          ["bucket", "n", *names])
+        give_back()
 
     rows = docs.select("text").mapInArrow(run, ", ".join(f"{c} long" for c in ("bucket", "n", *names)))
     sums = rows.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("n", *names)])
@@ -216,6 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, bucket
             x = pool(batch["text"].to_pylist(), table, weight)
             yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.string()), batch["label"], pa.array(list(x))],
                                              ["id", "label", "x"])
+        give_back()
 
     pooled = rows.select("doc_id", "label", "text").mapInArrow(run, "id string, label int, x array<float>")
     got = sorted(pooled.groupBy("id").agg(F.min("label").alias("label"), F.min("x").alias("x")).collect())
@@ -233,6 +235,7 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
         for batch in batches:
             scores = model.scores(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores.astype(np.float64))], [*docs_names, name])
+        give_back()
 
     docs_names = docs.columns
     return docs.mapInArrow(run, schema)

@@ -7,11 +7,14 @@ class; its hash depends on its (case-folded) bytes only, never on its place.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 18
 _POSITIONS = 1 << 14
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -23,6 +26,16 @@ FOLD[65:91] += 32
 NO_FOLD = np.arange(256, dtype=np.uint8)
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system at the end of a task: Spark keeps Python
+    workers, and what their allocators hold would add up beside the JVM's heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)       # glibc has it
+    if trim:
+        trim(0)
+
+
 def classes(spaces: bytes, punctuation: bytes = b"") -> np.ndarray:
     """Class 0 for separators, 2 for ``punctuation``, 1 for every other byte."""
     out = np.ones(256, np.uint8)

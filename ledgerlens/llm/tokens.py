@@ -17,15 +17,14 @@ import os
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
 from .text_kernels import FOLD, SPACES, place_hashes
 
-SLICE_BYTES = 2 << 20
-MAX_CACHED = 1_500_000
+SLICE_BYTES = 1 << 20
+MAX_CACHED = 400_000
 _LETTER, _OTHER, _DIGIT = 1, 2, 3
 _KIND = np.full(256, _OTHER, np.uint8)
 _KIND[list(SPACES)] = 0
@@ -136,7 +135,8 @@ class Encoder:
         keys = place_hashes(raw, starts, ends, FOLD)
         for i in np.flatnonzero(whole).tolist():
             keys[i] = xxhash.xxh64_intdigest(joined[starts[i]:ends[i]], 7)
-        codes, distinct = pd.factorize(keys)
+        coded = pa.array(keys).dictionary_encode()
+        codes, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy()
         number, known = self._known(distinct)
         if not known.all():
             sample = np.zeros(len(distinct), np.int64)
