@@ -40,8 +40,10 @@ _SPAN = "struct<start:int,rank:int,end:int,value:string>"
 
 
 def _spans(text: Column, pattern: str, rank: int, group: int = 2, when: Column | None = None) -> Column:
-    """Spans of the leftmost matches: the texts between matches and the matches, added up."""
-    whole = f"(?s)(.*?)({pattern})"
+    """Spans of the leftmost matches: the texts between matches and the matches, added up. The
+    end of the text counts as a last, empty match, else the search for another match would
+    start anew at every place of the rest."""
+    whole = f"(?s)(.*?)({pattern}|\\z)"
     parts = F.arrays_zip(F.regexp_extract_all(text, F.lit(whole), F.lit(1)).alias("gap"),
                          F.regexp_extract_all(text, F.lit(whole), F.lit(2)).alias("match"),
                          F.regexp_extract_all(text, F.lit(whole), F.lit(group)).alias("value"))
@@ -51,7 +53,8 @@ def _spans(text: Column, pattern: str, rank: int, group: int = 2, when: Column |
         start = state["at"] + F.length(part["gap"])
         end = start + F.length(part["match"])
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), part["value"].alias("value"))
-        return F.struct(end.alias("at"), F.array_append(state["spans"], span).alias("spans"))
+        spans = F.when(end > start, F.array_append(state["spans"], span)).otherwise(state["spans"])
+        return F.struct(end.alias("at"), spans.alias("spans"))
 
     found = F.aggregate(parts, zero, step, lambda state: state["spans"])
     present = F.rlike(text, F.lit(pattern)) if when is None else when
