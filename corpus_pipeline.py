@@ -40,8 +40,9 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a test item's question and answer go."""
-    found = decontam.with_matches(docs, table(spark, sf_dir, "benchmark"), name="__items")
+    """Documents that hold a test item's question and answer, or near copies of them, go."""
+    found = decontam.with_matches(docs, table(spark, sf_dir, "benchmark"), name="__items",
+                                  part_overlap=decontam.PART_OVERLAP)
     return found.where(F.size("__items") == 0).select(*docs.columns)
 
 

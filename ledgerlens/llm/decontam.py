@@ -7,9 +7,15 @@ that it covers. Every document is cut into passages of twice the longest item
 with half overlap, so each place of an item lies whole in one passage. Every
 passage is a query: a bound from the largest impact of each of its pairs rules
 most out, block-max WAND retrieves all items of ``threshold`` or more for the
-rest. A retrieved item counts when its question and its answer each share
-``min_overlap`` or more of their five-word shingles with the passage. Without
-columns for them, question and answer are the halves of the item's words.
+rest. What a retrieved item must share with the passage to count:
+
+* with ``part_overlap``, as the queries call it: ``min_overlap`` of the five-word
+  shingles of question and answer together, and ``part_overlap`` of the three-word
+  shingles of each, so that both are there. One changed word breaks five shingles,
+  most of a short part but little of the item;
+* without: ``min_overlap`` of the five-word shingles of each on its own.
+
+Without columns for them, question and answer are the halves of the item's words.
 
 Words are runs without white space and ASCII punctuation, A-Z lower-cased.
 Document frequencies are counted over all items. The index goes to the tasks in
@@ -17,8 +23,8 @@ blocks of at most ``max_items`` items in the mean (by hash), one pass over the
 documents each, so what is broadcast stays bounded however many items there are.
 
 Defined cases: null and empty texts have no passages and are clean; items
-of fewer than two words are ignored, parts of fewer than five words count as one
-shingle, an empty part is left out; equal items and repeated rows each get
+of fewer than two words are ignored, parts with fewer words than a shingle count as
+one shingle, an empty part is left out; equal items and repeated rows each get
 their own result; without items everything is clean; an empty table gives an
 empty result; other columns pass through.
 """
@@ -41,7 +47,9 @@ K1 = 1.2
 B = 0.75
 THRESHOLD = 0.6
 MIN_OVERLAP = 0.8
+PART_OVERLAP = 0.25
 SHINGLE = 5
+PART_SHINGLE = 3
 TERM = 2
 BLOCK = 32
 MAX_ITEMS = 20_000
@@ -59,6 +67,10 @@ def shingles(hashes: np.ndarray, n: int = SHINGLE) -> tuple[int, np.ndarray]:
     return n, np.unique(windows(hashes, n)) if n else np.zeros(0, np.uint64)
 
 
+def _held(sets: list[tuple[int, np.ndarray]], passage: np.ndarray, share: float) -> bool:
+    return all(np.isin(own, windows(passage, n)).sum() >= share * len(own) for n, own in sets)
+
+
 def item_terms(items: DataFrame) -> DataFrame:
     """(item_id, text, question, answer, terms, tfs, dl) of the items that have terms."""
     fields = [items.schema["item_id"], *[T.StructField(c, T.StringType()) for c in ("text", "question", "answer")],
@@ -86,7 +98,7 @@ class Index:
 
     def __init__(self, rows: list, df: dict[int, int], n_items: int, mean_dl: float):
         self.item_ids = [r["item_id"] for r in rows]
-        self.parts = []
+        self.parts, self.wholes, self.traces = [], [], []
         postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
         for i, r in enumerate(rows):
             tf = np.array(r["tfs"], float)
@@ -99,6 +111,8 @@ class Index:
             parts = (words(r["question"]), words(r["answer"])) if r["question"] is not None or r["answer"] is not None \
                 else (all_words[:half], all_words[half:])
             self.parts.append([shingles(p) for p in parts if len(p)])
+            self.wholes.append([shingles(all_words)])
+            self.traces.append([shingles(p, PART_SHINGLE) for p in parts if len(p)])
         self.longest = max((r["dl"] + TERM - 1 for r in rows), default=0)
         terms = np.array(sorted(postings), np.int64)
         order = np.argsort(terms.view(np.uint64))
@@ -176,16 +190,15 @@ class Index:
             live = sorted((t for t in live if at[t] < len(items[t])), key=doc)
         return found
 
-    def covers(self, item: int, passage: np.ndarray, min_overlap: float) -> bool:
-        """Question and answer each share enough shingles with the passage's words."""
-        for n, part in self.parts[item]:
-            held = np.isin(part, windows(passage, n)).sum()
-            if held < min_overlap * len(part):
-                return False
-        return True
+    def covers(self, item: int, passage: np.ndarray, min_overlap: float, part_overlap: float | None = None) -> bool:
+        """Question and answer share enough shingles with the passage's words: each on its own, or with
+        ``part_overlap`` both together, and each that much."""
+        if part_overlap is None:
+            return _held(self.parts[item], passage, min_overlap)
+        return _held(self.wholes[item], passage, min_overlap) and _held(self.traces[item], passage, part_overlap)
 
-    def matches(self, hashes: np.ndarray, bounds: np.ndarray, threshold: float, min_overlap: float
-                ) -> dict[int, dict[int, float]]:
+    def matches(self, hashes: np.ndarray, bounds: np.ndarray, threshold: float, min_overlap: float,
+                part_overlap: float | None = None) -> dict[int, dict[int, float]]:
         """Per row of a group of texts the verified items with their best scores."""
         out: dict[int, dict[int, float]] = {}
         term = np.full(len(hashes), -1)                      # of the pair that starts at each word
@@ -209,7 +222,7 @@ class Index:
             if self.largest[terms].sum() < threshold - 1e-6:
                 continue
             for item, score in self.search(terms.tolist(), threshold):
-                if self.covers(item, hashes[a:b], min_overlap):
+                if self.covers(item, hashes[a:b], min_overlap, part_overlap):
                     best = out.setdefault(r, {})
                     best[item] = max(score, best.get(item, 0.0))
         return out
@@ -235,19 +248,20 @@ def index_blocks(items: DataFrame, max_items: int = MAX_ITEMS) -> Iterator[Index
 
 
 def with_matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, min_overlap: float = MIN_OVERLAP,
-                 max_items: int = MAX_ITEMS, name: str = "__items") -> DataFrame:
+                 max_items: int = MAX_ITEMS, name: str = "__items", part_overlap: float | None = None) -> DataFrame:
     """``docs`` with an array ``name`` of (item_id, score), by falling score: the test items found in
     ``text``. The rows stay where they are; nothing is shuffled."""
     id_type = items.schema["item_id"].dataType
     kind = T.ArrayType(T.StructType([T.StructField("item_id", id_type), T.StructField("score", T.DoubleType())]))
     out = docs.withColumn(name, F.array().cast(kind))
     for index in index_blocks(items, max_items):
-        out = _one_block(out, index, threshold, min_overlap, name)
+        out = _one_block(out, index, threshold, min_overlap, part_overlap, name)
     return out.withColumn(name, F.reverse(F.array_sort(F.transform(
         name, lambda x: F.struct(x["score"].alias("score"), x["item_id"].alias("item_id"))))))
 
 
-def _one_block(docs: DataFrame, index: Index, threshold: float, min_overlap: float, name: str) -> DataFrame:
+def _one_block(docs: DataFrame, index: Index, threshold: float, min_overlap: float, part_overlap: float | None,
+               name: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +270,7 @@ def _one_block(docs: DataFrame, index: Index, threshold: float, min_overlap: flo
             old = batch.column(columns.index(name))
             found: dict[int, dict[int, float]] = {}
             for first, hashes, bounds in token_hashes(batch.column(columns.index("text")).to_pylist(), BARE_WORDS):
-                for r, items in own.matches(hashes, bounds, threshold, min_overlap).items():
+                for r, items in own.matches(hashes, bounds, threshold, min_overlap, part_overlap).items():
                     found[first + r] = items
             if found:
                 new = old.to_pylist()

@@ -64,7 +64,8 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontam.with_matches(docs, table(spark, sf_dir, "benchmark"), name="found")
+    found = decontam.with_matches(docs, table(spark, sf_dir, "benchmark"), name="found",
+                                  part_overlap=decontam.PART_OVERLAP)
     return found.select("doc_id", (F.size("found") > 0).alias("contaminated"),
                         F.sort_array("found.item_id").alias("item_ids"), F.get("found.score", 0).alias("best_score"))
 

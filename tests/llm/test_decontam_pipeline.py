@@ -101,6 +101,44 @@ def test_given_question_and_answer(spark):
     assert got == {1: 1, 2: 0}
 
 
+def near_copies(text):
+    """A copy of the item with one word replaced, added or cut in each half, and without its last tenth."""
+    w = text.split()
+    out = [w[:len(w) - len(w) // 10]]
+    for at in (len(w) // 4, len(w) // 2 + len(w) // 4):
+        out += [w[:at] + ["zzreplaced"] + w[at + 1:], w[:at] + ["zzadded"] + w[at:], w[:at] + w[at + 1:]]
+    return [" ".join(x) for x in out]
+
+
+def test_near_copies_are_found(spark, tmp_path):
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    copies = [(i, c) for i, t in items for c in near_copies(t)]
+    around = " ".join(f"fill{k}" for k in range(150))
+    rows = [(k, f"{around} {c} {around}") for k, (_, c) in enumerate(copies)]
+    halves = [(len(rows) + k, f"{around} {' '.join(t.split()[:len(t.split()) // 2])} {around}") for k, (_, t) in enumerate(items)]
+    spark.createDataFrame(rows + halves, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r.doc_id: r.item_ids for r in queries.op8_benchmark_decontamination(spark, str(tmp_path)).collect()}
+    whole = {i: grams(bare(t)) for i, t in items}
+    near = [k for k, (i, c) in enumerate(copies) if len(whole[i] & grams(bare(c))) >= 0.8 * len(whole[i])]
+    assert len(near) >= 0.8 * len(copies)
+    assert [k for k in near if copies[k][0] not in got[k]] == []
+    assert all(got[d] == [] for d, _ in halves)
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    left = corpus_pipeline.without_benchmark(spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id for r in left} == {d for d, found in got.items() if not found}
+
+
+def test_long_question_alone_is_no_copy(spark):
+    question = " ".join(f"q{k}" for k in range(60))
+    bm = spark.createDataFrame([(1, question, "the tall spire of dawn in the north")],
+                               "item_id long, question string, answer string")
+    docs = spark.createDataFrame([(1, f"{question} the tall spire at dawn in the north"), (2, f"{question} nobody can say")],
+                                 "doc_id long, text string")
+    found = decontam.with_matches(docs, bm, part_overlap=decontam.PART_OVERLAP).collect()
+    assert {r.doc_id: len(r["__items"]) for r in found} == {1: 1, 2: 0}
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_wand_returns_all_above_the_threshold(seed):
     rng = np.random.default_rng(seed)
