@@ -33,10 +33,20 @@ def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the smallest id (five-word shingles, similarity 0.8)."""
-    kept = near_dup.near_duplicates(docs, words=5, percent=80).where("kept").select(
-        F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """One row of each group stays: the smallest id, rows without an id last (five-word shingles,
+    similarity 0.8).
+
+    Every row has a number of its own, its place in the files read, and is judged by it: of repeated
+    rows one stays, of an id with several texts each text is judged apart, and rows without an id are
+    rows like any others. Texts without words are in no group and all stay.
+    """
+    rows = docs if docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation" else written(docs, "near-rows")
+    rows = rows.withColumn("__row", F.struct(F.col("_metadata.file_path").alias("file"),
+                                             F.col("_metadata.row_index").alias("place")))
+    ordered = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("__row").alias("row"))
+    kept = near_dup.near_duplicates(rows.select(ordered.alias("doc_id"), "text"), words=5, percent=80)
+    kept = kept.where("kept").select(F.col("doc_id.row").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

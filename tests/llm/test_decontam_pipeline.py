@@ -196,6 +196,22 @@ def test_pipeline_stages(spark, tmp_path):
     assert tokens.default_path() and quality_net.ACCEPT == 0.3
 
 
+@pytest.mark.parametrize("from_files", [True, False])
+def test_one_row_of_each_near_duplicate_group_stays(spark, tmp_path, from_files):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    near = c + " and one more"
+    docs = [(1, a), (1, a), (1, a), (2, a), (2, b), (3, b), (7, c), (None, c), (None, near), (None, c),
+            (None, d), (None, d), (None, e), (9, e + " too"), (5, None), (5, None), (None, " "), (None, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    if from_files:
+        df.write.parquet(str(tmp_path / "docs"))
+        df = spark.read.parquet(str(tmp_path / "docs"))
+    got = corpus_pipeline.without_near_duplicates(spark, df, SF)
+    assert got.columns == df.columns
+    assert Counter(map(tuple, got.collect())) == Counter(
+        [(1, a), (2, b), (7, c), (None, d), (9, e + " too"), (5, None), (5, None), (None, " "), (None, "")])
+
+
 def test_pipeline_on_empty_tables(spark, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{SF}/{t}.parquet").where("false").write.parquet(str(tmp_path / f"{t}.parquet"))
