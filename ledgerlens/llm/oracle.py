@@ -80,4 +80,32 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM p LEFT JOIN f USING (payload_digest)
 """
 
-Q = {"op1_url_filters": OP1, "op6_warc": OP6, "op7_line_dedup": OP7}
+OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  translate(coalesce(text, ''), {_ABC}) AS t FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+s AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+gt AS (SELECT lang, source, term, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(total, 0) + 5 * v) AS p,
+              coalesce(c.n, 0) AS n
+       FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN s USING (lang, source)
+       LEFT JOIN c USING (lang, source, term)),
+ln AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL),
+lt AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q
+       FROM ln JOIN v USING (lang)),
+pairs AS (SELECT a.lang, a.source, b.source AS item FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+pv AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+       FROM gt a JOIN gt b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+f AS (SELECT lang, source, 'pair' AS part, item, CAST(coalesce(value, 0) AS BIGINT) AS value
+      FROM pairs LEFT JOIN pv USING (lang, source, item)
+      UNION ALL
+      SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM gt JOIN lt USING (lang, term) WHERE n > 0 AND p > q),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+      FROM f)
+SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank <= 50
+"""
+
+Q = {"op1_url_filters": OP1, "op6_warc": OP6, "op7_line_dedup": OP7, "op13_source_divergence": OP13}

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontam, length_hist, line_dedup, llr_rules, near_dup, packing, quality_net, secret_scan,
-               tokens, url_reputation, warc)
+from . import (decontam, divergence, length_hist, line_dedup, llr_rules, near_dup, packing, period_runs, quality_net,
+               secret_scan, tokens, url_reputation, warc)
 from .common import majority_labels, table
 
 #: (verdict, host, path)
@@ -80,6 +83,35 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(docs, words=4, percent=80)
 
 
+def planted_period(doc_id: int | None, n: int) -> np.ndarray | None:
+    """Of every tenth id (by checksum) the words from some place on repeat with a period."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    first = g % n
+    period = 1 + (n - first) // (3 + g % 8)
+    places = np.arange(n)
+    places[first:] = first + np.arange(n - first) % period
+    return places
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = period_runs.collapse_runs(table(spark, sf_dir, "documents"), rewrite=planted_period)
+    best = period_runs.longest_run()
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.call_function("div", 1000 * best["length"], best["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 REGISTRY = {f.__name__: f for f in (
     op1_url_filters, op2_quality_classifier, op3_best_fit_packing, op4_quality_rules, op5_secret_scans, op6_warc,
-    op7_line_dedup, op8_benchmark_decontamination, op9_token_counts, op10_minhash_near_dedup)}
+    op7_line_dedup, op8_benchmark_decontamination, op9_token_counts, op10_minhash_near_dedup,
+    op11_periodic_runs, op13_source_divergence)}
