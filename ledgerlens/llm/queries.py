@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (decontam, divergence, length_hist, line_dedup, llr_rules, near_dup, packing, period_runs, quality_net,
-               secret_scan, tokens, url_reputation, warc)
+               secret_scan, suffix_dedup, tokens, url_reputation, warc)
 from .common import majority_labels, table
 
 #: (verdict, host, path)
@@ -107,6 +107,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -114,4 +120,4 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY = {f.__name__: f for f in (
     op1_url_filters, op2_quality_classifier, op3_best_fit_packing, op4_quality_rules, op5_secret_scans, op6_warc,
     op7_line_dedup, op8_benchmark_decontamination, op9_token_counts, op10_minhash_near_dedup,
-    op11_periodic_runs, op13_source_divergence)}
+    op11_periodic_runs, op12_suffix_dedup, op13_source_divergence)}
