@@ -90,8 +90,27 @@ def _group_hashes(group: list[bytes], kinds: np.ndarray, weight: np.ndarray) ->
         return np.zeros(0, np.uint64), bounds
     origin = starts[0]
     raw, starts = raw[origin:], (starts - origin).astype(np.int32)
-    place = np.arange(len(raw), dtype=np.int32) - np.repeat(starts, np.diff(starts, append=np.int32(len(raw))))
-    return mix(np.add.reduceat(weight[raw] * _PLACE[place & (_POSITIONS - 1)], starts)), bounds
+    size = np.diff(starts, append=np.int32(len(raw)))                       # with the separators behind, which weigh nothing
+    place = np.arange(len(raw), dtype=np.int32) - np.repeat(starts, size)
+    if size.max() > _POSITIONS:
+        final = kind[origin:] != 0
+        final[:-1] &= kind[origin:-1] != kind[origin + 1:]
+        size = np.flatnonzero(final) + 1 - starts
+    return _span_hashes(weight[raw] * _PLACE[place & (_POSITIONS - 1)], starts, size), bounds
+
+
+def _span_hashes(weighted: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of spans from their weighted bytes; up to the next span's start, bytes beyond ``size`` weigh nothing.
+    Places repeat after a block of ``_POSITIONS`` bytes, so the blocks of longer spans are hashed apart and
+    chained with a multiplier of the block's number."""
+    blocks = -(-size.astype(np.int64) // _POSITIONS)
+    if blocks.max() <= 1:
+        return mix(np.add.reduceat(weighted, starts))
+    first = np.cumsum(blocks) - blocks
+    number = np.arange(blocks.sum()) - np.repeat(first, blocks)
+    each = mix(np.add.reduceat(weighted, np.repeat(starts, blocks) + number * _POSITIONS))
+    chained = mix(np.add.reduceat(each * (mix(number.astype(np.uint64) + np.uint64(1)) | np.uint64(1)), first))
+    return np.where(blocks == 1, each[first], chained)
 
 
 def place_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray) -> np.ndarray:
@@ -100,7 +119,7 @@ def place_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np
     stop = np.cumsum(size)
     place = np.arange(stop[-1], dtype=np.int32) - np.repeat(stop - size, size).astype(np.int32)
     at = np.repeat(starts.astype(np.int32), size) + place
-    return mix(np.add.reduceat(_BYTE[fold[raw[at]]] * _PLACE[place & (_POSITIONS - 1)], stop - size))
+    return _span_hashes(_BYTE[fold[raw[at]]] * _PLACE[place & (_POSITIONS - 1)], stop - size, size)
 
 
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:

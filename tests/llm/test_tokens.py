@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from ledgerlens.llm import length_hist, packing, queries, tokens
+from ledgerlens.llm import length_hist, packing, queries, text_kernels, tokens
 
 PATH = tokens.default_path()
 TOKENIZER = Tokenizer.from_file(PATH)
@@ -31,6 +31,37 @@ def test_encoder_on_odd_texts():
     assert encoded(ODD) == [plain(t) for t in ODD]
 
 
+def long_words(seed=0):
+    """Words of 20 to 100 KB, and the same words with their 16 KiB blocks in another order."""
+    rng = np.random.default_rng(seed)
+    letters = np.frombuffer(b"abcdefghijklmnop", np.uint8)
+    blocks = [letters[rng.integers(0, 16, 1 << 14)].tobytes().decode() for _ in range(6)]
+    tail = blocks[5][:4000]
+    return [blocks[0] + tail, blocks[1] + tail, blocks[0] + blocks[1], blocks[1] + blocks[0],
+            "".join(blocks), "".join(blocks[::-1]), "".join(blocks[2:] + blocks[:2]), blocks[0] * 2, blocks[0] * 3]
+
+
+def test_long_words_in_another_order_have_other_hashes():
+    words = long_words()
+    (_, hashes, _), = text_kernels.token_hashes([" ".join(words + words) + " " * 40000 + words[0]], text_kernels.WORDS)
+    assert len(hashes) == 2 * len(words) + 1 and len(set(hashes.tolist())) == len(words)
+    assert hashes[0] == hashes[-1] and (hashes[:len(words)] == hashes[len(words):-1]).all()
+    (_, own, _), = text_kernels.token_hashes([" ".join(["a" + " " * 40000 + "a", "a"])], text_kernels.WORDS)
+    assert len(set(own.tolist())) == 1
+    for x in words:
+        (_, one, _), = text_kernels.token_hashes([x], text_kernels.WORDS)
+        assert one[0] == hashes[words.index(x)]
+    sets = [s.tolist() for s in text_kernels.shingle_sets([w + " x y z" for w in words], 4)]
+    assert len({s[0] for s in sets}) == len(words)
+
+
+def test_encoder_on_long_words():
+    words = long_words()
+    own = tokens.Encoder(PATH)
+    for text in [*words, " ".join(words), " ".join(words[::-1])]:
+        assert own.encode(pa.array([text]))[0].tolist() == plain(text)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(st.characters(exclude_categories=["Cs"]), max_size=40), min_size=1, max_size=4))
 def test_encoder_on_any_text(texts):
