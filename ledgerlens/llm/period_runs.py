@@ -115,7 +115,7 @@ class SquareCatchers:
                 still_open.append(region)
         self.open = still_open
         level = 0
-        while 3 << level <= after:
+        while 2 << level <= after:
             size = 1 << level
             suffixes = self._suffixes(level)
             at = np.arange(max(before - size + 1, size), after - size + 1)
