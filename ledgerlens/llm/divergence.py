@@ -29,7 +29,6 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,8 +61,8 @@ def term_counts(docs: DataFrame, held: int = HELD_TERMS) -> DataFrame:
             for (lang, source), c in counts.items():
                 terms, n = list(c), len(c)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * n), pa.array([source] * n), pa.array(terms, pa.binary()).cast(pa.string()),
-                     pa.array(list(c.values()), pa.int64()),
+                    [pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()),
+                     pa.array(terms, pa.binary()).cast(pa.string()), pa.array(list(c.values()), pa.int64()),
                      pa.array([seen[lang, source][t] for t in terms], pa.int64())],
                     ["lang", "source", "term", "n", "docs"])
 
@@ -154,28 +153,35 @@ class Groups:
                         F.col("own.place").alias("places"), F.col("own.p").alias("shares")))
 
 
-def _matrix(rows: pd.DataFrame) -> np.ndarray:
-    out = np.repeat(rows["p0"].to_numpy(np.int64)[:, None], int(rows["width"].iloc[0]), axis=1)
+def _matrix(rows: pa.Table) -> np.ndarray:
+    """A row of shares for each group of a slice, a column for each term of the block."""
+    width = rows["width"][0].as_py() if len(rows) else 0
+    out = np.repeat(rows["p0"].to_numpy()[:, None], width, axis=1)
     for line, places, shares in zip(out, rows["places"], rows["shares"]):
-        if places is not None:
-            line[np.asarray(places, np.int64)] = np.asarray(shares, np.int64)
+        if places.is_valid:
+            line[places.values.to_numpy()] = shares.values.to_numpy()
     return out
 
 
-def cell(rows: pd.DataFrame) -> pd.DataFrame:
+def cell(rows: pa.Table) -> pa.Table:
     """Partial divergences of the pairs of one cell over its block of terms."""
-    a, b = int(rows["a"].iloc[0]), int(rows["b"].iloc[0])
-    left = rows[rows["group_block"] == a].sort_values("source")
-    right = rows[rows["group_block"] == b].sort_values("source")
-    own, other, found = _matrix(left) if len(left) else None, _matrix(right) if len(right) else None, []
-    names, others = left["source"].tolist(), right["source"].tolist()
+    rows = rows.sort_by("source")
+    blocks = rows["group_block"].to_numpy()
+    a, b = rows["a"][0].as_py(), rows["b"][0].as_py()
+    left, right = rows.filter(pa.array(blocks == a)), rows.filter(pa.array(blocks == b))
+    own, other = _matrix(left), _matrix(right)
+    names, others = left["source"].to_pylist(), right["source"].to_pylist()
+    found: tuple[list, list, list] = [], [], []
     for i, name in enumerate(names):
-        first = i + 1 if a == b else 0
-        if first < len(others):
-            part = np.abs(other[first:] - own[i]).sum(axis=1, dtype=np.int64)
-            found.append(pd.DataFrame({"left": name, "right": others[first:], "part_value": part}))
-    out = pd.concat(found) if found else pd.DataFrame({"left": [], "right": [], "part_value": []})
-    return out.assign(lang=rows["lang"].iloc[0])[["lang", "left", "right", "part_value"]]
+        first = i + 1 if a == b else 0                           # every pair of a block once
+        if first >= len(others):
+            break
+        part = np.abs(other[first:] - own[i]).sum(axis=1, dtype=np.int64)
+        for column, values in zip(found, ([name] * len(part), others[first:], part.tolist())):
+            column += values
+    return pa.table([pa.array([rows["lang"][0].as_py()] * len(found[0]), pa.string()), pa.array(found[0], pa.string()),
+                     pa.array(found[1], pa.string()), pa.array(found[2], pa.int64())],
+                    names=["lang", "left", "right", "part_value"])
 
 
 def pair_divergences(groups: Groups) -> DataFrame:
@@ -184,7 +190,7 @@ def pair_divergences(groups: Groups) -> DataFrame:
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("group_blocks") - 1)))
              .withColumn("a", F.least("group_block", "other")).withColumn("b", F.greatest("group_block", "other"))
              .groupBy("lang", "a", "b", "term_block")
-             .applyInPandas(cell, "lang string, `left` string, `right` string, part_value long"))
+             .applyInArrow(cell, "lang string, `left` string, `right` string, part_value long"))
     sums = written(cells.groupBy("lang", "left", "right").agg(F.sum("part_value").alias("value")), "divergence-pairs")
     return sums.select("lang", F.col("left").alias("source"), F.col("right").alias("item"), "value").union(
         sums.select("lang", "right", "left", "value"))
