@@ -156,8 +156,9 @@ def _observe(df: DataFrame, audit: dict | None, name: str) -> DataFrame:
     return df.observe(obs, F.count(F.lit(1)).alias("rows"))
 
 
-def cleaning_audit(raw: DataFrame, date_format: str = "yyyy-MM-dd") -> DataFrame:
-    """Rows before/after/dropped for each row-removing step, as a table.
+def cleaning_audit(raw: DataFrame, date_format: str = "yyyy-MM-dd", loading: DataFrame | None = None) -> DataFrame:
+    """Rows before/after/dropped for each row-removing step, as a table; with
+    ``loading`` (``sources.load.load_audit``) the steps of reading the files come first.
 
     One grouped aggregation over all columns plus a "kept by the null rule"
     flag (map-side partial aggregation collapses copies early): the input
@@ -189,7 +190,8 @@ def cleaning_audit(raw: DataFrame, date_format: str = "yyyy-MM-dd") -> DataFrame
         step(1, "handle_missing", "raw_rows", "kept"),
         step(2, "remove_duplicates", "kept", "dedup"),
         step(3, "fix_quality_issues", "dedup", "quality"))).alias("s")).select("s.*")
-    return steps.withColumn("rows_dropped", F.col("rows_before") - F.col("rows_after"))
+    steps = steps.withColumn("rows_dropped", F.col("rows_before") - F.col("rows_after"))
+    return steps if loading is None else loading.unionByName(steps).orderBy("step_no")
 
 
 def data_quality_report(df: DataFrame) -> DataFrame:

@@ -37,24 +37,32 @@ def fingerprint(spark: SparkSession, source: str) -> int:
     return hash(tuple(sorted(seen)))
 
 
-def materialized(spark: SparkSession, name: str, source: str,
-                 build: Callable[[SparkSession, str], DataFrame],
-                 partition_by: str | None = None) -> DataFrame:
-    """``build(spark, source)`` written once per application, table name and state
-    of the source files, optionally partitioned by a column (filters on it then skip whole folders)."""
+def written_once(spark: SparkSession, name: str, source: str, write: Callable[[str], None]) -> str:
+    """A folder that ``write(path)`` filled, once per application, name and state of the source files."""
     key = (spark.sparkContext.applicationId, name, source)
     state = fingerprint(spark, source)
     with _LOCK:
         path, old = _WRITTEN.get(key, (None, None))
         if path is None or old != state:
             path = scratch_path(spark, name)
-            df = build(spark, source)
-            if partition_by:
-                df.hint("rebalance", partition_by).write.mode("overwrite").partitionBy(partition_by).parquet(path)
-            else:
-                df.write.mode("overwrite").parquet(path)
+            write(path)
             _WRITTEN[key] = path, state
-    return spark.read.parquet(path)
+    return path
+
+
+def materialized(spark: SparkSession, name: str, source: str,
+                 build: Callable[[SparkSession, str], DataFrame],
+                 partition_by: str | None = None) -> DataFrame:
+    """``build(spark, source)`` written once per application, table name and state
+    of the source files, optionally partitioned by a column (filters on it then skip whole folders)."""
+    def write(path: str) -> None:
+        df = build(spark, source)
+        if partition_by:
+            df.hint("rebalance", partition_by).write.mode("overwrite").partitionBy(partition_by).parquet(path)
+        else:
+            df.write.mode("overwrite").parquet(path)
+
+    return spark.read.parquet(written_once(spark, name, source, write))
 
 
 def materialized_path(spark: SparkSession, name: str, source: str) -> str | None:

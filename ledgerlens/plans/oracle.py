@@ -558,6 +558,14 @@ def _tok(c: str) -> str:
 CSV_NAMES = {"revenue": "Revenue ", "profit": "Profit"}
 Q["load_sales"] = with_raw("SELECT " + ", ".join(
     f'{_tok(c)} AS "{CSV_NAMES.get(c, c)}"' for c in _RAW_COLS) + " FROM raw", RAW)
+_KEY = "(cast(split_part(order_id, '-', 2) AS bigint) + cast(split_part(order_id, '-', 3) AS bigint))"
+_SHORT, _STRAY = f"{_KEY} % 37 = 5", f"{_KEY} % 37 <> 5 AND {_KEY} % 41 = 7"
+LOADED = ("ragged AS (SELECT * FROM raw),\nkept AS (SELECT * REPLACE (CASE WHEN " + _SHORT + " THEN NULL ELSE revenue END AS revenue, "
+          "CASE WHEN " + _SHORT + f" THEN NULL ELSE profit END AS profit) FROM ragged WHERE NOT ({_STRAY}))")
+Q["load_ragged_sales"] = with_raw("SELECT " + ", ".join(
+    f'{_tok(c)} AS "{CSV_NAMES.get(c, c)}"' for c in _RAW_COLS) + " FROM kept", RAW, LOADED)
+Q["load_bad_rows"] = with_raw(f"SELECT order_id, {len(_RAW_COLS) + 1} AS fields, {len(_RAW_COLS)} AS expected "
+                              f"FROM raw WHERE {_STRAY}", RAW)
 Q["standardize_columns"] = with_raw("SELECT " + ", ".join(f"{_tok(c)} AS {c}" for c in _RAW_COLS)
                                     + " FROM raw", RAW)
 Q["fix_dtypes"] = with_raw("SELECT * FROM typed", RAW, TYPED)
@@ -578,6 +586,13 @@ UNION ALL SELECT 3, 'fix_quality_issues', (SELECT count(*) FROM dedup), (SELECT
                                RAW, TYPED, MODE, MISSING, DEDUP, QUALITY) \
     .replace("\nSELECT 1 AS step_no", "\nSELECT *, rows_before - rows_after AS rows_dropped FROM (\nSELECT 1 AS step_no") + ")"
 
+_CLEANED_RAGGED = RAW.replace("raw AS (", "ragged AS (") + ",\n" + LOADED.split(",\n", 1)[1].replace("kept AS", "raw AS", 1)
+Q["load_audit"] = Q["cleaning_audit"].replace(RAW, _CLEANED_RAGGED).replace(
+    "(\nSELECT 1 AS step_no, 'handle_missing' AS step,",
+    "(\nSELECT -1 AS step_no, 'load_sales' AS step, (SELECT count(*) FROM ragged) AS rows_before, (SELECT count(*) FROM raw) AS rows_after\n"
+    f"UNION ALL SELECT 0, 'fill_short_rows', (SELECT count(*) FROM ragged WHERE {_SHORT}), (SELECT count(*) FROM ragged WHERE {_SHORT})\n"
+    "UNION ALL SELECT 1, 'handle_missing',")
+
 _CLEAN_COLS = ["order_id", "customer_id", "segment", "date", "product", "category", "region", "city", "quantity",
                "unit_price", "discount", "revenue", "profit", "year", "month", "month_name", "quarter",
                "year_month", "profit_margin"]

@@ -243,24 +243,43 @@ def q_kpi_history(spark, sf_dir):
 
 # --- cleaning (dirty raw_sales derived from the star schema) ------------------
 from ledgerlens.sources.files import read_sales_csv as _read_csv, write_clean as _write_clean  # noqa: E402
+from ledgerlens.sources.load import load_audit as _load_audit, load_sales as _load_sales  # noqa: E402
 from ledgerlens.sources.tables import raw_sales_from_star  # noqa: E402
 from ledgerlens.session import scratch_path as _scratch  # noqa: E402
+from ledgerlens.plans.materialize import written_once as _written_once  # noqa: E402
 
-_CSV_WRITTEN: dict[tuple, str] = {}
+
+def export_from_star(spark, sf_dir):
+    """raw_sales with the messy header names 'Revenue ' and 'Profit' of the original export."""
+    return (raw_sales_from_star(spark, sf_dir)
+            .withColumnRenamed("revenue", "Revenue ").withColumnRenamed("profit", "Profit"))
 
 
 def raw_csv_path(spark, sf_dir):
-    """raw_sales written once per session as header CSV, with the messy
-    header names 'Revenue ' and 'Profit' of the original export."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _CSV_WRITTEN:
-        path = _scratch(spark, "raw_sales_csv")
-        (raw_sales_from_star(spark, sf_dir)
-         .withColumnRenamed("revenue", "Revenue ").withColumnRenamed("profit", "Profit")
-         .write.option("header", True).option("ignoreLeadingWhiteSpace", False)
-         .option("ignoreTrailingWhiteSpace", False).mode("overwrite").csv(path))
-        _CSV_WRITTEN[key] = path
-    return _CSV_WRITTEN[key]
+    """The export written once per session as header CSV."""
+    def write(path):
+        export_from_star(spark, sf_dir).write.options(
+            header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).mode("overwrite").csv(path)
+
+    return _written_once(spark, "raw_sales_csv", sf_dir, write)
+
+
+def ragged_csv_path(spark, sf_dir):
+    """The export with lines that miss their last two fields or have one too many, by
+    the order's key and line number."""
+    def write(path):
+        df = export_from_star(spark, sf_dir)
+        key = _F.split("order_id", "-")
+        key = key[1].cast("bigint") + key[2].cast("bigint")
+        line = _F.to_csv(_F.struct(*[_F.col(f"`{c}`") for c in df.columns]))
+        short = _F.to_csv(_F.struct(*[_F.col(f"`{c}`") for c in df.columns[:-2]]))
+        line = _F.when(key % 37 == 5, short).when(key % 41 == 7, _F.concat(line, _F.lit(",stray"))).otherwise(line)
+        # one column named like the whole header, with a delimiter and a quote that no line has
+        df.select(line.alias(",".join(df.columns))).write.options(
+            header=True, sep="\x01", quote="\x02", escapeQuotes=False, ignoreLeadingWhiteSpace=False,
+            ignoreTrailingWhiteSpace=False).mode("overwrite").csv(path)
+
+    return _written_once(spark, "ragged_sales_csv", sf_dir, write)
 
 
 def raw(spark, sf_dir):
@@ -269,7 +288,26 @@ def raw(spark, sf_dir):
 
 @register("load_sales")
 def q_load_sales(spark, sf_dir):
-    return _read_csv(spark, raw_csv_path(spark, sf_dir))
+    return _load_sales(spark, raw_csv_path(spark, sf_dir)).rows
+
+
+@register("load_ragged_sales")
+def q_load_ragged_sales(spark, sf_dir):
+    """Short lines are filled with nulls, lines with a stray field are left out."""
+    return _load_sales(spark, ragged_csv_path(spark, sf_dir)).rows
+
+
+@register("load_bad_rows")
+def q_load_bad_rows(spark, sf_dir):
+    bad = _load_sales(spark, ragged_csv_path(spark, sf_dir)).bad_rows
+    return bad.select(_F.split("line", ",")[0].alias("order_id"), "fields", "expected")
+
+
+@register("load_audit")
+def q_load_audit(spark, sf_dir):
+    """The cleaning audit of a ragged export, from its lines to its clean rows."""
+    load = _load_sales(spark, ragged_csv_path(spark, sf_dir))
+    return clean.cleaning_audit(load.rows, loading=_load_audit(load))
 
 
 @register("standardize_columns")

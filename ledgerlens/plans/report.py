@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerlens.operators import clean, eda, forecast, insights, kpi, rfm
 from ledgerlens.session import scratch_path
 from ledgerlens.sources.files import write_clean, write_report
+from ledgerlens.sources.load import load_audit, load_sales
 
 
 def report_builders(sales: DataFrame, top_n: int = 10, horizon: int = 6, kpi_window: int = 3,
@@ -71,11 +72,28 @@ def report_tables(sales: DataFrame, **kwargs) -> dict[str, DataFrame]:
     return {k: f() for k, f in report_builders(sales, **kwargs).items()}
 
 
+def run_analysis_csv(spark: SparkSession, path: str, out_dir: str | None = None, parallel: int = 4,
+                     multi_line: bool = False, date_format: str = "yyyy-MM-dd", **report_args) -> dict[str, str]:
+    """``run_analysis`` of a CSV export. Also writes what did not fit: ``bad_rows`` (lines with stray fields),
+    ``loading_audit`` (rows by step, from the lines to the clean rows) and ``parse_failures`` (values per column
+    that could not be read, which shows a wrong ``date_format``)."""
+    out_dir = out_dir or scratch_path(spark, "analysis")
+    load = load_sales(spark, path, f"{out_dir}/sales_raw", multi_line)
+    paths = run_analysis(spark, load.rows, out_dir, parallel, date_format=date_format, **report_args)
+    paths.update(write_report({
+        "bad_rows": load.bad_rows,
+        "loading_audit": lambda: clean.cleaning_audit(load.rows, date_format, load_audit(load)),
+        "parse_failures": lambda: clean.parse_failures(load.rows, date_format)}, f"{out_dir}/loading", parallel=parallel))
+    paths["sales_raw"] = f"{out_dir}/sales_raw"
+    return paths
+
+
 def run_analysis(spark: SparkSession, raw: DataFrame, out_dir: str | None = None, parallel: int = 4,
-                 **report_args) -> dict[str, str]:
+                 date_format: str = "yyyy-MM-dd", **report_args) -> dict[str, str]:
     """Clean ``raw``, write the clean table, write every report table; returns paths."""
     out_dir = out_dir or scratch_path(spark, "analysis")
-    clean_path = write_clean(clean.clean_sales(raw), f"{out_dir}/sales_clean", "parquet", "year")
+    cleaned = clean.clean_sales(raw, date_format=date_format)
+    clean_path = write_clean(cleaned, f"{out_dir}/sales_clean", "parquet", "year")
     sales = spark.read.parquet(clean_path)
     # partial sums that a dozen reports share, and the scored customers: written once
     keys = {"month": eda.MONTH_KEYS, "product": ["product"], "customer": ["customer_id"]}

@@ -13,13 +13,14 @@ from pyspark.sql import types as T
 from ledgerlens.functions.constants import NULL_TOKENS
 
 
-#: Quotes are doubled inside quoted fields, as spreadsheet exports write them.
-_DIALECT = {"quote": '"', "escape": '"', "inferSchema": False}
+def csv_dialect() -> dict:
+    """Quotes are doubled inside quoted fields, as spreadsheet exports write them."""
+    return {"quote": '"', "escape": '"'}
 
 
-def _header(spark: SparkSession, path: str) -> list[str]:
+def header_names(spark: SparkSession, path: str) -> list[str]:
     """Column names from the header line, read by Spark from the files."""
-    first = spark.read.options(header=False, **_DIALECT).csv(path).limit(1).collect()
+    first = spark.read.options(header=False, inferSchema=False, **csv_dialect()).csv(path).limit(1).collect()
     return [c if c is not None else f"_c{i}" for i, c in enumerate(first[0])] if first else []
 
 
@@ -29,15 +30,16 @@ def read_sales_csv(spark: SparkSession, path: str, multi_line: bool = False) ->
     Every token in ``NULL_TOKENS`` becomes null, as a pandas-style reader would.
     Columns are not renamed here: ``standardize_columns`` does that. All files
     must carry the same header, and every row as many fields as the header has;
-    anything else raises instead of moving values to other columns.
+    anything else raises instead of moving values to other columns
+    (``sources.load.load_sales`` fills short rows and sets the others aside).
     ``multi_line`` allows line breaks inside quoted fields; such files cannot be
     split, so each is read by one task.
     """
-    names = _header(spark, path)
+    names = header_names(spark, path)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     df = spark.read.schema(schema).options(
         header=True, enforceSchema=False, mode="FAILFAST", multiLine=multi_line, columnPruning=False,
-        **{k: v for k, v in _DIALECT.items() if k != "inferSchema"}).csv(path)
+        **csv_dialect()).csv(path)
     return df.select(*[
         F.when(~F.col(f"`{n}`").isin(NULL_TOKENS), F.col(f"`{n}`")).alias(n)
         for n in names])
