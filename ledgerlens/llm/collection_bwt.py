@@ -2,8 +2,8 @@
 
 Round ``j`` inserts the suffix of length ``j`` of every string that is long enough,
 so one symbol per string, into the sorted list of all shorter suffixes. Only two
-sequences are kept, each in an external file that a round reads from start to end
-and writes anew:
+sequences are kept, side by side in an external file that a round reads from start to
+end, twice, and writes anew:
 
 * the transform: for each suffix, in sorted order, the symbol before it;
 * the common prefix of each suffix with the one sorted before it, up to ``cap``.
@@ -16,7 +16,7 @@ counts and running minima per symbol, finds both; a second one merges.
 
 Strings are bytes without 0xFF (UTF-8 never has it), which marks their start here.
 Equal suffixes of different strings are kept apart by the strings' order. Memory
-holds a chunk of each file and a few numbers per string.
+holds a chunk of the file and a few numbers per string.
 """
 
 from __future__ import annotations
@@ -33,22 +33,20 @@ class _LeastOf:
     """Least value of any stretch of a chunk, by a table over stretches of power-of-two lengths."""
 
     def __init__(self, values: np.ndarray):
-        self.levels, size = [values], 1
-        while 2 * size <= len(values):
-            last = self.levels[-1]
-            self.levels.append(np.minimum(last[:-size], last[size:]))
-            size *= 2
+        self.table = np.empty((len(values).bit_length(), len(values)), np.uint8)
+        self.table[0] = values
+        for k in range(1, len(self.table)):
+            size, last = 1 << k - 1, self.table[k - 1]
+            stop = len(values) - 2 * size + 1
+            np.minimum(last[:stop], last[size:size + stop], out=self.table[k, :stop])
 
     def __call__(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Per pair the least of ``values[first:last + 1]``; 255 where that is empty."""
-        out = np.full(len(first), 255, np.uint8)
         width = last - first + 1
-        level = np.frexp(width.astype(np.float64))[1] - 1
-        for k in np.unique(level[width > 0]).tolist():
-            at = np.flatnonzero((level == k) & (width > 0))
-            table = self.levels[k]
-            out[at] = np.minimum(table[first[at]], table[last[at] - (1 << k) + 1])
-        return out
+        some = width > 0
+        level = np.frexp(np.where(some, width, 1).astype(np.float32))[1] - 1
+        first, last = np.where(some, first, 0), np.where(some, last - (1 << level) + 1, 0)
+        return np.where(some, np.minimum(self.table[level, first], self.table[level, last]), np.uint8(255))
 
 
 class CollectionBwt:
@@ -71,18 +69,17 @@ class CollectionBwt:
         store.create_dir(folder, recursive=True)
         first = self.symbols[self.ends - 1]
         self._count(first)
-        with self._out("bwt", 0) as bwt, self._out("lcp", 0) as lcp:
-            bwt.write(first.tobytes())
-            lcp.write(bytes(len(strings)))
+        with self._out(0) as rows:
+            rows.write((first.astype(np.uint16) << 8).tobytes())
 
-    def _path(self, name: str, number: int) -> str:
-        return posixpath.join(self.folder, f"{name}-{number}")
+    def _path(self, number: int) -> str:
+        return posixpath.join(self.folder, f"rows-{number}")
 
-    def _out(self, name: str, number: int):
-        return self.store.open_output_stream(self._path(name, number), compression=None)
+    def _out(self, number: int):
+        return self.store.open_output_stream(self._path(number), compression=None)
 
-    def _in(self, name: str, number: int):
-        return self.store.open_input_stream(self._path(name, number), compression=None)
+    def _in(self, number: int):
+        return self.store.open_input_stream(self._path(number), compression=None)
 
     def _count(self, symbols: np.ndarray) -> None:
         self.total += np.bincount(symbols, minlength=256)
@@ -112,15 +109,16 @@ class CollectionBwt:
         last_new = np.zeros(256, bool)                    # was the symbol's last row inserted last round?
         to, prefix = np.zeros(len(self.places), np.int64), np.zeros(len(self.places), np.uint8)
         after, after_prefix = [], []
-        with self._in("bwt", self.round) as bwt, self._in("lcp", self.round) as lcp:
+        with self._in(self.round) as rows:
             for base in range(0, self.rows, self.chunk):
-                b, p = (np.frombuffer(f.read(min(self.chunk, self.rows - base)), np.uint8) for f in (bwt, lcp))
+                both = np.frombuffer(rows.read(2 * min(self.chunk, self.rows - base)), np.uint16)
+                b, p = (both >> 8).astype(np.uint8), both.astype(np.uint8)
                 lo, hi = np.searchsorted(self.places, [base, base + len(b)])
                 new = np.zeros(len(b), bool)
                 new[self.places[lo:hi] - base] = True
                 order = np.argsort(b, kind="stable")
-                sym = b[order]
                 here = np.bincount(b, minlength=256)
+                sym = np.repeat(np.arange(256, dtype=np.uint8), here)
                 group = np.cumsum(here) - here
                 head = np.zeros(len(b), bool)
                 present = np.flatnonzero(here)
@@ -150,35 +148,34 @@ class CollectionBwt:
 
     def _merge(self, to: np.ndarray, symbols: np.ndarray, prefix: np.ndarray,
                after: np.ndarray, after_prefix: np.ndarray) -> None:
-        """Write the files of this round: the old rows in their order, new ones at ``to``, prefixes of ``after`` set."""
+        """Write the file of this round: the old rows in their order, new ones at ``to``, prefixes of ``after`` set."""
         by_row = np.argsort(to)
         to, symbols, prefix = to[by_row], symbols[by_row], prefix[by_row]
         by_row = np.argsort(after)
         after, after_prefix = after[by_row], after_prefix[by_row]
+        new = symbols.astype(np.uint16) << 8 | prefix
         rows, old = self.rows + len(to), self.round - 1
-        with (self._in("bwt", old) as bwt_in, self._in("lcp", old) as lcp_in,
-              self._out("bwt", self.round) as bwt_out, self._out("lcp", self.round) as lcp_out):
+        with self._in(old) as before, self._out(self.round) as out:
             for base in range(0, rows, self.chunk):
                 size = min(self.chunk, rows - base)
                 lo, hi = np.searchsorted(to, [base, base + size])
                 stays = np.ones(size, bool)
                 stays[to[lo:hi] - base] = False
-                b, p = np.empty(size, np.uint8), np.empty(size, np.uint8)
-                b[stays] = np.frombuffer(bwt_in.read(size - (hi - lo)), np.uint8)
-                p[stays] = np.frombuffer(lcp_in.read(size - (hi - lo)), np.uint8)
-                b[~stays], p[~stays] = symbols[lo:hi], prefix[lo:hi]
+                both = np.empty(size, np.uint16)
+                both[stays] = np.frombuffer(before.read(2 * (size - (hi - lo))), np.uint16)
+                both[to[lo:hi] - base] = new[lo:hi]
                 lo, hi = np.searchsorted(after, [base, base + size])
-                p[after[lo:hi] - base] = after_prefix[lo:hi]
-                bwt_out.write(b.tobytes())
-                lcp_out.write(p.tobytes())
-        for name in ("bwt", "lcp"):
-            self.store.delete_file(self._path(name, old))
+                at = after[lo:hi] - base
+                both[at] = both[at] & 0xFF00 | after_prefix[lo:hi]
+                out.write(both.data)
+        self.store.delete_file(self._path(old))
         self.rows = rows
 
     def sequences(self) -> tuple[np.ndarray, np.ndarray]:
         """The transform and the common prefixes of the suffixes inserted so far."""
-        with self._in("bwt", self.round) as bwt, self._in("lcp", self.round) as lcp:
-            return tuple(np.frombuffer(f.read(self.rows), np.uint8) for f in (bwt, lcp))
+        with self._in(self.round) as rows:
+            both = np.frombuffer(rows.read(2 * self.rows), np.uint16)
+        return (both >> 8).astype(np.uint8), both.astype(np.uint8)
 
     def repeated_windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(string, start, class) of every stretch of ``cap`` symbols; equal ones, and only these, are

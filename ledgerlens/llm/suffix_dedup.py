@@ -59,7 +59,7 @@ LENGTH = 100
 ANCHOR = 16
 SPLIT = 2000
 BUCKET_BYTES = 4 << 20
-GROUP_BYTES = 1 << 18
+GROUP_BYTES = 1 << 15
 STRETCH = 1 << 22
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -77,24 +77,22 @@ def numbered(docs: DataFrame) -> DataFrame:
     return written(ordered.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), "suffix-rows")
 
 
-def _doubled(h: np.ndarray, size: int) -> np.ndarray:
-    return mix(h[:-size] * _ODD + h[size:])
-
-
 def anchored_strings(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int
                      ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the documents in ``raw`` (each at least ``length`` bytes): key, string hash, first window, length of the
     string, and place of the anchor in it."""
     x = raw.astype(np.uint64)
     for size in (1, 2, 4):
-        x = x[:-size] | (x[size:] << np.uint64(8 * size))
-    h, size = mix(x), 8
-    whole = {}
-    while 2 * size <= length:
-        h, size = _doubled(h, size), 2 * size
-        whole[size] = h
-    anchor = whole[ANCHOR]
-    coded = (anchor >> _PLACE_BITS << _PLACE_BITS) | np.arange(len(anchor), dtype=np.uint64)
+        more = x[size:] << np.uint64(8 * size)
+        more |= x[:-size]
+        x = more
+    eight = mix(x)
+    hashes = eight[:-8] * _ODD
+    hashes += eight[8:]
+    hashes = mix(hashes)                                             # of ANCHOR = 16 bytes
+    coded = hashes >> _PLACE_BITS
+    coded <<= _PLACE_BITS
+    coded |= np.arange(len(hashes), dtype=np.uint64)
     wide, width = length - ANCHOR + 1, 1
     while 2 * width <= wide:
         coded, width = np.minimum(coded[:-width], coded[width:]), 2 * width
@@ -113,9 +111,12 @@ def anchored_strings(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, len
     first, last = first[inside], last[inside]
     end = last + length
     string = mix((end - first).astype(np.uint64) * _ODD + (at[first] - first).astype(np.uint64))
-    for i in range(-(-(2 * length) // size)):
-        string = mix(string * _ODD + h[np.minimum(first + i * size, end - size)])
-    return anchor[at[first]].view(np.int64), string.view(np.int64), first, end - first, at[first] - first
+    for i in range(-(-(2 * length) // ANCHOR)):
+        string *= _ODD
+        string += hashes[np.minimum(first + i * ANCHOR, end - ANCHOR)]
+        string ^= string >> np.uint64(29)
+    string = mix(string)
+    return hashes[at[first]].view(np.int64), string.view(np.int64), first, end - first, at[first] - first
 
 
 #: A place in a document, the length of the string there and its anchor's place in one number, ordered by place.
@@ -165,7 +166,7 @@ def settled(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     string; and (key, strings, rid, span) of the earliest ones under keys that hold several strings."""
     owners = written(found.groupBy("key", "string").agg(F.min(F.struct("rid", "span")).alias("own"),
                                                         F.count("*").alias("n")), "suffix-strings")
-    keys = owners.groupBy("key").agg(F.count("*").alias("strings")).where("strings > 1")
+    keys = written(owners.groupBy("key").agg(F.count("*").alias("strings")).where("strings > 1"), "suffix-keys")
     contested = owners.join(keys, "key").select("key", "strings", "own.rid", "own.span")
     here = F.struct("rid", "span")
     copies = found.join(owners.where("n > 1").select("key", "string", "own"), ["key", "string"]).where(
@@ -279,7 +280,7 @@ def repeated_stretches(rows: DataFrame, length: int = LENGTH, split: int = SPLIT
                        ) -> DataFrame:
     """(rid, start, stop): stretches of the documents (rid, text) to remove; they may overlap."""
     every = places(rows, length)
-    shared = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = written(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "suffix-shared")
     found = written(every.join(shared, "key"), "suffix-places")
     copies, contested = settled(found)
     spans = [copies]
