@@ -41,6 +41,15 @@ def half_up(c, n: int = 2) -> Column:
                   F.floor(c * F.lit(scale) + F.lit(0.5)) / F.lit(scale)).otherwise(c)
 
 
+def significant(c, digits: int = 10) -> Column:
+    """Round to ``digits`` significant digits, ties upwards: the same relative accuracy for amounts of any size."""
+    c = _c(c).cast("double")
+    power = F.lit(digits - 1) - F.floor(F.log10(F.abs(c)))
+    up, down = F.pow(F.lit(10.0), power), F.pow(F.lit(10.0), -power)
+    return (F.when(c == 0, c).when(power >= 0, F.floor(c * up + F.lit(0.5)) / up)
+            .otherwise(F.floor(c / down + F.lit(0.5)) * down))
+
+
 def money(c) -> Column:
     """Round a money amount to cents."""
     return half_up(c, 2)

@@ -166,14 +166,21 @@ def monthly_avg_revenue(df: DataFrame, parts: DataFrame | None = None) -> DataFr
             .orderBy("month"))
 
 
+#: A table with a column per region is for people to look at.
+MAX_REGIONS = 1000
+
+
 def heatmap_data(df: DataFrame, regions: list[str] | None = None) -> DataFrame:
     """Revenue by month (rows, calendar order, only months present) x region
     (columns), missing cells 0. The facts are aggregated once to month x region;
-    where ``regions`` is not given, the column names come from that small table."""
+    where ``regions`` is not given, the column names come from that small table.
+    More than ``MAX_REGIONS`` columns raise."""
     cells = checkpoint_table(_keyed(df, "month", "month_name", "region").groupBy("month", "month_name", "region")
                              .agg(money_sum("revenue").alias("revenue")), "heatmap_cells")
     if regions is None:
-        regions = sorted(r[0] for r in cells.select("region").distinct().collect())
+        regions = sorted(r[0] for r in cells.select("region").distinct().limit(MAX_REGIONS + 1).collect())
+        if len(regions) > MAX_REGIONS:
+            raise ValueError(f"more than {MAX_REGIONS} regions: name those to show")
     aggs = [F.coalesce(F.max(F.when(F.col("region") == r, F.col("revenue"))), F.lit(0.0)).alias(r) for r in regions]
     return cells.groupBy("month", "month_name").agg(*aggs).orderBy("month")
 

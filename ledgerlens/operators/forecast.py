@@ -5,9 +5,10 @@ so its windows carry no partition key; all fact-level work is one grouped
 aggregation by month.
 
 Determinism: the centred trend is a mean of exact cents; the seasonal index
-is rounded to 12 decimals and the fitted slope / intercept / residual sigma to
-6 / 4 / 12 decimals where they are produced, so every later value is
-bit-identical across engines and partitionings.
+and the residual sigma, which are ratios, are rounded to 12 decimals, the fitted
+slope and intercept to 10 significant digits, so amounts kept in cents and in
+billions are fitted alike, and every later value is bit-identical across engines
+and partitionings.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.exprs import half_up, month_start, safe_div
+from ledgerlens.functions.exprs import half_up, month_start, safe_div, significant
 from ledgerlens.operators.eda import sums_by
 from ledgerlens.operators.stats import centered_moving_average
 from ledgerlens.sources.files import checkpoint_table
@@ -24,15 +25,14 @@ from ledgerlens.sources.files import checkpoint_table
 def monthly_series(df: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     """(ds, y): revenue per calendar month, gap-free from first to last month (gaps -> 0).
 
-    The months are written once, so that both the series and its span read them and
-    the facts are aggregated once; ``parts`` (see ``eda.partial_sums``) saves that too."""
-    m = (sums_by(df, parts, "year_month")
-         .select(month_start("year_month").alias("ds"), F.coalesce(F.col("rev").cast("double"), F.lit(0.0)).alias("y")))
-    m = checkpoint_table(m, "months") if parts is None else m
-    spine = m.agg(F.min("ds").alias("lo"), F.max("ds").alias("hi")).select(
-        F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 MONTH"))).alias("ds"))
-    return (spine.join(m, "ds", "left")
-            .select("ds", F.coalesce("y", F.lit(0.0)).alias("y")).orderBy("ds"))
+    Every month present fills the gap up to the next one, in one pass over the months: the facts are
+    aggregated once; ``parts`` (see ``eda.partial_sums``) saves that too."""
+    following = F.add_months(F.lead("ds").over(Window.orderBy("ds")), -1)
+    return (sums_by(df, parts, "year_month")
+            .select(month_start("year_month").alias("ds"), F.coalesce(F.col("rev").cast("double"), F.lit(0.0)).alias("y"))
+            .withColumn("until", F.coalesce(following, "ds"))
+            .select("y", F.posexplode(F.sequence("ds", "until", F.expr("INTERVAL 1 MONTH"))).alias("gap", "ds"))
+            .select("ds", F.when(F.col("gap") == 0, F.col("y")).otherwise(F.lit(0.0)).alias("y")).orderBy("ds"))
 
 
 def seasonal_index(dec: DataFrame) -> DataFrame:
@@ -62,9 +62,9 @@ def fit_trend(dec: DataFrame) -> DataFrame:
     one row (slope, intercept, n_valid)."""
     v = dec.where(F.col("trend").isNotNull()).select(
         "trend", (F.row_number().over(Window.orderBy("ds")) - 1).cast("double").alias("x"))
-    return v.agg(half_up(F.regr_slope("trend", "x"), 6).alias("slope"),
-                 half_up(F.regr_intercept("trend", "x"), 4).alias("intercept"),
-                 F.count(F.lit(1)).alias("n_valid"))
+    fit = v.agg(F.regr_slope("trend", "x").alias("slope"), F.regr_intercept("trend", "x").alias("intercept"),
+                F.count(F.lit(1)).alias("n_valid"))
+    return fit.select(significant("slope").alias("slope"), significant("intercept").alias("intercept"), "n_valid")
 
 
 def _clip0(c):

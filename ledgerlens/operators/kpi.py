@@ -30,14 +30,15 @@ def compute_kpis(df: DataFrame, window_months: int = 3) -> DataFrame:
     (calendar months, inclusive). Totals are divided by the number of distinct
     months present in that range (at least 1).
 
-    The window's start is fixed first, from a scan of the ``date`` column alone,
-    so that the main scan gets it as a literal: with a ``year`` column (the written
-    tables are partitioned by it) older folders are not read at all.
+    The window's start is a scalar subquery over the ``date`` column alone, evaluated
+    when the query runs; with a ``year`` column (the written tables are partitioned
+    by it) folders of older years are not read at all.
     """
-    start = df.agg(F.add_months(F.max("date"), -window_months)).first()[0]
-    recent = df.where(F.col("date") >= F.lit(start)) if start else df.where(F.lit(False))
-    if start and "year" in df.columns:
-        recent = recent.where(F.col("year") >= F.lit(start.year))
+    dated = df.where(F.col("year").isNotNull()) if "year" in df.columns else df       # rows without a date have no year
+    start = dated.agg(F.add_months(F.max("date"), -window_months).alias("start"))
+    recent = dated.where(F.col("date") >= start.scalar())
+    if "year" in df.columns:
+        recent = recent.where(F.col("year") >= start.select(F.year("start")).scalar())
     n = F.greatest(F.count_distinct("year_month"), F.lit(1)).cast("double")
     return recent.agg(
         (money_sum("revenue") / n).alias("monthly_revenue"),

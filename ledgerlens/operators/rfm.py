@@ -6,9 +6,11 @@ Scaling notes
   task, so a customer with a third of all rows costs nothing extra).
 * Recency and monetary edges are exact quartiles from ``exact_percentiles``
   (ranked value counts), never a collect of all customers.
-* The frequency score needs ``rank(method='first')`` over all customers; it is
-  ``global_row_number`` on (frequency, customer_id): range partitioning keeps
-  every task bounded even when most customers share one frequency.
+* The frequency score needs the order of all customers by (frequency, customer_id)
+  only at three ranks: those come from the counts per frequency, and customers are
+  put in order inside the frequencies that such a rank cuts (``frequency_cuts``).
+  ``rank_first`` gives every customer's rank, by ``global_row_number``: range
+  partitioning keeps every task bounded even when most customers share one frequency.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from ledgerlens.functions.exprs import half_up, money_avg, money_sum, safe_div
 from ledgerlens.operators.eda import partial_sums
 from ledgerlens.sources.files import checkpoint_table
 from ledgerlens.operators.stats import (
-    exact_percentiles, exact_percentiles_multi, global_row_number, rank_quartile_score, score_by_edges,
+    exact_percentiles, exact_percentiles_multi, global_row_number, range_numbered, score_by_edges,
 )
 
 QUARTILES = [0.25, 0.5, 0.75]
@@ -60,6 +62,39 @@ def rank_first(rfm: DataFrame) -> DataFrame:
     return global_row_number(rfm, ["frequency", "customer_id"], "f_rank")
 
 
+def frequency_cuts(rfm: DataFrame, q: int = 4) -> DataFrame:
+    """One row, ``cuts``: for each of the ``q - 1`` inner edges of ``qcut(rank)`` the last customer below it, as
+    (frequency, customer_id) in the order of ``rank_first``; a null id stands for all customers of that frequency.
+
+    Ranks run on over the counts per frequency (``k`` different frequencies take k * (k + 1) / 2 rows of facts at
+    least, so they are few at any size). Only customers of a frequency that an edge cuts are put in order, in
+    ranges, and numbered in the one range that holds the edge.
+    """
+    counts = rfm.groupBy("frequency").agg(F.count(F.lit(1)).alias("c"))
+    ranked = counts.select("frequency", "c", (F.sum("c").over(Window.orderBy("frequency")) - F.col("c")).alias("start"),
+                           F.sum("c").over(Window.partitionBy()).alias("n"))
+    lasts = F.array(*[F.struct(F.lit(j).alias("j"), F.floor(F.lit(1.0) + (F.col("n") - 1).cast("double") * F.lit(j / q))
+                               .alias("last")) for j in range(1, q)])
+    edges = (ranked.select("frequency", "c", "start", F.explode(lasts).alias("e"))
+             .where((F.col("start") < F.col("e.last")) & (F.col("e.last") <= F.col("start") + F.col("c")))
+             .select("frequency", "e.j", "c", (F.col("e.last") - F.col("start")).alias("place")))
+    cut = edges.where("place < c").select("frequency", "j", "place")
+    inside = rfm.select("frequency", "customer_id").join(F.broadcast(cut.select("frequency").distinct()),   # q - 1 rows
+                                                         "frequency", "left_semi")
+    ranged = range_numbered(inside, ["frequency", "customer_id"], "frequency_edges")
+    before = Window.partitionBy("frequency").orderBy("_pid")
+    sums = ranged.groupBy("frequency", "_pid").agg(F.count(F.lit(1)).alias("s")).select(
+        "frequency", "_pid", "s", (F.sum("s").over(before) - F.col("s")).alias("off"))
+    there = (sums.join(F.broadcast(cut), "frequency")
+             .where((F.col("off") < F.col("place")) & (F.col("place") <= F.col("off") + F.col("s")))
+             .select("frequency", "_pid", "j", (F.col("place") - F.col("off")).alias("here")))
+    numbered = ranged.join(F.broadcast(there), ["frequency", "_pid"]).withColumn(
+        "no", F.row_number().over(Window.partitionBy("j").orderBy("customer_id")))
+    found = numbered.where("no = here").select("j", "customer_id")
+    return (edges.select("j", "frequency").join(found, "j", "left")
+            .agg(F.array_sort(F.collect_list(F.struct("j", "frequency", "customer_id"))).alias("cuts")))
+
+
 def quantile_score(rfm: DataFrame, col: str = "monetary", reverse: bool = False) -> DataFrame:
     """Quartile score 1..4 of ``col`` (qcut with right-closed bins), with the edges."""
     e = quartile_edges(rfm, col)
@@ -74,14 +109,16 @@ def rfm_scores(rfm: DataFrame) -> DataFrame:
     rfm_score ('rfm' digits) and rfm_total."""
     q = exact_percentiles_multi(rfm, [("recency", p) for p in QUARTILES] + [("monetary", p) for p in QUARTILES])
     edges = q.select(F.struct(*q.columns)).scalar()
-    ranked = rank_first(rfm)
-    n = ranked.agg(F.count(F.lit(1))).scalar()
-    ranked = ranked.select("*", edges.alias("_e"), n.alias("_n"))
+    scored = rfm.select("*", edges.alias("_e"), frequency_cuts(rfm).scalar().alias("_c"))
     r = score_by_edges(F.col("recency"), [F.col(f"_e.q{i}") for i in range(3)], reverse=True)
     m = score_by_edges(F.col("monetary"), [F.col(f"_e.q{i}") for i in range(3, 6)])
-    f = rank_quartile_score(F.col("f_rank"), F.col("_n"))
+    f = F.lit(1)
+    for c in [F.get("_c", i) for i in range(3)]:
+        beyond = (F.col("frequency") > c["frequency"]) | ((F.col("frequency") == c["frequency"])
+                                                          & (F.col("customer_id") > c["customer_id"]))
+        f = f + F.when(beyond, 1).otherwise(0)
     r, f, m = r.cast("int"), f.cast("int"), m.cast("int")
-    return ranked.select(
+    return scored.select(
         *[F.col(c) for c in rfm.columns],
         r.alias("r_score"), f.alias("f_score"), m.alias("m_score"),
         F.concat(r.cast("string"), f.cast("string"), m.cast("string")).alias("rfm_score"),
@@ -102,18 +139,12 @@ def rfm_segments(scored: DataFrame) -> DataFrame:
     return scored.withColumn("segment", segment_expr())
 
 
-def compute_rfm(df: DataFrame, snapshot_date: str | None = None, materialize: bool = True,
-                parts: DataFrame | None = None) -> DataFrame:
-    """Values, scores and segment for every customer.
-
-    The per-customer values feed the quartiles, the frequency rank and the
-    scoring, so by default they are written once under the checkpoint folder and
-    read back: the fact table is aggregated exactly once.
-    """
-    values = rfm_values(df, snapshot_date, parts)
-    if materialize:
-        values = checkpoint_table(values, "rfm_values")
-    return rfm_segments(rfm_scores(values))
+def compute_rfm(df: DataFrame, snapshot_date: str | None = None, parts: DataFrame | None = None) -> DataFrame:
+    """Values, scores and segment for every customer. The per-customer sums that all steps
+    read are written once (or given as ``parts``): the fact table is aggregated exactly once."""
+    if parts is None:
+        parts = checkpoint_table(partial_sums(df, ["customer_id"]), "rfm_customers")
+    return rfm_segments(rfm_scores(rfm_values(df, snapshot_date, parts)))
 
 
 def segment_actions(spark) -> DataFrame:

@@ -46,7 +46,7 @@ def interpolate(n: Column, p: float, v_lo: Column, v_hi: Column) -> Column:
             .otherwise((higher - pos) * v_lo + (pos - lower) * v_hi))
 
 
-def _numbered(df: DataFrame, order_cols: list[str], name: str) -> DataFrame:
+def range_numbered(df: DataFrame, order_cols: list[str], name: str) -> DataFrame:
     """``df`` written in ranges of ``order_cols`` with its range number ``_pid``.
 
     The numbers are written with the rows, so that counts and numbering read the
@@ -71,7 +71,7 @@ def value_ranks(df: DataFrame, cols: list[str]) -> DataFrame:
     counts = (df.select(F.explode(pairs).alias("p")).select("p.*")
               .where(F.col("value").isNotNull() & ~F.isnan("value"))
               .groupBy("j", "value").agg(F.count(F.lit(1)).alias("c")))
-    ranged = _numbered(counts, ["j", "value"], "value_counts")
+    ranged = range_numbered(counts, ["j", "value"], "value_counts")
     sums = ranged.groupBy("j", "_pid").agg(F.sum("c").alias("s"))
     before = Window.partitionBy("j").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("j", "_pid", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("off"),
@@ -122,7 +122,7 @@ def global_row_number(df: DataFrame, order_cols: list[str], name: str = "rn") ->
 
     ``order_cols`` must identify a row uniquely (add a key as tie-breaker).
     """
-    ranged = _numbered(df, order_cols, "row_number")
+    ranged = range_numbered(df, order_cols, "row_number")
     local = ranged.withColumn(
         "_lrn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order_cols)))
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))

@@ -346,10 +346,18 @@ dec AS (SELECT d0.ds, d0.y, d0.trend, d0.detrended, d0.month, si.seasonal_index
                d0.detrended / nullif(si.seasonal_index, 0) AS residual
         FROM d0 LEFT JOIN si ON d0.month = si.month)"""
 
+
+
+def significant(x: str, digits: int = 10) -> str:
+    power = f"({digits - 1} - floor(log10(abs({x}))))"
+    return (f"CASE WHEN {x} = 0 THEN {x} WHEN {power} >= 0 THEN floor({x} * pow(10.0::double, {power}) + 0.5) / pow(10.0::double, {power}) "
+            f"ELSE floor({x} / pow(10.0::double, -{power}) + 0.5) * pow(10.0::double, -{power}) END")
+
+
 FIT = f"""
-fit AS (SELECT {half_up('regr_slope(trend, x)', 6)} AS slope, {half_up('regr_intercept(trend, x)', 4)} AS intercept,
-               count(*) AS n_valid
-        FROM (SELECT trend, cast(row_number() OVER (ORDER BY ds) - 1 AS double) AS x FROM dec WHERE trend IS NOT NULL))"""
+fit0 AS (SELECT regr_slope(trend, x) AS slope0, regr_intercept(trend, x) AS intercept0, count(*) AS n_valid
+        FROM (SELECT trend, cast(row_number() OVER (ORDER BY ds) - 1 AS double) AS x FROM dec WHERE trend IS NOT NULL)),
+fit AS (SELECT {significant('slope0')} AS slope, {significant('intercept0')} AS intercept, n_valid FROM fit0)"""
 
 FORECAST = f"""
 st AS (SELECT max(ds) AS last_ds, {half_up('stddev_samp(residual)', 12)} AS sd FROM dec),
