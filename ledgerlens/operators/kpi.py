@@ -67,7 +67,12 @@ def _config_rows(targets) -> Column:
 
 def kpi_alerts(df: DataFrame, window_months: int = 3, targets: dict[str, float] | None = None) -> DataFrame:
     """One alert row per KPI: value, target, ratio, status, pct_vs_target."""
-    k = compute_kpis(df, window_months).select(F.explode(_config_rows(targets)).alias("a")).select("a.*")
+    return alerts_of(compute_kpis(df, window_months), targets)
+
+
+def alerts_of(kpis: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+    """``kpi_alerts`` from the one row of ``compute_kpis``."""
+    k = kpis.select(F.explode(_config_rows(targets)).alias("a")).select("a.*")
     v, t = F.col("value"), F.col("target")
     return k.select(
         "kpi_order", "key", "label", "value", "target",

@@ -725,3 +725,6 @@ Q["cube_filtered_monthly_trend"] = filtered_sql(Q["monthly_sales_trend"])
 Q["cube_filtered_segment_analysis"] = filtered_sql(Q["segment_analysis"])
 Q["sketched_customers"] = with_sales("""
 SELECT region, count(DISTINCT customer_id) AS customers, true AS within_bound FROM s WHERE region IS NOT NULL GROUP BY region""")
+Q["rewrite_years"] = Q["write_clean"]
+Q["kpis_from_days"] = Q["compute_kpis"]
+Q["kpi_alerts_from_days"] = Q["kpi_alerts"]

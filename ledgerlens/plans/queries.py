@@ -374,6 +374,17 @@ def q_write_clean(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+@register("rewrite_years")
+def q_rewrite_years(spark, sf_dir):
+    """The clean table after a first run with wrong profits in two years, and a second run of these years."""
+    t = clean_table(spark, sf_dir)
+    years = _F.col("year").isin(1996, 1997)
+    path = _write_clean(t.withColumn("profit", _F.when(years, 0.0).otherwise(_F.col("profit"))),
+                        _scratch(spark, "sales_clean"), sort_by=["region", "date"])
+    _write_clean(t.where(years), path, touched_only=True, sort_by=["region", "date"])
+    return spark.read.parquet(path)
+
+
 # --- insights and the written report ---------------------------------------------
 from ledgerlens.operators import insights as _ins  # noqa: E402
 from ledgerlens.sources.files import write_report as _write_report  # noqa: E402
@@ -490,3 +501,29 @@ def q_sketched_customers(spark, sf_dir):
     near = _F.abs(_F.col("sketched") - _F.col("customers")) <= 0.05 * _F.col("customers")
     return exact.join(sketched.withColumnRenamed("customers", "sketched"), "region").select(
         "region", "customers", near.alias("within_bound"))
+
+
+# --- KPIs from days ------------------------------------------------------------------------
+from ledgerlens.operators import daily as _daily  # noqa: E402
+
+
+def days_table(spark, sf_dir):
+    """Daily sums in three batches: most rows, late rows of all days, and a batch that was run twice."""
+    def write(path):
+        s = sales(spark, sf_dir)
+        part = _F.pmod(_F.hash("order_id"), _F.lit(10))
+        _daily.add_batch(s, path, "late")
+        for name, keep in (("first", part < 7), ("late", part == 7), ("again", part > 7)):
+            _daily.add_batch(s.where(keep), path, name)
+
+    return _daily.read_batches(spark, _written_once(spark, "days", sf_dir, write))
+
+
+@register("kpis_from_days")
+def q_kpis_from_days(spark, sf_dir):
+    return _daily.compute_kpis(days_table(spark, sf_dir), 3)
+
+
+@register("kpi_alerts_from_days")
+def q_kpi_alerts_from_days(spark, sf_dir):
+    return _kpi.alerts_of(_daily.compute_kpis(days_table(spark, sf_dir), 3), FIXTURE_TARGETS)

@@ -49,19 +49,32 @@ def read_sales_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_clean(df: DataFrame, path: str, fmt: str = "parquet", partition_by: str | None = "year") -> str:
+def write_clean(df: DataFrame, path: str, fmt: str = "parquet", partition_by: str | None = "year",
+                touched_only: bool = False, sort_by: list[str] | None = None) -> str:
     """Persist the cleaned table: parquet partitioned by year (prunable), or CSV with
     header and all columns (never partitioned: folders would take a column out of
     the files). Rows are rebalanced by the partition column first, so a task writes
-    few folders; large years are split over several tasks."""
+    few folders; large years are split over several tasks.
+
+    ``touched_only`` replaces the folders of the years in ``df`` and leaves all others as they are, so that a
+    run over some years can be repeated; the new files are moved in when the whole job has succeeded.
+    ``sort_by`` orders the rows inside each file, so that filters on these columns skip row groups by their
+    least and greatest values.
+    """
     if fmt == "csv":
         df.write.mode("overwrite").options(
             header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
         return path
+    if touched_only and not partition_by:
+        raise ValueError("touched_only needs a partition column")
+    if partition_by:
+        df = df.hint("rebalance", partition_by)
+    if sort_by:
+        df = df.sortWithinPartitions(*([partition_by] if partition_by else []), *sort_by)
+    w = df.write.mode("overwrite")
     if partition_by:
-        df.hint("rebalance", partition_by).write.mode("overwrite").partitionBy(partition_by).parquet(path)
-    else:
-        df.write.mode("overwrite").parquet(path)
+        w = w.partitionBy(partition_by).option("partitionOverwriteMode", "dynamic" if touched_only else "static")
+    w.parquet(path)
     return path
 
 
