@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ledgerlens.functions.constants import MONTH_NAMES
 from ledgerlens.functions.exprs import finite_or_null, half_up, safe_div, title_case, whole_number
+from ledgerlens.operators import fingerprint
 
 SALES_COLUMNS = ["order_id", "customer_id", "segment", "date", "product", "category",
                  "region", "city", "quantity", "unit_price", "discount", "revenue", "profit"]
@@ -98,8 +99,14 @@ def handle_missing(df: DataFrame) -> DataFrame:
             .dropna(subset=REQUIRED_COLUMNS))
 
 
-def remove_duplicates(df: DataFrame) -> DataFrame:
-    """Full-row de-duplication (map-side partial dedup, then one shuffle)."""
+def remove_duplicates(df: DataFrame, by: str = "rows") -> DataFrame:
+    """Full-row de-duplication. ``by="rows"``: one pass, in which all rows are shuffled (after a partial
+    de-duplication per task). ``by="fingerprint"``: ``df`` is read three times, but only fingerprints and rows that
+    have copies are shuffled; for wide rows in files."""
+    if by == "fingerprint":
+        return fingerprint.distinct_rows(df)
+    if by != "rows":
+        raise ValueError(f"duplicates are found by rows or by fingerprint, not by {by!r}")
     return df.dropDuplicates()
 
 
@@ -160,27 +167,21 @@ def cleaning_audit(raw: DataFrame, date_format: str = "yyyy-MM-dd", loading: Dat
     """Rows before/after/dropped for each row-removing step, as a table; with
     ``loading`` (``sources.load.load_audit``) the steps of reading the files come first.
 
-    One grouped aggregation over all columns plus a "kept by the null rule"
-    flag (map-side partial aggregation collapses copies early): the input
-    rows are the sum of the group counts, the survivors of the null rule the
-    sum over kept groups, the de-duplicated rows the number of kept groups,
-    and the survivors of the quantity rule the kept groups with quantity > 0.
+    Rows are counted without a shuffle before and after the null rule; copies are
+    counted by fingerprint (``operators.fingerprint``), whole rows meet only where one
+    repeats. A copy has its original's quantity, so the quantity rule needs the
+    copies among the rows that it keeps only.
     """
     typed = fix_dtypes(standardize_columns(raw), date_format)
-    seg_mode = mode_value(typed, "segment").scalar()
-    filled = typed.withColumns({"discount": F.coalesce(F.col("discount"), F.lit(0.0)),
-                                "city": F.coalesce(F.col("city"), F.lit("Unknown")),
-                                "segment": F.coalesce(F.col("segment"), seg_mode)})
+    filled = handle_missing(typed)
+    positive = F.col("quantity") > 0
+    dropped, dropped_positive = fingerprint.copies(filled, flag=positive)
     keep = F.lit(True)
     for c in REQUIRED_COLUMNS:
         keep = keep & F.col(c).isNotNull()
-    groups = (filled.withColumn("_keep", keep).groupBy(*filled.columns, "_keep")
-              .agg(F.count(F.lit(1)).alias("_n")))
-    counts = groups.agg(
-        F.sum("_n").alias("raw_rows"),
-        F.coalesce(F.sum(F.when(F.col("_keep"), F.col("_n"))), F.lit(0)).alias("kept"),
-        F.count_if(F.col("_keep")).alias("dedup"),
-        F.count_if(F.col("_keep") & (F.col("quantity") > 0)).alias("quality"))
+    counts = typed.agg(F.count(F.lit(1)).alias("raw_rows"), F.count_if(keep).alias("kept"),
+                       F.count_if(keep & positive).alias("positive")).select(
+        "raw_rows", "kept", (F.col("kept") - dropped).alias("dedup"), (F.col("positive") - dropped_positive).alias("quality"))
 
     def step(no, name, before, after):
         return F.struct(F.lit(no).alias("step_no"), F.lit(name).alias("step"),
@@ -197,9 +198,9 @@ def cleaning_audit(raw: DataFrame, date_format: str = "yyyy-MM-dd", loading: Dat
 def data_quality_report(df: DataFrame) -> DataFrame:
     """Long table (metric, column_name, num_value, str_value): rows, columns,
     date range, nulls per column (only columns with nulls), duplicate rows,
-    revenue range. One aggregation pass plus one distinct count."""
+    revenue range. One aggregation pass, and a count of copies by fingerprint."""
     cols = df.columns
-    distinct_rows = df.distinct().agg(F.count(F.lit(1))).scalar()
+    duplicates, _ = fingerprint.copies(df)
     aggs = [F.count(F.lit(1)).alias("rows"), F.min("date").alias("dmin"), F.max("date").alias("dmax"),
             F.min("revenue").alias("rmin"), F.max("revenue").alias("rmax")]
     aggs += [F.count_if(F.col(c).isNull()).alias(f"n_{i}") for i, c in enumerate(cols)]
@@ -213,7 +214,7 @@ def data_quality_report(df: DataFrame) -> DataFrame:
              row("columns", None, F.lit(len(cols)), F.lit(None)),
              row("date_min", "date", F.lit(None), F.col("dmin").cast("string")),
              row("date_max", "date", F.lit(None), F.col("dmax").cast("string")),
-             row("duplicates", None, F.col("rows") - distinct_rows, F.lit(None)),
+             row("duplicates", None, duplicates, F.lit(None)),
              row("revenue_min", "revenue", F.col("rmin"), F.lit(None)),
              row("revenue_max", "revenue", F.col("rmax"), F.lit(None))]
     items += [row("nulls", c, F.col(f"n_{i}"), F.lit(None)) for i, c in enumerate(cols)]

@@ -728,3 +728,4 @@ SELECT region, count(DISTINCT customer_id) AS customers, true AS within_bound FR
 Q["rewrite_years"] = Q["write_clean"]
 Q["kpis_from_days"] = Q["compute_kpis"]
 Q["kpi_alerts_from_days"] = Q["kpi_alerts"]
+Q["remove_duplicates_by_fingerprint"] = Q["remove_duplicates"]

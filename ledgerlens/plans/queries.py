@@ -335,6 +335,11 @@ def q_remove_duplicates(spark, sf_dir):
     return clean.remove_duplicates(clean.handle_missing(clean.fix_dtypes(raw(spark, sf_dir))))
 
 
+@register("remove_duplicates_by_fingerprint")
+def q_remove_duplicates_by_fingerprint(spark, sf_dir):
+    return clean.remove_duplicates(clean.handle_missing(clean.fix_dtypes(raw(spark, sf_dir))), by="fingerprint")
+
+
 @register("fix_quality_issues")
 def q_fix_quality_issues(spark, sf_dir):
     return clean.fix_quality_issues(
