@@ -10,12 +10,15 @@ from __future__ import annotations
 
 import threading
 from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.session import scratch_path
 
-_WRITTEN: dict[tuple, str] = {}
+T = TypeVar("T")
+
+_WRITTEN: dict[tuple, tuple] = {}
 _LOCK = threading.RLock()
 
 
@@ -37,17 +40,26 @@ def fingerprint(spark: SparkSession, source: str) -> int:
     return hash(tuple(sorted(seen)))
 
 
-def written_once(spark: SparkSession, name: str, source: str, write: Callable[[str], None]) -> str:
-    """A folder that ``write(path)`` filled, once per application, name and state of the source files."""
+def kept_once(spark: SparkSession, name: str, source: str, make: Callable[[], T]) -> T:
+    """What ``make()`` returned, made once per application, name and state of the source files."""
     key = (spark.sparkContext.applicationId, name, source)
     state = fingerprint(spark, source)
     with _LOCK:
-        path, old = _WRITTEN.get(key, (None, None))
-        if path is None or old != state:
-            path = scratch_path(spark, name)
-            write(path)
-            _WRITTEN[key] = path, state
-    return path
+        value, old = _WRITTEN.get(key, (None, None))
+        if value is None or old != state:
+            value = make()
+            _WRITTEN[key] = value, state
+    return value
+
+
+def written_once(spark: SparkSession, name: str, source: str, write: Callable[[str], None]) -> str:
+    """A folder that ``write(path)`` filled, once per application, name and state of the source files."""
+    def make() -> str:
+        path = scratch_path(spark, name)
+        write(path)
+        return path
+
+    return kept_once(spark, name, source, make)
 
 
 def materialized(spark: SparkSession, name: str, source: str,

@@ -729,3 +729,5 @@ Q["rewrite_years"] = Q["write_clean"]
 Q["kpis_from_days"] = Q["compute_kpis"]
 Q["kpi_alerts_from_days"] = Q["kpi_alerts"]
 Q["remove_duplicates_by_fingerprint"] = Q["remove_duplicates"]
+Q["bucketed_star_join"] = "WITH " + SALES + "\nSELECT * FROM sales"
+Q["bucketed_region_performance"] = Q["region_performance"]

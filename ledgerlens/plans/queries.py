@@ -532,3 +532,24 @@ def q_kpis_from_days(spark, sf_dir):
 @register("kpi_alerts_from_days")
 def q_kpi_alerts_from_days(spark, sf_dir):
     return _kpi.alerts_of(_daily.compute_kpis(days_table(spark, sf_dir), 3), FIXTURE_TARGETS)
+
+
+# --- the star join from bucketed tables ------------------------------------------------------
+from ledgerlens.plans.materialize import kept_once as _kept_once  # noqa: E402
+from ledgerlens.sources import bucketed as _bucketed  # noqa: E402
+
+
+def bucketed_sales(spark, sf_dir):
+    """The sales, joined from tables in buckets of the order key (written once per session)."""
+    star = _kept_once(spark, "bucketed_star", sf_dir, lambda: _bucketed.write_star(spark, sf_dir))
+    return _bucketed.sales_from_buckets(spark, star)
+
+
+@register("bucketed_star_join")
+def q_bucketed_star_join(spark, sf_dir):
+    return bucketed_sales(spark, sf_dir)
+
+
+@register("bucketed_region_performance")
+def q_bucketed_region_performance(spark, sf_dir):
+    return eda.region_performance(bucketed_sales(spark, sf_dir))

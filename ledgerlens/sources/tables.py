@@ -30,24 +30,35 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
     return df.select(*columns) if columns else df
 
 
-def _star_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines joined to all dimensions, columns pruned to what is used."""
-    li = read_table(spark, sf_dir, "lineitem", [
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines, pruned to the columns that are used."""
+    return read_table(spark, sf_dir, "lineitem", [
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
         "l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+
+
+def orders_with_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their customer's segment, nation and region."""
     orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate"])
     cust = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey", "c_mktsegment"])
     nation = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name", "n_regionkey"])
     region = read_table(spark, sf_dir, "region", ["r_regionkey", "r_name"])
-    part = read_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_type", "p_size"])
-
     geo = nation.join(region, nation.n_regionkey == region.r_regionkey)
     cust_geo = cust.join(geo, cust.c_nationkey == geo.n_nationkey)
-    order_cust = orders.join(cust_geo, orders.o_custkey == cust_geo.c_custkey)
-    lines = li.join(order_cust, li.l_orderkey == order_cust.o_orderkey)
+    return orders.join(cust_geo, orders.o_custkey == cust_geo.c_custkey)
+
+
+def with_parts(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
+    part = read_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_type", "p_size"])
     return lines.join(part, lines.l_partkey == part.p_partkey)
 
 
+def _star_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines joined to all dimensions, columns pruned to what is used."""
+    lines, orders = order_lines(spark, sf_dir), orders_with_customers(spark, sf_dir)
+    return with_parts(spark, sf_dir, lines.join(orders, lines.l_orderkey == orders.o_orderkey))
+
+
 def _order_id() -> F.Column:
     return F.concat(F.lit("ORD-"), F.col("l_orderkey").cast("string"), F.lit("-"),
                     F.col("l_linenumber").cast("string"), F.lit("-"),
@@ -72,7 +83,12 @@ def _category() -> F.Column:
 
 def sales_from_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The clean, typed ``sales`` table (FIXTURES section 3)."""
-    df = _priced(_star_lines(spark, sf_dir))
+    return sales_of(_star_lines(spark, sf_dir))
+
+
+def sales_of(lines: DataFrame) -> DataFrame:
+    """``sales_from_star`` of order lines joined to all dimensions."""
+    df = _priced(lines)
     return df.select(
         _order_id().alias("order_id"),
         F.concat(F.lit("CUST-"), F.col("o_custkey").cast("string")).alias("customer_id"),
