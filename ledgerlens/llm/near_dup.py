@@ -77,9 +77,9 @@ def _node(values: np.ndarray) -> bytes | None:
 
 
 def sketches(docs: DataFrame, words: int, k: int) -> DataFrame:
-    """(doc_id, node, n, sketch) per row; ``node`` names the set, null without shingles."""
-    fields = [docs.schema["doc_id"], T.StructField("node", T.BinaryType()), T.StructField("n", T.IntegerType()),
-              T.StructField("sketch", T.ArrayType(T.LongType()))]
+    """(doc_id, print, node, n, sketch) per row; ``node`` names the set, null without shingles, ``print`` the text."""
+    fields = [docs.schema["doc_id"], T.StructField("print", T.LongType()), T.StructField("node", T.BinaryType()),
+              T.StructField("n", T.IntegerType()), T.StructField("sketch", T.ArrayType(T.LongType()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,16 +88,21 @@ def sketches(docs: DataFrame, words: int, k: int) -> DataFrame:
                 nodes.append(_node(values))
                 sizes.append(len(values))
                 low.append(values[:k].copy())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(nodes, pa.binary()),
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["print"], pa.array(nodes, pa.binary()),
                                               pa.array(sizes, pa.int32()), _lists(low)],
-                                             ["doc_id", "node", "n", "sketch"])
+                                             ["doc_id", "print", "node", "n", "sketch"])
         give_back()
 
-    return docs.select("doc_id", "text").mapInArrow(run, T.StructType(fields))
+    return docs.select("doc_id", text_print().alias("print"), "text").mapInArrow(run, T.StructType(fields))
+
+
+def text_print() -> Column:
+    """Beside the id it tells rows without an id, or with the same one, apart when texts are looked up."""
+    return F.xxhash64("text")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(rid, n, values) of the wanted representatives (rid, doc_id, node), read from the texts."""
+    """(rid, n, values) of the wanted representatives (rid, doc_id, print, node), read from the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,8 +116,10 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                                               _lists(sets)], ["rid", "n", "values"])
         give_back()
 
-    ids = wanted.select("rid", "node", F.col("doc_id").alias("__id"))
-    rows = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__id"))).select("rid", "node", "text")
+    ids = wanted.select("rid", "node", F.col("doc_id").alias("__id"), F.col("print").alias("__print"))
+    own = docs.select("doc_id", "text", text_print().alias("print"))
+    rows = own.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("print") == F.col("__print"))).select(
+        "rid", "node", "text")
     sets = written(rows.mapInArrow(run, "rid long, n int, values array<long>"), "near-sets")
     if sets.groupBy("rid").count().where("count > 1").isEmpty():
         return sets
@@ -136,7 +143,7 @@ def survivors(docs: DataFrame, reps: DataFrame, words: int, percent: int, floor_
     private = _private(reps.select("rid", F.explode("sketch").alias("value")))
     kept = F.size("sketch") - F.coalesce("private", F.lit(0))
     first = reps.join(private, "rid", "left").where(kept >= least_shared(F.size("sketch"), percent, floor_shared))
-    sets = full_sets(docs, first.select("rid", "doc_id", "node"), words)
+    sets = full_sets(docs, first.select("rid", "doc_id", "print", "node"), words)
     private = _private(sets.select("rid", F.explode("values").alias("value")))
     left = sets.join(private, "rid", "left").withColumn("shared", F.col("n") - F.coalesce("private", F.lit(0)))
     return written(left.where(100 * F.col("shared") >= percent * F.col("n")).select("rid", "n", "shared", "values"),
@@ -230,7 +237,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     floor_shared = shared_floor(k, percent)
     own = written(sketches(docs, words, k), "near-sketches")
     reps = written(own.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        F.min("doc_id").alias("doc_id"), F.coalesce(F.min_by("print", "doc_id"), F.min("print")).alias("print"),
+        F.first("n").alias("n"), F.first("sketch").alias("sketch"))
         .withColumn("rid", F.monotonically_increasing_id()), "near-representatives")
     roots = link(survivors(docs, reps, words, percent, floor_shared), k, percent, floor_shared, pivots, rounds)
     named = reps.select("rid", "node", "doc_id").join(roots.toDF("rid", "root"), "rid", "left").select(

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlens.llm import near_dup, queries
 from ledgerlens.llm.components import connected_components
@@ -93,6 +94,30 @@ def test_defined_cases(spark):
     assert near_dup.near_duplicates(empty).collect() == []
 
 
+@pytest.mark.parametrize("id_of", [lambda i: None, lambda i: 7, lambda i: None if i % 3 else i])
+def test_many_rows_without_an_id_or_under_one(spark, id_of):
+    """Texts are looked up by id and text, so n such rows never meet each other."""
+    n = 3000
+    texts = [" ".join(f"w{i // 2}-{j}" for j in range(12)) + (" end" if i % 2 else "") for i in range(n)]
+    df = spark.createDataFrame([(id_of(i), t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(6)
+    reps = near_dup.written(near_dup.sketches(df, 4, 32).withColumn("rid", F.monotonically_increasing_id()), "reps")
+    assert near_dup.full_sets(df, reps, 4).count() == n
+    got = near_dup.near_duplicates(df, words=4).collect()
+    assert sorted(r.n_shingles for r in got) == [9] * (n // 2) + [10] * (n // 2)
+    if id_of(0) == 0:
+        pairs = {i: {id_of(i), id_of(i ^ 1)} - {None} for i in range(n)}
+        want = sorted(str(min(pairs[i], default=None)) for i in range(n))
+        assert sorted(str(r.component_id) for r in got) == want
+
+
+def test_long_words_in_another_order_are_other_words(spark):
+    blocks = [c * (1 << 14) for c in "abc"]
+    words = ["".join(blocks), "".join(blocks[::-1]), blocks[1] + blocks[0] + blocks[2], "".join(blocks)]
+    df = spark.createDataFrame([(i, w + " x y z") for i, w in enumerate(words)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(df, words=4).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 0}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, 3), (3, 7), (5, 5), (200, 150), (150, 201)]
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
