@@ -93,9 +93,10 @@ def whole_number(c) -> Column:
 
 def title_case(c) -> Column:
     """Capital at the start of every run of letters, small letters after it
-    ("office-supplies o'neil" -> "Office-Supplies O'Neil")."""
+    ("office-supplies o'neil" -> "Office-Supplies O'Neil"). Text of letters and blanks
+    only, as most is, needs no splitting."""
     runs = F.regexp_extract_all(_c(c), F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
-    return F.array_join(F.transform(runs, F.initcap), "")
+    return F.when(_c(c).rlike(r"\A[\p{L} ]*\z"), F.initcap(_c(c))).otherwise(F.array_join(F.transform(runs, F.initcap), ""))
 
 
 def discount_tier(c="discount") -> Column:

@@ -30,3 +30,12 @@ def test_finite_or_null(spark):
     ("élan vital", "Élan Vital"), ("", ""), ("  two  ", "  Two  "), (None, None)])
 def test_title_case(spark, text, want):
     assert spark.createDataFrame([(text,)], "x string").select(title_case(F.col("x"))).first()[0] == want
+
+
+def test_title_case_is_the_same_with_and_without_other_characters(spark):
+    texts = ["", " ", "promo BRUSHED steel", "  two  blanks ", "é ß ÄRZTE ǆ", "o'neil", "a1b2c", "tab\there", "line\n", "line\nnext", None]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    got = [r[0] for r in df.select(title_case("x")).collect()]
+    runs = F.regexp_extract_all("x", F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
+    assert got == [r[0] for r in df.select(F.array_join(F.transform(runs, F.initcap), "")).collect()]
+    assert got[2:6] == ["Promo Brushed Steel", "  Two  Blanks ", "É Ss Ärzte ǅ", "O'Neil"]
