@@ -108,4 +108,21 @@ o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY
 SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank <= 50
 """
 
-Q = {"op1_url_filters": OP1, "op6_warc": OP6, "op7_line_dedup": OP7, "op13_source_divergence": OP13}
+OP12 = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+w AS (SELECT doc_id, b, unnest(range(n - 99)) AS i FROM d WHERE n >= 100),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY md5(array_slice(b, i + 1, i + 100)) ORDER BY doc_id, i) AS nth FROM w),
+v AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM r WHERE nth > 1),
+x AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 100 THEN 1 ELSE 0 END)
+                        OVER (PARTITION BY doc_id ORDER BY i) AS run FROM v),
+s AS (SELECT doc_id, min(i) AS start, max(i) + 100 AS stop FROM x GROUP BY doc_id, run),
+l AS (SELECT doc_id, list(start ORDER BY start) AS starts, list(stop ORDER BY start) AS stops, count(*) AS k,
+             CAST(sum(stop - start) AS BIGINT) AS gone FROM s GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(k, 0) AS n_spans,
+       sha256(CASE WHEN k IS NULL THEN b ELSE unhex(array_to_string(list_transform(range(k + 1), lambda j:
+         hex(array_slice(b, CASE WHEN j = 0 THEN 1 ELSE stops[j] + 1 END, CASE WHEN j = k THEN n ELSE starts[j + 1] END))), '')) END)
+         AS kept_sha256
+FROM d LEFT JOIN l USING (doc_id)
+"""
+
+Q = {"op12_suffix_dedup": OP12, "op1_url_filters": OP1, "op6_warc": OP6, "op7_line_dedup": OP7, "op13_source_divergence": OP13}
