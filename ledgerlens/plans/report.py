@@ -75,7 +75,7 @@ def report_tables(sales: DataFrame, **kwargs) -> dict[str, DataFrame]:
     return {k: f() for k, f in report_builders(sales, **kwargs).items()}
 
 
-def run_analysis_csv(spark: SparkSession, path: str, out_dir: str | None = None, parallel: int = 4,
+def run_analysis_csv(spark: SparkSession, path: str, out_dir: str | None = None, parallel: int = 8,
                      multi_line: bool = False, date_format: str = "yyyy-MM-dd", **report_args) -> dict[str, str]:
     """``run_analysis`` of a CSV export. Also writes what did not fit: ``bad_rows`` (lines with stray fields),
     ``loading_audit`` (rows by step, from the lines to the clean rows) and ``parse_failures`` (values per column
@@ -91,7 +91,7 @@ def run_analysis_csv(spark: SparkSession, path: str, out_dir: str | None = None,
     return paths
 
 
-def run_analysis(spark: SparkSession, raw: DataFrame, out_dir: str | None = None, parallel: int = 4,
+def run_analysis(spark: SparkSession, raw: DataFrame, out_dir: str | None = None, parallel: int = 8,
                  date_format: str = "yyyy-MM-dd", **report_args) -> dict[str, str]:
     """Clean ``raw``, write the clean table, write every report table; returns paths."""
     out_dir = out_dir or scratch_path(spark, "analysis")
