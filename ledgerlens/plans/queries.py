@@ -566,9 +566,10 @@ def q_sketched_quartiles(spark, sf_dir):
     exact, near = _rfm.quartile_edges(v, ["monetary"]), _rfm.quartile_edges(v, ["monetary"], SKETCH_ACCURACY)
     edges = _F.array(*[_F.struct(_F.lit(p).alias("quartile"), _F.col(f"x.q{i}").alias("edge"), _F.col(f"a.q{i}").alias("near"))
                        for i, p in enumerate(_rfm.QUARTILES)])
-    rows = spark.range(1).select(exact.alias("x"), near.alias("a")).select(_F.explode(edges).alias("e")).select("e.*")
-    ranks = v.crossJoin(_F.broadcast(rows)).groupBy("quartile", "edge").agg(       # three rows
-        (_F.count_if(_F.col("monetary") < _F.col("near")) / _F.count(_F.lit(1))).alias("below"),
-        (_F.count_if(_F.col("monetary") <= _F.col("near")) / _F.count(_F.lit(1))).alias("up_to"))
+    held = v.select("monetary", exact.alias("x"), near.alias("a")).select("monetary", _F.explode(edges).alias("e")).select(
+        "monetary", "e.*")
+    n = _F.count(_F.lit(1))
+    ranks = held.groupBy("quartile", "edge").agg((_F.count_if(_F.col("monetary") < _F.col("near")) / n).alias("below"),
+                                                 (_F.count_if(_F.col("monetary") <= _F.col("near")) / n).alias("up_to"))
     return ranks.select("quartile", "edge", ((_F.col("below") <= _F.col("quartile") + SKETCH_ACCURACY)
                                              & (_F.col("up_to") >= _F.col("quartile") - SKETCH_ACCURACY)).alias("within_bound"))
