@@ -184,10 +184,11 @@ def heatmap_data(df: DataFrame, regions: list[str] | None = None, parts: DataFra
     (columns), missing cells 0. The facts are aggregated once to month x region;
     where ``regions`` is not given, the column names come from that small table.
     More than ``MAX_REGIONS`` columns raise."""
-    cells = sums_by(df, parts, "month", "month_name", "region").select("month", "month_name", "region",
-                                                                       amount("rev").alias("revenue"))
+    keys = ["month", "month_name", "region"]
     if parts is None:
-        cells = checkpoint_table(cells, "heatmap_cells")
+        cells = checkpoint_table(_keyed(df, *keys).groupBy(*keys).agg(money_sum("revenue").alias("revenue")), "heatmap_cells")
+    else:
+        cells = sums_by(df, parts, *keys).select(*keys, amount("rev").alias("revenue"))
     if regions is None:
         regions = sorted(r[0] for r in cells.select("region").distinct().limit(MAX_REGIONS + 1).collect())
         if len(regions) > MAX_REGIONS:
