@@ -33,15 +33,15 @@ def marked(df: DataFrame, bits: int = 128) -> DataFrame:
     return df.select("*", *fingerprint(df, bits))
 
 
-def repeated(df: DataFrame, bits: int = 128, flag: Column | None = None) -> DataFrame:
-    """(_fp1, _fp2, n, n_flagged): the fingerprints of more than one row, with their rows, and those for which ``flag`` holds."""
-    narrow = df.select(*fingerprint(df, bits), (F.lit(True) if flag is None else flag).alias("_flag"))
-    return narrow.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.count_if("_flag").alias("n_flagged")).where("n > 1")
+def repeated(df: DataFrame, bits: int = 128) -> DataFrame:
+    """(_fp1, _fp2): the fingerprints of more than one row."""
+    return (df.select(*fingerprint(df, bits)).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
+            .where("n > 1").select(*KEYS))
 
 
 def distinct_rows(df: DataFrame, bits: int = 128) -> DataFrame:
     """One of each row, as ``dropDuplicates`` gives, without shuffling rows that have no copy."""
-    several = repeated(df, bits).select(*KEYS)
+    several = repeated(df, bits)
     rows = marked(df, bits)
     alone = rows.join(several, KEYS, "left_anti").select(*df.columns)
     return alone.unionByName(rows.join(several, KEYS, "left_semi").select(*df.columns).dropDuplicates())
@@ -50,8 +50,10 @@ def distinct_rows(df: DataFrame, bits: int = 128) -> DataFrame:
 def copies(df: DataFrame, bits: int = 128, flag: Column | None = None) -> tuple[Column, Column]:
     """Scalars: rows beyond the first of their kind, of all rows and of those for which ``flag`` holds
     (an expression on the columns, so that equal rows agree on it)."""
-    several = repeated(df, bits, flag)
-    rows = marked(df, bits).join(several.select(*KEYS), KEYS, "left_semi").select(*df.columns).dropDuplicates()
-    kinds = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.lit(True) if flag is None else flag).alias("n_flagged"))
-    sums = several.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_flagged"), F.lit(0)).alias("n_flagged"))
-    return tuple(sums.select(c).scalar() - kinds.select(c).scalar() for c in ("n", "n_flagged"))
+    rows = marked(df, bits).join(repeated(df, bits), KEYS, "left_semi").select(*df.columns)
+    kinds = rows.groupBy(*df.columns).agg((F.count(F.lit(1)) - 1).alias("_beyond"))
+    flagged = F.lit(True) if flag is None else flag
+    found = kinds.agg(F.coalesce(F.sum("_beyond"), F.lit(0)).alias("n"),
+                      F.coalesce(F.sum(F.when(flagged, F.col("_beyond"))), F.lit(0)).alias("n_flagged"))
+    found = found.select(F.struct("n", "n_flagged")).scalar()
+    return found["n"], found["n_flagged"]
