@@ -163,26 +163,52 @@ def _observe(df: DataFrame, audit: dict | None, name: str) -> DataFrame:
     return df.observe(obs, F.count(F.lit(1)).alias("rows"))
 
 
-def cleaning_audit(raw: DataFrame, date_format: str = "yyyy-MM-dd", loading: DataFrame | None = None) -> DataFrame:
-    """Rows before/after/dropped for each row-removing step, as a table; with
-    ``loading`` (``sources.load.load_audit``) the steps of reading the files come first.
-
-    Rows are counted without a shuffle before and after the null rule; copies are
-    counted by fingerprint (``operators.fingerprint``), whole rows meet only where one
-    repeats. A copy has its original's quantity, so the quantity rule needs the
-    copies among the rows that it keeps only.
-    """
-    typed = fix_dtypes(standardize_columns(raw), date_format)
-    filled = handle_missing(typed)
-    positive = F.col("quantity") > 0
-    dropped, dropped_positive = fingerprint.copies(filled, flag=positive)
+def _kept_by_null_rule() -> Column:
     keep = F.lit(True)
     for c in REQUIRED_COLUMNS:
         keep = keep & F.col(c).isNotNull()
-    counts = typed.agg(F.count(F.lit(1)).alias("raw_rows"), F.count_if(keep).alias("kept"),
-                       F.count_if(keep & positive).alias("positive")).select(
+    return keep
+
+
+def _audit_by_rows(typed: DataFrame) -> DataFrame:
+    """One grouped aggregation over all columns plus a "kept by the null rule" flag: the input rows are the sum of
+    the group counts, the survivors of the null rule the sum over kept groups, the de-duplicated rows the number of
+    kept groups, and the survivors of the quantity rule the kept groups with quantity > 0."""
+    seg_mode = mode_value(typed, "segment").scalar()
+    filled = typed.withColumns({"discount": F.coalesce(F.col("discount"), F.lit(0.0)),
+                                "city": F.coalesce(F.col("city"), F.lit("Unknown")),
+                                "segment": F.coalesce(F.col("segment"), seg_mode)})
+    groups = (filled.withColumn("_keep", _kept_by_null_rule()).groupBy(*filled.columns, "_keep")
+              .agg(F.count(F.lit(1)).alias("_n")))
+    return groups.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("raw_rows"),
+        F.coalesce(F.sum(F.when(F.col("_keep"), F.col("_n"))), F.lit(0)).alias("kept"),
+        F.count_if(F.col("_keep")).alias("dedup"),
+        F.count_if(F.col("_keep") & (F.col("quantity") > 0)).alias("quality"))
+
+
+def _audit_by_fingerprint(typed: DataFrame) -> DataFrame:
+    """Rows are counted without a shuffle before and after the null rule; copies are counted by fingerprint, whole
+    rows meet only where one repeats. A copy has its original's quantity, so the quantity rule needs the copies
+    among the rows that it keeps only."""
+    positive, keep = F.col("quantity") > 0, _kept_by_null_rule()
+    dropped, dropped_positive = fingerprint.copies(handle_missing(typed), flag=positive)
+    return typed.agg(F.count(F.lit(1)).alias("raw_rows"), F.count_if(keep).alias("kept"),
+                     F.count_if(keep & positive).alias("positive")).select(
         "raw_rows", "kept", (F.col("kept") - dropped).alias("dedup"), (F.col("positive") - dropped_positive).alias("quality"))
 
+
+def cleaning_audit(raw: DataFrame, date_format: str = "yyyy-MM-dd", loading: DataFrame | None = None,
+                   by: str = "rows") -> DataFrame:
+    """Rows before/after/dropped for each row-removing step, as a table; with
+    ``loading`` (``sources.load.load_audit``) the steps of reading the files come first.
+    ``by`` as in ``remove_duplicates``: one pass that shuffles rows, or three that shuffle fingerprints.
+    """
+    typed = fix_dtypes(standardize_columns(raw), date_format)
+    if by not in ("rows", "fingerprint"):
+        raise ValueError(f"duplicates are found by rows or by fingerprint, not by {by!r}")
+    counts = _audit_by_rows(typed) if by == "rows" else _audit_by_fingerprint(typed)
+
     def step(no, name, before, after):
         return F.struct(F.lit(no).alias("step_no"), F.lit(name).alias("step"),
                         F.col(before).alias("rows_before"), F.col(after).alias("rows_after"))

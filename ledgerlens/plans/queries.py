@@ -307,7 +307,7 @@ def q_load_bad_rows(spark, sf_dir):
 def q_load_audit(spark, sf_dir):
     """The cleaning audit of a ragged export, from its lines to its clean rows."""
     load = _load_sales(spark, ragged_csv_path(spark, sf_dir))
-    return clean.cleaning_audit(load.rows, loading=_load_audit(load))
+    return clean.cleaning_audit(load.rows, loading=_load_audit(load), by="fingerprint")
 
 
 @register("standardize_columns")
