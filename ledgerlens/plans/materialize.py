@@ -64,15 +64,17 @@ def written_once(spark: SparkSession, name: str, source: str, write: Callable[[s
 
 def materialized(spark: SparkSession, name: str, source: str,
                  build: Callable[[SparkSession, str], DataFrame],
-                 partition_by: str | None = None) -> DataFrame:
+                 partition_by: str | None = None, rebalance: bool = True) -> DataFrame:
     """``build(spark, source)`` written once per application, table name and state
-    of the source files, optionally partitioned by a column (filters on it then skip whole folders)."""
+    of the source files, optionally partitioned by a column (filters on it then skip whole folders).
+    Without ``rebalance`` a task writes into the folders of all values it meets: no shuffle of whole
+    rows, for columns of few values. Compressed with zstd, as such tables are large and read often."""
     def write(path: str) -> None:
         df = build(spark, source)
-        if partition_by:
-            df.hint("rebalance", partition_by).write.mode("overwrite").partitionBy(partition_by).parquet(path)
-        else:
-            df.write.mode("overwrite").parquet(path)
+        if partition_by and rebalance:
+            df = df.hint("rebalance", partition_by)
+        w = df.write.mode("overwrite").option("compression", "zstd")
+        (w.partitionBy(partition_by) if partition_by else w).parquet(path)
 
     return spark.read.parquet(written_once(spark, name, source, write))
 

@@ -4,15 +4,16 @@ The flat ``sales`` table (one row per order line) is built by joining the fact
 table to its dimensions. Join order is written out because Catalyst does not
 reorder joins without cost-based statistics:
 
-* ``orders`` joins ``customer`` (+ nation/region) on the customer key: the
-  order-sized side is shuffled, not the line-sized one;
+* ``orders`` joins ``customer`` on the customer key: the order-sized side is
+  shuffled, not the line-sized one;
 * ``lineitem`` joins that on the order key (sort-merge on both large sides);
-* ``part`` joins last on the part key.
+* ``part`` joins on the part key;
+* nation and region join last: lines carry a nation's key through the shuffles
+  and get the names, and all texts made of keys, when no shuffle is left.
 
-No side is hinted for broadcast: nation/region are tiny parquet files and
-Spark broadcasts them after checking their size against
-``spark.sql.autoBroadcastJoinThreshold``; AQE turns any other join into a
-broadcast at run time only when the measured side is small enough.
+Only the nations with their regions (25 rows at every size) are hinted for
+broadcast, so that lines are never shuffled for them; AQE turns any other join
+into a broadcast at run time only when the measured side is small enough.
 """
 
 from __future__ import annotations
@@ -37,15 +38,24 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_quantity", "l_extendedprice", "l_discount", "l_tax"])
 
 
-def orders_with_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders with their customer's segment, nation and region."""
+def orders_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their customer's segment and nation key."""
     orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate"])
     cust = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey", "c_mktsegment"])
+    return orders.join(cust, orders.o_custkey == cust.c_custkey)
+
+
+def with_places(spark: SparkSession, sf_dir: str, df: DataFrame) -> DataFrame:
+    """Names of nation and region by ``c_nationkey``."""
     nation = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name", "n_regionkey"])
     region = read_table(spark, sf_dir, "region", ["r_regionkey", "r_name"])
     geo = nation.join(region, nation.n_regionkey == region.r_regionkey)
-    cust_geo = cust.join(geo, cust.c_nationkey == geo.n_nationkey)
-    return orders.join(cust_geo, orders.o_custkey == cust_geo.c_custkey)
+    return df.join(F.broadcast(geo), df.c_nationkey == geo.n_nationkey)      # nations do not grow with the sales
+
+
+def orders_with_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their customer's segment, nation and region."""
+    return with_places(spark, sf_dir, orders_of_customers(spark, sf_dir))
 
 
 def with_parts(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
@@ -55,8 +65,8 @@ def with_parts(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
 
 def _star_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines joined to all dimensions, columns pruned to what is used."""
-    lines, orders = order_lines(spark, sf_dir), orders_with_customers(spark, sf_dir)
-    return with_parts(spark, sf_dir, lines.join(orders, lines.l_orderkey == orders.o_orderkey))
+    lines, orders = order_lines(spark, sf_dir), orders_of_customers(spark, sf_dir)
+    return with_places(spark, sf_dir, with_parts(spark, sf_dir, lines.join(orders, lines.l_orderkey == orders.o_orderkey)))
 
 
 def _order_id() -> F.Column:
@@ -86,8 +96,15 @@ def sales_from_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sales_of(_star_lines(spark, sf_dir))
 
 
-def sales_of(lines: DataFrame) -> DataFrame:
-    """``sales_from_star`` of order lines joined to all dimensions."""
+def sales_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``sales_from_star`` and the order's year as ``_year``, in whose order rows are inside each partition,
+    to be written by year: keys and numbers are sorted, and the texts made of them afterwards."""
+    lines = _star_lines(spark, sf_dir).withColumn("_year", F.year(F.col("o_orderdate").cast("date")))
+    return sales_of(lines.sortWithinPartitions("_year"), "_year")
+
+
+def sales_of(lines: DataFrame, *more: str) -> DataFrame:
+    """``sales_from_star`` of order lines joined to all dimensions; ``more``: their columns to be kept."""
     df = _priced(lines)
     return df.select(
         _order_id().alias("order_id"),
@@ -103,6 +120,7 @@ def sales_of(lines: DataFrame) -> DataFrame:
         F.col("_disc").alias("discount"),
         F.col("_rev").alias("revenue"),
         F.col("_profit").alias("profit"),
+        *more,
     )
 
 
@@ -114,9 +132,9 @@ def raw_sales_from_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     (some copies with other casing, which survive de-duplication).
     """
     d = (_priced(_star_lines(spark, sf_dir))
-         .withColumn("k", F.col("l_orderkey") * 7 + F.col("l_linenumber") * 13 + F.col("l_partkey"))
-         .withColumn("dup", F.lit(0)))
-    d = d.unionByName(d.filter(F.col("k") % 100 == 0).withColumn("dup", F.lit(1)))
+         .withColumn("k", F.col("l_orderkey") * 7 + F.col("l_linenumber") * 13 + F.col("l_partkey")))
+    # one row, or two; the joins run once
+    d = d.withColumn("dup", F.explode(F.when(F.col("k") % 100 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     k = F.col("k")
     return d.select(
         _order_id().alias("order_id"),
