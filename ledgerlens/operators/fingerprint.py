@@ -2,10 +2,11 @@
 only where a key repeats.
 
 A fingerprint is two 64-bit hashes of all columns (nulls marked, -0.0 as 0.0, so equal
-rows always have equal ones). Only fingerprints cross the network; the few that
-repeat meet the rows again in a join, broadcast by Spark when they are small
-enough, so rows without a copy are not shuffled. Among rows with a repeated fingerprint
-the whole rows decide: an accidental collision costs a comparison, never a row.
+rows always have equal ones). Only fingerprints cross the network; those that repeat set a
+bit each in a map of ``MAP_BITS`` bits, which is broadcast: of one size however many repeat,
+so rows without a copy are never shuffled to find that out. The rows whose bit is set are
+compared in whole: an accidental collision, of fingerprints or of bits, costs a comparison,
+never a row.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 KEYS = ["_fp1", "_fp2"]
+#: 16 MB, in blocks of 4 KB. With n repeated fingerprints some n / MAP_BITS of the other rows are compared for nothing.
+MAP_BITS = 1 << 27
+BLOCK_BITS = 1 << 15
 
 
 def fingerprint(df: DataFrame, bits: int = 128) -> list[Column]:
@@ -39,18 +43,32 @@ def repeated(df: DataFrame, bits: int = 128) -> DataFrame:
             .where("n > 1").select(*KEYS))
 
 
-def distinct_rows(df: DataFrame, bits: int = 128) -> DataFrame:
+def repeated_map(df: DataFrame, bits: int = 128, size: int = MAP_BITS) -> DataFrame:
+    """(_block, _bits): the bit of each repeated fingerprint."""
+    slot = F.pmod("_fp1", F.lit(size))
+    return (repeated(df, bits).groupBy((slot / BLOCK_BITS).cast("long").alias("_block"))
+            .agg(F.bitmap_construct_agg(F.pmod(slot, F.lit(BLOCK_BITS))).alias("_bits")))
+
+
+def _by_map(df: DataFrame, how: str, bits: int, size: int) -> DataFrame:
+    """The rows whose bit is set (``left_semi``) or not set (``left_anti``)."""
+    slot = F.pmod("_fp1", F.lit(size))
+    position = F.pmod(slot, F.lit(BLOCK_BITS)).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.call_function("shiftright", byte, F.pmod(position, F.lit(8))).bitwiseAND(1) == 1
+    same = (F.col("_block") == (slot / BLOCK_BITS).cast("long")) & is_set
+    return marked(df, bits).join(F.broadcast(repeated_map(df, bits, size)), same, how).select(*[f"`{c}`" for c in df.columns])
+
+
+def distinct_rows(df: DataFrame, bits: int = 128, size: int = MAP_BITS) -> DataFrame:
     """One of each row, as ``dropDuplicates`` gives, without shuffling rows that have no copy."""
-    several = repeated(df, bits)
-    rows = marked(df, bits)
-    alone = rows.join(several, KEYS, "left_anti").select(*df.columns)
-    return alone.unionByName(rows.join(several, KEYS, "left_semi").select(*df.columns).dropDuplicates())
+    return _by_map(df, "left_anti", bits, size).unionByName(_by_map(df, "left_semi", bits, size).dropDuplicates())
 
 
-def copies(df: DataFrame, bits: int = 128, flag: Column | None = None) -> tuple[Column, Column]:
+def copies(df: DataFrame, bits: int = 128, flag: Column | None = None, size: int = MAP_BITS) -> tuple[Column, Column]:
     """Scalars: rows beyond the first of their kind, of all rows and of those for which ``flag`` holds
     (an expression on the columns, so that equal rows agree on it)."""
-    rows = marked(df, bits).join(repeated(df, bits), KEYS, "left_semi").select(*df.columns)
+    rows = _by_map(df, "left_semi", bits, size)
     kinds = rows.groupBy(*df.columns).agg((F.count(F.lit(1)) - 1).alias("_beyond"))
     flagged = F.lit(True) if flag is None else flag
     found = kinds.agg(F.coalesce(F.sum("_beyond"), F.lit(0)).alias("n"),

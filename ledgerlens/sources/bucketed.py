@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from ledgerlens.session import scratch_path
 from ledgerlens.sources import tables
 
-BUCKET_BYTES = 128 << 20
+#: Of the lines' files. A task sorts a bucket of lines and of orders in memory, where they take some ten times that.
+BUCKET_BYTES = 16 << 20
 HOT_SHARE = 4
 
 

@@ -43,3 +43,27 @@ def test_one_row_a_third_of_all(spark):
     assert fingerprint.distinct_rows(df).count() == 2001
     with pytest.raises(ValueError, match="fingerprint"):
         clean.remove_duplicates(df, by="hash")
+
+
+@pytest.mark.parametrize("size", [1, 8, 1 << 15, 1 << 17, fingerprint.MAP_BITS])
+def test_rows_whose_bits_collide(spark, size):
+    """Many repeated fingerprints in maps of a few bits, of several blocks, and of full size."""
+    df = spark.range(4000).select((F.col("id") % 3100).alias("x"), (F.col("id") % 2).cast("string").alias("y"))
+    want = df.dropDuplicates()
+    got = fingerprint.distinct_rows(df, size=size)
+    assert sorted(got.collect()) == sorted(want.collect())
+    n, flagged = fingerprint.copies(df, flag=F.col("x") < 100, size=size)
+    assert tuple(spark.range(1).select(n, flagged).first()) == (4000 - want.count(), 100)
+
+
+def test_many_repeated_fingerprints_shuffle_no_other_row(spark):
+    """Nothing but the map of bits is broadcast or decided by size: more repeated rows than a broadcast may have."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")
+    try:
+        df = Q.clean_table(spark, SF)
+        plan = fingerprint.distinct_rows(df)._jdf.queryExecution().executedPlan().toString()
+        counted = spark.range(1).select(fingerprint.copies(df)[0])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for text in (plan, counted):
+        assert "SortMergeJoin" not in text and "BroadcastHashJoin" in text
