@@ -43,20 +43,25 @@ def repeated(df: DataFrame, bits: int = 128) -> DataFrame:
             .where("n > 1").select(*KEYS))
 
 
+def _slot(size: int) -> tuple[Column, Column]:
+    """Block and place in it of a fingerprint's bit. ``size`` is a power of two: bit operations give no nulls, so
+    the optimizer adds no null checks that would compute the whole fingerprint a second time."""
+    slot = F.col("_fp1").bitwiseAND(F.lit(size - 1))
+    return F.shiftright(slot, BLOCK_BITS.bit_length() - 1), slot.bitwiseAND(F.lit(BLOCK_BITS - 1))
+
+
 def repeated_map(df: DataFrame, bits: int = 128, size: int = MAP_BITS) -> DataFrame:
     """(_block, _bits): the bit of each repeated fingerprint."""
-    slot = F.pmod("_fp1", F.lit(size))
-    return (repeated(df, bits).groupBy((slot / BLOCK_BITS).cast("long").alias("_block"))
-            .agg(F.bitmap_construct_agg(F.pmod(slot, F.lit(BLOCK_BITS))).alias("_bits")))
+    block, place = _slot(size)
+    return repeated(df, bits).groupBy(block.alias("_block")).agg(F.bitmap_construct_agg(place).alias("_bits"))
 
 
 def _by_map(df: DataFrame, how: str, bits: int, size: int) -> DataFrame:
     """The rows whose bit is set (``left_semi``) or not set (``left_anti``)."""
-    slot = F.pmod("_fp1", F.lit(size))
-    position = F.pmod(slot, F.lit(BLOCK_BITS)).cast("int")
-    byte = F.conv(F.hex(F.substring("_bits", (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    is_set = F.call_function("shiftright", byte, F.pmod(position, F.lit(8))).bitwiseAND(1) == 1
-    same = (F.col("_block") == (slot / BLOCK_BITS).cast("long")) & is_set
+    block, place = _slot(size)
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.call_function("shiftright", byte, place.bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(1) == 1
+    same = (F.col("_block") == block) & is_set
     return marked(df, bits).join(F.broadcast(repeated_map(df, bits, size)), same, how).select(*[f"`{c}`" for c in df.columns])
 
 
