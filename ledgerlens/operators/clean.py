@@ -134,23 +134,27 @@ def engineer_features(df: DataFrame) -> DataFrame:
 
 
 def clean_sales(raw: DataFrame, dedup_after: bool = False,
-                audit: dict | None = None, date_format: str = "yyyy-MM-dd") -> DataFrame:
+                audit: dict | None = None, date_format: str = "yyyy-MM-dd", by: str = "rows") -> DataFrame:
     """The seven cleaning steps in the reference order.
 
+    ``by`` as in ``remove_duplicates``; by fingerprint, which reads ``raw`` three times, there is no ``audit``.
+
     ``date_format`` is the layout of a text ``date`` column; ``parse_failures``
     counts what does not fit. ``dedup_after=True`` moves de-duplication after the quality fixes, which
     also removes copies that differed only in casing. Pass a dict as ``audit``
     to get ``Observation`` objects whose metrics (row counts per step) fill in
     when the result is first computed, without extra passes over the data.
     """
+    if audit is not None and by != "rows":
+        raise ValueError("rows are observed in a single pass only: by='rows'")
     df = fix_dtypes(standardize_columns(raw), date_format)
     df = _observe(df, audit, "typed")
     df = _observe(handle_missing(df), audit, "after_missing")
     if dedup_after:
         df = _observe(fix_quality_issues(df), audit, "after_quality")
-        df = _observe(remove_duplicates(df), audit, "after_dedup")
+        df = _observe(remove_duplicates(df, by), audit, "after_dedup")
     else:
-        df = _observe(remove_duplicates(df), audit, "after_dedup")
+        df = _observe(remove_duplicates(df, by), audit, "after_dedup")
         df = _observe(fix_quality_issues(df), audit, "after_quality")
     return engineer_features(df)
 

@@ -363,7 +363,7 @@ def q_engineer_features(spark, sf_dir):
 
 def clean_table(spark, sf_dir):
     """The cleaned table, written once per session (input of the reports on it)."""
-    return materialized(spark, "clean_sales", sf_dir, lambda s, d: clean.clean_sales(raw(s, d)))
+    return materialized(spark, "clean_sales", sf_dir, lambda s, d: clean.clean_sales(raw(s, d), by="fingerprint"))
 
 
 @register("clean_sales")
