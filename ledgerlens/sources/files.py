@@ -50,11 +50,12 @@ def read_sales_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_clean(df: DataFrame, path: str, fmt: str = "parquet", partition_by: str | None = "year",
-                touched_only: bool = False, sort_by: list[str] | None = None) -> str:
+                touched_only: bool = False, sort_by: list[str] | None = None, rebalance: bool = False) -> str:
     """Persist the cleaned table: parquet partitioned by year (prunable), or CSV with
     header and all columns (never partitioned: folders would take a column out of
-    the files). Rows are rebalanced by the partition column first, so a task writes
-    few folders; large years are split over several tasks.
+    the files). A task writes into the folders of all years it meets, so whole rows are not
+    shuffled for it; ``rebalance`` shuffles them by the partition column first, for columns of
+    many values, so that a task writes few folders.
 
     ``touched_only`` replaces the folders of the years in ``df`` and leaves all others as they are, so that a
     run over some years can be repeated; the new files are moved in when the whole job has succeeded.
@@ -67,11 +68,11 @@ def write_clean(df: DataFrame, path: str, fmt: str = "parquet", partition_by: st
         return path
     if touched_only and not partition_by:
         raise ValueError("touched_only needs a partition column")
-    if partition_by:
+    if partition_by and rebalance:
         df = df.hint("rebalance", partition_by)
     if sort_by:
         df = df.sortWithinPartitions(*([partition_by] if partition_by else []), *sort_by)
-    w = df.write.mode("overwrite")
+    w = df.write.mode("overwrite").option("compression", "zstd")
     if partition_by:
         w = w.partitionBy(partition_by).option("partitionOverwriteMode", "dynamic" if touched_only else "static")
     w.parquet(path)
