@@ -78,7 +78,7 @@ def load_sales(spark: SparkSession, path: str, out: str | None = None, multi_lin
     """
     out = out or scratch_path(spark, "sales-load")
     lines = parsed_lines(spark, path, multi_line)
-    lines.write.mode("overwrite").partitionBy("fate").parquet(out)
+    lines.write.mode("overwrite").option("compression", "zstd").partitionBy("fate").parquet(out)
     back = spark.read.schema(lines.schema).parquet(out)
     expected = len(lines.schema["row"].dataType)
     bad = back.where(~F.col("fate").isin(*LOADED)).select("file", "fields", F.lit(expected).alias("expected"), "line")
