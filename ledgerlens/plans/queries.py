@@ -378,7 +378,7 @@ def q_data_quality_report(spark, sf_dir):
 
 @register("cleaning_audit")
 def q_cleaning_audit(spark, sf_dir):
-    return clean.cleaning_audit(raw(spark, sf_dir))
+    return clean.cleaning_audit(raw(spark, sf_dir), by="fingerprint")
 
 
 @register("write_clean")

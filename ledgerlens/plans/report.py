@@ -85,7 +85,7 @@ def run_analysis_csv(spark: SparkSession, path: str, out_dir: str | None = None,
     paths = run_analysis(spark, load.rows, out_dir, parallel, date_format=date_format, **report_args)
     paths.update(write_report({
         "bad_rows": load.bad_rows,
-        "loading_audit": lambda: clean.cleaning_audit(load.rows, date_format, load_audit(load)),
+        "loading_audit": lambda: clean.cleaning_audit(load.rows, date_format, load_audit(load), by="fingerprint"),
         "parse_failures": lambda: clean.parse_failures(load.rows, date_format)}, f"{out_dir}/loading", parallel=parallel))
     paths["sales_raw"] = f"{out_dir}/sales_raw"
     return paths

@@ -67,3 +67,12 @@ def test_many_repeated_fingerprints_shuffle_no_other_row(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     for text in (plan, counted):
         assert "SortMergeJoin" not in text and "BroadcastHashJoin" in text
+
+
+def test_audit_shuffles_only_rows_that_have_copies(spark):
+    """The registered audit: whole rows are shuffled only above the join with the map of bits that marks them."""
+    out = Q.REGISTRY["cleaning_audit"](spark, SF)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    wide = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "order_id" in x]
+    assert "_fp1" in plan and len(wide) == plan.count("LeftSemi") > 0        # a subquery may be shown for each use
+    assert out.collect() == clean.cleaning_audit(Q.raw(spark, SF), by="rows").collect()
