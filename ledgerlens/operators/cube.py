@@ -29,7 +29,7 @@ from ledgerlens.functions.exprs import discount_tier, discount_tier_order, half_
 from ledgerlens.operators import eda
 from ledgerlens.operators.clean import filter_sales
 from ledgerlens.operators.stats import global_row_number, share_of_total, top_n
-from ledgerlens.session import scratch_path
+from ledgerlens.session import scratch_path, sized_shuffles
 from ledgerlens.sources.files import checkpoint_table
 
 CELL_KEYS = [*eda.MONTH_KEYS, "region", "city", "category", "segment", "tier_order", "discount_tier"]
@@ -63,8 +63,9 @@ def customer_sets(df: DataFrame, keys: list[str] = CUSTOMER_KEYS, form: str = "b
         return ids
     if form != "bits":
         raise ValueError(f"unknown form {form!r}")
-    return (ids.join(numbered_customers(df), "customer_id")
-            .groupBy(*keys, F.bitmap_bucket_number("no").alias("bucket"))
+    numbered = ids.join(numbered_customers(df), "customer_id").withColumn("bucket", F.bitmap_bucket_number("no"))
+    # a set's customers meet before its bits are set: else each task holds a bitmap of 4 KB for nearly every set
+    return (numbered.repartition(*keys, "bucket").groupBy(*keys, "bucket")
             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("no")).alias("bits")))
 
 
@@ -88,8 +89,9 @@ def cells(df: DataFrame) -> DataFrame:
 def build_cube(df: DataFrame, out: str | None = None, form: str = "bits") -> SalesCube:
     """The cube of a cleaned sales table, written below ``out`` (a new scratch folder if not given)."""
     out = out or scratch_path(df.sparkSession, "cube")
-    for name, table in {"sums": cells(df), "customers": customer_sets(df, form=form)}.items():
-        table.write.mode("overwrite").parquet(f"{out}/{name}")
+    with sized_shuffles(df):
+        for name, table in {"sums": cells(df), "customers": customer_sets(df, form=form)}.items():
+            table.write.mode("overwrite").parquet(f"{out}/{name}")
     return read_cube(df.sparkSession, out)
 
 

@@ -14,7 +14,7 @@ from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.session import scratch_path
+from ledgerlens.session import scratch_path, sized_shuffles
 
 T = TypeVar("T")
 
@@ -68,13 +68,15 @@ def materialized(spark: SparkSession, name: str, source: str,
     """``build(spark, source)`` written once per application, table name and state
     of the source files, optionally partitioned by a column (filters on it then skip whole folders).
     Without ``rebalance`` a task writes into the folders of all values it meets: no shuffle of whole
-    rows, for columns of few values. Compressed with zstd, as such tables are large and read often."""
+    rows, for columns of few values. Compressed with zstd, as such tables are large and read often.
+    The joins and sorts that build it have shuffle partitions for the size of their input."""
     def write(path: str) -> None:
         df = build(spark, source)
         if partition_by and rebalance:
             df = df.hint("rebalance", partition_by)
         w = df.write.mode("overwrite").option("compression", "zstd")
-        (w.partitionBy(partition_by) if partition_by else w).parquet(path)
+        with sized_shuffles(df):
+            (w.partitionBy(partition_by) if partition_by else w).parquet(path)
 
     return spark.read.parquet(written_once(spark, name, source, write))
 

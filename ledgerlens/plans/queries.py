@@ -253,7 +253,7 @@ def q_kpi_history(spark, sf_dir):
 from ledgerlens.sources.files import read_sales_csv as _read_csv, write_clean as _write_clean  # noqa: E402
 from ledgerlens.sources.load import load_audit as _load_audit, load_sales as _load_sales  # noqa: E402
 from ledgerlens.sources.tables import raw_sales_from_star  # noqa: E402
-from ledgerlens.session import scratch_path as _scratch  # noqa: E402
+from ledgerlens.session import scratch_path as _scratch, sized_shuffles as _sized_shuffles  # noqa: E402
 from ledgerlens.plans.materialize import written_once as _written_once  # noqa: E402
 
 
@@ -266,8 +266,10 @@ def export_from_star(spark, sf_dir):
 def raw_csv_path(spark, sf_dir):
     """The export written once per session as header CSV."""
     def write(path):
-        export_from_star(spark, sf_dir).write.options(
-            header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).mode("overwrite").csv(path)
+        df = export_from_star(spark, sf_dir)
+        with _sized_shuffles(df):
+            df.write.options(
+                header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).mode("overwrite").csv(path)
 
     return _written_once(spark, "raw_sales_csv", sf_dir, write)
 
@@ -283,9 +285,10 @@ def ragged_csv_path(spark, sf_dir):
         short = _F.to_csv(_F.struct(*[_F.col(f"`{c}`") for c in df.columns[:-2]]))
         line = _F.when(key % 37 == 5, short).when(key % 41 == 7, _F.concat(line, _F.lit(",stray"))).otherwise(line)
         # one column named like the whole header, with a delimiter and a quote that no line has
-        df.select(line.alias(",".join(df.columns))).write.options(
-            header=True, sep="\x01", quote="\x02", escapeQuotes=False, ignoreLeadingWhiteSpace=False,
-            ignoreTrailingWhiteSpace=False).mode("overwrite").csv(path)
+        with _sized_shuffles(df):
+            df.select(line.alias(",".join(df.columns))).write.options(
+                header=True, sep="\x01", quote="\x02", escapeQuotes=False, ignoreLeadingWhiteSpace=False,
+                ignoreTrailingWhiteSpace=False).mode("overwrite").csv(path)
 
     return _written_once(spark, "ragged_sales_csv", sf_dir, write)
 

@@ -5,9 +5,16 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: Of the files read, for a shuffle partition. A task of the star join sorts its share in memory, where it takes some forty times that.
+PARTITION_BYTES = 16 << 20
+_SIZING = threading.RLock()
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
@@ -72,3 +79,28 @@ def drop_scratch(spark: SparkSession) -> None:
     of an application: DataFrames that read them cannot be used afterwards."""
     path = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(ensure_checkpoint_dir(spark), "ledgerlens-tables"))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def file_bytes(df: DataFrame) -> int:
+    """Size of the files that ``df`` reads (0 for rows that come from no file)."""
+    spark = df.sparkSession
+    conf, jvm = spark._jsc.hadoopConfiguration(), spark._jvm
+    paths = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)) for f in df.inputFiles()]
+    return sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
+
+
+@contextmanager
+def sized_shuffles(df: DataFrame) -> Iterator[None]:
+    """For writing ``df``: a shuffle partition for every ``PARTITION_BYTES`` of the files it reads, and never fewer
+    than are set, so that a task needs no more memory when the input grows. Adaptive execution joins small ones.
+
+    One such write at a time, as the setting is the session's; queries planned meanwhile have more partitions too.
+    """
+    spark, name = df.sparkSession, "spark.sql.shuffle.partitions"
+    with _SIZING:
+        before = spark.conf.get(name)
+        spark.conf.set(name, str(max(int(before), -(-file_bytes(df) // PARTITION_BYTES))))
+        try:
+            yield
+        finally:
+            spark.conf.set(name, before)
