@@ -12,8 +12,9 @@ reorder joins without cost-based statistics:
   and get the names, and all texts made of keys, when no shuffle is left.
 
 Only the nations with their regions (25 rows at every size) are hinted for
-broadcast, so that lines are never shuffled for them; AQE turns any other join
-into a broadcast at run time only when the measured side is small enough.
+broadcast, so that lines are never shuffled for them, unless the session has broadcasts
+off (a threshold of -1); AQE turns any other join into a broadcast at run time only when
+the measured side is small enough.
 """
 
 from __future__ import annotations
@@ -50,7 +51,9 @@ def with_places(spark: SparkSession, sf_dir: str, df: DataFrame) -> DataFrame:
     nation = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name", "n_regionkey"])
     region = read_table(spark, sf_dir, "region", ["r_regionkey", "r_name"])
     geo = nation.join(region, nation.n_regionkey == region.r_regionkey)
-    return df.join(F.broadcast(geo), df.c_nationkey == geo.n_nationkey)      # nations do not grow with the sales
+    if not spark.conf.get("spark.sql.autoBroadcastJoinThreshold").startswith("-"):   # a session without broadcasts has none
+        geo = F.broadcast(geo)                                               # nations do not grow with the sales
+    return df.join(geo, df.c_nationkey == geo.n_nationkey)
 
 
 def orders_with_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
